@@ -28,6 +28,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of repeated 35-word windows removed from all documents."""
+    from wavesift.llm import substrings
+
+    out = substrings.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", substrings.sha256_hex("kept").alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     from wavesift.llm import toxicity

@@ -36,6 +36,13 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", substrings.sha256_hex("kept").alias("kept_sha256"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 5-word shingle Jaccard of 0.8 or more."""
+    from wavesift.llm import jaccard
+
+    return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     from wavesift.llm import toxicity

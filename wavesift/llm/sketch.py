@@ -124,3 +124,33 @@ def build(
         raw = bytes(r.cells) if packed else zstandard.ZstdDecompressor().decompress(bytes(r.cells))
         cells[r.block * size : (r.block + 1) * size] = np.frombuffer(raw, np.uint8)
     return Sketch(cells.reshape(rows, -1), bits, packed)
+
+
+class KeySet:
+    """Bits of a set of keys: holds every key put in, and few others."""
+
+    def __init__(self, bits: np.ndarray, width: int):
+        self.bits, self.width = bits, width
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = _cell(keys, 0, self.width)
+        return ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def build_set(df: DataFrame, column: str) -> KeySet:
+    """Bit set of a long column; its width follows the row count up to MAX_BITS.
+
+    Each bit's row comes to the driver as 64 bits of a distinct word, at most
+    2**(MAX_BITS - 6) words.
+    """
+    width = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(df.count(), 1) * 16))))
+
+    def cells(batches):
+        for batch in batches:
+            at = np.unique(_cell(batch.column(column).to_numpy().view(np.uint64), 0, width))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    words = df.select(column).mapInArrow(cells, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    bits = np.zeros(max(1, (1 << width) // 64), np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bit").to_numpy().view(np.uint64)
+    return KeySet(bits.view(np.uint8), width)

@@ -28,6 +28,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 200-byte strings removed from all documents."""
+    from wavesift.llm import suffixes
+
+    out = suffixes.repeated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeated 35-word windows removed from all documents."""
     from wavesift.llm import substrings

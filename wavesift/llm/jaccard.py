@@ -3,7 +3,7 @@
 Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their sets of
 distinct five-word shingles. Steps:
 
-1. Rows with the same set are one class (a 128-bit key of the set, counted by Spark).
+1. Rows with the same set are one class, named by a 64-bit hash of the set.
 2. A merged count-min sketch orders shingles, estimated rare ones first. By the size
    bound two linked sets share one of their first ``n - ceil(p n) + 1`` shingles in that
    order, so only those, and none estimated to be in a single class, are exchanged.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,14 +70,11 @@ def _sets(column: pa.Array, k: int):
     return value, np.concatenate([[0], np.cumsum(new)])[cut]
 
 
-def _class_keys(value: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each set, whatever its order."""
-    out = []
-    for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-        total = np.zeros(len(value) + 1, np.uint64)
-        np.cumsum(mix(value ^ np.uint64(salt)), out=total[1:])
-        out.append(mix((total[cut[1:]] - total[cut[:-1]]) + np.diff(cut).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+def _class_keys(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each set, whatever its order."""
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(mix(value ^ np.uint64(0x2545F4914F6CDD1D)), out=total[1:])
+    return mix((total[cut[1:]] - total[cut[:-1]]) + np.diff(cut).astype(np.uint64)).view(np.int64)
 
 
 def _first_seen(keys: np.ndarray, sizes: np.ndarray, seen: set) -> np.ndarray:
@@ -216,25 +214,29 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Add n_shingles and component_id (least linked doc_id) to every row of ``keep``.
+    """Add n_shingles, component_id (least linked doc_id) and is_representative to every row.
 
-    ``keep`` must hold doc_id.
+    One row of each component is its representative: the one with the least doc_id, of
+    equal ones the first. ``keep`` must hold doc_id.
     """
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
     # 1. classes of equal sets
     def make_sets():
+        row = TaskContext.get().partitionId() << 40
+
         def compute(part):
+            nonlocal row
             value, cut = _sets(part.column(text), shingle)
-            a, b = _class_keys(value, cut)
+            a = _class_keys(value, cut)
             n = np.diff(cut)
-            empty = n == 0
-            return [pa.array(n), pa.array(a, mask=empty), pa.array(b, mask=empty)]
+            row += len(n)
+            return [pa.array(n), pa.array(a, mask=n == 0), pa.array(np.arange(row - len(n), row))]
 
         return compute
 
-    fields = [("n_shingles", T.LongType()), ("__cls", T.LongType()), ("__check", T.LongType())]
+    fields = [("n_shingles", T.LongType()), ("__cls", T.LongType()), ("__row", T.LongType())]
     rows = written(with_columns(docs, text, fields, make_sets, list(keep)), "jaccard-rows")
 
     # 2. rare shingles first
@@ -243,7 +245,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
 
         def hashes(part):
             value, cut = _sets(part.column(text), shingle)
-            fresh = _first_seen(_class_keys(value, cut)[0], np.diff(cut), seen)
+            fresh = _first_seen(_class_keys(value, cut), np.diff(cut), seen)
             return value[np.repeat(fresh, np.diff(cut))]
 
         return hashes
@@ -257,7 +259,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
             for part in slices(batch, text):
                 value, cut = _sets(part.column(text), shingle)
                 size = np.diff(cut)
-                key = _class_keys(value, cut)[0]
+                key = _class_keys(value, cut)
                 fresh = _first_seen(key, size, seen)
                 doc = np.repeat(np.arange(len(size)), size)
                 often = counts.value.estimate(value)
@@ -289,7 +291,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
             for part in slices(batch, text):
                 value, cut = _sets(part.column(text), shingle)
                 size = np.diff(cut)
-                key = _class_keys(value, cut)[0]
+                key = _class_keys(value, cut)
                 fresh = _first_seen(key, size, seen)
                 at = np.flatnonzero(fresh & wanted.value.holds(key.view(np.uint64)))
                 raw = [value[cut[d] : cut[d + 1]].tobytes() for d in at]
@@ -330,9 +332,16 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
         pairs = pairs.unionByName(_cross_links(inside, others, percent))
         merged = components(pairs)
 
-    # back to rows: the least doc_id of each class, then of each component
-    root = rows.groupBy("__cls").agg(F.min("doc_id").alias("low")).where("__cls is not null").join(merged.withColumnRenamed("node", "__cls"), "__cls", "left").withColumn("root", F.coalesce("root", "__cls"))
-    lowest = root.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_class = root.select("__cls", "root").join(lowest, "root").select("__cls", "component_id")
-    alone = F.when(F.col("__cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(by_class, "__cls", "left").withColumn("component_id", alone).select(*[c for c in keep if c not in ("n_shingles", "component_id")], "n_shingles", "component_id")
+    # back to rows: the least doc_id of each component, and the first row that has it
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    root = rows.where("__cls is not null").groupBy("__cls").agg(first).join(merged.withColumnRenamed("node", "__cls"), "__cls", "left").withColumn("root", F.coalesce("root", "__cls"))
+    lowest = root.groupBy("root").agg(F.min("first").alias("first"))
+    by_class = root.select("__cls", "root").join(lowest, "root").select("__cls", F.col("first.doc_id").alias("component_id"), F.col("first.__row").alias("__kept"))
+    empty = F.col("__cls").isNull()
+    new = ("n_shingles", "component_id", "is_representative")
+    return (
+        rows.join(by_class, "__cls", "left")
+        .withColumn("component_id", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")))
+        .withColumn("is_representative", empty | (F.col("__row") == F.col("__kept")))
+        .select(*[f"`{c}`" for c in keep if c not in new], *new)
+    )

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavesift.llm.textops import slices
@@ -37,3 +38,14 @@ def with_columns(
 
     quoted = [f"`{c.replace('`', '``')}`" for c in read]
     return df.select(*quoted).mapInArrow(run, schema)
+
+
+def guarded(df: DataFrame, plain: Sequence[str]) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """df with all columns but ``plain`` renamed, their names, and the way back to df's columns.
+
+    So no column of an operator meets one of the input.
+    """
+    inner = {c: c if c in plain else f"__in{i}" for i, c in enumerate(df.columns)}
+    quote = lambda c: f"`{c.replace('`', '``')}`"
+    renamed = df.select(*[F.col(quote(c)).alias(n) for c, n in inner.items()])
+    return renamed, list(inner.values()), lambda out: out.select(*[F.col(n).alias(c) for c, n in inner.items()])

@@ -298,8 +298,11 @@ def _ranges(batches):
         yield part, runs
 
 
-def repeated(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Add n_bytes, n_removed, n_spans and kept (the bytes left) to every row."""
+def repeated(docs: DataFrame, text: str = "text", keep=("doc_id",), as_text: bool = False) -> DataFrame:
+    """Add n_bytes, n_removed, n_spans and kept (the bytes left) to every row.
+
+    With ``as_text``, kept is a string; parts of a character that a cut left behind go too.
+    """
     spark = docs.sparkSession
     n_bytes = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     counts = spark.sparkContext.broadcast(_sketch(docs, text, n_bytes))
@@ -388,10 +391,14 @@ def repeated(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame
             head[inner] = gone[inner]
             spans = np.diff(np.concatenate([[0], np.cumsum(head)])[offsets])
             left = offsets - total[offsets]
+            if as_text:
+                raw = data[~gone].tobytes()
+                texts = [raw[a:b].decode("utf-8", "ignore") for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
+                return [pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(texts, pa.string())]
             binary = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
             return [pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), binary]
 
         return compute
 
-    fields = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())]
+    fields = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.StringType() if as_text else T.BinaryType())]
     return with_columns(joined, text, fields, make, [*kept, "__once"]).drop("__once")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavesift.llm.memo import IdMemo
 from wavesift.llm.rows import with_columns
 from wavesift.llm.shared import written
 from wavesift.llm.textops import utf8, word_hash, words
@@ -43,8 +44,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordEncoder:
     """Ids of texts for a tokenizer that never joins characters across white space.
 
-    Each distinct word is encoded once and remembered, in two flat arrays; when the
-    memory is full it starts anew.
+    Each distinct word is encoded once and remembered.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -52,58 +52,24 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.end_id = end_id
-        self._clear()
-
-    def _clear(self):
-        self.known: dict[int, int] = {}
-        self.flat = np.full(1 << 16, self.end_id, self.kind)
-        self.used = 1
-        self.at = np.zeros(1 << 16, np.int64)  # the first entry is the end id
-        self.size = np.ones(1 << 16, np.int64)
-        self.count = 1
-
-    def _learn(self, keys: list[int], found: list[str]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(found), 20_000):
-            ids = [e.ids for e in encode(found[at : at + 20_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            new = np.fromiter((i for x in ids for i in x), self.kind, int(sizes.sum()))
-            while self.used + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while self.count + len(ids) > len(self.at):
-                self.at = np.concatenate([self.at, np.empty_like(self.at)])
-                self.size = np.concatenate([self.size, np.empty_like(self.size)])
-            self.flat[self.used : self.used + len(new)] = new
-            self.at[self.count : self.count + len(ids)] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            self.size[self.count : self.count + len(ids)] = sizes
-            self.known.update(zip(keys[at : at + 20_000], range(self.count, self.count + len(ids)), strict=True))
-            self.used += len(new)
-            self.count += len(ids)
+        kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.memo = IdMemo(kind, [end_id], MEMO_WORDS)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in order, and the n+1 offsets of the rows."""
         data, offsets = utf8(column)
         w = words(data, offsets)
         keys, one, inverse = np.unique(word_hash(w), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > MEMO_WORDS:
-            self._clear()
-        listed = keys.tolist()
-        entry = np.fromiter((self.known.get(k, -1) for k in listed), np.int64, len(listed))
-        missing = np.flatnonzero(entry < 0)
-        if len(missing):
-            raw = data.tobytes()
-            a, b = w.start[one[missing]].tolist(), w.end[one[missing]].tolist()
-            before = self.count
-            self._learn([listed[i] for i in missing.tolist()], [raw[s:e].decode() for s, e in zip(a, b, strict=True)])
-            entry[missing] = np.arange(before, self.count)
-        per_word = np.insert(entry[inverse], w.first[1:], 0)
-        size = self.size[per_word]
-        end = np.cumsum(size)
-        flat = np.arange(end[-1] if len(end) else 0) + np.repeat(self.at[per_word] - (end - size), size)
-        total = np.concatenate([[0], end])
-        return self.flat[flat], total[w.first + np.arange(len(w.first))]
+        raw = data.tobytes()
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+
+        def make(at):
+            a, b = w.start[one[at]].tolist(), w.end[one[at]].tolist()
+            return [e.ids for e in encode([raw[s:e].decode() for s, e in zip(a, b, strict=True)], add_special_tokens=False)]
+
+        entry = self.memo.entries(keys, make)
+        ids, total = self.memo.ids(np.insert(entry[inverse], w.first[1:], 0))
+        return ids, total[w.first + np.arange(len(w.first))]
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:

@@ -20,6 +20,32 @@ def op1_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
+def op2_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    from wavesift.llm import urls
+
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.fit(pages), keep=["page_id"])
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text."""
+    from wavesift.llm import pieces
+
+    coded = pieces.encode(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    out = pieces.decode(coded, keep=["doc_id", "text", "ids", "n_ids", "n_byte_ids"])
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_ids", "n_byte_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
+def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth id."""
+    from wavesift.llm import ann
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 ids."""
     from wavesift.llm import packing
@@ -44,6 +70,13 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", substrings.sha256_hex("kept").alias("kept_sha256"))
 
 
+def op8_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    from wavesift.llm import layout
+
+    return layout.extract(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under 5-word shingle Jaccard of 0.8 or more."""
     from wavesift.llm import jaccard

@@ -280,7 +280,8 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
     edges = grams.join(least, "gram").select(F.col("cls").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
     groups = components(edges)
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
-    members = written(members, "jaccard-groups")
+    sizes = rows.where("__cls is not null").groupBy(F.col("__cls").alias("cls")).agg(F.first("n_shingles").alias("n"))
+    members = written(_blocks(members.join(sizes, "cls")), "jaccard-groups")
 
     # 3. sets of the candidates, once each
     wanted = spark.sparkContext.broadcast(sketch.build_set(members, "cls"))
@@ -295,11 +296,11 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
                 fresh = _first_seen(key, size, seen)
                 at = np.flatnonzero(fresh & wanted.value.holds(key.view(np.uint64)))
                 raw = [value[cut[d] : cut[d + 1]].tobytes() for d in at]
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(size[at]), pa.array(raw, pa.binary())], names=["cls", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(raw, pa.binary())], names=["cls", "shingles"])
 
-    sets = docs.select(text).mapInArrow(emit_sets, "cls long, n long, shingles binary")
-    held = sets.join(members, "cls").groupBy("cls").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    held = written(_blocks(written(held, "jaccard-sets")), "jaccard-blocks")
+    sets = docs.select(text).mapInArrow(emit_sets, "cls long, shingles binary")
+    held = sets.join(members, "cls").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("grp", "n", "blocks", "block", "shingles")))
+    held = written(held, "jaccard-sets")
 
     # 4. links inside blocks, then between what is left of large groups
     found = []

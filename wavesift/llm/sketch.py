@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from wavesift.llm.textops import mix, slices
 
 BLOCK = 1 << 20
-FAN_IN = 16
+FAN_IN = 64
 MIN_BITS, MAX_BITS = 16, 26
 
 

@@ -30,6 +30,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Each round is written to the shared folder; it ends when the stars stay the same.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = written(now, "components")
     before = None
     for _ in range(rounds):
         now = written(_star(_star(now, True), False), "components")

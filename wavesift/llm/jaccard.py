@@ -6,7 +6,8 @@ distinct five-word shingles. Steps:
 1. Rows with the same set are one class, named by a 64-bit hash of the set.
 2. A merged count-min sketch orders shingles, estimated rare ones first. By the size
    bound two linked sets share one of their first ``n - ceil(p n) + 1`` shingles in that
-   order, so only those, and none estimated to be in a single class, are exchanged.
+   order, so only those, and none estimated to be in a single class, are exchanged, with
+   the band of their size (linked sets have the same band, or the larger one's is within reach).
    The order only has to be the same everywhere, so a loose estimate costs time, not links.
 3. Classes that share such a shingle form candidate groups. Each group is cut into
    blocks of bounded rows and bounded non-zeros; a block's incidence matrix times its
@@ -273,18 +274,25 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
                 value, doc = value[order], doc[order]
                 rank = np.arange(len(doc)) - np.searchsorted(doc, doc) + single[doc]
                 inside = rank < allowed[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(value[inside].view(np.int64)), pa.array(key[doc[inside]])], names=["gram", "cls"])
+                value, doc = value[inside], doc[inside]
+                # linked sets are of like size: apart from those whose larger partners fall into the next band, one band
+                band = np.floor(np.log2(np.maximum(size, 1))).astype(np.uint64)
+                reach = np.floor(np.log2(np.maximum(size * 100 // percent, 1))).astype(np.uint64)
+                also = np.flatnonzero(reach[doc] > band[doc])
+                gram = np.concatenate([mix(value ^ band[doc]), mix(value[also] ^ reach[doc[also]])])
+                doc = np.concatenate([doc, doc[also]])
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(key[doc])], names=["gram", "cls"])
 
     grams = written(docs.select(text).mapInArrow(prefixes, "gram long, cls long"), "jaccard-grams")
     least = grams.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
     edges = grams.join(least, "gram").select(F.col("cls").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
     groups = components(edges)
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
-    sizes = rows.where("__cls is not null").groupBy(F.col("__cls").alias("cls")).agg(F.first("n_shingles").alias("n"))
+    sizes = rows.where("__cls is not null").groupBy(F.col("__cls").alias("cls")).agg(F.first("n_shingles").alias("n"), F.xxhash64(F.min("doc_id")).bitwiseXOR(F.first("__cls")).alias("one"))
     members = written(_blocks(members.join(sizes, "cls")), "jaccard-groups")
 
-    # 3. sets of the candidates, once each
-    wanted = spark.sparkContext.broadcast(sketch.build_set(members, "cls"))
+    # 3. sets of the candidates, from the row with the least doc_id of each class
+    wanted = spark.sparkContext.broadcast(sketch.build_set(members, "one"))
 
     def emit_sets(batches):
         seen: set = set()
@@ -293,12 +301,13 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
                 value, cut = _sets(part.column(text), shingle)
                 size = np.diff(cut)
                 key = _class_keys(value, cut)
-                fresh = _first_seen(key, size, seen)
-                at = np.flatnonzero(fresh & wanted.value.holds(key.view(np.uint64)))
+                one = wanted.value.holds((key ^ part.column("id_key").to_numpy()).view(np.uint64))
+                at = np.flatnonzero(one)
+                at = at[_first_seen(key[at], size[at], seen)]
                 raw = [value[cut[d] : cut[d + 1]].tobytes() for d in at]
                 yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(raw, pa.binary())], names=["cls", "shingles"])
 
-    sets = docs.select(text).mapInArrow(emit_sets, "cls long, shingles binary")
+    sets = docs.select(text, F.xxhash64("doc_id").alias("id_key")).mapInArrow(emit_sets, "cls long, shingles binary")
     held = sets.join(members, "cls").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("grp", "n", "blocks", "block", "shingles")))
     held = written(held, "jaccard-sets")
 

@@ -24,7 +24,9 @@ from wavesift.llm.textops import mix, slices
 
 BLOCK = 1 << 20
 FAN_IN = 64
-MIN_BITS, MAX_BITS = 16, 26
+MIN_BITS, MAX_BITS = 16, 27
+#: Counts that a packed sketch tells apart; a cell holds the last one not above its count.
+LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192], np.uint8)
 
 
 def bits_for(items: float) -> int:
@@ -33,20 +35,20 @@ def bits_for(items: float) -> int:
 
 
 class Sketch:
-    """Merged sketch: rows of 2**bits saturated counts, or of bits that say "two or more"."""
+    """Merged sketch: rows of 2**bits cells, each one bit ("two or more") or four (a level)."""
 
-    def __init__(self, cells: np.ndarray, bits: int, packed: bool):
-        self.cells, self.bits, self.packed = cells, bits, packed
+    def __init__(self, cells: np.ndarray, bits: int, single: bool):
+        self.cells, self.bits, self.single = cells, bits, single
 
     def estimate(self, hashes: np.ndarray) -> np.ndarray:
-        """Saturated estimate of each hash (in the packed form 2 for repeated, else 1)."""
+        """Level of each hash (with single bits 2 for repeated, else 1)."""
         best = None
         for r in range(len(self.cells)):
             at = _cell(hashes, r, self.bits)
-            if self.packed:
+            if self.single:
                 got = ((self.cells[r][at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1) + 1
             else:
-                got = self.cells[r][at]
+                got = LEVELS[(self.cells[r][at >> np.uint64(1)] >> (4 * (at & np.uint64(1))).astype(np.uint8)) & 15]
             best = got if best is None else np.minimum(best, got)
         return best
 
@@ -108,22 +110,27 @@ def build(
         if tasks <= 1:
             break
 
-    packed = cap == 2
-    if packed:
+    single = cap == 2
 
-        def tighten(batches):
-            for batch in batches:
-                out = [np.packbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) > 1, bitorder="little").tobytes() for x in batch.column("cells").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], names=["block", "cells"])
-
-        merged = merged.select("block", "cells").mapInArrow(tighten, "block int, cells binary")
-    cells = np.zeros((rows << bits) // (8 if packed else 1), np.uint8)
-    size = block // (8 if packed else 1)
+    def tighten(batches):
+        for batch in batches:
+            out = []
+            for raw in batch.column("cells").to_pylist():
+                got = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+                if single:
+                    out.append(np.packbits(got > 1, bitorder="little").tobytes())
+                else:
+                    level = (np.searchsorted(LEVELS, got, "right") - 1).astype(np.uint8)
+                    out.append((level[0::2] | (level[1::2] << 4)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], names=["block", "cells"])
+
+    per_byte = 8 if single else 2
+    cells = np.zeros((rows << bits) // per_byte, np.uint8)
+    size = block // per_byte
     # bounded: rows * 2**MAX_BITS cells at most
-    for r in merged.select("block", "cells").toLocalIterator():
-        raw = bytes(r.cells) if packed else zstandard.ZstdDecompressor().decompress(bytes(r.cells))
-        cells[r.block * size : (r.block + 1) * size] = np.frombuffer(raw, np.uint8)
-    return Sketch(cells.reshape(rows, -1), bits, packed)
+    for r in merged.select("block", "cells").mapInArrow(tighten, "block int, cells binary").toLocalIterator():
+        cells[r.block * size : (r.block + 1) * size] = np.frombuffer(bytes(r.cells), np.uint8)
+    return Sketch(cells.reshape(rows, -1), bits, single)
 
 
 class KeySet:

@@ -39,7 +39,7 @@ MAX_LISTS = 2_048
 DEGREE = 16
 REPLICAS = 4
 CLOSURE = 1.02
-TARGET = 0.97
+TARGET = 0.99
 #: Vectors of the sample that set the ratio, and nodes that a search expands at least.
 ASKED = 256
 WIDTH = 32

@@ -68,6 +68,12 @@ def _add(cells: np.ndarray, at: np.ndarray, cap: int) -> None:
     cells[at] = np.minimum(cells[at] + count, cap)
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Levels of counts, two in a byte."""
+    level = (np.searchsorted(LEVELS, counts, "right") - 1).astype(np.uint8)
+    return level[0::2] | (level[1::2] << 4)
+
+
 def build(
     df: DataFrame,
     column: str,
@@ -92,43 +98,36 @@ def build(
         for b in np.flatnonzero(flat.any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack.compress(flat[b].tobytes())], pa.binary())], names=["block", "cells"])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        unpack, total = zstandard.ZstdDecompressor(), None
+    single = cap == 2
+
+    def merge(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
+        unpack, total = zstandard.ZstdDecompressor(), np.zeros(block, np.uint8)
         for raw in pdf["cells"]:
             got = np.frombuffer(unpack.decompress(raw), np.uint8)
-            total = got if total is None else np.minimum(total.astype(np.uint16) + got, cap).astype(np.uint8)
-        cells = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "lane": pdf["lane"].iloc[:1] // FAN_IN, "cells": [cells]})
-
-    parts = df.select(column).mapInArrow(count, "block int, cells binary")
+            # both are at most cap, and so their sum fits
+            total = np.minimum(total + np.minimum(got, cap - total), cap)
+        if last:
+            cells = np.packbits(total > 1, bitorder="little") if single else _levels(total)
+            raw = cells.tobytes()
+        else:
+            raw = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "lane": pdf["lane"].iloc[:1], "cells": [raw]})
+
+    merged = df.select(column).mapInArrow(count, "block int, cells binary").withColumn("lane", F.spark_partition_id())
     tasks = df.rdd.getNumPartitions()
-    merged = parts.withColumn("lane", F.spark_partition_id())
     while True:
-        merged = merged.withColumn("lane", (F.col("lane") / FAN_IN).cast("int"))
-        merged = merged.groupBy("block", "lane").applyInPandas(lambda pdf: merge(pdf.assign(lane=pdf["lane"] * FAN_IN)), "block int, lane int, cells binary")
         tasks = -(-tasks // FAN_IN)
-        if tasks <= 1:
+        last = tasks <= 1
+        merged = merged.withColumn("lane", (F.col("lane") / FAN_IN).cast("int"))
+        merged = merged.groupBy("block", "lane").applyInPandas(lambda pdf, last=last: merge(pdf, last), "block int, lane int, cells binary")
+        if last:
             break
 
-    single = cap == 2
-
-    def tighten(batches):
-        for batch in batches:
-            out = []
-            for raw in batch.column("cells").to_pylist():
-                got = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-                if single:
-                    out.append(np.packbits(got > 1, bitorder="little").tobytes())
-                else:
-                    level = (np.searchsorted(LEVELS, got, "right") - 1).astype(np.uint8)
-                    out.append((level[0::2] | (level[1::2] << 4)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], names=["block", "cells"])
-
     per_byte = 8 if single else 2
     cells = np.zeros((rows << bits) // per_byte, np.uint8)
     size = block // per_byte
     # bounded: rows * 2**MAX_BITS cells at most
-    for r in merged.select("block", "cells").mapInArrow(tighten, "block int, cells binary").toLocalIterator():
+    for r in merged.select("block", "cells").toLocalIterator():
         cells[r.block * size : (r.block + 1) * size] = np.frombuffer(bytes(r.cells), np.uint8)
     return Sketch(cells.reshape(rows, -1), bits, single)
 

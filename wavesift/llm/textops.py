@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -46,7 +46,7 @@ def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd multiplier modulo 2**64, and of its inverse."""
     have = _POWERS.get(seed)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         m = _MULT[seed]
         tables = []
         for base in (m, pow(m, -1, 1 << 64)):

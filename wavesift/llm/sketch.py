@@ -74,6 +74,10 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return level[0::2] | (level[1::2] << 4)
 
 
+def _merger(merge, last: bool):
+    return lambda pdf: merge(pdf, last)
+
+
 def build(
     df: DataFrame,
     column: str,
@@ -119,7 +123,7 @@ def build(
         tasks = -(-tasks // FAN_IN)
         last = tasks <= 1
         merged = merged.withColumn("lane", (F.col("lane") / FAN_IN).cast("int"))
-        merged = merged.groupBy("block", "lane").applyInPandas(lambda pdf, last=last: merge(pdf, last), "block int, lane int, cells binary")
+        merged = merged.groupBy("block", "lane").applyInPandas(_merger(merge, last), "block int, lane int, cells binary")
         if last:
             break
 

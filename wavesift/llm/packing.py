@@ -32,6 +32,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at most.
 MEMO_WORDS = 1_000_000
 
+#: Text encoded at a time; more of it shares words.
+SLICE_BYTES = 1 << 20
+
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -100,7 +103,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, te
 
         return compute
 
-    return with_columns(docs, text, fields, make, list(keep))
+    return with_columns(docs, text, fields, make, list(keep), SLICE_BYTES)
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavesift.llm.textops import slices
+from wavesift.llm.textops import SLICE_BYTES, slices
 
 
 def with_columns(
@@ -18,6 +18,7 @@ def with_columns(
     fields: Sequence[tuple[str, T.DataType]],
     make: Callable[[], Callable[[pa.RecordBatch], Sequence[pa.Array]]],
     keep: Sequence[str] | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Add ``fields`` to ``keep`` (default: all columns), computed from slices of rows.
 
@@ -33,7 +34,7 @@ def with_columns(
     def run(batches):
         compute = make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, slice_bytes):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *compute(part)], names=names)
 
     quoted = [f"`{c.replace('`', '``')}`" for c in read]

@@ -23,24 +23,22 @@ class IdMemo:
         self.at = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.used = self.count = 0
-        self._append([self.reserved])
+        self._append(np.array(self.reserved, self.kind), np.array([len(self.reserved)]))
 
-    def _append(self, runs: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        new = np.fromiter((i for x in runs for i in x), self.kind, int(sizes.sum()))
+    def _append(self, new: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.count + len(runs) > len(self.at):
+        while self.count + len(sizes) > len(self.at):
             self.at = np.concatenate([self.at, np.empty_like(self.at)])
             self.size = np.concatenate([self.size, np.empty_like(self.size)])
         self.flat[self.used : self.used + len(new)] = new
-        self.at[self.count : self.count + len(runs)] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.size[self.count : self.count + len(runs)] = sizes
+        self.at[self.count : self.count + len(sizes)] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.size[self.count : self.count + len(sizes)] = sizes
         self.used += len(new)
-        self.count += len(runs)
+        self.count += len(sizes)
 
-    def entries(self, keys: np.ndarray, make: Callable[[np.ndarray], list[list[int]]]) -> np.ndarray:
-        """Entry of each distinct key; ``make`` gives the ids of the keys at some positions."""
+    def entries(self, keys: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Entry of each distinct key; ``make`` gives the ids of the keys at some positions and how many each has."""
         if self.count + len(keys) > self.max_entries or self.used > self.max_ids:
             self.clear()
         listed = keys.tolist()
@@ -49,7 +47,7 @@ class IdMemo:
         for lo in range(0, len(missing), 20_000):
             part = missing[lo : lo + 20_000]
             entry[part] = np.arange(self.count, self.count + len(part))
-            self._append(make(part))
+            self._append(*make(part))
         self.known.update(zip((listed[i] for i in missing.tolist()), entry[missing].tolist(), strict=True))
         return entry
 

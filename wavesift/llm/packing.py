@@ -32,8 +32,10 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at most.
 MEMO_WORDS = 1_000_000
 
+#: Words encoded as one text.
+JOINED = 500
 #: Text encoded at a time; more of it shares words.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 21
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -58,17 +60,25 @@ class WordEncoder:
         kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.memo = IdMemo(kind, [end_id], MEMO_WORDS)
 
+    def _split(self, start: np.ndarray, end: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words, encoded as one text, and the number of each word's ids."""
+        found = [raw[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        got = self.tokenizer.encode(" ".join(found), add_special_tokens=False)
+        size = np.fromiter(map(len, found), np.int64, len(found)) + 1
+        at = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
+        cut = np.searchsorted(at, np.append(np.cumsum(size) - size, size.sum()))
+        return np.array(got.ids, self.memo.kind), np.diff(cut)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in order, and the n+1 offsets of the rows."""
         data, offsets = utf8(column)
         w = words(data, offsets)
         keys, one, inverse = np.unique(word_hash(w), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
         def make(at):
-            a, b = w.start[one[at]].tolist(), w.end[one[at]].tolist()
-            return [e.ids for e in encode([raw[s:e].decode() for s, e in zip(a, b, strict=True)], add_special_tokens=False)]
+            found = [self._split(w.start[one[part]], w.end[one[part]], raw) for part in np.array_split(at, -(-len(at) // JOINED))]
+            return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
         entry = self.memo.entries(keys, make)
         ids, total = self.memo.ids(np.insert(entry[inverse], w.first[1:], 0))

@@ -142,7 +142,8 @@ class Vocabulary:
 
         def make(at):
             where = one[at]
-            return [self.segment(raw[s:e].decode()) for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)]
+            runs = [self.segment(raw[s:e].decode()) for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)]
+            return np.array([i for run in runs for i in run], np.uint32), np.fromiter(map(len, runs), np.int64, len(runs))
 
         ids, total = self.memo.ids(self.memo.entries(keys, make)[inverse])
         return ids, total[np.searchsorted(start, offsets)]

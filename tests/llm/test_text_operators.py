@@ -196,6 +196,40 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute(x)]
 
 
+def test_rank_surprise_bounds_the_poisson_tail():
+    def tail(r, e):
+        term, below = np.exp(-e), 0.0
+        for k in range(r):
+            below += term
+            term *= e / (k + 1)
+        return 1 - below
+
+    for expected in ([0.2], [0.01, 0.3, 0.4], [0.5, 0.6, 0.7, 0.9], [2.0, 2.5], [1e-4, 5.0]):
+        exact = max(-np.log(tail(r, e)) for r, e in enumerate(expected, 1) if e < r) if any(e < r for r, e in enumerate(expected, 1)) else 0.0
+        got = toxicity.rank_surprise(np.array(expected))
+        assert got <= exact + 1e-9 and got == pytest.approx(exact, abs=0.5)
+    assert toxicity.rank_surprise(np.empty(0)) == 0.0
+
+
+def test_logistic_fits_the_shares():
+    x = np.repeat([-8.0, 0.0, 2.0, 40.0], 100)
+    y = np.concatenate([np.arange(100) < k for k in (2, 10, 40, 100)]).astype(float)
+    slope, offset = toxicity._logistic(x, y)
+    p = 1 / (1 + np.exp(-(slope * x + offset)))
+    assert slope > 0 and p.sum() == pytest.approx(y.sum(), abs=0.1)
+
+
+def test_toxicity_held_out(spark):
+    """The quarter no label is learnt from: most toxic texts found, few clean ones flagged."""
+    from wavesift.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    marks = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    got = queries.op10_toxicity(spark, folder).where("held_out").join(marks, "doc_id").toPandas()
+    toxic = got["toxic"] == 1
+    assert got["predicted"][toxic].mean() >= 0.85 and got["predicted"][~toxic].mean() <= 0.05
+
+
 def test_toxicity(spark, docs, labels, empty):
     rng = np.random.default_rng(5)
     clean = [f"w{i}" for i in range(300)]

@@ -1,5 +1,8 @@
 """URL filter, layout extraction and vector search."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -33,6 +36,41 @@ def test_url_models_find_unseen_hosts(spark):
     assert ((got["verdict"] == "block") == (got["page_id"] % 5 == 0)).mean() > 0.99
 
 
+def test_url_counts_are_exact_at_any_size(spark, monkeypatch):
+    """More distinct contexts than any fixed table held, against plain Python."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("bcdfghjklmnpqrstvwxyz-"))
+    rows = [(i, f"https://{'casino-' if i % 7 == 0 else ''}{''.join(rng.choice(letters, 30))}.org/{''.join(rng.choice(letters, 30))}") for i in range(2500)]
+    counts = [Counter(), Counter()]
+    for _, url in [*rows, rows[5]]:
+        if zlib.crc32(url.encode()) % 4 != 2:
+            text = ["^"] * 5 + list(url.removeprefix("https://")) + ["$"]
+            for at in range(5, len(text)):
+                for order in range(6):
+                    gram, kind = tuple(text[at - order : at + 1]), "casino-" in url
+                    counts[kind][gram] += 1
+                    counts[kind][gram[:-1], order] += 1
+    assert len({g for c in counts for g in c}) > 3 * 2**17
+
+    def plain(url):
+        text, total = ["^"] * 5 + list(url.removeprefix("https://")) + ["$"], 0.0
+        for at in range(5, len(text)):
+            prob = [1 / 257, 1 / 257]
+            for order in range(6):
+                gram = tuple(text[at - order : at + 1])
+                prob = [(c[gram] + 2 * p) / (c[gram[:-1], order] + 2) for c, p in zip(counts, prob, strict=True)]
+            total += np.log(prob[1]) - np.log(prob[0])
+        return total / (len(text) - 5)
+
+    monkeypatch.setattr(urls, "CHUNK_BITS", 6, raising=False)
+    monkeypatch.setattr(urls, "HELD", 50_000, raising=False)
+    df = spark.createDataFrame([*rows, rows[5]], "page_id long, url string").repartition(3)
+    got = urls.judge(df, urls.fit(df), keep=["page_id"]).toPandas()
+    assert sorted(got["page_id"]) == sorted([*range(2500), 5])
+    got = got.set_index("page_id")["score"]
+    np.testing.assert_allclose([got[i] for i in range(100, 300)], [plain(rows[i][1]) for i in range(100, 300)], rtol=1e-9)
+
+
 @pytest.mark.parametrize("html, want", [
     (None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\n\nb"), ("a<br>b", "a\nb"), ("<div>a</div>b<span> c</span>", "a\nb c"),
     ("<ul><li>a<li>b<ol><li>c</ol></ul>d", "- a\n- b\n  1. c\n\nd"), ("<ol start=4><li>x<li value=9>y<li>z</ol>", "4. x\n9. y\n10. z"),

@@ -11,8 +11,11 @@ The URLs to learn from are told apart by terms of a block list in the host
 (``TERMS``, a parameter): hosts with a term are rejected, all others accepted.
 Digits are alike to the models, so that page numbers don't matter.
 
-Counts live in tables of ``1 << BITS`` cells for each model and order, addressed by a
-hash, so what reaches the driver and the tasks is bounded; URLs that collide blur a little.
+Counts are exact: one row for each distinct run of characters up to ``ORDERS`` long, in a
+table that grows with the URLs and never reaches the driver. A run's key holds its
+characters themselves. URLs are scored in chunks of rows: the distinct runs of a chunk
+are joined with the counts, and what was found meets the chunk's rows in an exchange.
+A context occurs as often as the shorter run that ends with it, so runs are all that is counted.
 
 Nulls: a null URL, or one without ``://``, has an empty host and path and no characters;
 its score is 0. Repeated URLs count as often as they stand there.
@@ -28,15 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavesift.llm.rows import with_columns
-from wavesift.llm.textops import mix, slices, utf8
+from wavesift.llm.shared import written
+from wavesift.llm.textops import slices, utf8
 
 #: (verdict, rule): host up to the first slash, then the path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Block-list terms of hosts that count as rejected when the models learn.
 TERMS = ("adult", "ads", "bets", "casino", "gambl", "loan", "pills", "poker", "porn", "spam", "track", "viagra")
+#: Orders of the models; six characters of 9 bits and the order fit a key.
 ORDERS = 6
-BITS = 17
+#: Rows of a chunk, as a power of two, and distinct runs that a task counts before it hands them on.
+CHUNK_BITS = 14
+HELD = 1_000_000
 #: Weight of the lower order's estimate, as so many observations.
 SMOOTH = 2.0
 #: Bins of a nat of score for the calibration.
@@ -47,10 +53,11 @@ DEFAULT_CUT = 0.0
 
 @dataclass(frozen=True)
 class UrlModel:
-    """counts: [class, order, cell] of context plus character; contexts: the same of contexts alone."""
+    """counts: (gram, accepted, rejected); symbols and texts: how many were counted, accepted and rejected."""
 
-    counts: np.ndarray
-    contexts: np.ndarray
+    counts: DataFrame
+    symbols: tuple[int, int]
+    texts: tuple[int, int]
     cut: float = DEFAULT_CUT
 
 
@@ -89,61 +96,68 @@ def _prepared(pages: DataFrame, url: str, terms) -> DataFrame:
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray):
-    """Document of every character with its end, and for each order the cells of context and gram."""
+    """For each order: document and place of every character with its end, and the key of the gram that ends there.
+
+    A key has the last character in its lowest 9 bits, those before it above, and the order on top.
+    """
     n_docs = len(offsets) - 1
-    size = np.diff(offsets)
-    # an end mark after each text; contexts never reach into the text before
-    text = np.insert(data, offsets[1:], 0).astype(np.uint64) + np.uint64(1)
-    doc = np.repeat(np.arange(n_docs), size + 1)
+    # 0: before the beginning, 1: end mark after each text, then the bytes
+    text = np.insert(data.astype(np.int64) + 2, offsets[1:], 1)
+    doc = np.repeat(np.arange(n_docs), np.diff(offsets) + 1)
     place = np.arange(len(text)) - (offsets[:-1] + np.arange(n_docs))[doc]
-    context = np.zeros(len(text), np.uint64)
-    shift = np.uint64(64 - BITS)
+    gram = text.copy()
     for order in range(ORDERS):
         if order:
-            before = np.zeros(len(text), np.uint64)
+            before = np.zeros(len(text), np.int64)
             before[order:] = text[:-order]
-            before[place < order] = 300  # before the beginning
-            context = mix(context * np.uint64(0x100000001B3) + before + np.uint64(order))
-        yield order, doc, (mix(context ^ np.uint64(order)) >> shift).astype(np.int64), (mix(context * np.uint64(0x9E3779B97F4A7C15) + text) >> shift).astype(np.int64)
+            before[place < order] = 0
+            gram |= before << (9 * order)
+        yield doc, place, gram | (order << (9 * ORDERS))
+
+
+def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts and the sums of their counts."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
 def fit(pages: DataFrame, url: str = "url", terms=TERMS) -> UrlModel:
     """Count all URLs but the calibration quarter, then set the cut on that quarter."""
-    spark = pages.sparkSession
     rows = _prepared(pages.select(F.col(f"`{url}`").alias("url")), "url", terms).select("__chars", "__listed", "__held")
-    cells = 1 << BITS
 
     def count(batches):
-        table = np.zeros((2, 2, ORDERS, cells), np.int64)  # class, context or gram
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = least = 0
+
+        def out():
+            keys, n = _tally(held)
+            yield from pa.Table.from_arrays([pa.array(keys >> 1), pa.array(n * (1 - (keys & 1))), pa.array(n * (keys & 1))], names=["gram", "accepted", "rejected"]).to_batches(50_000)
+
         for batch in batches:
             for part in slices(batch, "__chars"):
                 kind = part.column("__listed").to_numpy(zero_copy_only=False).astype(np.int64)
-                for order, doc, context, gram in _grams(*utf8(part.column("__chars"))):
-                    for what, at in enumerate((context, gram)):
-                        flat = kind[doc] * cells + at
-                        table[:, what, order] += np.bincount(flat, minlength=2 * cells).reshape(2, cells)
-        flat = table.reshape(-1)
-        at = np.flatnonzero(flat)
-        for lo in range(0, len(at), 50_000):
-            part = at[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(flat[part])], names=["cell", "n"])
-
-    # bounded: 4 * ORDERS * 2**BITS cells at most, whatever the input
-    got = rows.where("not __held").select("__chars", "__listed").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(4 * ORDERS * cells, np.float32)
-    table[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    table = table.reshape(2, 2, ORDERS, cells)
-    model = UrlModel(table[:, 1], table[:, 0])
-    shared = spark.sparkContext.broadcast(model)
-
-    def scored(batches):
-        for batch in batches:
-            for part in slices(batch, "__chars"):
-                bins = np.floor(log_ratio(shared.value, *utf8(part.column("__chars"))) * BINS).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("__listed"), pa.array(bins)], names=["listed", "bin"])
-
-    held = rows.where("__held").select("__chars", "__listed").mapInArrow(scored, "listed boolean, bin long").groupBy("listed", "bin").count().collect()
-    return UrlModel(model.counts, model.contexts, _cut([(r["listed"], r["bin"], r["count"]) for r in held]))
+                for doc, _, gram in _grams(*utf8(part.column("__chars"))):
+                    held.append(np.unique(gram << 1 | kind[doc], return_counts=True))
+                    size += len(held[-1][0])
+                if size > least + HELD:
+                    held = [_tally(held)]
+                    size = least = len(held[0][0])
+                if size > HELD:
+                    yield from out()
+                    held, size, least = [], 0, 0
+        if held:
+            yield from out()
+
+    got = rows.where("not __held").select("__chars", "__listed").mapInArrow(count, "gram long, accepted long, rejected long")
+    counts = written(got.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "url-grams")
+    # order 0 has a row for each character, and the end mark is in every text once
+    ends, both = F.col("gram") == 1, ("accepted", "rejected")
+    sums = counts.where(f"gram < {1 << 9}").agg(*[F.sum(c) for c in both], *[F.sum(F.when(ends, F.col(c))) for c in both]).first()
+    total = [int(x or 0) for x in sums]
+    model = UrlModel(counts, (total[0], total[1]), (total[2], total[3]))
+    held = _scored(rows.where("__held").select("__chars", "__listed"), model)
+    bins = held.groupBy("__listed", F.floor(F.col("score") * BINS).alias("bin")).count().collect()
+    return UrlModel(counts, model.symbols, model.texts, _cut([(r["__listed"], r["bin"], r["count"]) for r in bins]))
 
 
 def _cut(bins: list[tuple[bool, int, int]]) -> float:
@@ -160,30 +174,99 @@ def _cut(bins: list[tuple[bool, int, int]]) -> float:
     return (best[0] + best[-1]) / 2 / BINS
 
 
-def log_ratio(model: UrlModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Log-likelihood as rejected less that as accepted, for each character, of every text."""
-    prob = None
-    for order, doc, context, gram in _grams(data, offsets):
-        lower = np.full((2, len(doc)), 1 / 257) if prob is None else prob
-        prob = (model.counts[:, order, gram] + SMOOTH * lower) / (model.contexts[:, order, context] + SMOOTH)
+def log_ratio(keys: np.ndarray, counts: np.ndarray, symbols, texts, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Log-likelihood as rejected less that as accepted, for each character, of every text.
+
+    ``keys`` are sorted grams, ``counts`` (2, their number) how often they are in accepted and rejected URLs.
+    """
+    keys = np.append(keys, np.iinfo(np.int64).max)
+    counts = np.append(counts, np.zeros((2, 1), np.int64), axis=1)
+    prob = shorter = None
+    for doc, place, gram in _grams(data, offsets):
+        at = np.searchsorted(keys, gram)
+        found = np.where(keys[at] == gram, counts[:, at], 0)
+        if shorter is None:
+            context = np.repeat(np.array(symbols)[:, None], len(gram), axis=1)
+            prob = np.full((2, len(gram)), 1 / 257)
+        else:
+            context = np.where(place == 0, np.array(texts)[:, None], np.roll(shorter, 1, axis=1))
+        prob = (found + SMOOTH * prob) / (context + SMOOTH)
+        shorter = found
     ratio = np.log(prob[1]) - np.log(prob[0])
     size = np.diff(offsets)
     total = np.bincount(doc, ratio, len(size))
     return np.where(size > 0, total / (size + 1), 0.0)
 
 
+def _runs(columns: list[np.ndarray]):
+    """(from, to) of the runs of rows that are alike."""
+    if len(columns[0]):
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(columns[0])]])
+        yield from zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+
+
+def _scored(rows: DataFrame, model: UrlModel) -> DataFrame:
+    """The rows with the score of their __chars instead of them."""
+    kept = [c for c in rows.columns if c != "__chars"]
+    chunked = written(rows.withColumn("__chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "url-rows")
+
+    def grams(batches):
+        now, held = None, []
+
+        def out():
+            if held:
+                keys = np.unique(np.concatenate(held))
+                yield from pa.Table.from_arrays([pa.array(np.full(len(keys), now, np.int64)), pa.array(keys)], names=["chunk", "gram"]).to_batches(50_000)
+
+        for batch in batches:
+            for part in slices(batch, "__chars"):
+                chunk = part.column("__chunk").to_numpy()
+                for lo, hi in _runs([chunk]):
+                    if chunk[lo] != now:
+                        yield from out()
+                        now, held = chunk[lo], []
+                    held.append(np.unique(np.concatenate([g for _, _, g in _grams(*utf8(part.column("__chars").slice(lo, hi - lo)))])))
+        yield from out()
+
+    known = chunked.select("__chars", "__chunk").mapInArrow(grams, "chunk long, gram long").join(model.counts, "gram")
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    both = known.select("chunk", F.lit(0).alias("side"), "gram", "accepted", "rejected").unionByName(
+        chunked.select(F.col("__chunk").alias("chunk"), F.lit(1).alias("side"), F.col("__chars").alias("chars"), whole), allowMissingColumns=True
+    )
+    dealt = both.repartition("chunk").sortWithinPartitions("chunk", "side")
+    symbols, texts = model.symbols, model.texts
+
+    def score(batches):
+        now, held, table = None, [], None
+        for batch in batches:
+            chunk, side = (batch.column(c).to_numpy() for c in ("chunk", "side"))
+            for lo, hi in _runs([chunk, side]):
+                part = batch.slice(lo, hi - lo)
+                if chunk[lo] != now:
+                    now, held, table = chunk[lo], [], None
+                if side[lo] == 0:
+                    held.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", "accepted", "rejected")]))
+                    continue
+                if table is None:
+                    table = np.concatenate([np.empty((3, 0), np.int64), *held], axis=1)
+                    table, held = table[:, np.argsort(table[0], kind="stable")], []
+                for piece in slices(part, "chars"):
+                    ratio = log_ratio(table[0], table[1:], symbols, texts, *utf8(piece.column("chars")))
+                    yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(ratio)], names=["row", "score"])
+
+    schema = T.StructType([T.StructField("row", dealt.schema["row"].dataType), T.StructField("score", T.DoubleType())])
+    out = dealt.mapInArrow(score, schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "score")
+
+
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """Add host, path, rule, score and verdict to every row."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
     new = ("host", "path", "rule", "score", "verdict")
     kept = [c for c in (pages.columns if keep is None else keep) if c.lower() not in new]
     quoted = [F.col(f"`{c}`") for c in dict.fromkeys([*kept, url])]
-    rows = _prepared(pages.select(*quoted), url, ()).drop("__listed", "__held")
-
-    def make():
-        return lambda part: [pa.array(log_ratio(shared.value, *utf8(part.column("__chars"))))]
-
-    out = with_columns(rows, "__chars", [("score", T.DoubleType())], make, [*kept, "host", "path"])
+    rows = _prepared(pages.select(*quoted), url, ())
+    out = _scored(rows.select(*[F.col(f"`{c}`") for c in kept], "host", "path", "__chars"), model)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") > model.cut, F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)}).select(*[F.col(f"`{c}`") for c in kept], *new)

@@ -126,3 +126,19 @@ def test_few_vectors(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.neighbours(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, round(2**0.5, 6))]
     assert ann.neighbours(df.limit(0), df.limit(0)).count() == 0
     assert ann.neighbours(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
+
+
+def test_rows_of_one_id_take_one_place(spark):
+    rng = np.random.default_rng(5)
+    x, ids = rng.normal(size=(120, 3)), np.arange(120)
+    x, ids = np.repeat(x, 12, axis=0), np.repeat(ids, 12)
+    x[6::12] += 1e-3  # half of the versions differ a little
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    got = ann.neighbours(df, df.where("vec_id % 10 = 0"), ratio=1e9).toPandas()
+    first = spark.createDataFrame(df.groupBy("vec_id").agg({"embedding": "min"}).collect(), "vec_id long, v array<double>").toPandas().set_index("vec_id")["v"]
+    for q in range(0, 120, 10):
+        d = np.sqrt(((x - np.array(first[q])) ** 2).sum(1))
+        least = sorted((d[ids == i].min(), i) for i in range(120) if i != q)[:10]
+        rows = got[got["query_id"] == q].sort_values("rank")
+        assert rows["vec_id"].tolist() == [i for _, i in least]
+        np.testing.assert_allclose(rows["score"], [s for s, _ in least], atol=1e-12)

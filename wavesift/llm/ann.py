@@ -242,11 +242,14 @@ def _posted(rows: DataFrame, index, length: int, kind: str, lists_of) -> DataFra
 
 
 def _nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int):
-    """(position of the query, id, distance) of the k nearest of each query, and what ties with them."""
+    """(position of the query, id, distance) of the k nearest ids of each query, and what ties with them."""
     rough = _distances(q, x)
     rough[q_id[:, None] == x_id[None, :]] = np.inf
-    most = min(k, rough.shape[1])
-    kth = np.partition(rough, most - 1, axis=1)[:, most - 1]
+    ids, first = np.unique(x_id[by_id := np.argsort(x_id, kind="stable")], return_index=True)
+    # the least distance of each id, so that versions of one vector take one of the k places
+    least = rough if len(ids) == len(x_id) else np.minimum.reduceat(rough[:, by_id], first, axis=1)
+    most = min(k, len(ids))
+    kth = np.partition(least, most - 1, axis=1)[:, most - 1]
     # the product form is off by rounding; whatever may belong to the nearest is measured exactly
     slack = 1e-9 * ((q * q).sum(1) + (x * x).sum(1).max())
     row, col = np.nonzero((rough <= (kth + slack)[:, None]) & np.isfinite(rough))

@@ -142,3 +142,22 @@ def test_rows_of_one_id_take_one_place(spark):
         rows = got[got["query_id"] == q].sort_values("rank")
         assert rows["vec_id"].tolist() == [i for _, i in least]
         np.testing.assert_allclose(rows["score"], [s for s, _ in least], atol=1e-12)
+
+
+def test_queries_on_a_centroid_find_enough(spark, monkeypatch):
+    """A lone vector and a group of copies are their own centroids, and their lists are too short."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([[[90.0, 0.0]], np.tile([0.0, 90.0], (6, 1)), rng.normal(size=(593, 2))])
+    ids = np.arange(600) * 100
+    centroids = np.concatenate([x[:2], x[100::50]])
+    monkeypatch.setattr(ann, "balanced_centroids", lambda *_: centroids)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    want = search(x, ids)
+    asked = df.where("vec_id in (0, 100, 300, 5000, 9000)")
+    for ratio in (1.0, 1.5, None, float("inf")):
+        got = ann.neighbours(df, asked, ratio=ratio).toPandas()
+        rows = {q: g.sort_values("rank")["vec_id"].tolist() for q, g in got.groupby("query_id")}
+        assert {q: len(r) for q, r in rows.items()} == {q: 10 for q in (0, 100, 300, 5000, 9000)}
+        assert rows[100][:5] == [200, 300, 400, 500, 600]
+        if ratio == float("inf"):
+            assert all(rows[q] == [i for i, _ in want[q]] for q in rows)

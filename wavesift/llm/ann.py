@@ -13,6 +13,8 @@
    farther apart than among all vectors. Lists meet their queries in an exchange,
    long lists in blocks and many queries in chunks; each block compares
    original vectors in double precision and hands on the nearest only.
+5. Queries that found fewer than ``k`` ids go on to farther lists, ``WIDEN`` times as
+   many each round, until they have ``k`` or have read all lists.
 
 Vectors that are null, all zeros, of another length than most, or that hold null or
 non-finite components take no part. Rows that share a vec_id are versions of one vector: each is a
@@ -45,6 +47,9 @@ ASKED = 256
 WIDTH = 32
 BLOCK = 1_024
 CHUNK = 2_048
+#: Lists of a query's second round, and how many times as many each further one has.
+SECOND = 2
+WIDEN = 8
 #: Queries whose best candidates a task holds at a time.
 HELD = 20_000
 
@@ -130,6 +135,11 @@ def linked(points: np.ndarray, degree: int = DEGREE) -> Centroids:
     return Centroids(points, table)
 
 
+def _reach(ratio: float, dist: np.ndarray) -> np.ndarray:
+    """``ratio`` times the distances; without end for an infinite ratio, also of 0."""
+    return np.full_like(dist, np.inf) if np.isinf(ratio) else ratio * dist
+
+
 def search(index: Centroids, x: np.ndarray, ratio: float, width: int) -> np.ndarray:
     """Distances of x to the centroids that best-first search meets, inf for all others.
 
@@ -145,7 +155,7 @@ def search(index: Centroids, x: np.ndarray, ratio: float, width: int) -> np.ndar
     for step in range(k):
         j = front[live].argmin(1)
         d = front[live, j]
-        go = np.isfinite(d) & ((d <= ratio * best[live]) | (step < width))
+        go = np.isfinite(d) & ((d <= _reach(ratio, best[live])) | (step < width))
         live, j = live[go], j[go]
         if not len(live):
             break
@@ -282,23 +292,21 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
 
     def probes(index, x):
         dist = search(index, x, ratio, WIDTH)
-        return np.nonzero(np.isfinite(dist) & (dist <= ratio * dist.min(1, keepdims=True)))
+        return np.nonzero(np.isfinite(dist) & (dist <= _reach(ratio, dist.min(1, keepdims=True))))
+
+    def farther(lists: int):
+        """Lists within the ratio of the ``lists``-th nearest."""
+
+        def run(index, x):
+            dist = np.sqrt(_distances(x, index.points))
+            if lists >= dist.shape[1]:
+                return np.nonzero(np.isfinite(dist))
+            return np.nonzero(dist <= _reach(max(ratio, 1.0), np.partition(dist, lists - 1, axis=1)[:, lists - 1 : lists]))
+
+        return run
 
     posted = written(_posted(plain(vectors), shared, length, kind, lambda i, x: _closure(i, x, closure, replicas)), "ann-lists")
     once = plain(queries).groupBy("key").agg(F.min("vector").alias("vector"))
-    asked = written(_posted(once, shared, length, kind, probes), "ann-queries")
-
-    # one row a list, MAX_LISTS at most
-    blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    chunks = asked.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    sizes = F.broadcast(blocks.join(chunks, "list"))
-    lists = posted.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("id", "salt"), F.col("blocks")).cast("int"))
-    lists = lists.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    wanted = asked.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    names = ["list", "block", "chunk", "id", "v"]
-    both = lists.select(*names, F.lit(0).alias("side")).unionByName(wanted.select(*names, F.lit(1).alias("side")))
-    dealt = both.repartition("list", "block", "chunk").sortWithinPartitions("list", "block", "chunk", "side")
 
     def compare(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -316,7 +324,32 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
         if held:
             yield _batch(_shrunk(held, k))
 
-    found = dealt.mapInArrow(compare, "query_id long, vec_id long, score double")
+    def met(asked):
+        """What the queries find in their lists."""
+        # one row a list, MAX_LISTS at most
+        blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        chunks = asked.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+        sizes = F.broadcast(blocks.join(chunks, "list"))
+        lists = posted.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("id", "salt"), F.col("blocks")).cast("int"))
+        lists = lists.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        wanted = asked.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        names = ["list", "block", "chunk", "id", "v"]
+        both = lists.select(*names, F.lit(0).alias("side")).unionByName(wanted.select(*names, F.lit(1).alias("side")))
+        dealt = both.repartition("list", "block", "chunk").sortWithinPartitions("list", "block", "chunk", "side")
+        return written(dealt.mapInArrow(compare, "query_id long, vec_id long, score double"), "ann-found")
+
+    found = met(written(_posted(once, shared, length, kind, probes), "ann-queries"))
+    short, lists = once, SECOND
+    while True:
+        enough = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= k)
+        short = written(short.join(enough, F.col("key") == F.col("query_id"), "left_anti"), "ann-short")
+        if short.isEmpty():
+            break
+        found = found.unionByName(met(written(_posted(short, shared, length, kind, farther(lists)), "ann-queries")))
+        if lists >= len(index.points):
+            break
+        lists *= WIDEN
     # a vector found in several lists has the same score there, so it keeps one rank
     rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     least = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -84,6 +84,19 @@ def test_layout(html, want):
     assert layout.text_of(html or "") == want
 
 
+@pytest.mark.parametrize("css, html, want", [
+    ("@media print{.x{display:none}}", "<p class=x>y", "y"), ("@media (max-width:600px){.x{display:none}}", "<p class=x>y", "y"), ("@media print{.q{color:red}.x{display:none}}", "<p class=x>y", "y"),
+    ("@media screen and (min-width: 600px){.x{display:none}}", "<p class=x>n</p>y", "y"), ("@media print{.q{color:red}} .x{display:none}", "<p class=x>n</p>y", "y"), ("@import 'a.css'; .x{display:none}", "<p class=x>n</p>y", "y"),
+    (".x{display:none} .x{display:block}", "<p class=x>y", "y"), (".x{display:block} .x{display:none}", "<p class=x>n</p>y", "y"), (".x{display:none}", "<p class=x style='display:block'>y", "y"),
+    (".x{display:none!important}", "<p class=x style='display:block'>n</p>y", "y"), ("#i{display:block} .x{display:none}", "<p class=x id=i>y", "y"), (".x{display:none}/* } */.x{color:red}", "<p class=x>n</p>y", "y"),
+    ("@supports (display:grid){.x{display:none}}", "<p class=x>n</p>y", "y"), ("@media screen{@media print{.x{display:none}}}", "<p class=x>y", "y"), (".x{visibility:hidden} .x{visibility:visible}", "<p class=x>y", "y"), ("@font-face{src:url('}')} .x{display:none}", "<p class=x>n</p>y", "y"),
+    ("@media (prefers-color-scheme:dark){.x{display:none}}", "<p class=x>y", "y"), (".x{display:none} @media (width>=600px){.x{display:block}}", "<p class=x>y", "y"), (".x{display:none} @media print{.x{display:block}}", "<p class=x>n</p>y", "y"),
+    ("@media(min-width:40em){.x{display:none}}", "<p class=x>n</p>y", "y"), ("@media print and (color), speech{.x{display:none}}", "<p class=x>y", "y"), (".q{content:'/*'} .x{display:none}", "<p class=x>n</p>y", "y"),
+])
+def test_layout_by_rules(css, html, want):
+    assert layout.text_of(f"<style>{css}</style>{html}") == want
+
+
 def test_layout_of_tables_of_pages(spark):
     df = spark.createDataFrame([(1, "<p>a", "x"), (1, "<p>a", "x"), (2, None, "y"), (3, "<div>" * 20_000 + "deep", "z")], "page_id long, html string, text string")
     got = sorted((r["page_id"], r["text"], r["n_chars"], r["n_lines"]) for r in layout.extract(df).collect())

@@ -12,6 +12,10 @@ walks it without recursion and writes all text a reader would see:
 Not shown: heads, scripts, styles, templates, embedded media; what is ``hidden``, or not
 displayed by its style attribute or a simple rule (tag, class or id) of a style sheet;
 closed details beyond their summary. ``visibility`` is inherited and can be turned on again.
+Rules for other media than a screen ``WIDTH`` pixels wide don't count; where a condition isn't
+known, rules can show but not hide. ``display`` of any value counts: the style attribute
+wins over ids, they over classes, they over tags, later rules over earlier ones, and
+``!important`` over all others.
 
 Nulls: a null page has an empty text. A tag that never ends drops the rest. Repeated
 rows are rendered alike. Work is linear in the length of a page.
@@ -30,6 +34,11 @@ from pyspark.sql import types as T
 from wavesift.llm.rows import with_columns
 
 MAX_PAD = 40
+#: Values of display and visibility that hide.
+HIDING = frozenset("none hidden collapse".split())
+#: Width of the reader's screen in pixels, and pixels of the units of a media query.
+WIDTH = 1280
+UNITS = {"px": 1, "em": 16, "rem": 16}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist audio video canvas object param".split())
@@ -56,10 +65,13 @@ _P_ENDS = ({"p"}, {"td", "th", "caption", "button", "table", "object", "template
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+# a string that doesn't end goes to the end of its line
+_STRING = r""""(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?"""
+_COMMENT = re.compile(rf"({_STRING})|/\*.*?(?:\*/|\Z)|<!--|-->", re.DOTALL)
+_PIECE = re.compile(rf"((?:{_STRING}|[^{{}};])*+)([{{}};]|\Z)", re.DOTALL)
 _SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*|[.#][a-z_][\w-]*)$")
-_GONE = re.compile(r"display\s*:\s*none")
-_SEEN = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)")
+_DECLARED = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?")
+_FEATURE = re.compile(r"\(\s*(min|max)-(?:device-)?width\s*:\s*([0-9]+(?:\.[0-9]+)?)(px|em|rem)\s*\)")
 
 
 class Node:
@@ -225,23 +237,72 @@ def parse(page: str) -> tuple[Node, list[str]]:
     return tree.root, tree.sheet
 
 
-def _rules(sheets: list[str]) -> dict[str, tuple[bool, bool | None]]:
-    """(not displayed, visible or None) of simple selectors."""
-    out: dict[str, tuple[bool, bool | None]] = {}
+def _on_screen(query: str) -> bool | None:
+    """Whether a list of media queries fits the screen; None if not known."""
+    fits: list[bool | None] = []
+    for one in query.lower().split(","):
+        parts = [p.strip() for p in re.split(r"\band\b", one)]
+        kind = parts[0].removeprefix("only ")
+        if kind in ("", "all", "screen", "not print"):
+            parts = parts[1:]
+        elif re.fullmatch(r"[a-z-]+|not (?:all|screen)", kind) and (len(parts) == 1 or not kind.startswith("not")):
+            fits.append(False)
+            continue
+        found = [_FEATURE.fullmatch(p) for p in parts]
+        known = [WIDTH >= float(m[2]) * UNITS[m[3]] if m[1] == "min" else WIDTH <= float(m[2]) * UNITS[m[3]] for m in found if m]
+        fits.append(False if False in known else True if len(known) == len(parts) else None)
+    return True if True in fits else None if None in fits else False
+
+
+def _applies(prelude: str) -> bool | None:
+    """Whether the rules in the block of an at-rule apply; None if not known."""
+    name = re.match(r"@([\w-]*)", prelude)[1].lower()
+    rest = prelude[len(name) + 1 :].strip()
+    if name == "media":
+        return _on_screen(rest)
+    if name == "supports":
+        return None if re.search(r"\bnot\b", rest.lower()) else True
+    return True if name == "layer" else None if name in ("container", "scope") else False
+
+
+def _rules(sheets: list[str]) -> dict[str, dict[str, tuple[str, bool, int]]]:
+    """Of simple selectors: value, whether important, and place of each property that counts."""
+    out: dict[str, dict[str, tuple[str, bool, int]]] = {}
+    place = 0
     for sheet in sheets:
-        for selectors, body in _RULE.findall(sheet):
-            gone, seen = _style(body)
-            if gone or seen is not None:
-                for s in selectors.split(","):
-                    if _SIMPLE.match(s := s.strip()):
-                        out[s] = (gone, seen)
+        # for each open block its simple selectors, whether it applies with all around it, and whether it is in a rule
+        blocks: list[tuple[list[str], bool | None, bool]] = []
+        for m in _PIECE.finditer(_COMMENT.sub(lambda c: c[1] or " ", sheet)):
+            text, end = _SPACES.sub(" ", m[1]).strip(), m[2]
+            names, applies, inside = blocks[-1] if blocks else ([], True, False)
+            if end != "{" and text and names and applies is not False:
+                for name, (value, important) in _style(text).items():
+                    if applies is None and value in HIDING:
+                        continue
+                    for s in names:
+                        old = out.setdefault(s, {}).get(name)
+                        if old is None or important >= old[1]:
+                            out[s][name] = (value, important, place)
+                place += 1
+            if end == "{" and text.startswith("@"):
+                fits = _applies(text)
+                blocks.append(([], False if False in (fits, applies) else None if None in (fits, applies) else True, inside))
+            elif end == "{":
+                # a rule inside another one is not simple
+                found = [] if inside else [s.strip() for s in text.split(",")]
+                blocks.append(([s for s in found if _SIMPLE.match(s)], applies, True))
+            elif end == "}" and blocks:
+                blocks.pop()
     return out
 
 
-def _style(text: str) -> tuple[bool, bool | None]:
-    text = text.lower()
-    m = _SEEN.search(text)
-    return bool(_GONE.search(text)), None if m is None else m[1] == "visible"
+def _style(text: str) -> dict[str, tuple[str, bool]]:
+    """Last value of display and visibility, and whether it is important."""
+    out: dict[str, tuple[str, bool]] = {}
+    for name, value, important in _DECLARED.findall(text.lower()):
+        if name not in out or bool(important) >= out[name][1]:
+            out[name] = (value, bool(important))
+    return out
 
 
 class Writer:
@@ -348,16 +409,20 @@ def _shown(node: Node, visible: bool, rules) -> tuple[bool, bool]:
     a = node.attributes
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return False, visible
-    found = []
+    # the last in this order wins: important, kind of selector, place
+    found: dict[str, tuple[bool, int, int, str]] = {}
     if rules:
-        names = [node.tag, *("." + c for c in a.get("class", "").lower().split()), "#" + a.get("id", "").lower()]
-        found = [rules[x] for x in names if x in rules]
+        names = [(0, node.tag), *((1, "." + c) for c in a.get("class", "").lower().split()), (2, "#" + a.get("id", "").lower())]
+        for kind, name in names:
+            for what, (value, important, place) in rules.get(name, {}).items():
+                found[what] = max(found.get(what, (False, -1, -1, "")), (important, kind, place, value))
     if "style" in a:
-        found.append(_style(a["style"]))
-    for gone, seen in found:
-        if gone:
-            return False, visible
-        visible = visible if seen is None else seen
+        for what, (value, important) in _style(a["style"]).items():
+            found[what] = max(found.get(what, (False, -1, -1, "")), (important, 3, 0, value))
+    if "display" in found and found["display"][3] == "none":
+        return False, visible
+    if "visibility" in found and found["visibility"][3] in ("visible", "hidden", "collapse"):
+        visible = found["visibility"][3] == "visible"
     return True, visible
 
 

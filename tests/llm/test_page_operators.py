@@ -36,6 +36,14 @@ def test_url_models_find_unseen_hosts(spark):
     assert ((got["verdict"] == "block") == (got["page_id"] % 5 == 0)).mean() > 0.99
 
 
+def test_url_terms_are_whole_parts_of_hosts(spark):
+    good = ["downloads.org", "uploads.a.org", "roads.org", "threads.org", "soundtrack.org", "sloan.org", "a-roads-b.org", "x.org/ads/casino"]
+    bad = ["ads.a.org", "casino.org", "www.cheap-pills.org", "ads-track.org", "Poker7.org", "adult-x.org:80", "online-gambling.org", "spam"]
+    df = spark.createDataFrame([(f"http://{h}",) for h in good + bad] + [(None,)], "url string")
+    got = {r["url"]: r["__listed"] for r in urls._prepared(df, "url", urls.TERMS).collect()}
+    assert got == {**{f"http://{h}": False for h in good}, **{f"http://{h}": True for h in bad}, None: False}
+
+
 def test_url_counts_are_exact_at_any_size(spark, monkeypatch):
     """More distinct contexts than any fixed table held, against plain Python."""
     rng = np.random.default_rng(3)

@@ -8,7 +8,9 @@ difference of the log-likelihoods by length, and a URL is blocked above a
 threshold calibrated on a quarter of the URLs that gave no counts.
 
 The URLs to learn from are told apart by terms of a block list in the host
-(``TERMS``, a parameter): hosts with a term are rejected, all others accepted.
+(``TERMS``, a parameter): hosts with a term as a label, or as a part of one between
+hyphens, are rejected, all others accepted. Digits at the end of a part don't matter.
+A term with ``*`` stands for all parts that begin with it.
 Digits are alike to the models, so that page numbers don't matter.
 
 Counts are exact: one row for each distinct run of characters up to ``ORDERS`` long, in a
@@ -23,6 +25,7 @@ its score is 0. Repeated URLs count as often as they stand there.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +40,7 @@ from wavesift.llm.textops import slices, utf8
 #: (verdict, rule): host up to the first slash, then the path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Block-list terms of hosts that count as rejected when the models learn.
-TERMS = ("adult", "ads", "bets", "casino", "gambl", "loan", "pills", "poker", "porn", "spam", "track", "viagra")
+TERMS = ("adult", "ads", "bets", "casino", "gambl*", "loan", "pills", "poker", "porn", "spam", "track", "viagra")
 #: Orders of the models; six characters of 9 bits and the order fit a key.
 ORDERS = 6
 #: Rows of a chunk, as a power of two, and distinct runs that a task counts before it hands them on.
@@ -84,9 +87,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def _prepared(pages: DataFrame, url: str, terms) -> DataFrame:
     """Host, path, the characters to model, whether the host is rejected, and the part for calibration."""
     host, path = host_and_path(F.col(f"`{url}`"))
-    listed = F.lit(False)
-    for t in terms:
-        listed = listed | host.contains(t)
+    parts = "|".join(re.escape(t.removesuffix("*")) + ("[^.:@-]*" if t.endswith("*") else "") for t in terms)
+    listed = host.rlike(rf"(?:^|[.@-])(?:{parts})[0-9]*(?:[.:-]|$)") if parts else F.lit(False)
     return (
         pages.withColumns({"host": host, "path": path})
         .withColumn("__chars", F.regexp_replace(F.concat(F.col("host"), F.col("path")), "[0-9]+", "0"))

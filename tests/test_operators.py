@@ -202,3 +202,10 @@ def test_streaming_scores_like_a_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scored").count() == streaming.outliers(df, model, mean, root, 1.5).count() > 0
+
+
+def test_reports_say_what_they_leave_out(spark):
+    score = spark.createDataFrame([(9, 4, 4, 0.4, 1.0, 0.6)], "n_labels int, n_matched int, n_detections int, recall double, precision double, f1 double")
+    missed = spark.createDataFrame([("a", float(i)) for i in range(5)], "file string, start_sec double")
+    assert "3 more missed labels not listed" in reports.score_report(score, missed, top=2)
+    assert "more" not in reports.score_report(score, missed, top=5)

@@ -7,24 +7,34 @@ from pyspark.sql import DataFrame
 from wavesift.operators import outliers
 
 
+def _rest(rows: DataFrame, top: int, what: str) -> list[str]:
+    """A line that says how many rows beyond ``top`` are not listed, if any."""
+    n = rows.count() - top
+    return [f"{n} more {what} not listed"] if n > 0 else []
+
+
 def outlier_report(scored: DataFrame, found: DataFrame, settings, top: int = 1_000) -> str:
-    """Parameters, distances, outliers of each file and the first ``top`` rows."""
+    """Parameters, distances, outliers of each file and the first ``top`` rows, and how many are left out."""
     s = outliers.summary(scored).first()
+    files = outliers.per_file(found)
     lines = [
         f"metric {settings.metric}, percentile {settings.percentile:g}",
         f"windows {s['n']}: mean {s['mean']:.3f}, std {s['std']:.3f}, min {s['min']:.3f}, max {s['max']:.3f}",
-        *(f"{r['file']}: {r['n_outliers']}" for r in outliers.per_file(found).limit(top).collect()),
+        *(f"{r['file']}: {r['n_outliers']}" for r in files.limit(top).collect()),
+        *_rest(files, top, "files"),
         *(f"{r['file']}\t{r['start_sec']:.2f}\t{r['distance']:.3f}" for r in found.limit(top).collect()),
+        *_rest(found, top, "outliers"),
     ]
     return "\n".join(lines) + "\n"
 
 
 def score_report(score: DataFrame, missed: DataFrame, top: int = 1_000) -> str:
-    """Counts and shares, then the missed labels."""
+    """Counts and shares, then the first ``top`` missed labels, and how many are left out."""
     r = score.first()
     lines = [
         f"labels {r['n_labels']}, matched {r['n_matched']}, detections {r['n_detections']}",
         f"recall {r['recall']:.1%}, precision {r['precision']:.1%}, F1 {r['f1']:.3f}",
         *(f"missed {m['file']} {m['start_sec']:.2f}" for m in missed.orderBy("file", "start_sec").limit(top).collect()),
+        *_rest(missed, top, "missed labels"),
     ]
     return "\n".join(lines) + "\n"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+
+#: First bin and the one behind the last, by the number of mel bins (fixed values).
+MEL_BANDS = {None: (0, None), 128: (9, 128)}
 
 
 @dataclass(frozen=True)
@@ -12,6 +15,8 @@ class Settings:
     sample_rate: int = 64_000
     n_fft: int = 1024
     hop: int = 512
+    window: str = "hann"
+    resample_rate: int | None = None
     n_mels: int | None = None
     f_min: float = 0.0
     f_max: float | None = None
@@ -30,7 +35,7 @@ class Settings:
 
     @property
     def secs_per_frame(self) -> float:
-        return self.hop / self.sample_rate
+        return self.hop / (self.resample_rate or self.sample_rate)
 
     def frames(self, secs: float) -> int:
         """Seconds to frames, half to even, one at least."""
@@ -43,3 +48,8 @@ class Settings:
     @property
     def stride_frames(self) -> int:
         return self.frames(self.window_secs if self.stride_secs is None else self.stride_secs)
+
+    def with_mels(self, n_mels: int | None) -> Settings:
+        """The same with a number of mel bins and the band that goes with it; without a preset the band stays."""
+        start, end = MEL_BANDS.get(n_mels, (self.band_start, self.band_end))
+        return replace(self, n_mels=n_mels, band_start=start, band_end=end)

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 
 FLOOR = 1e-10
 
+#: Window functions by name: weights of the n samples of a frame, periodic.
+WINDOWS = {
+    "hann": lambda n: 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n),
+    "hamming": lambda n: 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / n),
+    "blackman": lambda n: 0.42 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) + 0.08 * np.cos(4 * np.pi * np.arange(n) / n),
+    "ones": np.ones,
+}
+
 
 def decibels(power: Column, reference: float = 1e-6) -> Column:
     """10 log10 of the power by the squared reference level, floored."""
@@ -52,15 +60,21 @@ def mel_power(frames: DataFrame, weights: np.ndarray) -> DataFrame:
     return frames.withColumn("power", F.transform(rows, dot))
 
 
-def resampled(x: np.ndarray, rate: int, target: int, width: int = 16) -> np.ndarray:
-    """Windowed-sinc resampling of one chunk."""
+def resampled_length(n: int, rate: int, target: int) -> int:
+    return max(1, -(-n * target // rate))
+
+
+def resampled(x: np.ndarray, rate: int, target: int, first: int = 0, last: int | None = None, width: int = 16) -> np.ndarray:
+    """Windowed-sinc resampling: samples ``first`` to ``last`` of the result for the whole of x.
+
+    Any span is the same as when all is made at once, so a recording can be cut anywhere.
+    """
     if rate == target:
-        return x
-    n = max(1, math.ceil(len(x) * target / rate))
-    at = np.arange(n) * rate / target
+        return x if first == 0 and last is None else x[first:last]
+    at = np.arange(first, resampled_length(len(x), rate, target) if last is None else last) * rate / target
     cut = min(1.0, target / rate)
     base = np.floor(at).astype(np.int64)
-    out = np.zeros(n)
+    out = np.zeros(len(at))
     for j in range(-int(width / cut), int(width / cut) + 2):
         i = base + j
         d = at - i
@@ -69,24 +83,28 @@ def resampled(x: np.ndarray, rate: int, target: int, width: int = 16) -> np.ndar
     return out.astype(np.float32)
 
 
-def spectrogram(chunks: DataFrame, n_fft: int = 1024, hop: int = 512, weights: np.ndarray | None = None, reference: float = 1e-6) -> DataFrame:
+def spectrogram(chunks: DataFrame, n_fft: int = 1024, hop: int = 512, weights: np.ndarray | None = None, reference: float = 1e-6, window: str = "hann", errors: bool = False) -> DataFrame:
     """file, frame and bins in dB of chunks, centred frames with reflected ends.
 
+    With ``errors`` also sr and error, and one row for each recording that gave no frames.
+
     ``chunks`` come from ``wav.chunks`` with ``overlap=n_fft``. A frame is made by the one
     chunk that holds its first sample (of the reflected signal the first chunk), so
     every frame is made once.
     """
     half = n_fft // 2
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
+    if window not in WINDOWS:
+        raise ValueError(f"unknown window {window}; one of {', '.join(WINDOWS)}")
+    shape = WINDOWS[window](n_fft)
 
     def run(batches):
         for pdf in batches:
-            for file, length, first, x in zip(pdf["file"], pdf["length"], pdf["first"], pdf["samples"], strict=True):
-                if x is None:
+            for file, rate, length, first, x, error in zip(pdf["file"], pdf["sr"], pdf["length"], pdf["first"], pdf["samples"], pdf["error"], strict=True):
+                if x is None or length <= half:
+                    if errors:
+                        yield pd.DataFrame({"file": [file], "sr": [rate], "frame": [None], "bins": [None], "error": [error or f"{int(length)} samples are too few to reflect"]})
                     continue
-                if length <= half:
-                    continue  # too short to reflect
-                x = np.asarray(x, np.float64)
+                x, length = np.asarray(x, np.float64), int(length)
                 begin, last = int(first), first + len(x) >= length
                 size = len(x) if last else len(x) - n_fft
                 lo = 0 if begin == 0 else -(-(begin + half) // hop)
@@ -99,11 +117,12 @@ def spectrogram(chunks: DataFrame, n_fft: int = 1024, hop: int = 512, weights: n
                 frames = np.arange(lo, hi + 1)
                 starts = frames * hop - half - begin
                 for at in range(0, len(starts), 512):
-                    part = np.stack([x[s : s + n_fft] for s in starts[at : at + 512]]) * window
+                    part = np.stack([x[s : s + n_fft] for s in starts[at : at + 512]]) * shape
                     power = np.abs(np.fft.rfft(part, axis=1)) ** 2
                     if weights is not None:
                         power = power @ weights.T
                     db = 10 * np.log10(np.maximum(power / reference**2, FLOOR))
-                    yield pd.DataFrame({"file": file, "frame": frames[at : at + 512], "bins": list(db)})
+                    out = pd.DataFrame({"file": file, "frame": frames[at : at + 512], "bins": list(db)})
+                    yield out.assign(sr=int(rate), error=None)[["file", "sr", "frame", "bins", "error"]] if errors else out
 
-    return chunks.mapInPandas(run, "file string, frame long, bins array<double>")
+    return chunks.mapInPandas(run, "file string, sr int, frame long, bins array<double>, error string" if errors else "file string, frame long, bins array<double>")

@@ -1,19 +1,32 @@
-"""Statistics of waveforms and clips around detections."""
+"""Statistics of waveforms and clips around detections.
+
+Samples with a null place or amplitude count for nothing; a file without others gives no row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavesift.functions.order import with_previous
+
+#: Samples of a file that are put in order together.
+CELL = 1 << 16
+
 
-def stats(samples: DataFrame, sample_rate: int) -> DataFrame:
-    """Duration, peak, mean magnitude, root mean square and sign changes a second of each file."""
+def stats(samples: DataFrame, sample_rate: int, skipped_secs: float = 0.0) -> DataFrame:
+    """Duration, peak, mean magnitude, root mean square and sign changes a second of each file.
+
+    Sign changes are counted between neighbours: n samples have n - 1 chances, one has none.
+    """
     x = F.col("amplitude")
-    negative = (x < 0).cast("int")
-    flips = (negative != F.lag(negative).over(Window.partitionBy("file").orderBy("n"))).cast("int")
-    got = samples.withColumn("__flip", flips).groupBy("file")
-    out = got.agg((F.count("*") / F.lit(sample_rate)).alias("duration"), F.max(F.abs(x)).alias("peak_abs"), F.avg(F.abs(x)).alias("mean_abs"), F.sqrt(F.avg(x * x)).alias("rms"), F.coalesce(F.sum("__flip"), F.lit(0)).alias("__flips"))
-    return out.withColumn("zcr", F.col("__flips") / F.col("duration")).drop("__flips")
+    given = samples.where(F.col("n").isNotNull() & x.isNotNull() & (F.col("n") >= int(skipped_secs * sample_rate)))
+    beside = with_previous(given, "file", "n", "amplitude", "__before", CELL)
+    flips = ((x < 0) != (F.col("__before") < 0)).cast("int")
+    got = beside.withColumn("__flip", flips).groupBy("file")
+    out = got.agg((F.count("*") / F.lit(sample_rate)).alias("duration"), F.max(F.abs(x)).alias("peak_abs"), F.avg(F.abs(x)).alias("mean_abs"), F.sqrt(F.avg(x * x)).alias("rms"), F.coalesce(F.sum("__flip"), F.lit(0)).alias("__flips"), F.count("*").alias("__n"))
+    changes = F.when(F.col("__n") > 1, F.col("__flips") / (F.col("__n") - 1) * sample_rate).otherwise(F.lit(0.0))
+    return out.withColumn("zcr", changes).drop("__flips", "__n")
 
 
 def clips(samples: DataFrame, wanted: DataFrame, sample_rate: int, window_secs: float, skipped_secs: float = 5.0) -> DataFrame:

@@ -1,24 +1,47 @@
-"""Groups of outliers by k-means on their leading components."""
+"""Groups of outliers by k-means on their leading components.
+
+Rows with null scores take no part. Of fewer rows than clusters each gets one of its
+own in the order of file and start; a table without rows has no clusters.
+"""
 
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavesift.functions.rows import whole
+from wavesift.operators import evaluate
+
 
 def kmeans(rows: DataFrame, k: int = 3, dimensions: int = 10, seed: int = 42) -> tuple[DataFrame, list, float]:
     """Rows with cluster, the centres, and the sum of squared distances."""
-    v = rows.withColumn("__v", array_to_vector(F.slice("scores", 1, dimensions)))
+    given = rows.where(whole("scores"))
+    if len(few := given.select("scores").limit(k).collect()) < k:
+        # fewer than k rows, so one task is enough
+        place = F.row_number().over(Window.orderBy("file", "start_frame")) - 1
+        return given.withColumn("cluster", place), [list(r["scores"][:dimensions]) for r in few], 0.0
+    v = given.withColumn("__v", array_to_vector(F.slice("scores", 1, dimensions)))
     model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(v)
     return model.transform(v).drop("__v"), [c.tolist() for c in model.clusterCenters()], model.summary.trainingCost
 
 
-def sweep(rows: DataFrame, ks=range(3, 16), dimensions: int = 10, seed: int = 42) -> DataFrame:
-    """k, cluster, n of fits with several k."""
+def sweep(rows: DataFrame, ks=range(3, 16), dimensions: int = 10, seed: int = 42, labels: DataFrame | None = None, tolerance: float = 5.0) -> DataFrame:
+    """k, cluster, n of fits with several k; with labels (file, start_sec) also n_validated.
+
+    ``n_validated`` counts the rows of a cluster with a label of their file less than the
+    tolerance away; ``rows`` need start_sec then.
+    """
+    given = rows.where(whole("scores"))
+    if labels is not None:
+        marked = evaluate.matched(given, labels, tolerance).select("file", "start_frame").distinct().withColumn("__valid", F.lit(1))
+        given = given.join(marked, ["file", "start_frame"], "left")
+    given = given.persist()  # every k reads it
     out = None
     for k in ks:
-        got = kmeans(rows, k, dimensions, seed)[0].groupBy("cluster").count().select(F.lit(k).alias("k"), "cluster", F.col("count").alias("n"))
+        counts = [F.count("*").alias("n")] + ([] if labels is None else [F.count("__valid").alias("n_validated")])
+        got = kmeans(given, k, dimensions, seed)[0].groupBy("cluster").agg(*counts).withColumn("k", F.lit(k))
+        got = got.select("k", "cluster", *[c for c in ("n", "n_validated") if c in got.columns])
         out = got if out is None else out.unionByName(got)
     return out

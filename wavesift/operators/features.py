@@ -1,14 +1,28 @@
-"""Features of windows. Vectors are summed on the map side; a window is one row only at the end."""
+"""Features of windows. Vectors are summed on the map side; a window is one row only at the end.
+
+Frames without a number, without bins or with a null bin take no part, so the windows
+that would hold them are not complete. Frames of one number count as several. All
+frames of a table have equally many bins.
+"""
 
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavesift.functions.order import with_previous
+from wavesift.functions.rows import whole
 from wavesift.operators.windows import assigned
 
+#: Frames of a file that are put in order together.
+CELL = 1 << 12
+
+
+def _given(frames: DataFrame) -> DataFrame:
+    return frames.where(F.col("frame").isNotNull() & whole("bins"))
+
 
 def _grouped(spread: DataFrame, size: int, **aggregates) -> DataFrame:
     """One row for each complete window."""
@@ -18,7 +32,7 @@ def _grouped(spread: DataFrame, size: int, **aggregates) -> DataFrame:
 
 def mean_std(frames: DataFrame, size: int, stride: int) -> DataFrame:
     """Mean and population standard deviation of every bin, one after the other."""
-    spread = assigned(frames, size, stride).withColumn("v", array_to_vector("bins"))
+    spread = assigned(_given(frames), size, stride).withColumn("v", array_to_vector("bins"))
     got = _grouped(spread, size, s=Summarizer.metrics("mean", "variance").summary(F.col("v")))
     deviation = F.transform(vector_to_array("s.variance"), lambda x: F.sqrt(x * (size - 1) / size))
     return got.select("file", "start_frame", F.concat(vector_to_array("s.mean"), deviation).alias("features"))
@@ -38,8 +52,8 @@ def _changes(bins):
 
 def aci(frames: DataFrame, size: int, stride: int) -> DataFrame:
     """Acoustic complexity of every bin: differences between frames by the total."""
-    before = F.lag("bins").over(Window.partitionBy("file").orderBy("frame"))
-    moved = frames.withColumn("__moved", F.zip_with("bins", F.coalesce(before, F.col("bins")), lambda a, b: F.abs(a - b)))
+    beside = with_previous(_given(frames), "file", "frame", "bins", "__before", CELL)
+    moved = beside.withColumn("__moved", F.zip_with("bins", F.coalesce("__before", F.col("bins")), lambda a, b: F.abs(a - b))).drop("__before")
     spread = assigned(moved, size, stride)
     inside = F.when(F.col("frame") == F.col("start_frame"), F.transform("__moved", lambda x: F.lit(0.0))).otherwise(F.col("__moved"))
     total = lambda c: Summarizer.metrics("sum").summary(array_to_vector(c))
@@ -57,7 +71,7 @@ def _in_order(spread: DataFrame, size: int, value) -> DataFrame:
 def aci_time(frames: DataFrame, size: int, stride: int) -> DataFrame:
     """Acoustic complexity of every frame: differences between bins by the total."""
     total = F.aggregate("bins", F.lit(0.0), lambda s, x: s + x)
-    once = frames.withColumn("__aci", _ratio(_changes(F.col("bins")), total)).drop("bins")
+    once = _given(frames).withColumn("__aci", _ratio(_changes(F.col("bins")), total)).drop("bins")
     return _in_order(assigned(once, size, stride), size, F.col("__aci"))
 
 
@@ -69,7 +83,7 @@ def aci_both(frames: DataFrame, size: int, stride: int) -> DataFrame:
 
 def full_window(frames: DataFrame, size: int, stride: int) -> DataFrame:
     """All values of a window, bin by bin."""
-    rows = _in_order(assigned(frames, size, stride), size, F.col("bins"))
+    rows = _in_order(assigned(_given(frames), size, stride), size, F.col("bins"))
     by_bin = F.transform(F.sequence(F.lit(0), F.size(F.element_at("features", 1)) - 1), lambda b: F.transform("features", lambda f: F.get(f, b)))
     return rows.select("file", "start_frame", F.flatten(by_bin).alias("features"))
 
@@ -86,7 +100,7 @@ def build(frames: DataFrame, size: int, stride: int, method: str = "mean_std") -
 
 def by_file(frames: DataFrame) -> DataFrame:
     """Mean and sample standard deviation of every bin over whole files."""
-    got = frames.groupBy("file").agg(Summarizer.metrics("mean", "std").summary(array_to_vector("bins")).alias("s"))
+    got = _given(frames).groupBy("file").agg(Summarizer.metrics("mean", "std").summary(array_to_vector("bins")).alias("s"))
     return got.select("file", F.concat(vector_to_array("s.mean"), vector_to_array("s.std")).alias("features"))
 
 

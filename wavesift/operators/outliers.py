@@ -1,63 +1,64 @@
-"""Distances from the centre, thresholds and the table of outliers."""
+"""Distances from the centre, thresholds and the table of outliers.
+
+Rows with null scores, or scores of another length than the others', get a null distance
+and are no outliers. Tables without rows give tables without rows.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavesift.functions.rows import with_matrix
+from wavesift.functions.order import numbered, percentile
+from wavesift.functions.rows import moments, with_matrix
 
 METRICS = ("euclidean", "mahalanobis")
 #: Least variance of a direction, by the largest one, for a usable covariance.
 SINGULAR = 1e-12
+#: Frames of a cell of windows that are sorted together when all windows are numbered.
+CELL = 1 << 16
 
 
 def covariance(rows: DataFrame, column: str = "scores") -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sample covariance; each partition sends one k by k sum around the mean."""
-    mean = rows.select(Summarizer.metrics("mean").summary(array_to_vector(column)).alias("s")).first()["s"]["mean"].toArray()
-
-    def products(batches):
-        n, total = 0, np.zeros((len(mean), len(mean)))
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf[column].to_numpy()) - mean
-                n, total = n + len(x), total + x.T @ x
-        yield pd.DataFrame({"n": n, "i": np.arange(len(mean)), "row": list(total)})
+    """Mean and sample covariance."""
+    n, mean, products = moments(rows, column)
+    return mean, products / max(n - 1, 1)
 
-    sums = rows.select(column).mapInPandas(products, "n long, i int, row array<double>")
-    got = sums.groupBy("i").agg(F.sum("n").alias("n"), Summarizer.metrics("sum").summary(array_to_vector("row")).alias("s")).orderBy("i").collect()
-    n = got[0]["n"]
-    return mean, np.stack([r["s"]["sum"].toArray() for r in got]) / max(n - 1, 1)
 
-
-def distances(rows: DataFrame, metric: str = "mahalanobis", column: str = "scores") -> DataFrame:
-    """Add distance from the mean of all rows."""
+def centre(rows: DataFrame, metric: str = "mahalanobis", column: str = "scores") -> tuple[np.ndarray, np.ndarray]:
+    """The mean, and the matrix that turns differences from it into those whose length is the distance."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}; one of {', '.join(METRICS)}")
     mean, cov = covariance(rows, column)
-    root = np.eye(len(mean))
-    if metric == "mahalanobis":
-        value, vector = np.linalg.eigh(cov)
-        if value.min() <= SINGULAR * max(value.max(), 1e-300):
-            raise ValueError("a direction has no variance: use fewer components")
-        root = vector / np.sqrt(value)
+    if metric == "euclidean" or not len(mean):
+        return mean, np.eye(len(mean))
+    value, vector = np.linalg.eigh(cov)
+    if value.min() <= SINGULAR * max(value.max(), 1e-300):
+        raise ValueError("a direction has no variance: use fewer components")
+    return mean, vector / np.sqrt(value)
+
+
+def measured(rows: DataFrame, mean: np.ndarray, root: np.ndarray, column: str = "scores") -> DataFrame:
+    """Add distance from a centre."""
+    return with_matrix(rows, column, "distance", lambda x: np.sqrt((((x - mean) @ root) ** 2).sum(1)), vector=False, width=len(mean))
+
 
-    return with_matrix(rows, column, "distance", lambda x: np.sqrt((((x - mean) @ root) ** 2).sum(1)), vector=False)
+def distances(rows: DataFrame, metric: str = "mahalanobis", column: str = "scores") -> DataFrame:
+    """Add distance from the mean of all rows."""
+    return measured(rows, *centre(rows, metric, column), column)
 
 
-def above(rows: DataFrame, percentile: float = 95.0, column: str = "distance") -> DataFrame:
+def above(rows: DataFrame, percent: float = 95.0, column: str = "distance") -> DataFrame:
     """Rows strictly beyond the interpolated percentile of all."""
-    cut = rows.select(F.percentile(column, percentile / 100).alias("threshold"))
-    return rows.where(F.col(column) > cut.scalar())
+    cut = percentile(rows, column, percent)
+    # NaN is above every number in Spark, but no outlier
+    return rows.where(F.lit(False) if cut is None else (F.col(column) > cut) & ~F.isnan(F.col(column).cast("double")))
 
 
 def summary(rows: DataFrame, column: str = "distance") -> DataFrame:
     c = F.col(column)
-    return rows.agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
 
 
 def per_file(outliers: DataFrame) -> DataFrame:
@@ -65,20 +66,30 @@ def per_file(outliers: DataFrame) -> DataFrame:
     return outliers.groupBy("file").agg(F.count("*").alias("n_outliers")).orderBy(F.desc("n_outliers"), "file")
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Add index, the place of a window among all by file and start.
+def table(rows: DataFrame, secs_per_frame: float, percent: float = 95.0) -> DataFrame:
+    """index, file, start_frame, start_sec, distance (and scores, if there are) of the outliers, by file and start."""
+    start = F.bround(F.col("start_frame") * F.lit(secs_per_frame), 3)
+    placed = numbered(rows, "file", "start_frame", F.expr(f"start_frame div {CELL}"))
+    found = above(placed, percent).withColumn("start_sec", start)
+    more = [c for c in ("scores",) if c in rows.columns]
+    return found.select("index", "file", "start_frame", "start_sec", "distance", *more).orderBy("file", "start_sec")
 
-    Windows of a file are counted file by file; the totals of the files before are added.
-    """
-    counts = rows.groupBy("file").agg(F.count("*").alias("__n"))
-    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("file", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy("file").orderBy("start_frame")) - 1
-    return rows.withColumn("__i", inside).join(F.broadcast(base), "file").withColumn("index", F.col("__base") + F.col("__i")).drop("__i", "__base")
 
+def as_written(found: DataFrame) -> DataFrame:
+    """The table of outliers with the columns of the CSV; a missing component counts as 0."""
+    part = lambda i: F.coalesce(F.get("scores", F.lit(i)), F.lit(0.0))
+    return found.select(
+        F.col("index").alias("Index"), F.col("file").cast("string").alias("File"), F.col("start_frame").alias("Start Frame"), F.col("start_sec").alias("Start Time (s)"),
+        F.col("distance").alias("Distance"), part(0).alias("PC1"), part(1).alias("PC2"),
+    )
 
-def table(rows: DataFrame, secs_per_frame: float, percentile: float = 95.0) -> DataFrame:
-    """index, file, start_frame, start_sec, distance of the outliers, by file and start."""
-    start = F.bround(F.col("start_frame") * F.lit(secs_per_frame), 3)
-    found = above(numbered(rows), percentile).withColumn("start_sec", start)
-    return found.select("index", "file", "start_frame", "start_sec", "distance").orderBy("file", "start_sec")
+
+def windows_of(found: DataFrame, frames: DataFrame, size: int) -> DataFrame:
+    """The frames of each outlier's window: file, start_frame, frame and bins.
+
+    Outliers meet frames by file and cell of ``size`` frames; a window lies in two cells.
+    """
+    cell = F.expr(f"start_frame div {size}")
+    wanted = found.select("file", "start_frame", F.explode(F.array(cell, cell + 1)).alias("__cell"))
+    celled = frames.select("file", "frame", "bins", F.expr(f"frame div {size}").alias("__cell"))
+    return wanted.join(celled, ["file", "__cell"]).where(f"frame >= start_frame and frame < start_frame + {size}").drop("__cell")

@@ -1,25 +1,32 @@
-"""Standardisation and principal components of feature rows."""
+"""Standardisation and principal components of feature rows.
+
+Rows whose features are null, hold a null or have another length than the others' take
+no part in a fit and get null scores. A fit on no rows has no components.
+"""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import DenseVector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.functions.rows import with_matrix
+from wavesift.functions.rows import matrix, moments, whole, with_matrix
 
 #: Dimensions up to which components come from the covariance matrix, and rows up to
-#: which they may come from the matrix of inner products instead.
-MAX_DIMENSIONS = 4_096
+#: which wider ones come from the matrix of inner products; beyond both from iteration.
+MAX_DIMENSIONS = 2_048
 MAX_ROWS = 4_096
 COLUMNS = 4_096
+#: Directions iterated beyond those wanted, rounds at most, and change of a value that ends them.
+EXTRA, ROUNDS, SETTLED = 10, 60, 1e-9
+#: Least variance of a component by that of the first.
+RANK = 1e-10
 
 
 @dataclass(frozen=True)
@@ -37,19 +44,26 @@ class Components:
     explained: np.ndarray
 
 
+def _deviation(mean: np.ndarray, variance: np.ndarray) -> np.ndarray:
+    std = np.sqrt(np.maximum(variance, 0))
+    std[std <= 1e-12 * np.maximum(1, np.abs(mean))] = 1.0
+    return std
+
+
 def fit_scaler(features: DataFrame) -> Scaler:
     """Column means and population deviations; a constant column keeps deviation 1."""
-    row = features.select(Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("features")).alias("s")).first()["s"]
+    given = features.where(whole("features"))
+    if given.isEmpty():
+        return Scaler(np.empty(0), np.empty(0))
+    row = given.select(Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("features")).alias("s")).first()["s"]
     n, mean = row["count"], row["mean"].toArray()
-    std = np.sqrt(row["variance"].toArray() * (n - 1) / max(n, 1))
-    std[std <= 1e-12 * np.maximum(1, np.abs(mean))] = 1.0
-    return Scaler(mean, std)
+    return Scaler(mean, _deviation(mean, row["variance"].toArray() * (n - 1) / max(n, 1)))
 
 
 def scaled(features: DataFrame, scaler: Scaler) -> DataFrame:
     """features as z-scores."""
     mean, std = scaler.mean, scaler.std
-    return with_matrix(features, "features", "features", lambda x: (x - mean) / std, vector=True)
+    return with_matrix(features, "features", "features", lambda x: (x - mean) / std, vector=True, width=len(mean))
 
 
 def _signed(components: np.ndarray) -> np.ndarray:
@@ -59,26 +73,42 @@ def _signed(components: np.ndarray) -> np.ndarray:
     return components * np.where(sign == 0, 1, sign)[:, None]
 
 
+def _leading(value: np.ndarray, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues that are not zero, and their vectors as columns."""
+    order = np.argsort(-value)[:k]
+    order = order[value[order] > RANK * max(value.max(initial=0.0), 1e-300)]
+    return value[order], vector[:, order]
+
+
 def fit(features: DataFrame, k: int) -> Components:
-    """Components of the z-scores, as many as rows and dimensions allow at most."""
+    """Components of the z-scores, as many as their rank allows at most."""
+    one = features.where(whole("features")).select(F.size("features")).first()
+    width = one[0] if one else 0
+    if width <= MAX_DIMENSIONS:
+        n, mean, products = moments(features, "features")
+        std = _deviation(mean, products.diagonal() / max(n, 1))
+        scaler = Scaler(mean, std)
+        if not n:
+            return Components(scaler, np.empty((0, 0)), np.empty(0))
+        # the z-scores' covariance, with nothing left of columns that don't vary
+        spread = products / n / np.outer(std, std)
+        total = spread.trace()
+        value, vector = _leading(*np.linalg.eigh(spread), k)
+        return Components(scaler, _signed(vector.T), value / total if total > 0 else value)
     scaler = fit_scaler(features)
-    n, d = features.count(), len(scaler.mean)
-    k = min(k, n, d)
     z = scaled(features, scaler)
-    if d <= MAX_DIMENSIONS:
-        model = PCA(k=k, inputCol="v", outputCol="p").fit(z.select(array_to_vector("features").alias("v")))
-        return Components(scaler, _signed(model.pc.toArray().T), model.explainedVariance.toArray())
-    if n > MAX_ROWS:
-        raise ValueError(f"{d} dimensions and {n} rows: reduce one below {MAX_ROWS}")
-    return Components(scaler, *_wide(z, k))
+    if features.count() <= MAX_ROWS:
+        return Components(scaler, *_wide(z, k))
+    return Components(scaler, *_iterated(z, width, k))
 
 
 def _wide(z: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Components of few, very wide rows: inner products by blocks of columns."""
-    rows = z.select("file", "start_frame", "features")
+    rows = z.where(F.col("features").isNotNull()).select("file", "start_frame", "features")
     order = rows.select("file", "start_frame").orderBy("file", "start_frame").toPandas()
     order["row"] = range(len(order))
     n = len(order)
+    # MAX_ROWS rows at most
     numbered = rows.join(F.broadcast(rows.sparkSession.createDataFrame(order)), ["file", "start_frame"])
     blocks = F.sequence(F.lit(0), F.floor((F.size("features") - 1) / COLUMNS).cast("int"))
     pieces = numbered.select("row", "features", F.explode(blocks).alias("block")).select("row", "block", F.slice("features", F.col("block") * COLUMNS + 1, F.lit(COLUMNS)).alias("x"))
@@ -93,11 +123,10 @@ def _wide(z: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     total = sums.groupBy("i").agg(Summarizer.metrics("sum").summary(array_to_vector("g")).alias("s")).select("i", F.col("s.sum").alias("g")).collect()
     gram = np.zeros((n, n))
     for r in total:
-        gram[r["i"]] = DenseVector(r["g"]).toArray()
-    value, vector = np.linalg.eigh(gram)
-    value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
-    keep = value[:k] > 1e-12 * value.max(initial=1e-300)
-    weights = vector[:, :k][:, keep] / np.sqrt(value[:k][keep])
+        gram[r["i"]] = r["g"].toArray()
+    trace = gram.trace()
+    value, vector = _leading(*np.linalg.eigh(gram), k)
+    weights = vector / np.sqrt(value)
 
     def project(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.zeros((n, max(map(len, pdf["x"]))))
@@ -107,10 +136,76 @@ def _wide(z: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     parts = pieces.groupBy("block").applyInPandas(project, "block int, c array<double>").orderBy("block").toPandas()
     components = np.concatenate([np.asarray(c).reshape(weights.shape[1], -1) for c in parts["c"]], axis=1)
-    return _signed(components), value[:k][keep] / value.sum()
+    return _signed(components), value / trace
+
+
+def _iterated(z: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components of many wide rows by subspace iteration.
+
+    Held on the driver and in each task: ``width`` times ``k + EXTRA`` numbers. A round
+    is one pass: each task multiplies its rows with the directions and sends the sums
+    back by blocks of columns.
+    """
+    given = z.where(F.col("features").isNotNull()).select("features")
+    spark = z.sparkSession
+    q = np.linalg.qr(np.random.default_rng(7).normal(size=(width, min(k + EXTRA, width))))[0]
+    before = None
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(q)
+
+        def products(batches):
+            n, squares, total = 0, 0.0, None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    x = matrix(batch.column("features").slice(at, 256))
+                    total = x.T @ (x @ shared.value) + (0 if total is None else total)
+                    n, squares = n + len(x), squares + float((x * x).sum())
+            for at in range(0, width if n else 0, COLUMNS):
+                part = total[at : at + COLUMNS]
+                yield pd.DataFrame({"block": np.array([at // COLUMNS], np.int32), "n": [n], "squares": [squares], "p": [part.ravel()]})
+
+        sums = given.mapInArrow(lambda batches: map(_record, products(batches)), "block int, n long, squares double, p array<double>")
+        got = sums.groupBy("block").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"), Summarizer.metrics("sum").summary(array_to_vector("p")).alias("p")).orderBy("block").collect()
+        shared.destroy()
+        product = np.concatenate([r["p"]["sum"].toArray().reshape(-1, q.shape[1]) for r in got])
+        total = got[0]["squares"]
+        value, turn = _leading(*np.linalg.eigh(q.T @ product), q.shape[1])
+        components = (q @ turn)[:, :k].T
+        if before is not None and len(before) == len(value) and np.abs(value - before)[:k].max() <= SETTLED * value[0]:
+            break
+        before = value
+        q = np.linalg.qr(product @ turn)[0]
+    return _signed(components), value[:k] / total
+
+
+def _record(pdf: pd.DataFrame):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_pandas(pdf, preserve_index=False)
 
 
 def transform(features: DataFrame, model: Components, k: int | None = None) -> DataFrame:
     """Add scores: the first k components of each row. Components are nested, so one fit serves every k."""
     mean, std, c = model.scaler.mean, model.scaler.std, model.components[:k]
-    return with_matrix(features, "features", "scores", lambda x: ((x - mean) / std) @ c.T, vector=True)
+    return with_matrix(features, "features", "scores", lambda x: ((x - mean) / std) @ c.T, vector=True, width=len(mean))
+
+
+_SAVED = "name string, i int, values array<double>, note string"
+
+
+def save(model: Components, spark: SparkSession, path: str, settings: dict | None = None) -> None:
+    """Write a fit, and the settings it was made with, as a small Parquet table."""
+    rows = [("mean", 0, model.scaler.mean.tolist(), None), ("std", 0, model.scaler.std.tolist(), None), ("explained", 0, model.explained.tolist(), None)]
+    rows += [("component", i, c.tolist(), None) for i, c in enumerate(model.components)]
+    rows.append(("settings", 0, None, json.dumps(settings or {})))
+    spark.createDataFrame(rows, _SAVED).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> tuple[Components, dict]:
+    """A saved fit and its settings."""
+    rows = sorted(spark.read.schema(_SAVED).parquet(path).collect(), key=lambda r: (r["name"], r["i"]))
+    one = {r["name"]: r for r in rows}
+    components = [r["values"] for r in rows if r["name"] == "component"]
+    scaler = Scaler(np.array(one["mean"]["values"]), np.array(one["std"]["values"]))
+    width = len(scaler.mean)
+    return Components(scaler, np.array(components, float).reshape(len(components), width), np.array(one["explained"]["values"])), json.loads(one["settings"]["note"])

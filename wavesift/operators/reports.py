@@ -1,8 +1,11 @@
-"""Text reports from small aggregates."""
+"""Text reports: the whole as a table of lines, or the first rows as one text."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wavesift.operators import outliers
 
@@ -38,3 +41,43 @@ def score_report(score: DataFrame, missed: DataFrame, top: int = 1_000) -> str:
         *_rest(missed, top, "missed labels"),
     ]
     return "\n".join(lines) + "\n"
+
+
+def _lines(spark, *parts) -> DataFrame:
+    """Lines of all parts in order; a part is a list of texts, or rows with the columns they are sorted by and line."""
+    tables = []
+    for i, part in enumerate(parts):
+        if isinstance(part, list):
+            rows = spark.createDataFrame([(i, float(k), None, None, x) for k, x in enumerate(part)], "part int, a double, b string, c double, line string")
+        else:
+            rows, (a, b, c) = part
+            rows = rows.select(F.lit(i).alias("part"), a.cast("double").alias("a"), b.cast("string").alias("b"), c.cast("double").alias("c"), "line")
+        tables.append(rows)
+    return reduce(DataFrame.unionByName, tables).orderBy("part", "a", "b", "c").select("line")
+
+
+def outlier_lines(scored: DataFrame, found: DataFrame, metric: str, percent: float, threshold: float | None) -> DataFrame:
+    """Parameters, threshold and distances, then outliers by file and every outlier, one line each."""
+    s = outliers.summary(scored).first()
+    number = lambda x: "-" if x is None else f"{x:.3f}"
+    head = [
+        "OUTLIER DETECTION REPORT", "", f"Distance metric: {metric}", f"Threshold: {number(threshold)} (top {100 - percent:.1f}%, percentile {percent:g})",
+        f"Number of outliers: {found.count()} out of {s['n']} windows", "", f"{metric} distance stats:",
+        f"  Mean: {number(s['mean'])}, Std: {number(s['std'])}", f"  Min: {number(s['min'])}, Max: {number(s['max'])}", "", "OUTLIERS PER FILE",
+    ]
+    files = outliers.per_file(found).withColumn("line", F.format_string("%s\t%d", F.col("file").cast("string"), "n_outliers"))
+    part = lambda i: F.coalesce(F.get("scores", F.lit(i)), F.lit(0.0))
+    rows = found.withColumn("line", F.format_string("%d\t%s\t%d\t%.3f\t%.6f\t%.6f\t%.6f", "index", F.col("file").cast("string"), "start_frame", "start_sec", "distance", part(0), part(1)))
+    columns = ["", "OUTLIER DETAILS", "\t".join(("Index", "File", "Start Frame", "Start Time (s)", "Distance", "PC1", "PC2"))]
+    return _lines(found.sparkSession, head, (files, (-F.col("n_outliers"), F.col("file"), F.lit(0))), columns, (rows, (F.lit(0), F.col("file"), F.col("start_sec"))))
+
+
+def score_lines(score: DataFrame, matched: DataFrame, missed: DataFrame) -> DataFrame:
+    """Counts and shares, then every matched and every missed label, one line each."""
+    r = score.first()
+    head = [
+        "RESULTS FROM COMPARISON", f"n validation calls: {r['n_labels']}", f"n matched as outliers: {r['n_matched']}", f"n missed: {r['n_labels'] - r['n_matched']}",
+        f"Recall: {r['recall']:.1%}", f"Precision: {r['precision']:.1%}", f"F1 Score: {r['f1']:.1%}", "", "List of matched:",
+    ]
+    listed = lambda df: (df.withColumn("line", F.format_string("  file: %s, time: %ss", F.col("file").cast("string"), F.col("start_sec").cast("string"))), (F.lit(0), F.col("file"), F.col("start_sec")))
+    return _lines(score.sparkSession, head, listed(matched), ["", "List of missed:"], listed(missed))

@@ -1,19 +1,26 @@
 """Registered queries over the supplied tables.
 
 ``events`` holds sample series (one for each event type) and label and detection times;
-``embeddings`` holds spectrogram frames (one file for each label).
+``embeddings`` holds spectrogram frames (one file for each label). Rows that hold a null
+where a query computes take no part (see the operators); tables without rows give no
+rows, or one row of zeros where a query counts. Features and distances are read several
+times, so they are kept until the caller clears the cache.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavesift.functions import signal
 from wavesift.operators import audio, clusters, evaluate, features, outliers, pca, tune, windows
-from wavesift.sources import tables
+from wavesift.sources import npz, tables, wav
 
 SIZE, STRIDE = 8, 4
 RATE = 100
@@ -43,11 +50,15 @@ def _pair(spark, sf_dir) -> DataFrame:
     # a window has a fixed size, so this stays within a row
     mean = F.aggregate("features", F.lit(0.0), lambda s, x: s + x) / F.size("features")
     square = lambda m: F.aggregate("features", F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size("features")
-    return built.withColumn("m", mean).select("file", "start_frame", F.array("m", F.sqrt(square(F.col("m")))).alias("features"))
+    return built.withColumn("m", mean).select("file", "start_frame", F.array("m", F.sqrt(square(F.col("m")))).alias("features")).persist()
+
+
+def _mean_std(spark, sf_dir) -> DataFrame:
+    return features.build(_frames(spark, sf_dir), SIZE, SIZE, "mean_std").persist()
 
 
 def _scored(spark, sf_dir, metric: str = "mahalanobis") -> DataFrame:
-    return outliers.distances(_pair(spark, sf_dir), metric, "features")
+    return outliers.distances(_pair(spark, sf_dir), metric, "features").persist()
 
 
 def _times(spark, sf_dir):
@@ -113,7 +124,7 @@ def full_window(spark, sf_dir):
 
 def zscore(spark, sf_dir):
     """Standardised mean and deviation features of tumbling windows."""
-    built = features.build(_frames(spark, sf_dir), SIZE, SIZE, "mean_std")
+    built = _mean_std(spark, sf_dir)
     return _long(pca.scaled(built, pca.fit_scaler(built)), 5)
 
 
@@ -121,7 +132,7 @@ def euclidean_outliers(spark, sf_dir):
     """Windows beyond the 95th percentile of distance on standardised pairs."""
     built = _pair(spark, sf_dir)
     z = pca.scaled(built, pca.fit_scaler(built))
-    return outliers.above(outliers.distances(z, "euclidean", "features")).select("file", "start_frame", F.round("distance", 5).alias("distance"))
+    return outliers.above(outliers.distances(z, "euclidean", "features").persist()).select("file", "start_frame", F.round("distance", 5).alias("distance"))
 
 
 def mahalanobis_outliers(spark, sf_dir):
@@ -132,12 +143,13 @@ def mahalanobis_outliers(spark, sf_dir):
 def pca_evr_2d(spark, sf_dir):
     """Explained shares of both components of the pair."""
     got = pca.fit(_pair(spark, sf_dir), 2).explained
-    return spark.createDataFrame([(round(float(got[0]), 6), round(float(got[1]), 6))], "evr1 double, evr2 double")
+    rows = [tuple(round(float(x), 6) for x in [*got, 0.0][:2])] if len(got) else []
+    return spark.createDataFrame(rows, "evr1 double, evr2 double")
 
 
 def pca_scores(spark, sf_dir):
     """Scores on 10 components of the mean and deviation features."""
-    built = features.build(_frames(spark, sf_dir), SIZE, SIZE, "mean_std")
+    built = _mean_std(spark, sf_dir)
     got = pca.transform(built, pca.fit(built, 10))
     return got.select("file", "start_frame", F.posexplode("scores").alias("component", "score"))
 
@@ -241,10 +253,74 @@ def missing_audio(spark, sf_dir):
 
 def kmeans(spark, sf_dir):
     """Three clusters of the outliers on five components."""
-    built = features.build(_frames(spark, sf_dir), SIZE, SIZE, "mean_std")
+    return clusters.kmeans(_grouped(spark, sf_dir), 3, 5)[0].select("file", "start_frame", "cluster")
+
+
+def kmeans_sweep(spark, sf_dir):
+    """Sizes of the clusters of the same outliers for 2 to 4 clusters, and how many have a label near."""
+    found = _grouped(spark, sf_dir).withColumn("start_sec", windows.seconds(F.col("start_frame"), SECS_PER_FRAME))
+    labels = found.where("start_frame % 16 = 0").select("file", "start_sec")
+    return clusters.sweep(found, (2, 3, 4), 5, labels=labels, tolerance=SECS_PER_FRAME)
+
+
+def _grouped(spark, sf_dir) -> DataFrame:
+    """Outliers on five components of the mean and deviation features."""
+    built = _mean_std(spark, sf_dir)
     got = pca.transform(built, pca.fit(built, 5))
-    found = outliers.above(outliers.distances(got), 80.0)
-    return clusters.kmeans(found, 3, 5)[0].select("file", "start_frame", "cluster")
+    return outliers.above(outliers.distances(got).persist(), 80.0).persist()
+
+
+def pca_energy(spark, sf_dir):
+    """Sum of squared scores of every window on all components there are."""
+    built = _mean_std(spark, sf_dir)
+    got = pca.transform(built, pca.fit(built, 2 * 64))
+    total = F.aggregate("scores", F.lit(0.0), lambda s, x: s + x * x)
+    return got.select("file", "start_frame", F.round(total, 4).alias("energy"))
+
+
+def outlier_csv(spark, sf_dir):
+    """The table of outliers with its components (their size alone, as signs are free) as it is written."""
+    built = _pair(spark, sf_dir)
+    scored = outliers.distances(pca.transform(built, pca.fit(built, 2)).drop("features").persist()).persist()
+    got = outliers.as_written(outliers.table(scored, SECS_PER_FRAME))
+    sizes = {c: F.round(F.abs(c), 5) for c in ("Distance", "PC1", "PC2")}
+    return got.withColumns(sizes).withColumnsRenamed({"Index": "index", "File": "file", "Start Frame": "start_frame", "Start Time (s)": "start_sec", "Distance": "distance", "PC1": "pc1", "PC2": "pc2"})
+
+
+def outlier_windows(spark, sf_dir):
+    """Every frame of every outlier's window, with its total."""
+    found = outliers.above(_scored(spark, sf_dir)).select("file", "start_frame")
+    total = F.aggregate("bins", F.lit(0.0), lambda s, x: s + x)
+    return outliers.windows_of(found, _frames(spark, sf_dir), SIZE).select("file", "start_frame", "frame", F.round(total, 6).alias("total"))
+
+
+def wav_samples(spark, sf_dir):
+    """Every series as a WAV file of 16 bits, decoded again without its first second."""
+    series = _samples(spark, sf_dir).where("amplitude is not null").withColumn("amplitude", F.col("amplitude") / 512)
+
+    def encoded(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("n")["amplitude"].to_numpy(np.float32)
+        return pd.DataFrame({"path": pdf["file"].iloc[:1], "content": [wav._encode(x, RATE)]})
+
+    # a file is one object, so one task writes it
+    files = series.groupBy("file").applyInPandas(encoded, "path string, content binary")
+    got = wav.chunks(files, 1.0, None, size=300).where("error is null")
+    return got.select("file", F.posexplode("samples").alias("i", "amplitude"), "first").select("file", (F.col("first") + F.col("i")).alias("n"), F.col("amplitude").cast("double").alias("amplitude"))
+
+
+def npz_frames(spark, sf_dir):
+    """Every spectrogram as an archive, turned half of the time, and read again."""
+    frames = _frames(spark, sf_dir).where("file is not null and bins is not null")
+
+    def encoded(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = np.stack(pdf.sort_values("frame")["bins"].to_numpy()).T.astype(np.float32)
+        out, file = io.BytesIO(), int(pdf["file"].iloc[0])
+        np.savez(out, feature=s[None] if file % 2 else s.T, sr=64_000)
+        return pd.DataFrame({"path": [str(file)], "content": [out.getvalue()]})
+
+    got = npz.decoded(frames.groupBy("file").applyInPandas(encoded, "path string, content binary"), 64).where("error is null")
+    total = F.aggregate("bins", F.lit(0.0), lambda s, x: s + x)
+    return got.select("file", "frame", F.size("bins").alias("n_bins"), F.round(total, 6).alias("total"))
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
@@ -252,7 +328,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     aci_freq, aci_time, aci_both, full_window, zscore, euclidean_outliers, mahalanobis_outliers, pca_evr_2d,
     pca_scores, distance_stats, outliers_per_file, outlier_table, stft_db, mel_db, wave_stats, resize_fixed,
     whole_file_mean_std, match_semi, match_anti, match_list, prf1, grid_product, best_trial, clip_slice,
-    missing_audio, kmeans,
+    missing_audio, kmeans, kmeans_sweep, pca_energy, outlier_csv, outlier_windows, wav_samples, npz_frames,
 )
 
 

@@ -76,7 +76,7 @@ def oracle_sql() -> dict[str, str]:
         "outlier_table": f'WITH {_DIST}, i AS (SELECT *, row_number() OVER (ORDER BY file, start_frame) - 1 AS "index" FROM d) SELECT "index", file, start_frame, round(start_frame * 0.008::DOUBLE, 3) AS start_sec, round(distance, 5) AS distance FROM i WHERE distance > (SELECT quantile_cont(distance, 0.95) FROM d)',
         "stft_db": f"WITH {_STFT} SELECT file, frame, k::INT AS k, {_DB} FROM p",
         "mel_db": f"WITH {_mel()} SELECT file, frame, mel, {_DB} FROM q",
-        "wave_stats": f"WITH {_SAMPLES}, x AS (SELECT file, n, amplitude - 100 AS a FROM samples), y AS (SELECT *, ((a < 0) <> lag(a < 0) OVER (PARTITION BY file ORDER BY n))::INT AS flip FROM x) SELECT file, round(count(*) / 100, 5) AS duration, round(max(abs(a)), 5) AS peak_abs, round(avg(abs(a)), 5) AS mean_abs, round(sqrt(avg(a * a)), 5) AS rms, round(sum(flip) / (count(*) / 100), 5) AS zcr FROM y GROUP BY file",
+        "wave_stats": f"WITH {_SAMPLES}, x AS (SELECT file, n, amplitude - 100 AS a FROM samples), y AS (SELECT *, ((a < 0) <> lag(a < 0) OVER (PARTITION BY file ORDER BY n))::INT AS flip FROM x) SELECT file, round(count(*) / 100, 5) AS duration, round(max(abs(a)), 5) AS peak_abs, round(avg(abs(a)), 5) AS mean_abs, round(sqrt(avg(a * a)), 5) AS rms, round(coalesce(sum(flip), 0) / (count(*) - 1) * 100, 5) AS zcr FROM y GROUP BY file",
         "resize_fixed": f"WITH {_FRAMES} SELECT file, frame, k::INT AS bin, bins[k * 64 // 24 + 1] AS value FROM frames, (SELECT unnest(range(24)) AS k)",
         "whole_file_mean_std": f"WITH {_CELLS} SELECT file, bin::INT AS dim, round(avg(v), 6) AS value FROM cells GROUP BY ALL UNION ALL SELECT file, (bin + 64)::INT, round(stddev_samp(v), 6) FROM cells GROUP BY file, bin",
         "match_semi": f"WITH {_TIMES} SELECT * FROM l WHERE {_near(21600)}",
@@ -86,5 +86,10 @@ def oracle_sql() -> dict[str, str]:
         "grid_product": "SELECT row_number() OVER (ORDER BY i, j, metric) AS run_num, c AS n_components, p AS percentile, metric FROM (SELECT unnest([2, 4, 8, 16, 32, 42, 52, 62])::BIGINT AS c, unnest(range(8)) AS i), (SELECT unnest([90.0, 95.0])::DOUBLE AS p, unnest(range(2)) AS j), (SELECT unnest(['euclidean', 'mahalanobis']) AS metric)",
         "best_trial": f"WITH {_TIMES} SELECT run_num, tolerance::DOUBLE AS tolerance, n_matched, round({_F1}, 6) AS f1 FROM ({trials}) ORDER BY {_F1} DESC, run_num LIMIT 1",
         "clip_slice": f"WITH {_SAMPLES}, c AS (SELECT unnest([0.0, 1.5, 3.7])::DOUBLE AS start_sec) SELECT file, start_sec, min(n) AS first, count(*) AS n, round(sum(amplitude), 4) AS total FROM samples, c WHERE n >= trunc((start_sec + 5) * 100)::BIGINT AND n < trunc((start_sec + 7.5::DOUBLE) * 100)::BIGINT GROUP BY file, start_sec",
+        "pca_energy": f"WITH {_MEAN_STD}, z AS (SELECT file, start_frame, (value - avg(value) OVER (PARTITION BY dim)) / stddev_pop(value) OVER (PARTITION BY dim) AS z FROM f) SELECT file, start_frame, round(sum(z * z), 4) AS energy FROM z GROUP BY file, start_frame",
+        "outlier_csv": f'WITH {_DIST}, i AS (SELECT *, row_number() OVER (ORDER BY file, start_frame) - 1 AS "index" FROM d JOIN pair USING (file, start_frame)), q AS (SELECT avg(m) AS mm, avg(s) AS ms, stddev_pop(m) AS sm, stddev_pop(s) AS ss, sign(corr(m, s)) AS r FROM pair) SELECT "index", file::VARCHAR AS file, start_frame, round(start_frame * 0.008::DOUBLE, 3) AS start_sec, round(distance, 5) AS distance, round(abs((m - mm) / sm + r * (s - ms) / ss) / sqrt(2), 5) AS pc1, round(abs((m - mm) / sm - r * (s - ms) / ss) / sqrt(2), 5) AS pc2 FROM i, q WHERE distance > (SELECT quantile_cont(distance, 0.95) FROM d)',
+        "outlier_windows": f"WITH {_DIST} SELECT d.file, start_frame, frame, round(list_sum(bins), 6) AS total FROM d JOIN frames ON frames.file = d.file AND frame >= start_frame AND frame < start_frame + 8 WHERE distance > (SELECT quantile_cont(distance, 0.95) FROM d)",
+        "wav_samples": f"WITH {_SAMPLES} SELECT file, n - 100 AS n, trunc((amplitude / 512)::FLOAT * 32768::FLOAT) / 32768 AS amplitude FROM samples WHERE n >= 100",
+        "npz_frames": f"WITH {_FRAMES} SELECT file::VARCHAR AS file, frame, len(bins)::INT AS n_bins, round(list_sum(bins), 6) AS total FROM frames",
         "missing_audio": f"WITH {_DIST} SELECT file, start_frame FROM d WHERE distance > (SELECT quantile_cont(distance, 0.8) FROM d) AND file NOT IN (SELECT file FROM frames WHERE frame >= 50)",
     }

@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read(spark: SparkSession, root: str, n_bins: int | None = None, key: str = "feature", recursive: bool = True) -> DataFrame:
-    """file, frame, bins of all archives below root; unreadable ones give one row with error.
+    """file, frame, bins of all archives below root, by path where one looks at files; see ``decoded``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.npz").load(root).select("path", "content")
+    return decoded(files, n_bins, key)
+
 
-    An array is squeezed to two axes and turned if its second axis has ``n_bins``.
+def decoded(files: DataFrame, n_bins: int | None = None, key: str = "feature") -> DataFrame:
+    """file, frame, bins of archives (path, content); unreadable ones give one row with error.
+
+    An array is squeezed to two axes and turned if its second axis has ``n_bins``. Null
+    content can't be read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.npz").load(root).select("path", "content")
 
     def run(batches):
         for pdf in batches:

@@ -1,4 +1,7 @@
-"""Signals and spectrogram frames kept in ordinary tables."""
+"""Signals and spectrogram frames kept in ordinary tables.
+
+Rows with a null series, order key or value keep their place and take no part later on.
+"""
 
 from __future__ import annotations
 

@@ -1,8 +1,13 @@
-"""Recordings: a tree of WAV files read, cut into overlapping chunks, and clips written."""
+"""Recordings: a tree of WAV files read, cut into overlapping chunks, and clips written.
+
+A file with null content is one that can't be decoded.
+"""
 
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import wave
 
 import numpy as np
@@ -10,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavesift.functions.signal import resampled, resampled_length
+
 #: Samples of a chunk, so that no row holds a whole recording.
 CHUNK = 1 << 18
 
@@ -22,6 +29,10 @@ def _decode(content: bytes) -> tuple[np.ndarray, int]:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     elif width == 2:
         x = np.frombuffer(raw, "<i2").astype(np.float32) / 2**15
+    elif width == 3:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = (wide.view("<i4").ravel() / 2**31).astype(np.float32)
     elif width == 4:
         x = (np.frombuffer(raw, "<i4") / 2**31).astype(np.float32)
     else:
@@ -47,29 +58,32 @@ def scan(spark: SparkSession, root: str, limit: int | None = None, file: str | N
     return files if limit is None else files.orderBy("path").limit(limit)
 
 
-def chunks(files: DataFrame, start_secs: float = 5.0, end_secs: float | None = None, overlap: int = 0, size: int = CHUNK) -> DataFrame:
+def chunks(files: DataFrame, start_secs: float = 5.0, end_secs: float | None = None, overlap: int = 0, size: int = CHUNK, rate: int | None = None) -> DataFrame:
     """file, sr, length, first and samples of the trimmed recordings, or an error.
 
     Each chunk holds ``size`` samples of its own and ``overlap`` of the next ones; the last
     one is the first that reaches the end. A
     recording that ends before the start gives one zero sample. Files that can't be
-    decoded give one row with ``error``.
+    decoded give one row with ``error``. With ``rate`` the trimmed recordings are resampled.
     """
 
     def run(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    x, rate = _decode(content)
+                    x, sr = _decode(content)
                 except Exception as e:  # a bad file must not stop the run
                     yield pd.DataFrame({"file": [path], "sr": [None], "length": [None], "first": [None], "samples": [None], "error": [f"{type(e).__name__}: {e}"]})
                     continue
-                s = int(start_secs * rate)
-                e = len(x) if end_secs is None else max(s, min(int(end_secs * rate), len(x)))
+                s = int(start_secs * sr)
+                e = len(x) if end_secs is None else max(s, min(int(end_secs * sr), len(x)))
                 x = x[s:e] if e > s and len(x) > s else np.zeros(1, np.float32)
-                for at in range(0, len(x), size):
-                    yield pd.DataFrame({"file": [path], "sr": [rate], "length": [len(x)], "first": [at], "samples": [x[at : at + size + overlap]], "error": [None]})
-                    if at + size + overlap >= len(x):
+                to = sr if rate is None else rate
+                length = resampled_length(len(x), sr, to)
+                for at in range(0, length, size):
+                    part = resampled(x, sr, to, at, min(at + size + overlap, length))
+                    yield pd.DataFrame({"file": [path], "sr": [to], "length": [length], "first": [at], "samples": [part], "error": [None]})
+                    if at + size + overlap >= length:
                         break
 
     return files.mapInPandas(run, "file string, sr int, length long, first long, samples array<float>, error string")
@@ -83,3 +97,48 @@ def write_clips(clips: DataFrame, sample_rate: int) -> DataFrame:
             yield pd.DataFrame({"name": pdf["name"], "content": [_encode(np.asarray(x, np.float32), sample_rate) for x in pdf["samples"]]})
 
     return clips.select("name", "samples").mapInPandas(run, "name string, content binary")
+
+
+def cut(files: DataFrame, wanted: DataFrame, window_secs: float, skipped_secs: float = 5.0) -> DataFrame:
+    """name, content and error of a clip for each wanted (stem, start_sec) of the files (stem, content).
+
+    Times count behind the skipped head; clips that reach past the end are cut. A file's
+    clips are made in the task that decodes it and get a folder named by its stem.
+    """
+    times = wanted.where(F.col("stem").isNotNull() & F.col("start_sec").isNotNull()).groupBy("stem").agg(F.sort_array(F.collect_set("start_sec")).alias("times"))
+    both = files.join(times, "stem")
+
+    def run(batches):
+        for pdf in batches:
+            for stem, content, starts in zip(pdf["stem"], pdf["content"], pdf["times"], strict=True):
+                try:
+                    x, rate = _decode(content)
+                except Exception as e:
+                    yield pd.DataFrame({"name": [stem], "content": [None], "error": [f"{type(e).__name__}: {e}"]})
+                    continue
+                for start in starts:
+                    first, last = (min(max(int(t * rate), 0), len(x)) for t in (start + skipped_secs, start + skipped_secs + window_secs))
+                    yield pd.DataFrame({"name": [f"{stem}/{stem.rpartition('/')[2]}_t{start:.2f}s.wav"], "content": [_encode(x[first:last], rate)], "error": [None]})
+
+    return both.select("stem", "content", "times").mapInPandas(run, "name string, content binary, error string")
+
+
+def save_clips(clips: DataFrame, folder: str) -> DataFrame:
+    """Write each clip (name, content) to a folder that all executors mount; name and path of each.
+
+    A clip is written beside its place and moved there, so a task that runs again does no harm.
+    The files are written when the result is.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            paths = [os.path.join(folder, name) for name in pdf["name"]]
+            for path, content in zip(paths, pdf["content"], strict=True):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, path)
+            yield pd.DataFrame({"name": pdf["name"], "path": paths})
+
+    return clips.where("content is not null").select("name", "content").mapInPandas(run, "name string, path string")

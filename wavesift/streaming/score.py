@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavesift.functions.rows import with_matrix
 from wavesift.operators import pca
+from wavesift.operators import outliers as rules
 
 
 def outliers(features: DataFrame, model: pca.Components, mean: np.ndarray, root: np.ndarray, threshold: float) -> DataFrame:
     """Rows of a stream (or table) of features beyond a threshold fitted before; no state."""
 
     scored = pca.transform(features, model)
-    far = with_matrix(scored, "scores", "distance", lambda x: np.sqrt((((x - mean) @ root) ** 2).sum(1)), vector=False)
+    far = rules.measured(scored, mean, root)
     return far.where(F.col("distance") > threshold)

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavesift.llm.shared import written
+from wavesift.llm.shared import dropped, written
+from wavesift.llm.workers import mapped
 
 #: Vectors the centroids are fitted on at most: those with the least hash of the id.
 MAX_SAMPLE = 20_000
@@ -248,7 +249,7 @@ def _posted(rows: DataFrame, index, length: int, kind: str, lists_of) -> DataFra
                 )
                 salt += len(x)
 
-    return rows.mapInArrow(run, "list int, salt long, id long, v binary")
+    return mapped(rows, run, "list int, salt long, id long, v binary")
 
 
 def _nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int):
@@ -337,19 +338,24 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
         names = ["list", "block", "chunk", "id", "v"]
         both = lists.select(*names, F.lit(0).alias("side")).unionByName(wanted.select(*names, F.lit(1).alias("side")))
         dealt = both.repartition("list", "block", "chunk").sortWithinPartitions("list", "block", "chunk", "side")
-        return written(dealt.mapInArrow(compare, "query_id long, vec_id long, score double"), "ann-found")
+        return written(mapped(dealt, compare, "query_id long, vec_id long, score double"), "ann-found")
 
-    found = met(written(_posted(once, shared, length, kind, probes), "ann-queries"))
+    asked = written(_posted(once, shared, length, kind, probes), "ann-queries")
+    found = met(asked)
+    dropped(asked)
     short, lists = once, SECOND
     while True:
         enough = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= k)
         short = written(short.join(enough, F.col("key") == F.col("query_id"), "left_anti"), "ann-short")
         if short.isEmpty():
             break
-        found = found.unionByName(met(written(_posted(short, shared, length, kind, farther(lists)), "ann-queries")))
+        asked = written(_posted(short, shared, length, kind, farther(lists)), "ann-queries")
+        found = found.unionByName(met(asked))
+        dropped(asked)
         if lists >= len(index.points):
             break
         lists *= WIDEN
+    dropped(posted, shared)
     # a vector found in several lists has the same score there, so it keeps one rank
     rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     least = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

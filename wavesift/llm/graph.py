@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavesift.llm.shared import written
+from wavesift.llm.shared import dropped, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,15 +28,21 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     ``edges`` has long columns u and v. Self-loops and repeated edges change nothing.
     Each round is written to the shared folder; it ends when the stars stay the same.
+    Their number grows with the logarithm of the longest path; raises if ``rounds`` don't do.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = written(now, "components")
     before = None
     for _ in range(rounds):
-        now = written(_star(_star(now, True), False), "components")
+        last, now = now, written(_star(_star(now, True), False), "components")
+        dropped(last)
         state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.countDistinct("u")).first()
         # a forest of stars: each node once, and no centre is a leaf
         if tuple(state) == before:
             break
         before = tuple(state)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    else:
+        raise RuntimeError(f"components are not done after {rounds} rounds")
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out.written_at = now.written_at
+    return out

@@ -25,6 +25,7 @@ from wavesift.llm.memo import IdMemo
 from wavesift.llm.rows import with_columns
 from wavesift.llm.shared import written
 from wavesift.llm.textops import utf8, word_hash, words
+from wavesift.llm.workers import held, mapped
 
 SEQUENCE = 2048
 END_ID = 1
@@ -37,8 +38,6 @@ JOINED = 500
 #: Text encoded at a time; more of it shares words.
 SLICE_BYTES = 1 << 21
 
-_ENCODERS: dict[str, "WordEncoder"] = {}
-
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -86,10 +85,11 @@ class WordEncoder:
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
-    key = f"{path}\0{end_id}"
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, end_id)
-    return _ENCODERS[key]
+    return held(_key(path, end_id), lambda: WordEncoder(path, end_id))
+
+
+def _key(path: str, end_id: int) -> str:
+    return f"encoder {path} {end_id}"
 
 
 def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, text: str = "text", keep=("doc_id",)) -> DataFrame:
@@ -113,7 +113,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, te
 
         return compute
 
-    return with_columns(docs, text, fields, make, list(keep), SLICE_BYTES)
+    return with_columns(docs, text, fields, make, list(keep), SLICE_BYTES, _key(path, end_id))
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, text: str = "text") -> DataFrame:
@@ -160,4 +160,4 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, sequenc
                 )
 
     assert wide["ids"].dataType == T.BinaryType()
-    return placed.mapInArrow(cut, schema)
+    return mapped(placed, cut, schema)

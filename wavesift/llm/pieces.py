@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from wavesift.llm.memo import IdMemo
 from wavesift.llm.rows import with_columns
 from wavesift.llm.textops import byte_codes, span_hash, strings, utf8
+from wavesift.llm.workers import held
 
 MODEL = "piece_bpe_32k.model"
 MARK = "\u2581"
@@ -34,8 +35,6 @@ UNKNOWN = 10.0
 #: Stands for a mark of the text while matching; no piece has it.
 _NO_PIECE = "\uffff"
 
-_VOCABULARIES: dict[str, "Vocabulary"] = {}
-
 
 def model_path(name: str = MODEL) -> str:
     import public_tokenizers
@@ -161,9 +160,7 @@ class Vocabulary:
 
 
 def vocabulary(path: str) -> Vocabulary:
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Vocabulary(path)
-    return _VOCABULARIES[path]
+    return held(f"vocabulary {path}", lambda: Vocabulary(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -181,7 +178,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: l
 
         return compute
 
-    return with_columns(docs, text, [("ids", T.BinaryType()), ("n_ids", T.LongType()), ("n_byte_ids", T.LongType())], make, keep)
+    return with_columns(docs, text, [("ids", T.BinaryType()), ("n_ids", T.LongType()), ("n_byte_ids", T.LongType())], make, keep, keeps=f"vocabulary {path}")
 
 
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -197,4 +194,4 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", keep: lis
 
         return compute
 
-    return with_columns(rows, ids, [("decoded", T.StringType())], make, keep)
+    return with_columns(rows, ids, [("decoded", T.StringType())], make, keep, keeps=f"vocabulary {path}")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavesift.llm.textops import SLICE_BYTES, slices
+from wavesift.llm.workers import mapped
 
 
 def with_columns(
@@ -19,11 +20,13 @@ def with_columns(
     make: Callable[[], Callable[[pa.RecordBatch], Sequence[pa.Array]]],
     keep: Sequence[str] | None = None,
     slice_bytes: int = SLICE_BYTES,
+    keeps: str | None = None,
 ) -> DataFrame:
     """Add ``fields`` to ``keep`` (default: all columns), computed from slices of rows.
 
     ``make`` runs once in each task and returns the function of a slice. An input
-    column with the name of an added one, in any case, is replaced.
+    column with the name of an added one, in any case, is replaced. ``keeps`` is what a
+    worker may hold from task to task.
     """
     new = {name.lower() for name, _ in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
@@ -38,7 +41,12 @@ def with_columns(
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *compute(part)], names=names)
 
     quoted = [f"`{c.replace('`', '``')}`" for c in read]
-    return df.select(*quoted).mapInArrow(run, schema)
+    return mapped(df.select(*quoted), run, schema, keeps)
+
+
+def join_keys(keys: Sequence[Column]) -> list[Column]:
+    """Two keys as __a and __b; rows without any get one of their own, so that they don't meet in one task."""
+    return [F.coalesce(keys[0], F.monotonically_increasing_id()).alias("__a"), keys[1].alias("__b")]
 
 
 def guarded(df: DataFrame, plain: Sequence[str]) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL = "/tmp/checkpoints"
@@ -21,12 +20,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL
 
 
+def _place(spark: SparkSession, path: str):
+    """File system and path object of Hadoop, which reach every store that Spark reads."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again."""
+    """Write df as Parquet to the shared folder and read it again; it goes when the application ends."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    store, where = _place(spark, path)
+    store.deleteOnExit(where)
     df.write.option("compression", "zstd").parquet(path)
-    if folder == _LOCAL:
-        atexit.register(shutil.rmtree, path, True)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*things: DataFrame | Broadcast) -> None:
+    """Remove written tables and broadcasts that nothing reads any more."""
+    for thing in things:
+        if isinstance(thing, Broadcast):
+            thing.destroy()
+        else:
+            store, where = _place(thing.sparkSession, thing.written_at)
+            store.delete(where, True)

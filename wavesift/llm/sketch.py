@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavesift.llm.textops import mix, slices
+from wavesift.llm.workers import mapped
 
 BLOCK = 1 << 20
 FAN_IN = 64
@@ -117,7 +118,7 @@ def build(
             raw = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "lane": pdf["lane"].iloc[:1], "cells": [raw]})
 
-    merged = df.select(column).mapInArrow(count, "block int, cells binary").withColumn("lane", F.spark_partition_id())
+    merged = mapped(df.select(column), count, "block int, cells binary").withColumn("lane", F.spark_partition_id())
     tasks = df.rdd.getNumPartitions()
     while True:
         tasks = -(-tasks // FAN_IN)
@@ -160,7 +161,7 @@ def build_set(df: DataFrame, column: str) -> KeySet:
             at = np.unique(_cell(batch.column(column).to_numpy().view(np.uint64), 0, width))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
 
-    words = df.select(column).mapInArrow(cells, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words = mapped(df.select(column), cells, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     bits = np.zeros(max(1, (1 << width) // 64), np.uint64)
     bits[words.column("word").to_numpy()] = words.column("bit").to_numpy().view(np.uint64)
     return KeySet(bits.view(np.uint8), width)

@@ -57,6 +57,12 @@ def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def forget() -> None:
+    """Drop tables of powers that a very long text has left."""
+    for seed in [s for s, (up, _) in _POWERS.items() if len(up) > 1 << 20]:
+        del _POWERS[seed]
+
+
 def span_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """Mixed polynomial hash of ``codes[start:end]`` for many spans at once."""
     n = len(codes)

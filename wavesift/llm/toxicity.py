@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavesift.llm.rows import with_columns
+from wavesift.llm.shared import dropped
 from wavesift.llm.textops import byte_codes, slices, span_hash, utf8
+from wavesift.llm.workers import mapped
 
 #: Labelled rows used for fitting at most: those with the least hash of the id.
 MAX_LABELLED = 16_000
@@ -250,8 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Tox
         return stem[order][np.searchsorted(word[order], keys)].view(np.int64)
 
     table = (
-        rows.where(~F.col("calibrates"))
-        .mapInArrow(counts, "kind int, key long, bad long, good long, stem long")
+        mapped(rows.where(~F.col("calibrates")), counts, "kind int, key long, bad long, good long, stem long")
         .groupBy("kind", "key")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.min("stem").alias("stem"))
     )
@@ -275,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Tox
 
     # bounded: MAX_BIN rows at most
     clean = rows.where("calibrates and toxic = 0")
-    seen = clean.mapInArrow(segments, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    seen = mapped(clean, segments, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
     model = _extreme_values(model, {r["bin"]: r["n"] for r in seen})
     # the statistic of a calibration row needs its significant segments
     shared2 = spark.sparkContext.broadcast(model)
@@ -286,7 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Tox
                 tokens, best, summed, count, surprise, _, _ = _passages(shared2.value, part, "text")
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(_statistic(shared2.value, tokens, best, summed, count, surprise))], names=["toxic", "x"])
 
-    seen = rows.where("calibrates").mapInArrow(statistics, "toxic int, x double").toArrow()
+    seen = mapped(rows.where("calibrates"), statistics, "toxic int, x double").toArrow()
+    dropped(shared, shared2)
     slope, offset = _logistic(seen.column("x").to_numpy(), seen.column("toxic").to_numpy().astype(np.float64))
     return replace(model, slope=slope, offset=offset)
 

@@ -12,19 +12,29 @@ strings have anchors at the same offset and their anchors' suffixes share 100 by
 3. Runs are cut at sampled splitters and exchanged. Each range is merged by a loser tree
    that keeps, with every loser, the prefix it shares with the last winner: unequal
    lengths decide without a look at the bytes, equal ones compare only behind them.
-4. In the merged order, suffixes that share 100 bytes are neighbours. Among those the
-   200-byte strings around the anchor are compared; strings found nowhere else go back
-   to their one place as exceptions. A range's first and last neighbours that touch a
-   splitter, and sets larger than ``GROUP_RECORDS``, are counted by Spark instead, string by string.
+   Splitters are anchor grams, so suffixes that share 100 bytes are in one range; only
+   where such a set fills ranges of its own do splitters cut it.
+4. A string that starts ``o`` bytes before its anchor is repeated where two anchors share
+   ``200 - o`` bytes from there on, which the common prefixes of neighbours in the
+   merged order tell, and ``o`` bytes backwards, which those in the sorted order of what
+   comes before tell. Strings found nowhere else go back to their one place as
+   exceptions. Sets that a splitter cuts or that are larger than ``GROUP_RECORDS`` are
+   counted by Spark instead, string by string with 128-bit keys.
 5. All strings of step 2's anchors but the exceptions are repeated; bytes they cover go.
 
 Nulls: a null text has no bytes. Matches never cross documents; rows with equal texts
-are different places. Texts shorter than 200 bytes lose nothing.
+are different places. Texts shorter than 200 bytes lose nothing. Texts are named by 128
+bits of hashes when exceptions find back to them.
+
+Inputs beyond ``MAX_RANGES`` ranges are also dealt by a hash of the anchor gram, so that
+ranges keep their size and the table of splitters stays bounded.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +44,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavesift.llm import sketch
-from wavesift.llm.rows import with_columns
-from wavesift.llm.shared import written
+from wavesift.llm.rows import join_keys, with_columns
+from wavesift.llm.shared import dropped, written
 from wavesift.llm.textops import byte_codes, covered, in_doc, run_hash, slices, sliding_argmin, span_hash, utf8
+from wavesift.llm.workers import mapped
 
 LENGTH = 200
 GRAM = 100
 RUN_RECORDS = 100_000
 GROUP_RECORDS = 20_000
 RANGE_BYTES = 12_000_000
+#: Ranges of one order; more input gets several orders beside each other.
 MAX_RANGES = 65_536
 PER_RANGE = 16
 
@@ -69,6 +81,12 @@ def _sketch(docs: DataFrame, text: str, n_bytes: int) -> sketch.Sketch:
     return sketch.build(docs, text, make, sketch.bits_for(n_bytes * 2 / (LENGTH - GRAM + 2)))
 
 
+def _text_keys(text: str) -> list:
+    """128 bits that name a text; null where it is too short to matter."""
+    long = F.octet_length(text) >= LENGTH
+    return [F.when(long, F.xxhash64(text)).alias("text_a"), F.when(long, F.xxhash64(F.lit(7), text)).alias("text_b")]
+
+
 def _key(raw: bytes, place: int, first: int, last: int) -> bytes:
     """Suffix, the bytes before it backwards, and how far its last string starts before it."""
     return raw[place : last + LENGTH] + raw[first:place][::-1] + bytes((place - last,))
@@ -87,48 +105,47 @@ def shared_prefixes(keys: list[bytes]) -> np.ndarray:
     return out
 
 
-_RUN = "part int, shared binary, size binary, times binary, text_key binary, at binary, rest binary"
-_RUN_KINDS = (("shared", "<u2"), ("size", "<u2"), ("times", "<u4"), ("text_key", "<i8"), ("at", "<i4"))
+_RUN = "part int, shared binary, size binary, times binary, text_a binary, text_b binary, at binary, rest binary"
+_RUN_KINDS = (("shared", "<u2"), ("size", "<u2"), ("times", "<u4"), ("text_a", "<i8"), ("text_b", "<i8"), ("at", "<i4"))
 
 
-def _front_coded(part: int, keys, times, text_keys, at) -> pa.RecordBatch:
+def _front_coded(part: int, keys, times, places) -> pa.RecordBatch:
     shared = shared_prefixes(keys)
     rest = zstandard.ZstdCompressor(level=1).compress(b"".join(k[s:] for k, s in zip(keys, shared.tolist(), strict=True)))
-    values = {"shared": shared, "size": [len(k) for k in keys], "times": times, "text_key": text_keys, "at": at}
+    values = {"shared": shared, "size": [len(k) for k in keys], "times": times} | dict(zip(("text_a", "text_b", "at"), zip(*places, strict=True), strict=True))
     cols = [np.asarray(values[n]).astype(kind).tobytes() for n, kind in _RUN_KINDS]
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([c], pa.binary()) for c in cols), pa.array([rest], pa.binary())], names=["part", *(n for n, _ in _RUN_KINDS), "rest"])
 
 
-def _sorted_run(records: list[tuple[bytes, int, int]], splitters: list[bytes]):
-    """Sort one run, count equal keys once, cut it at the splitters."""
+def _sorted_run(records: list[tuple[int, bytes, tuple[int, int, int]]], splitters: list[bytes]):
+    """Sort one run of (order, key, (text, text, at)), count equal keys once, cut it at the splitters."""
     records.sort()
-    keys, times, text_keys, at = [], [], [], []
-    for key, text_key, place in records:
-        if keys and keys[-1] == key:
-            times[-1] += 1
-        else:
-            keys.append(key)
-            times.append(1)
-            text_keys.append(text_key)
-            at.append(place)
-    lo = 0
-    while lo < len(keys):
-        part = bisect.bisect_right(splitters, keys[lo])
-        hi = bisect.bisect_left(keys, splitters[part], lo) if part < len(splitters) else len(keys)
-        yield _front_coded(part, keys[lo:hi], times[lo:hi], text_keys[lo:hi], at[lo:hi])
-        lo = hi
+    for order, run in groupby(records, lambda r: r[0]):
+        keys, times, places = [], [], []
+        for _, key, place in run:
+            if keys and keys[-1] == key:
+                times[-1] += 1
+            else:
+                keys.append(key)
+                times.append(1)
+                places.append(place)
+        lo = 0
+        while lo < len(keys):
+            part = bisect.bisect_right(splitters, keys[lo])
+            hi = bisect.bisect_left(keys, splitters[part], lo) if part < len(splitters) else len(keys)
+            yield _front_coded(order * (len(splitters) + 1) + part, keys[lo:hi], times[lo:hi], places[lo:hi])
+            lo = hi
 
 
 def _decoded(row: dict):
-    """(shared, key, times, text_key, at) of a front-coded run, in order."""
+    """(shared, key, times, text_a, text_b, at) of a front-coded run, in order."""
     cols = [np.frombuffer(row[n], kind).tolist() for n, kind in _RUN_KINDS]
     rest = zstandard.ZstdDecompressor().decompress(row["rest"])
     key, used = b"", 0
-    for shared, size, times, text_key, at in zip(*cols, strict=True):
-        more = size - shared
-        key = key[:shared] + rest[used : used + more]
-        used += more
-        yield shared, key, times, text_key, at
+    for shared, size, *more in zip(*cols, strict=True):
+        key = key[:shared] + rest[used : used + size - shared]
+        used += size - shared
+        yield shared, key, *more
 
 
 def _compare(a: bytes, b: bytes, known: int) -> tuple[bool, int]:
@@ -191,18 +208,18 @@ def merge_runs(runs):
             node >>= 1
 
 
-_OUT = "kind int, a long, b long, text_key long, at int, n int"
+_OUT = "kind int, a long, b long, text_a long, text_b long, at int, n int"
+_OUT_KINDS = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "text_a": pa.int64(), "text_b": pa.int64(), "at": pa.int32(), "n": pa.int32()}
 
 
-def _rows(kind, a, b, text_key, at, n) -> pa.RecordBatch:
-    cols = [pa.array(np.asarray(x), t) for x, t in ((kind, pa.int32()), (a, pa.int64()), (b, pa.int64()), (text_key, pa.int64()), (at, pa.int32()), (n, pa.int32()))]
-    return pa.RecordBatch.from_arrays(cols, names=["kind", "a", "b", "text_key", "at", "n"])
+def _rows(**values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(values[c]), t) for c, t in _OUT_KINDS.items()], names=list(_OUT_KINDS))
 
 
 def _strings(records):
     """Bytes of the strings around each anchor, one record after another."""
     texts, firsts, counts = [], [], []
-    for key, _, _, at in records:
+    for _, key, _, _, _, at in records:
         before = key[-1]
         suffix = LENGTH - before
         texts.append(key[suffix:-1][::-1] + key[:suffix])
@@ -218,25 +235,39 @@ def _strings(records):
 
 
 def _resolve(records):
-    """Exceptions among complete sets: strings of once-seen records found in no other."""
-    if not records:
+    """Exceptions among complete sets, in merged order: strings of records seen once that no other record has."""
+    m = len(records)
+    if not m:
         return
-    codes, starts, record, place = _strings(records)
-    times = np.array([r[1] for r in records])
-    weight = np.minimum(times, 2)[record]
-    _, at = np.unique(run_hash(codes, LENGTH)[starts], return_inverse=True)
-    single = np.bincount(at, weight)[at] < 2
-    if not single.any():
+    least = np.fromiter((r[1][-1] for r in records), np.int64, m)
+    before = [r[1][LENGTH - r[1][-1] : -1] for r in records]
+    most = np.fromiter(map(len, before), np.int64, m)
+    onward = np.fromiter((r[0] for r in records), np.int64, m)
+    onward[0] = 0
+    order = sorted(range(m), key=before.__getitem__)
+    backward = shared_prefixes([before[i] for i in order])
+    back = np.empty(m, np.int64)
+    weight = np.minimum(np.fromiter((r[2] for r in records), np.int64, m), 2)
+    # columns are starts from the farthest before the anchor to the anchor itself
+    single = np.zeros((m, LENGTH - GRAM + 1), bool)
+    for o in range(LENGTH - GRAM + 1):
+        has = np.flatnonzero((least <= o) & (o <= most))
+        if not len(has):
+            continue
+        back[order] = np.cumsum(backward < o)
+        # alike on both sides, so the same string
+        alike = (np.cumsum(onward < LENGTH - o) * (m + 1) + back)[has]
+        _, at = np.unique(alike, return_inverse=True)
+        single[has, LENGTH - GRAM - o] = np.bincount(at, weight[has])[at] < 2
+    edge = np.diff(np.pad(single, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    record, head = np.nonzero(edge == 1)
+    if not len(record):
         return
-    # runs of neighbouring strings of one record
-    i = np.flatnonzero(single)
-    new = np.ones(len(i), bool)
-    new[1:] = (i[1:] != i[:-1] + 1) | (record[i][1:] != record[i][:-1])
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, len(i)))
-    text_key = np.array([r[2] for r in records], np.int64)[record[i[head]]]
-    zero = np.zeros(len(head), np.int64)
-    yield _rows(zero, zero, zero, text_key, place[i[head]], size)
+    _, tail = np.nonzero(edge == -1)
+    place = np.fromiter((r[5] for r in records), np.int64, m)[record] - (LENGTH - GRAM) + head
+    zero = np.zeros(len(record), np.int64)
+    names = [np.fromiter((r[i] for r in records), np.int64, m)[record] for i in (3, 4)]
+    yield _rows(kind=zero, a=zero, b=zero, text_a=names[0], text_b=names[1], at=place, n=tail - head)
 
 
 def _deferred(records):
@@ -244,33 +275,36 @@ def _deferred(records):
     for lo in range(0, len(records), 5_000):
         part = records[lo : lo + 5_000]
         codes, starts, record, place = _strings(part)
-        times = np.minimum(np.array([r[1] for r in part]), 2)
-        text_key = np.array([r[2] for r in part], np.int64)
+        times = np.minimum(np.array([r[2] for r in part]), 2)
         a, b = (run_hash(codes, LENGTH, s)[starts].view(np.int64) for s in (0, 1))
-        yield _rows(np.ones(len(a), np.int64), a, b, text_key[record], place, times[record])
+        names = [np.array([r[i] for r in part], np.int64)[record] for i in (3, 4)]
+        yield _rows(kind=np.ones(len(a), np.int64), a=a, b=b, text_a=names[0], text_b=names[1], at=place, n=times[record])
 
 
 def _merged(batches, splitters: list[bytes]):
     """Merge each range and report exceptions and deferred strings."""
     for part, runs in _ranges(batches):
-        edges = {s[:GRAM] for s in splitters[max(part - 1, 0) : part + 1]}
+        at = part % (len(splitters) + 1)
+        # sets that a splitter longer than an anchor gram cuts
+        edges = {s[:GRAM] for s in splitters[max(at - 1, 0) : at + 1] if len(s) > GRAM}
         waiting, waiting_bytes, group, spilled = [], 0, [], False
 
         def close(group, spilled):
             nonlocal waiting, waiting_bytes
-            if spilled or (group and group[0][0][:GRAM] in edges):
+            if spilled or (group and group[0][1][:GRAM] in edges):
                 yield from _deferred(group)
             else:
                 waiting += group
-                waiting_bytes += sum(len(r[0]) for r in group)
+                waiting_bytes += sum(len(r[1]) for r in group)
                 if waiting_bytes > 4_000_000:
                     yield from _resolve(waiting)
                     waiting, waiting_bytes = [], 0
 
-        for shared, key, times, text_key, at in merge_runs([_decoded(r) for r in runs]):
-            if shared == len(key) and group and group[-1][0] == key:
+        for record in merge_runs([_decoded(r) for r in runs]):
+            shared, key = record[:2]
+            if shared == len(key) and group and group[-1][1] == key:
                 last = group[-1]
-                group[-1] = (key, last[1] + times, last[2], last[3])
+                group[-1] = (*last[:2], last[2] + record[2], *last[3:])
                 continue
             if shared < GRAM and group:
                 yield from close(group, spilled)
@@ -279,7 +313,7 @@ def _merged(batches, splitters: list[bytes]):
                 # the last one may still be counted on
                 yield from _deferred(group[:-1])
                 group, spilled = group[-1:], True
-            group.append((key, times, text_key, at))
+            group.append(record)
         yield from close(group, spilled)
         yield from _resolve(waiting)
 
@@ -298,6 +332,18 @@ def _ranges(batches):
         yield part, runs
 
 
+def _splitters(sampled: dict[bytes, int], ranges: int) -> list[bytes]:
+    """Keys that cut the sample into ranges of equal weight: anchor grams, or whole keys inside a set that fills a range."""
+    keys = sorted(sampled)
+    if len(keys) < 2:
+        return []
+    total = np.cumsum([sampled[k] for k in keys])
+    at = np.searchsorted(total, np.arange(1, ranges) * total[-1] / ranges)
+    cut = sorted({keys[i] for i in at.tolist()})
+    grams = Counter(k[:GRAM] for k in cut)
+    return sorted({k if grams[k[:GRAM]] > 1 else k[:GRAM] for k in cut})
+
+
 def repeated(docs: DataFrame, text: str = "text", keep=("doc_id",), as_text: bool = False) -> DataFrame:
     """Add n_bytes, n_removed, n_spans and kept (the bytes left) to every row.
 
@@ -306,43 +352,49 @@ def repeated(docs: DataFrame, text: str = "text", keep=("doc_id",), as_text: boo
     spark = docs.sparkSession
     n_bytes = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     counts = spark.sparkContext.broadcast(_sketch(docs, text, n_bytes))
-    keyed = docs.select(text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
+    keyed = docs.where(F.octet_length(text) >= LENGTH).select(text, *_text_keys(text))
 
     def candidates(part):
         data, offsets, gram, place, first, last = _anchors(part.column(text))
         hit = counts.value.estimate(gram) > 1 if len(gram) else np.empty(0, bool)
-        return data, offsets, place[hit], first[hit], last[hit]
+        return data, offsets, gram[hit], place[hit], first[hit], last[hit]
 
-    ranges = int(min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // RANGE_BYTES))))
+    needed = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // RANGE_BYTES))
+    orders = -(-needed // MAX_RANGES)
+    ranges = -(-needed // orders)
     share = min(1.0, PER_RANGE * ranges * (LENGTH - GRAM + 2) / 2 / max(n_bytes, 1))
 
     def sample(batches):
-        limit = np.uint64(min(share, 1 - 2.0**-40) * 2.0**64)
+        limit = np.uint64(min(share / orders, 1 - 2.0**-40) * 2.0**64)
+        found: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, text):
-                data, _, place, first, last = candidates(part)
+                data, _, _, place, first, last = candidates(part)
                 if len(place):
                     chosen = np.flatnonzero(span_hash(byte_codes(data), first, last + LENGTH) <= limit)
                     raw = data.tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([_key(raw, *x) for x in zip(place[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist(), strict=True)], pa.binary())], names=["key"])
+                    found |= {_key(raw, *x) for x in zip(place[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist(), strict=True)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["key"])
 
-    # bounded: about PER_RANGE keys a range
-    sampled = sorted(bytes(r.key) for r in keyed.mapInArrow(sample, "key binary").distinct().toLocalIterator())
-    splitters = sorted({sampled[i * len(sampled) // ranges] for i in range(1, ranges)}) if len(sampled) > 1 else []
+    # bounded: about PER_RANGE keys a range, each with the number of tasks that have it
+    sampled = mapped(keyed, sample, "key binary").groupBy("key").count().toLocalIterator()
+    splitters = _splitters({bytes(r["key"]): r["count"] for r in sampled}, ranges)
     shared = spark.sparkContext.broadcast(splitters)
 
     def runs(batches):
-        held: list[tuple[bytes, int, int]] = []
+        held: list[tuple[int, bytes, tuple[int, int, int]]] = []
         for batch in batches:
             for part in slices(batch, text):
-                data, offsets, place, first, last = candidates(part)
+                data, offsets, gram, place, first, last = candidates(part)
                 if not len(place):
                     continue
                 raw = data.tobytes()
                 doc = np.searchsorted(offsets, place, "right") - 1
-                text_key = part.column("text_key").to_numpy()[doc].tolist()
+                names = [part.column(c).to_numpy()[doc].tolist() for c in ("text_a", "text_b")]
                 within = (place - offsets[doc]).tolist()
-                held += [(_key(raw, p, f, e), k, w) for p, f, e, k, w in zip(place.tolist(), first.tolist(), last.tolist(), text_key, within, strict=True)]
+                order = (gram % np.uint64(orders)).tolist()
+                keys = (_key(raw, *x) for x in zip(place.tolist(), first.tolist(), last.tolist(), strict=True))
+                held += zip(order, keys, zip(*names, within, strict=True), strict=True)
                 if len(held) >= RUN_RECORDS:
                     yield from _sorted_run(held, shared.value)
                     held = []
@@ -352,24 +404,26 @@ def repeated(docs: DataFrame, text: str = "text", keep=("doc_id",), as_text: boo
     def merged(batches):
         yield from _merged(batches, shared.value)
 
-    exchanged = keyed.mapInArrow(runs, _RUN).repartition(ranges, "part").sortWithinPartitions("part")
-    found = written(exchanged.mapInArrow(merged, _OUT), "suffixes-found")
-    counted = found.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("times"), F.min("text_key").alias("text_key"), F.min("at").alias("at")).where("times = 1")
-    alone = found.where("kind = 0").select("text_key", "at", "n").unionByName(counted.select("text_key", "at", F.lit(1).alias("n")))
+    exchanged = mapped(keyed, runs, _RUN).repartitionById(orders * (len(splitters) + 1), "part").sortWithinPartitions("part")
+    found = written(mapped(exchanged, merged, _OUT), "suffixes-found")
+    dropped(shared)
+    counted = found.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("times"), F.min(F.struct("text_a", "text_b", "at")).alias("one")).where("times = 1")
+    alone = found.where("kind = 0").select("text_a", "text_b", "at", "n").unionByName(counted.select("one.*", F.lit(1).alias("n")))
     # a place and a run length of at most LENGTH in one number
-    once = alone.groupBy("text_key").agg(F.collect_list(F.col("at").cast("long") * 256 + F.col("n")).alias("__once"))
-    once = written(once.withColumnRenamed("text_key", "__once_key"), "suffixes-once")
+    once = alone.groupBy("text_a", "text_b").agg(F.collect_list(F.col("at").cast("long") * 256 + F.col("n")).alias("__once"))
+    once = written(once.withColumnsRenamed({"text_a": "__once_a", "text_b": "__once_b"}), "suffixes-once")
+    dropped(found)
 
     kept = list(keep)
     joined = (
-        docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])], F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__key"))
-        .join(once, F.col("__key") == F.col("__once_key"), "left")
-        .drop("__key", "__once_key")
+        docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])], *join_keys(_text_keys(text)))
+        .join(once, (F.col("__a") == F.col("__once_a")) & (F.col("__b") == F.col("__once_b")), "left")
+        .drop("__a", "__b", "__once_a", "__once_b")
     )
 
     def make():
         def compute(part):
-            data, offsets, _, first, last = candidates(part)
+            data, offsets, _, _, first, last = candidates(part)
             # covered by strings that start in [first, last]: +1 / -1 steps over starts
             starts = np.zeros(len(data) + 1, np.int32)
             np.add.at(starts, first, 1)

@@ -11,7 +11,8 @@ other emitted window is removed. No group of equal windows is ever brought toget
 beyond a count.
 
 Nulls: a null text has no words. Rows with equal texts count as different places, even
-with equal ids. Texts shorter than a window lose nothing.
+with equal ids. Texts shorter than a window lose nothing. Texts are named by 128 bits of
+hashes when exceptions find back to them.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavesift.llm import sketch
-from wavesift.llm.rows import with_columns
+from wavesift.llm.rows import join_keys, with_columns
 from wavesift.llm.shared import written
 from wavesift.llm.textops import covered, in_doc, run_hash, slices, sliding_argmin, strings, utf8, word_hash, words
+from wavesift.llm.workers import mapped
 
 WINDOW = 35
 GRAM = 18
@@ -75,28 +77,30 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "
                     continue
                 at = at[hit]
                 doc = w.doc[at]
-                key = part.column("text_key").to_numpy()[doc]
+                names = [pa.array(part.column(c).to_numpy()[doc]) for c in ("text_a", "text_b")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(run_hash(h, window)[at].view(np.int64)), pa.array(run_hash(h, window, 1)[at].view(np.int64)), pa.array(key), pa.array((at - w.first[doc]).astype(np.int32))],
-                    names=["a", "b", "text_key", "at"],
+                    [pa.array(run_hash(h, window)[at].view(np.int64)), pa.array(run_hash(h, window, 1)[at].view(np.int64)), *names, pa.array((at - w.first[doc]).astype(np.int32))],
+                    names=["a", "b", "text_a", "text_b", "at"],
                 )
 
-    keyed = docs.select(text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
-    emitted = keyed.mapInArrow(emit, "a long, b long, text_key long, at int")
+    # a window has a byte for each word and for each gap at least
+    long = F.octet_length(text) >= 2 * window - 1
+    names = [F.when(long, F.xxhash64(text)).alias("text_a"), F.when(long, F.xxhash64(F.lit(7), text)).alias("text_b")]
+    emitted = mapped(docs.where(long).select(text, *names), emit, "a long, b long, text_a long, text_b long, at int")
     once = (
         emitted.groupBy("a", "b")
-        .agg(F.count("*").alias("n"), F.min("text_key").alias("text_key"), F.min("at").alias("at"))
+        .agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("text_a", "text_b", "at")])
         .where("n = 1")
-        .groupBy("text_key")
-        .agg(F.collect_list("at").alias("once"))
+        .groupBy(F.col("text_a").alias("__once_a"), F.col("text_b").alias("__once_b"))
+        .agg(F.collect_list("at").alias("__once"))
     )
     once = written(once, "substrings")
 
     kept = [c for c in keep]
     joined = (
-        docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])], F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__key"))
-        .join(once.withColumnRenamed("text_key", "__once_key").withColumnRenamed("once", "__once"), F.col("__key") == F.col("__once_key"), "left")
-        .drop("__key", "__once_key")
+        docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])], *join_keys(names))
+        .join(once, (F.col("__a") == F.col("__once_a")) & (F.col("__b") == F.col("__once_b")), "left")
+        .drop("__a", "__b", "__once_a", "__once_b")
     )
 
     def make():

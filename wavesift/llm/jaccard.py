@@ -3,7 +3,7 @@
 Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their sets of
 distinct five-word shingles. Steps:
 
-1. Rows with the same set are one class, named by a 64-bit hash of the set.
+1. Rows with the same set are one class, told apart by 128 bits of hashes of the set.
 2. A merged count-min sketch orders shingles, estimated rare ones first. By the size
    bound two linked sets share one of their first ``n - ceil(p n) + 1`` shingles in that
    order, so only those, and none estimated to be in a single class, are exchanged, with
@@ -14,9 +14,11 @@ distinct five-word shingles. Steps:
    transpose, summed over column strips, gives overlap counts, and pairs that can no
    longer reach their size-derived bound are dropped after every strip.
 4. A group of several blocks sends one representative of each found component on to
-   the next round, until it fits one block. Classes still apart from the group's largest component are
-   then multiplied with every block of the group, so no link between different
-   components is lost, while copies are never paired with each other again.
+   the next round, until it fits one block or the blocks find no more.
+5. For groups that had several blocks, classes of different components that share a
+   shingle of step 2 and may be linked by their sizes are compared, each pair once. So no
+   link between components is lost, while copies are never paired with each other again,
+   and the work follows the shared rare shingles, not the size of the group.
 
 Nulls and texts without words: an empty set, linked with nothing. With fewer than five
 words the whole sequence is the one shingle. Rows with equal doc_id are separate rows; a
@@ -25,8 +27,11 @@ null doc_id counts as no id, and a component without any id has a null component
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +40,9 @@ from pyspark.sql import types as T
 from wavesift.llm import sketch
 from wavesift.llm.graph import components
 from wavesift.llm.rows import with_columns
-from wavesift.llm.shared import written
+from wavesift.llm.shared import dropped, written
 from wavesift.llm.textops import in_doc, mix, run_hash, slices, utf8, word_hash, words
+from wavesift.llm.workers import mapped
 
 SHINGLE = 5
 PERCENT = 80
@@ -71,17 +77,20 @@ def _sets(column: pa.Array, k: int):
     return value, np.concatenate([[0], np.cumsum(new)])[cut]
 
 
-def _class_keys(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set, whatever its order."""
-    total = np.zeros(len(value) + 1, np.uint64)
-    np.cumsum(mix(value ^ np.uint64(0x2545F4914F6CDD1D)), out=total[1:])
-    return mix((total[cut[1:]] - total[cut[:-1]]) + np.diff(cut).astype(np.uint64)).view(np.int64)
+def _class_keys(value: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each set, whatever its order."""
+    out = []
+    for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(mix(value ^ np.uint64(salt)), out=total[1:])
+        out.append(mix((total[cut[1:]] - total[cut[:-1]]) + np.diff(cut).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
-def _first_seen(keys: np.ndarray, sizes: np.ndarray, seen: set) -> np.ndarray:
+def _first_seen(keys: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, seen: set) -> np.ndarray:
     """Documents with shingles whose class this task has not met before."""
-    fresh = np.zeros(len(keys), bool)
-    for i, key in enumerate(keys.tolist()):
+    fresh = np.zeros(len(sizes), bool)
+    for i, key in enumerate(zip(*(k.tolist() for k in keys), strict=True)):
         if sizes[i] and key not in seen:
             seen.add(key)
             fresh[i] = True
@@ -110,14 +119,12 @@ class _Find:
         self.up[max(a, b)] = min(a, b)
 
 
-def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of linked sets: of left with right, or within left (i < j).
+def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i < j, of linked sets.
 
     Incidence times transposed incidence, strip by strip of columns; a pair is dropped
     as soon as its count and all columns to come stay below its bound.
     """
-    own = right is None
-    sets = left if own else left + right
     size = np.array([len(s) for s in sets], np.int64)
     value = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), size)
@@ -125,14 +132,10 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
     shared = times[column] > 1
     number = np.cumsum(times > 1) - 1
     column, row = number[column[shared]], row[shared]
-    n_left = len(left)
-    a = size[:n_left, None]
-    b = size[None, :] if own else size[None, n_left:]
+    a, b = size[:, None], size[None, :]
     # 100 * o >= percent * (a + b - o)
     bound = -(-(percent * (a + b)) // (100 + percent))
-    possible = np.minimum(a, b) >= bound
-    if own:
-        possible = np.triu(possible, 1)
+    possible = np.triu(np.minimum(a, b) >= bound, 1)
     overlap = np.zeros(bound.shape, np.float32)
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
@@ -141,10 +144,10 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
         s, e = np.searchsorted(column, [lo, lo + STRIP])
         strip = np.zeros((len(sets), min(STRIP, n_columns - lo)), np.float32)
         strip[row[s:e], column[s:e] - lo] = 1
-        overlap += strip[:n_left] @ (strip if own else strip[n_left:]).T
+        overlap += strip @ strip.T
         if lo + STRIP < n_columns:
             left_over = np.bincount(row[e:], minlength=len(sets))
-            rest = np.minimum(left_over[:n_left, None], (left_over if own else left_over[n_left:])[None, :])
+            rest = np.minimum(left_over[:, None], left_over[None, :])
             possible &= overlap + rest >= bound
             if not possible.any():
                 break
@@ -177,7 +180,7 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for (grp, block), (cls, raw) in _stream(batches, ["grp", "block"], ["cls", "shingles"]):
-            i, j = linked_pairs([np.frombuffer(x, np.uint64) for x in raw], None, percent) if len(cls) > 1 else ((), ())
+            i, j = linked_pairs([np.frombuffer(x, np.uint64) for x in raw], percent) if len(cls) > 1 else ((), ())
             find = _Find(len(cls))
             for x, y in zip(i, j, strict=True):
                 find.join(int(x), int(y))
@@ -185,27 +188,51 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([grp] * len(cls), pa.int64()), pa.array(cls, pa.int64()), pa.array(root, pa.int64())], names=["grp", "cls", "root"])
 
     keyed = members.select("grp", "block", "cls", "shingles")
-    return keyed.repartition("grp", "block").sortWithinPartitions("grp", "block", "cls").mapInArrow(run, "grp long, cls long, root long")
+    return mapped(keyed.repartition("grp", "block").sortWithinPartitions("grp", "block", "cls"), run, "grp long, cls long, root long")
 
 
-def _cross_links(inside: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Links of each (grp, block, chunk) between block members and others of another component."""
-    rows = inside.select("grp", "block", "chunk", "cls", "label", "shingles", F.lit(0).alias("side")).unionByName(others.select("grp", "block", "chunk", "cls", "label", "shingles", F.lit(1).alias("side")))
+def _overlaps(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) with sets s and t that are linked."""
 
     def run(batches):
-        for _, (cls, label, side, raw) in _stream(batches, ["grp", "block", "chunk"], ["cls", "label", "side", "shingles"]):
-            sets = [np.frombuffer(x, np.uint64) for x in raw]
-            a = [k for k in range(len(cls)) if side[k] == 0]
-            b = [k for k in range(len(cls)) if side[k] == 1]
-            if not a or not b:
-                continue
-            i, j = linked_pairs([sets[k] for k in a], [sets[k] for k in b], percent)
-            got = {(label[a[x]], label[b[y]]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if label[a[x]] != label[b[y]]}
-            if got:
-                u, v = zip(*sorted(got), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return rows.repartition("grp", "block", "chunk").sortWithinPartitions("grp", "block", "chunk", "cls", "side").mapInArrow(run, "u long, v long")
+        for batch in batches:
+            size = pc.add(pc.binary_length(batch.column("s")), pc.binary_length(batch.column("t"))).to_numpy()
+            ends = np.cumsum(size)
+            row = 0
+            while row < batch.num_rows:
+                to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + (1 << 22), "right")))
+                part = batch.slice(row, to - row)
+                row = to
+                values, owner = [], []
+                for side in ("s", "t"):
+                    data, off = utf8(part.column(side))
+                    values.append(np.frombuffer(data.tobytes(), np.uint64))
+                    owner.append(np.repeat(np.arange(part.num_rows), np.diff(off) // 8))
+                each = [np.bincount(o, minlength=part.num_rows) for o in owner]
+                value, pair = np.concatenate(values), np.concatenate(owner)
+                order = np.lexsort((value, pair))
+                value, pair = value[order], pair[order]
+                common = np.bincount(pair[1:][(value[1:] == value[:-1]) & (pair[1:] == pair[:-1])], minlength=part.num_rows)
+                linked = pa.array(100 * common >= percent * (each[0] + each[1] - common))
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(linked) for c in ("u", "v")], names=["u", "v"])
+
+    return mapped(pairs.select("u", "v", "s", "t"), run, "u long, v long")
+
+
+def _apart(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes with a common gram, another label and sizes that allow a link.
+
+    The classes of a gram are cut into blocks, and a pair of blocks is a key of the join,
+    so that no gram is the work of one task.
+    """
+    several = posts.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many")).where("low < high")
+    cut = posts.join(several.select("gram", F.ceil(F.col("many") / BLOCK_ROWS).cast("int").alias("blocks")), "gram").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    cell = [F.col("gram"), F.col("row"), F.col("col")]
+    left = cut.withColumns({"row": F.col("block"), "col": F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))}).select(*cell, *[F.col(c).alias(f"{c}_u") for c in ("cls", "n", "label")])
+    right = cut.withColumns({"row": F.explode(F.sequence(F.lit(0), F.col("block"))), "col": F.col("block")}).select(*cell, *[F.col(c).alias(f"{c}_v") for c in ("cls", "n", "label")])
+    # within a block each pair once; between two blocks each pair is met once anyway
+    wanted = F.expr(f"label_u <> label_v and 100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v) and (row < col or cls_u < cls_v)")
+    return left.join(right, ["gram", "row", "col"]).where(wanted).select(F.least("cls_u", "cls_v").alias("u"), F.greatest("cls_u", "cls_v").alias("v")).distinct()
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -230,15 +257,18 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
         def compute(part):
             nonlocal row
             value, cut = _sets(part.column(text), shingle)
-            a = _class_keys(value, cut)
+            a, b = _class_keys(value, cut)
             n = np.diff(cut)
             row += len(n)
-            return [pa.array(n), pa.array(a, mask=n == 0), pa.array(np.arange(row - len(n), row))]
+            return [pa.array(n), pa.array(a, mask=n == 0), pa.array(b, mask=n == 0), pa.array(np.arange(row - len(n), row))]
 
         return compute
 
-    fields = [("n_shingles", T.LongType()), ("__cls", T.LongType()), ("__row", T.LongType())]
+    fields = [("n_shingles", T.LongType()), ("__a", T.LongType()), ("__b", T.LongType()), ("__row", T.LongType())]
     rows = written(with_columns(docs, text, fields, make_sets, list(keep)), "jaccard-rows")
+    one = F.xxhash64(F.min("doc_id")).bitwiseXOR(F.col("a")).alias("one")
+    classes = rows.where("__a is not null").groupBy(F.col("__a").alias("a"), F.col("__b").alias("b")).agg(F.min("__row").alias("cls"), F.first("n_shingles").alias("n"), one)
+    classes = written(classes, "jaccard-classes")
 
     # 2. rare shingles first
     def make_counted():
@@ -281,15 +311,19 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
                 also = np.flatnonzero(reach[doc] > band[doc])
                 gram = np.concatenate([mix(value ^ band[doc]), mix(value[also] ^ reach[doc[also]])])
                 doc = np.concatenate([doc, doc[also]])
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(key[doc])], names=["gram", "cls"])
-
-    grams = written(docs.select(text).mapInArrow(prefixes, "gram long, cls long"), "jaccard-grams")
-    least = grams.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-    edges = grams.join(least, "gram").select(F.col("cls").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-    groups = components(edges)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *(pa.array(k[doc]) for k in key)], names=["gram", "a", "b"])
+
+    # what occurs in one class only goes before names of classes are looked up
+    grams = written(mapped(docs.select(text), prefixes, "gram long, a long, b long"), "jaccard-grams")
+    shared = grams.groupBy("gram").agg(*[f(c).alias(f"{c}{k}") for c in "ab" for k, f in enumerate((F.min, F.max))]).where("a0 < a1 or b0 < b1").select("gram")
+    posts = grams.join(shared, "gram").join(classes.select("a", "b", "cls", "n"), ["a", "b"]).select("gram", "cls", "n").distinct()
+    posts = written(posts, "jaccard-posts")
+    dropped(counts, grams)
+    low = posts.groupBy("gram").agg(F.min("cls").alias("low"))
+    groups = components(posts.join(low, "gram").select(F.col("cls").alias("u"), F.col("low").alias("v")))
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
-    sizes = rows.where("__cls is not null").groupBy(F.col("__cls").alias("cls")).agg(F.first("n_shingles").alias("n"), F.xxhash64(F.min("doc_id")).bitwiseXOR(F.first("__cls")).alias("one"))
-    members = written(_blocks(members.join(sizes, "cls")), "jaccard-groups")
+    members = written(_blocks(members.join(classes, "cls")), "jaccard-groups")
+    dropped(groups)
 
     # 3. sets of the candidates, from the row with the least doc_id of each class
     wanted = spark.sparkContext.broadcast(sketch.build_set(members, "one"))
@@ -300,58 +334,63 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
             for part in slices(batch, text):
                 value, cut = _sets(part.column(text), shingle)
                 size = np.diff(cut)
-                key = _class_keys(value, cut)
-                one = wanted.value.holds((key ^ part.column("id_key").to_numpy()).view(np.uint64))
-                at = np.flatnonzero(one)
-                at = at[_first_seen(key[at], size[at], seen)]
+                a, b = _class_keys(value, cut)
+                at = np.flatnonzero(wanted.value.holds((a ^ part.column("id_key").to_numpy()).view(np.uint64)))
+                at = at[_first_seen((a[at], b[at]), size[at], seen)]
                 raw = [value[cut[d] : cut[d + 1]].tobytes() for d in at]
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(raw, pa.binary())], names=["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(raw, pa.binary())], names=["a", "b", "shingles"])
 
-    sets = docs.select(text, F.xxhash64("doc_id").alias("id_key")).mapInArrow(emit_sets, "cls long, shingles binary")
-    held = sets.join(members, "cls").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("grp", "n", "blocks", "block", "shingles")))
+    sets = mapped(docs.select(text, F.xxhash64("doc_id").alias("id_key")), emit_sets, "a long, b long, shingles binary")
+    held = sets.join(members, ["a", "b"]).groupBy("cls").agg(*(F.first(c).alias(c) for c in ("grp", "n", "blocks", "block", "shingles")))
     held = written(held, "jaccard-sets")
+    dropped(wanted, members)
 
-    # 4. links inside blocks, then between what is left of large groups
-    found = []
-    active = held
+    # 4. links inside blocks, until the blocks of a group find no more
+    found, every = [], []
+    active, old = held, None
     for _ in range(20):
         links = written(_block_links(active, percent), "jaccard-links")
+        every.append(links)
         found.append(links.where("cls <> root").select(F.col("cls").alias("u"), F.col("root").alias("v")))
         large = active.where("blocks > 1")
         roots = links.where("cls = root").select("cls")
         survivors = written(_blocks(large.join(roots, "cls", "left_semi")), "jaccard-active")
         now, then = survivors.count(), large.count()
-        active = survivors
+        if old is not None:
+            dropped(old)
+        active = old = survivors
         if now == 0 or now > 0.9 * then:
             break
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+    pairs = reduce(DataFrame.unionByName, found)
     merged = components(pairs)
 
-    split = held.where("blocks > 1")
+    # 5. links between what blocks have left apart
+    split = held.where("blocks > 1").select("cls")
     if not split.isEmpty():
-        labelled = split.join(merged.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("root", "cls"))
-        tally = labelled.groupBy("grp", "label").count()
-        largest = tally.groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.countDistinct("label").alias("labels")).where("labels > 1")
-        labelled = written(labelled.join(largest, "grp").select("grp", "block", "blocks", "cls", "label", "main", "n", "shingles"), "jaccard-labelled")
-        apart = labelled.where("label <> main")
-        size = apart.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("n") / F.lit(BLOCK_NONZEROS))).cast("long").alias("chunks"))
-        others = apart.join(size, "grp").withColumn("chunk", F.pmod(F.xxhash64("cls", "chunks"), F.col("chunks"))).drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        inside = labelled.join(size, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        pairs = pairs.unionByName(_cross_links(inside, others, percent))
-        merged = components(pairs)
+        label = split.join(merged.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("label"))
+        near = written(_apart(posts.join(label, "cls"), percent), "jaccard-apart")
+        side = lambda c, s: held.select(F.col("cls").alias(c), F.col("shingles").alias(s))
+        more = written(_overlaps(near.join(side("u", "s"), "u").join(side("v", "t"), "v"), percent), "jaccard-links")
+        dropped(near, merged)
+        merged = components(pairs.unionByName(more))
+        dropped(more)
+    dropped(posts, held, *every)
 
     # back to rows: the least doc_id of each component, and the first row that has it
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
-    root = rows.where("__cls is not null").groupBy("__cls").agg(first).join(merged.withColumnRenamed("node", "__cls"), "__cls", "left").withColumn("root", F.coalesce("root", "__cls"))
+    each = rows.where("__a is not null").groupBy("__a", "__b").agg(first).join(classes.select(F.col("a").alias("__a"), F.col("b").alias("__b"), "cls"), ["__a", "__b"])
+    root = each.join(merged.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = root.groupBy("root").agg(F.min("first").alias("first"))
-    by_class = root.select("__cls", "root").join(lowest, "root").select("__cls", F.col("first.doc_id").alias("component_id"), F.col("first.__row").alias("__kept"))
-    empty = F.col("__cls").isNull()
+    by_class = root.select(F.col("__a").alias("__ca"), F.col("__b").alias("__cb"), "root").join(lowest, "root").select("__ca", "__cb", F.col("first.doc_id").alias("component_id"), F.col("first.__row").alias("__kept"))
+    by_class = written(by_class, "jaccard-classes")
+    dropped(classes, merged)
+    empty = F.col("__a").isNull()
     new = ("n_shingles", "component_id", "is_representative")
+    # rows without words get keys of their own, so that they don't meet in one task
+    ready = rows.withColumn("__empty", empty).withColumn("__a", F.coalesce("__a", F.monotonically_increasing_id()))
     return (
-        rows.join(by_class, "__cls", "left")
-        .withColumn("component_id", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")))
-        .withColumn("is_representative", empty | (F.col("__row") == F.col("__kept")))
+        ready.join(by_class, (F.col("__a") == F.col("__ca")) & (F.col("__b") == F.col("__cb")), "left")
+        .withColumn("component_id", F.when(F.col("__empty"), F.col("doc_id")).otherwise(F.col("component_id")))
+        .withColumn("is_representative", F.col("__empty") | (F.col("__row") == F.col("__kept")))
         .select(*[f"`{c}`" for c in keep if c not in new], *new)
     )

@@ -166,6 +166,106 @@ def test_quality(docs, labels, empty):
     assert quality.judge(empty, quality.fit(empty, labels)).count() == 0
 
 
+def line_features(text):
+    """The lines with words of a text, and their features, in plain Python."""
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    every = WORD.findall(text)
+    (starts,) = repeats([every], 8)
+    again, at, seen, out = covered(len(every), starts, 8), 0, set(), []
+    for line in lines:
+        w = WORD.findall(line)
+        n, raw = len(w), line.encode()
+        letters = max(sum(b >= 128 or chr(b).isalpha() for b in raw), 1)
+        out.append([
+            1, min(sum(c in "#*$%&|<>" for c in line) / n, 2), sum("A" <= c <= "Z" for c in line) / letters, min(line.count("!") / n, 2), min(line.count("|") / n, 1),
+            sum("0" <= c <= "9" for c in line) / len(raw), min(len(raw) / n, 20) / 10, min(np.log1p(n), 6) / 3, line in seen, sum(again[at : at + n]) / n,
+            sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, raw[-1:] == b".", n < 4, 1 / len(lines),
+        ])
+        seen.add(line)
+        at += n
+    return lines, np.array(out, float).reshape(len(lines), quality.N_FEATURES)
+
+
+def best_labels(score, step):
+    """The best path, by all of its best beginnings."""
+    paths = {0: (0.0, []), 1: (0.0, [])}
+    for t, s in enumerate(score):
+        paths = {b: max((v + (step[a, b] if t else 0) + (s if b else 0), p + [b]) for a, (v, p) in paths.items() if t or a == b) for b in (0, 1)}
+    return max(paths.values())[1] if len(score) else []
+
+
+def test_quality_verdicts_against_plain_python(spark, docs, labels):
+    rng = np.random.default_rng(6)
+    weights = np.array([0.3, -3, -2, -3, -4, -3, 0.1, 0.5, -0.6, -1, -2, 1.4, -0.1, 1.0])  # some for either label
+    model = quality.LineModel(weights, np.array([[0.2, -0.1], [-0.3, 0.1]]))
+    menu = ["Home | News | About", "!!! BUY NOW !!! 100% $$$", "a short line.", "the quick brown fox jumps over the lazy dog again and again.", "one one one two two", "#*$ %&|<>"]
+    mixed = [(100 + i, "\n".join(rng.choice(menu, rng.integers(1, 30)))) for i in range(60)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()] + mixed
+    got = {(r["doc_id"], r["text"]): r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model).collect()}
+    contents = set()
+    for key in rows:
+        lines, x = line_features(key[1] or "")
+        label = best_labels((x.astype(np.float32).astype(float) @ model.weights).tolist(), model.step)
+        content = sum(len(WORD.findall(line)) for line, k in zip(lines, label, strict=True) if k)
+        r = got[key]
+        assert r["content_words"] == content and r["kept"] == (not r["base_failed"] and 2 * content >= r["n_words"])
+        contents.add(content / max(r["n_words"], 1))
+    assert len(contents) > 15
+
+
+def test_quality_gradient():
+    rng = np.random.default_rng(7)
+    x, size = rng.normal(size=(3, 4, quality.N_FEATURES)), np.array([4, 1, 3])
+    mark = rng.integers(0, 2, (3, 4)).astype(float)
+
+    def value(theta):
+        w, step = theta[: quality.N_FEATURES], theta[quality.N_FEATURES :].reshape(2, 2)
+        total = 0.0
+        for d in range(3):
+            s = x[d, : size[d]] @ w
+            path = lambda p, s=s: sum(a * b for a, b in zip(s, p, strict=True)) + sum(step[int(a), int(b)] for a, b in zip(p, p[1:], strict=False))
+            every = [path([int(c) for c in f"{k:0{size[d]}b}"]) for k in range(2 ** size[d])]
+            total += path(mark[d, : size[d]].tolist()) - np.log(np.exp(every).sum())
+        return total
+
+    theta = rng.normal(size=quality.N_FEATURES + 4)
+    g_w, g_s = quality._likelihood(quality.LineModel(theta[: quality.N_FEATURES], theta[quality.N_FEATURES :].reshape(2, 2)), [(x, mark, size)])
+    steps = np.eye(len(theta)) * 1e-6
+    np.testing.assert_allclose(np.r_[g_w, g_s.ravel()], [(value(theta + h) - value(theta - h)) / 2e-6 for h in steps], atol=1e-6)
+
+
+def test_quality_finds_planted_boilerplate_in_good_texts(spark):
+    """Lines of a kind that only whole rejected documents had in training, before, behind and inside good ones."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9)))
+    good = lambda: " ".join(word() for _ in range(rng.integers(12, 25))).capitalize() + "."
+    menu = lambda: " | ".join(word().upper() for _ in range(rng.integers(2, 5)))
+    rows = [(i, "\n".join((menu if i % 4 == 0 else good)() for _ in range(rng.integers(3, 12))), int(i % 4 > 0)) for i in range(400)]
+    fitted = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(fitted.drop("quality"), fitted.select("doc_id", "quality"))
+    planted, want = [], {}
+    for i in range(60):
+        lines, extra = [good() for _ in range(8)], [menu() for _ in range(1 + i % 6)]
+        cut = (0, 4, 8)[i % 3]
+        planted.append((i, "\n".join(lines[:cut] + extra + lines[cut:])))
+        want[i] = sum(len(x.split()) for x in lines)
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(planted, "doc_id long, text string"), model).collect()}
+    assert np.mean([got[i]["content_words"] == n for i, n in want.items()]) >= 0.9 and all(got[i]["kept"] for i in want)
+
+
+def test_quality_held_out(spark):
+    """Labelled rows beyond those of the fit: good ones stay, most bad ones go."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("doc_id is not null and quality is not null")
+    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    fitted = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(500)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(marks, "doc_id")
+    model = quality.fit(docs, labels, max_rows=500)
+    got = quality.judge(docs.join(fitted, "doc_id", "left_anti"), model).where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    shares = {r["quality"]: r["kept"] for r in got.collect()}
+    assert shares[1] >= 0.98 and shares[0] <= 0.1
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     step = rng.normal(size=(2, 2))

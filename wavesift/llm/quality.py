@@ -7,7 +7,10 @@ document stays if its content lines hold at least ``CONTENT_SHARE`` of its words
 base rules (word count, repeated 8-word windows) do not fail it.
 
 The chain is fitted by maximum likelihood on lines of at most ``MAX_LABELLED`` labelled
-documents, where every line carries the mark of its document.
+documents, where every line carries the mark of its document. Marks never change within
+such a document, so the chain would learn that they can't: lines of each rejected document,
+from one to all, are also put before, behind or into an accepted one, and these chains
+are learnt from as well.
 
 Null text: no words, so the base rules fail it. Repeated rows are judged alike. Labels
 with a null id or mark are ignored; of repeated labels the least mark counts.
@@ -25,6 +28,7 @@ from pyspark.sql import types as T
 
 from wavesift.llm.rows import with_columns
 from wavesift.llm.textops import byte_codes, covered, in_doc, mix, run_hash, slices, span_hash, utf8, word_hash, words
+from wavesift.llm.workers import mapped
 
 #: Labelled documents used for fitting at most: those with the least hash of the id.
 MAX_LABELLED = 2_000
@@ -34,6 +38,8 @@ MIN_WORDS = 20
 N_FEATURES = 14
 L2 = 1.0
 STEPS = 80
+#: Place of the feature that tells the number of lines.
+LINES = 13
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -199,10 +205,10 @@ def viterbi(score: np.ndarray, doc: np.ndarray, step: np.ndarray) -> np.ndarray:
 
 
 def _likelihood(model: LineModel, chains):
-    """Gradient of the log-likelihood over chains of equal marks, by forward-backward."""
+    """Gradient of the log-likelihood of the marks of all lines, by forward-backward."""
     g_w, g_s = np.zeros(N_FEATURES), np.zeros((2, 2))
     trans = np.exp(model.step)
-    for x, mark, size in chains:  # (docs, lines, features), padded
+    for x, mark, size in chains:  # (docs, lines, features) and (docs, lines), padded
         docs, lines, _ = x.shape
         pot = np.ones((docs, lines, 2))
         pot[:, :, 1] = np.exp(np.clip(x @ model.weights, -30, 30))
@@ -222,27 +228,42 @@ def _likelihood(model: LineModel, chains):
             bwd[:, t] = b
         post = fwd * bwd
         post /= post.sum(2, keepdims=True)
-        g_w += np.einsum("dl,dlf->f", (mark[:, None] - post[:, :, 1]) * live, x)
+        g_w += np.einsum("dl,dlf->f", (mark - post[:, :, 1]) * live, x)
         if lines > 1:
             pair = fwd[:, :-1, :, None] * trans * (pot[:, 1:] * bwd[:, 1:])[:, :, None, :]
             pair /= pair.sum((2, 3), keepdims=True)
             both = live[:, 1:, None, None]
             g_s -= (pair * both).sum((0, 1))
-            steps = np.maximum(size - 1, 0)
-            g_s[0, 0] += steps[mark == 0].sum()
-            g_s[1, 1] += steps[mark == 1].sum()
+            np.add.at(g_s, (mark[:, :-1].astype(int)[live[:, 1:]], mark[:, 1:].astype(int)[live[:, 1:]]), 1)
     return g_w, g_s
 
 
-def _train(features: list[np.ndarray], marks: np.ndarray) -> LineModel:
+def joined(features: list[np.ndarray], marks: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Lines and marks of the documents, and of lines of each rejected one before, behind or inside an accepted one."""
+    lines, line_marks = list(features), [np.full(len(f), m) for f, m in zip(features, marks, strict=True)]
+    good, bad = np.flatnonzero(marks == 1), np.flatnonzero(marks == 0)
+    for nth, j in enumerate(bad if len(good) else []):
+        i = good[nth % len(good)]
+        cut = (0, len(features[i]), len(features[i]) // 2)[nth % 3]
+        n = 1 + nth // 3 % len(features[j])
+        x = np.concatenate([features[i][:cut], features[j][:n], features[i][cut:]])
+        x[:, LINES] = 1 / len(x)
+        lines.append(x)
+        line_marks.append(np.concatenate([line_marks[i][:cut], line_marks[j][:n], line_marks[i][cut:]]))
+    return lines, line_marks
+
+
+def _train(features: list[np.ndarray], marks: list[np.ndarray]) -> LineModel:
     order = np.argsort([len(f) for f in features], kind="stable")
     chains = []
     for part in np.array_split(order, max(1, len(order) // 250)):
         size = np.array([len(features[i]) for i in part])
         x = np.zeros((len(part), max(size.max(initial=1), 1), N_FEATURES))
+        mark = np.zeros(x.shape[:2])
         for row, i in enumerate(part):
             x[row, : len(features[i])] = features[i]
-        chains.append((x, marks[part].astype(np.float64), size))
+            mark[row, : len(features[i])] = marks[i]
+        chains.append((x, mark, size))
     lines = max(1, sum(len(f) for f in features))
     theta, m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
     for i in range(1, STEPS + 1):
@@ -276,12 +297,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Lin
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array([mark], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["quality", "x"])
 
-    got = rows.mapInArrow(lines, "quality int, x binary").toArrow()
+    # in an order that doesn't depend on the partitions
+    got = mapped(rows, lines, "quality int, x binary").toArrow().sort_by([("quality", "ascending"), ("x", "ascending")])
     features = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got.column("x").to_pylist()]
     marks = got.column("quality").to_numpy()
     if not len(features):
         return LineModel(np.eye(1, N_FEATURES)[0], np.zeros((2, 2)))
-    return _train(features, marks)
+    return _train(*joined(features, marks))
 
 
 FIELDS = [

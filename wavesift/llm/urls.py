@@ -4,13 +4,15 @@ Rules name a host (with its subdomains) and a path prefix; the longest that fits
 decides. For all other URLs two variable-order Markov models give the probability of
 the characters, one of accepted and one of rejected URLs. Each order's estimate is
 smoothed towards the next lower one; the counts of all URLs go in. The score is the
-difference of the log-likelihoods by length, and a URL is blocked above a
-threshold calibrated on a quarter of the URLs that gave no counts.
-
-The URLs to learn from are told apart by terms of a block list in the host
-(``TERMS``, a parameter): hosts with a term as a label, or as a part of one between
-hyphens, are rejected, all others accepted. Digits at the end of a part don't matter.
-A term with ``*`` stands for all parts that begin with it.
+difference of the log-likelihoods by length, and a URL is blocked above a cut that a
+quarter of the hosts set, whose URLs gave no counts: at most ``FALSE`` of their accepted
+URLs are beyond it, of those without a rule, as the models judge no others. If there the rejected ones aren't at least ``GAIN`` times as
+frequent, the models tell nothing and block nothing.
+
+Marks to learn from are no list of words. A URL under a rule has the rule's verdict, and
+what the rule names (its host, its path prefix) isn't learnt, only the rest. Another URL
+is rejected if its page is poor: fewer than ``MIN_WORDS`` words outside tags, or more than
+``SYMBOLS`` of ``#*$%&|<>`` for each of them. URLs without a rule and a page teach nothing.
 Digits are alike to the models, so that page numbers don't matter.
 
 Counts are exact: one row for each distinct run of characters up to ``ORDERS`` long, in a
@@ -20,13 +22,13 @@ are joined with the counts, and what was found meets the chunk's rows in an exch
 A context occurs as often as the shorter run that ends with it, so runs are all that is counted.
 
 Nulls: a null URL, or one without ``://``, has an empty host and path and no characters;
-its score is 0. Repeated URLs count as often as they stand there.
+its score is 0 and it is allowed. Repeated URLs count as often as they stand there. Of rules
+of equal length the later one counts.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavesift.llm.shared import written
+from wavesift.llm.shared import dropped, written
 from wavesift.llm.textops import slices, utf8
+from wavesift.llm.workers import mapped
 
 #: (verdict, rule): host up to the first slash, then the path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Block-list terms of hosts that count as rejected when the models learn.
-TERMS = ("adult", "ads", "bets", "casino", "gambl*", "loan", "pills", "poker", "porn", "spam", "track", "viagra")
+#: Pages with fewer words, or more symbols a word, mark their URL as rejected.
+MIN_WORDS, SYMBOLS = 20, 0.1
+#: Share of accepted URLs beyond the cut at most, and how many times more frequent rejected ones are there at least.
+FALSE, GAIN = 0.01, 3.0
 #: Orders of the models; six characters of 9 bits and the order fit a key.
 ORDERS = 6
 #: Rows of a chunk, as a power of two, and distinct runs that a task counts before it hands them on.
@@ -50,18 +55,20 @@ HELD = 1_000_000
 SMOOTH = 2.0
 #: Bins of a nat of score for the calibration.
 BINS = 50
-#: Rejected when no calibration URL tells where to cut.
-DEFAULT_CUT = 0.0
 
 
 @dataclass(frozen=True)
 class UrlModel:
-    """counts: (gram, accepted, rejected); symbols and texts: how many were counted, accepted and rejected."""
+    """counts: (gram, accepted, rejected); symbols and texts: how many were counted, accepted and rejected.
+
+    held: shares of accepted and of rejected URLs of held-out hosts beyond the cut, None if there are no such URLs.
+    """
 
     counts: DataFrame
     symbols: tuple[int, int]
     texts: tuple[int, int]
-    cut: float = DEFAULT_CUT
+    cut: float = float("inf")
+    held: tuple[float | None, float | None] = (None, None)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -84,17 +91,33 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _prepared(pages: DataFrame, url: str, terms) -> DataFrame:
-    """Host, path, the characters to model, whether the host is rejected, and the part for calibration."""
+def poor(html: Column) -> Column:
+    """Whether a page has few words outside of tags, or many symbols among them; null for a null page."""
+    pieces = F.filter(F.split(F.concat(F.lit(">"), html), "<"), lambda p: ~p.rlike("(?i)^(?:script|style|!)"))
+    text = F.array_join(F.transform(pieces, lambda p: F.regexp_replace(p, "^[^>]*>", " ")), "")
+    text = F.regexp_replace(text, "&#?[A-Za-z0-9]+;", " ")
+    words = F.size(F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != ""))
+    symbols = F.length(F.regexp_replace(text, "[^#*$%&|<>]", ""))
+    return (words < MIN_WORDS) | (symbols > SYMBOLS * words)
+
+
+def _chars(host: Column, path: Column) -> Column:
+    return F.regexp_replace(F.concat(host, path), "[0-9]+", "0")
+
+
+def marked(pages: DataFrame, url: str = "url", html: str | None = "html", rules=RULES) -> DataFrame:
+    """__chars to learn from, whether they are __rejected or __ruled, and whether the host is __held for the calibration."""
     host, path = host_and_path(F.col(f"`{url}`"))
-    parts = "|".join(re.escape(t.removesuffix("*")) + ("[^.:@-]*" if t.endswith("*") else "") for t in terms)
-    listed = host.rlike(rf"(?:^|[.@-])(?:{parts})[0-9]*(?:[.:-]|$)") if parts else F.lit(False)
-    return (
-        pages.withColumns({"host": host, "path": path})
-        .withColumn("__chars", F.regexp_replace(F.concat(F.col("host"), F.col("path")), "[0-9]+", "0"))
-        .withColumn("__listed", F.coalesce(listed, F.lit(False)))
-        .withColumn("__held", F.crc32(F.coalesce(F.col(f"`{url}`"), F.lit(""))) % 4 == 2)
-    )
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    page = F.lit(None).cast("boolean") if html is None else poor(F.col(f"`{html}`"))
+    rows = pages.select(host.alias("host"), path.alias("path"), page.alias("page")).withColumns({"rule": rule, "verdict": verdict})
+    named = F.substring_index("rule", "/", 1)
+    prefix = F.length("rule") - F.length(named)
+    rest_host = F.when(F.col("rule").isNull(), F.col("host")).otherwise(F.substring(F.col("host"), F.lit(1), F.length("host") - F.length(named)))
+    rest_path = F.when(F.col("rule").isNull(), F.col("path")).otherwise(F.substring(F.col("path"), prefix + 1, F.length("path")))
+    rejected = F.coalesce(F.col("verdict") == "block", F.col("page"))
+    held = F.crc32(F.col("host")) % 4 == 2
+    return rows.select(_chars(rest_host, rest_path).alias("__chars"), rejected.alias("__rejected"), held.alias("__held"), F.col("rule").isNotNull().alias("__ruled")).where("__rejected is not null and __chars <> ''")
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray):
@@ -123,9 +146,12 @@ def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def fit(pages: DataFrame, url: str = "url", terms=TERMS) -> UrlModel:
-    """Count all URLs but the calibration quarter, then set the cut on that quarter."""
-    rows = _prepared(pages.select(F.col(f"`{url}`").alias("url")), "url", terms).select("__chars", "__listed", "__held")
+def fit(pages: DataFrame, url: str = "url", html: str | None = "html", rules=RULES) -> UrlModel:
+    """Count all marked URLs but those of the calibration hosts, then set the cut on these.
+
+    With ``html=None`` the rules alone give marks.
+    """
+    rows = marked(pages, url, html, rules)
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -137,7 +163,7 @@ def fit(pages: DataFrame, url: str = "url", terms=TERMS) -> UrlModel:
 
         for batch in batches:
             for part in slices(batch, "__chars"):
-                kind = part.column("__listed").to_numpy(zero_copy_only=False).astype(np.int64)
+                kind = part.column("__rejected").to_numpy(zero_copy_only=False).astype(np.int64)
                 for doc, _, gram in _grams(*utf8(part.column("__chars"))):
                     held.append(np.unique(gram << 1 | kind[doc], return_counts=True))
                     size += len(held[-1][0])
@@ -150,30 +176,31 @@ def fit(pages: DataFrame, url: str = "url", terms=TERMS) -> UrlModel:
         if held:
             yield from out()
 
-    got = rows.where("not __held").select("__chars", "__listed").mapInArrow(count, "gram long, accepted long, rejected long")
+    got = mapped(rows.where("not __held").select("__chars", "__rejected"), count, "gram long, accepted long, rejected long")
     counts = written(got.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "url-grams")
     # order 0 has a row for each character, and the end mark is in every text once
     ends, both = F.col("gram") == 1, ("accepted", "rejected")
     sums = counts.where(f"gram < {1 << 9}").agg(*[F.sum(c) for c in both], *[F.sum(F.when(ends, F.col(c))) for c in both]).first()
     total = [int(x or 0) for x in sums]
     model = UrlModel(counts, (total[0], total[1]), (total[2], total[3]))
-    held = _scored(rows.where("__held").select("__chars", "__listed"), model)
-    bins = held.groupBy("__listed", F.floor(F.col("score") * BINS).alias("bin")).count().collect()
-    return UrlModel(counts, model.symbols, model.texts, _cut([(r["__listed"], r["bin"], r["count"]) for r in bins]))
-
-
-def _cut(bins: list[tuple[bool, int, int]]) -> float:
-    """Middle of the range of cuts with the least sum of both error rates."""
-    good, bad = (sum(n for listed, _, n in bins if listed is x) for x in (False, True))
-    if not good or not bad:
-        return DEFAULT_CUT
-    errors = {}
-    for at in sorted({b for _, b, _ in bins} | {b + 1 for _, b, _ in bins}):
-        wrong = sum(n for listed, b, n in bins if not listed and b >= at) / good
-        errors[at] = wrong + sum(n for listed, b, n in bins if listed and b < at) / bad
-    least = min(errors.values())
-    best = [at for at, e in errors.items() if e == least]
-    return (best[0] + best[-1]) / 2 / BINS
+    held, chunked = _scored(rows.where("__held and not __ruled").select("__chars", "__rejected"), model)
+    bins = held.groupBy("__rejected", F.floor(F.col("score") * BINS).alias("bin")).count().collect()
+    dropped(chunked)
+    cut, shares = _cut([(r["__rejected"], r["bin"], r["count"]) for r in bins])
+    return replace(model, cut=cut, held=shares)
+
+
+def _cut(bins: list[tuple[bool, int, int]]) -> tuple[float, tuple[float | None, float | None]]:
+    """The least cut with at most FALSE of the accepted beyond it, and the shares of both beyond it."""
+    total = [sum(n for rejected, _, n in bins if rejected is x) for x in (False, True)]
+    if not all(total):
+        return float("inf"), (0.0 if total[0] else None, 0.0 if total[1] else None)
+    beyond = lambda at: [sum(n for rejected, b, n in bins if rejected is x and b >= at) / total[x] for x in (False, True)]
+    for at in sorted({b + 1 for _, b, _ in bins}):
+        good, bad = beyond(at)
+        if good <= FALSE:
+            break
+    return (at / BINS, (good, bad)) if bad > 0 and bad >= GAIN * good else (float("inf"), (0.0, 0.0))
 
 
 def log_ratio(keys: np.ndarray, counts: np.ndarray, symbols, texts, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -208,8 +235,8 @@ def _runs(columns: list[np.ndarray]):
         yield from zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
 
 
-def _scored(rows: DataFrame, model: UrlModel) -> DataFrame:
-    """The rows with the score of their __chars instead of them."""
+def _scored(rows: DataFrame, model: UrlModel) -> tuple[DataFrame, DataFrame]:
+    """The rows with the score of their __chars instead of them, and the written table that this reads."""
     kept = [c for c in rows.columns if c != "__chars"]
     chunked = written(rows.withColumn("__chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "url-rows")
 
@@ -231,7 +258,7 @@ def _scored(rows: DataFrame, model: UrlModel) -> DataFrame:
                     held.append(np.unique(np.concatenate([g for _, _, g in _grams(*utf8(part.column("__chars").slice(lo, hi - lo)))])))
         yield from out()
 
-    known = chunked.select("__chars", "__chunk").mapInArrow(grams, "chunk long, gram long").join(model.counts, "gram")
+    known = mapped(chunked.select("__chars", "__chunk"), grams, "chunk long, gram long").join(model.counts, "gram")
     whole = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
     both = known.select("chunk", F.lit(0).alias("side"), "gram", "accepted", "rejected").unionByName(
         chunked.select(F.col("__chunk").alias("chunk"), F.lit(1).alias("side"), F.col("__chars").alias("chars"), whole), allowMissingColumns=True
@@ -258,17 +285,21 @@ def _scored(rows: DataFrame, model: UrlModel) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(ratio)], names=["row", "score"])
 
     schema = T.StructType([T.StructField("row", dealt.schema["row"].dataType), T.StructField("score", T.DoubleType())])
-    out = dealt.mapInArrow(score, schema)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "score")
+    out = mapped(dealt, score, schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "score"), chunked
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """Add host, path, rule, score and verdict to every row."""
     new = ("host", "path", "rule", "score", "verdict")
     kept = [c for c in (pages.columns if keep is None else keep) if c.lower() not in new]
-    quoted = [F.col(f"`{c}`") for c in dict.fromkeys([*kept, url])]
-    rows = _prepared(pages.select(*quoted), url, ())
-    out = _scored(rows.select(*[F.col(f"`{c}`") for c in kept], "host", "path", "__chars"), model)
+    # columns of the input have names of their own meanwhile
+    own = {c: f"__in{i}" for i, c in enumerate(kept)}
+    host, path = host_and_path(F.col(f"`{url}`"))
+    rows = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], host.alias("host"), path.alias("path")).withColumn("__chars", _chars(F.col("host"), F.col("path")))
+    out, _ = _scored(rows, model)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("score") > model.cut, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)}).select(*[F.col(f"`{c}`") for c in kept], *new)
+    some = (F.col("host") != "") | (F.col("path") != "")
+    method = F.when(some & (F.col("score") > model.cut), F.lit("block")).otherwise(F.lit("allow"))
+    judged = out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)})
+    return judged.select(*[F.col(n).alias(c) for c, n in own.items()], *new)

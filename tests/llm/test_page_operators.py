@@ -1,5 +1,6 @@
 """URL filter, layout extraction and vector search."""
 
+import time
 import zlib
 from collections import Counter
 
@@ -138,6 +139,88 @@ def test_layout_by_rules(css, html, want):
     assert layout.text_of(f"<style>{css}</style>{html}") == want
 
 
+@pytest.mark.parametrize("css, html, want", [
+    ("p.x{display:none}", "<p class=x>n</p><div class=x>y</div>", "y"), (".x.z{display:none}", "<p class=x>y<p class='z q x'>n", "y"), ("p#i{display:none}", "<p id=i>n</p>y", "y"), ("*{visibility:hidden} b{visibility:visible}", "n<b>y</b>", "y"),
+    (".x.z{display:block} .x{display:none}", "<p class='x z'>y", "y"), ("div .x{display:none}", "<div><p class=x>y</div>", "y"),
+])
+def test_layout_by_compound_selectors(css, html, want):
+    assert layout.text_of(f"<style>{css}</style>{html}") == want
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e</table>", "a  b  c\n   d  e"), ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf     g"),
+    ("<table><tr><td>" + "x" * 60 + "<td>1<tr><td>y<td>2</table>", "x" * 60 + "  1\ny" + " " * 61 + "2"),
+    ("<table><tr><td>" + "word " * 30 + "<td>1<tr><td>y<td>2</table>", "word " * 15 + "word  1\n" + "word " * 13 + "word\ny" + " " * 80 + "2"),
+    ("<table><tr><td>" + "x" * 200 + "<td>1<tr><td>y<td>2</table>", "x" * 200 + "  1\ny  2"), ("<table><tr><td>" + "word " * 30 + "</table>", ("word " * 30).strip()),
+    ("<table><tr><td colspan=2>a long heading<td>c<tr><td>1<td>2<td>3</table>", "a long heading  c\n1  2            3"), ("<table><tr><td colspan=900>a<td>b<tr><td>1</table>", "a  b\n1"),
+])
+def test_layout_of_spans_and_wide_cells(html, want):
+    assert layout.text_of(html) == want
+
+
+@pytest.mark.parametrize("html", ["<b>{}</b>", "<i>{}", "<table>{}<td>", "<ul>{}<li>", "<p>{}<div>", "</b>{}<b><div>"])
+def test_layout_takes_linear_time(html):
+    """Runs of opened, ended and misplaced tags."""
+    before, after = html.split("{}")
+    for n in (20_000,):
+        began = time.process_time()
+        layout.text_of(before * n + "<div>" * n + after * n + "</div></b></p>" * n + "end")
+        assert time.process_time() - began < 20
+
+
+INLINE, LINE, PARAGRAPH = ("b", "span", "i", "a"), ("div", "section", "main"), ("p", "blockquote", "h2")
+
+
+def tree(rng, depth=0, inside=()):
+    """A random element: (tag, hidden, children), children being words or elements that HTML allows there."""
+    kinds = INLINE if any(t in INLINE + ("p", "h2") for t in inside) else INLINE + LINE + PARAGRAPH
+    out = []
+    for _ in range(rng.integers(1, 5)):
+        if depth > 4 or rng.random() < 0.5:
+            out.append(f"w{rng.integers(1 << 40)}")
+        else:
+            tag = str(rng.choice(kinds))
+            out.append((tag, bool(rng.random() < 0.1), tree(rng, depth + 1, (*inside, tag))))
+    return out
+
+
+def as_html(nodes, rng):
+    out = []
+    for x in nodes:
+        if isinstance(x, str):
+            out.append(f"{' ' * rng.integers(1, 3)}{x}\n")
+        else:
+            hide = rng.choice([" hidden", " style='display: none'", " class='q gone'", " id=away"]) if x[1] else rng.choice(["", " class=q", " style='color:red'"])
+            out.append(f"<{x[0]}{hide}>{as_html(x[2], rng)}</{x[0]}>")
+    return "".join(out)
+
+
+def as_lines(nodes):
+    """Words and the breaks between them: 0 none, 1 a new line, 2 an empty line; in plain recursion."""
+    out = []
+    for x in nodes:
+        if isinstance(x, str):
+            out.append(x)
+        elif not x[1]:
+            size = 2 if x[0] in PARAGRAPH else 1 if x[0] in LINE else 0
+            out += [size, *as_lines(x[2]), size]
+    return out
+
+
+def test_layout_against_plain_recursion():
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        nodes = tree(rng)
+        text, gap = "", 0
+        for x in as_lines(nodes):
+            if isinstance(x, int):
+                gap = max(gap, x)
+            else:
+                text += ("" if not text else " " if gap == 0 else "\n" * gap) + x
+                gap = 0
+        assert layout.text_of("<style>.gone{display:none} #away{display:none}</style>" + as_html(nodes, rng)) == text
+
+
 def test_layout_of_tables_of_pages(spark):
     df = spark.createDataFrame([(1, "<p>a", "x"), (1, "<p>a", "x"), (2, None, "y"), (3, "<div>" * 20_000 + "deep", "z")], "page_id long, html string, text string")
     got = sorted((r["page_id"], r["text"], r["n_chars"], r["n_lines"]) for r in layout.extract(df).collect())

@@ -7,24 +7,29 @@ walks it without recursion and writes all text a reader would see:
 * blocks on their own lines, paragraphs and headings apart by an empty line;
 * white space folded, except in preformatted text;
 * list items with ``-`` or their number, nested ones indented;
-* table cells padded to their column's width, at most ``MAX_PAD`` characters.
+* table cells padded to their column's width, with their row and column spans. Cells with
+  others to the right are folded at ``CELL`` characters, between words; a longer word
+  sticks out of its column in its own line.
 
 Not shown: heads, scripts, styles, templates, embedded media; what is ``hidden``, or not
-displayed by its style attribute or a simple rule (tag, class or id) of a style sheet;
+displayed by its style attribute or a rule of a style sheet whose selector is a tag, an id,
+classes, or some of these together (``p.a#b``); rules that look at other elements don't count;
 closed details beyond their summary. ``visibility`` is inherited and can be turned on again.
 Rules for other media than a screen ``WIDTH`` pixels wide don't count; where a condition isn't
 known, rules can show but not hide. ``display`` of any value counts: the style attribute
-wins over ids, they over classes, they over tags, later rules over earlier ones, and
-``!important`` over all others.
+wins over ids, they over more and fewer classes, they over tags, later rules over earlier
+ones, and ``!important`` over all others.
 
 Nulls: a null page has an empty text. A tag that never ends drops the rest. Repeated
-rows are rendered alike. Work is linear in the length of a page.
+rows are rendered alike. Work is linear in the length of a page, whatever its tags are, but
+for rows beside cells that span them and elements that many rules name.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -33,7 +38,8 @@ from pyspark.sql import types as T
 
 from wavesift.llm.rows import with_columns
 
-MAX_PAD = 40
+#: Characters of a line of a cell that has others to its right.
+CELL = 80
 #: Values of display and visibility that hide.
 HIDING = frozenset("none hidden collapse".split())
 #: Width of the reader's screen in pixels, and pixels of the units of a media query.
@@ -69,16 +75,17 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 _STRING = r""""(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?"""
 _COMMENT = re.compile(rf"({_STRING})|/\*.*?(?:\*/|\Z)|<!--|-->", re.DOTALL)
 _PIECE = re.compile(rf"((?:{_STRING}|[^{{}};])*+)([{{}};]|\Z)", re.DOTALL)
-_SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*|[.#][a-z_][\w-]*)$")
+_SIMPLE = re.compile(r"(?=.)(?:[a-z][a-z0-9]*|\*)?(?:[.#][a-z_][\w-]*)*$")
+_PART = re.compile(r"[.#]?[\w-]+")
 _DECLARED = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?")
 _FEATURE = re.compile(r"\(\s*(min|max)-(?:device-)?width\s*:\s*([0-9]+(?:\.[0-9]+)?)(px|em|rem)\s*\)")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "ended")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.ended = tag, attributes, [], False
 
 
 def _tag_end(text: str, at: int, last: dict[str, int]) -> int:
@@ -135,55 +142,71 @@ def tokens(text: str):
 
 
 class Builder:
-    """The open elements and the tree made of them."""
+    """The open elements and the tree made of them.
+
+    Places of the open elements are known by tag, so that no end tag looks through all
+    of them. An inline element that ends before a block inside it stays in its place,
+    marked, until the block ends.
+    """
 
     def __init__(self):
         self.root = Node("html", {})
         self.open = [self.root]
-        self.counts = Counter(["html"])
+        self.places: dict[str, list[int]] = defaultdict(list, html=[0])
+        self.blocks = [0]
         self.sheet: list[str] = []
 
+    def last(self, tags) -> int:
+        """Place of the innermost open element with one of the tags, 0 if none."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
     def push(self, tag: str, attributes: dict[str, str]) -> None:
         node = Node(tag, attributes)
         self.open[-1].children.append(node)
+        self.places[tag].append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append(node)
-        self.counts[tag] += 1
 
     def pop(self) -> None:
-        self.counts[self.open.pop().tag] -= 1
+        tag = self.open.pop().tag
+        self.places[tag].pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
+        while self.open[-1].ended:
+            self.open.pop()
+
+    def cut(self, place: int) -> None:
+        """End the element at a place and all inside it."""
+        while len(self.open) > place:
+            self.pop()
 
     def end_open(self, ending, kept) -> None:
-        """Close the outermost of ``ending`` that is open inside the innermost of ``kept``."""
-        if not any(self.counts[t] for t in ending):
-            return
-        cut = None
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in ending:
-                cut = i
-                if len(ending) == 1:
-                    break
-            elif tag in kept:
-                break
-        if cut is not None:
-            while len(self.open) > cut:
-                self.pop()
+        """Close the outermost of ``ending`` (a single tag: the innermost) inside the innermost of ``kept``."""
+        border = self.last(kept)
+        found = []
+        for tag in ending:
+            places = self.places[tag]
+            if places and places[-1] > border:
+                found.append(places[-1] if len(ending) == 1 else places[bisect_right(places, border)])
+        if found:
+            self.cut(min(found))
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in ("html", "body"):
-            if self.counts["head"]:
+            if self.places["head"]:
                 self.end_open({"head"}, ())
             self.open[0].attributes |= attributes
             return
-        if self.counts["head"] and tag not in IN_HEAD and self.open[-1].tag == "head":
+        if self.places["head"] and tag not in IN_HEAD and self.open[-1].tag == "head":
             self.pop()
-        if tag in BLOCKS and self.counts["p"] and tag not in TABLE_PARTS:
+        if tag in BLOCKS and self.places["p"] and tag not in TABLE_PARTS:
             self.end_open(*_P_ENDS)
         if tag in ENDS:
             self.end_open(*ENDS[tag])
         elif tag[0] == "h" and tag[1:].isdigit() and self.open[-1].tag[0] == "h" and self.open[-1].tag[1:].isdigit():
             self.pop()
-        if tag in ("td", "th") and self.counts["table"] and self.open[-1].tag != "tr":
+        if tag in ("td", "th") and self.places["table"] and self.open[-1].tag != "tr":
             self.push("tr", {})
         if tag in VOID:
             self.open[-1].children.append(Node(tag, attributes))
@@ -193,24 +216,21 @@ class Builder:
     def end(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
-        if tag in ("html", "body", "br") or (not self.counts[tag] and tag != "p"):
+        if tag in ("html", "body", "br") or (not self.places[tag] and tag != "p"):
             return
-        if not self.counts[tag]:
+        if not self.places[tag]:
             self.open[-1].children.append(Node("p", {}))
             return
+        place = self.places[tag][-1]
         cell = {"td", "th", "caption"} if tag not in TABLE_PARTS and tag != "table" else {"table"} if tag != "table" else ()
-        for i in range(len(self.open) - 1, 0, -1):
-            node = self.open[i]
-            if node.tag == tag:
-                if tag not in BLOCKS and any(x.tag in BLOCKS for x in self.open[i + 1 :]):
-                    del self.open[i]  # an inline element that a block outlives
-                    self.counts[tag] -= 1
-                else:
-                    while len(self.open) > i:
-                        self.pop()
-                return
-            if node.tag in cell:
-                return
+        if self.last(cell) > place:
+            return
+        if tag not in BLOCKS and self.blocks[-1] > place:
+            # an inline element that a block outlives
+            self.open[place].ended = True
+            self.places[tag].pop()
+        else:
+            self.cut(place)
 
     def text(self, value: str) -> None:
         if self.open[-1].tag == "head":
@@ -265,9 +285,16 @@ def _applies(prelude: str) -> bool | None:
     return True if name == "layer" else None if name in ("container", "scope") else False
 
 
-def _rules(sheets: list[str]) -> dict[str, dict[str, tuple[str, bool, int]]]:
-    """Of simple selectors: value, whether important, and place of each property that counts."""
-    out: dict[str, dict[str, tuple[str, bool, int]]] = {}
+def _parts(selector: str) -> tuple[str, tuple[str, tuple[int, int, int], frozenset[str]]]:
+    """The part of a selector that the fewest elements have (an id, a class or the tag); the selector, its rank and all its parts."""
+    parts = _PART.findall(selector)
+    rank = sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), len(parts)
+    return max(parts, key=lambda p: (p[0] == "#", p[0] == "."), default="*"), (selector, rank, frozenset(parts))
+
+
+def _rules(sheets: list[str]) -> dict[str, dict[tuple, dict[str, tuple[str, bool, int]]]]:
+    """Value, whether important, and place of each property that counts, by a part of the selector and the selector."""
+    out: dict[str, dict[tuple, dict[str, tuple[str, bool, int]]]] = {}
     place = 0
     for sheet in sheets:
         # for each open block its simple selectors, whether it applies with all around it, and whether it is in a rule
@@ -280,9 +307,10 @@ def _rules(sheets: list[str]) -> dict[str, dict[str, tuple[str, bool, int]]]:
                     if applies is None and value in HIDING:
                         continue
                     for s in names:
-                        old = out.setdefault(s, {}).get(name)
-                        if old is None or important >= old[1]:
-                            out[s][name] = (value, important, place)
+                        part, whole = _parts(s)
+                        of = out.setdefault(part, {}).setdefault(whole, {})
+                        if name not in of or important >= of[name][1]:
+                            of[name] = (value, important, place)
                 place += 1
             if end == "{" and text.startswith("@"):
                 fits = _applies(text)
@@ -368,35 +396,84 @@ class Writer:
         return "\n".join(self.lines).strip("\n").replace("\xa0", " ")
 
 
+def _folded(line: str) -> list[str]:
+    """A line cut between words where it is longer than CELL."""
+    out, at = [], 0
+    while len(line) - at > CELL:
+        cut = line.rfind(" ", at, at + CELL + 1)
+        if cut <= at:
+            cut = line.find(" ", at + CELL)
+            if cut < 0:
+                break
+        out.append(line[at:cut])
+        at = cut + 1
+    return [*out, line[at:]]
+
+
 class Table:
     def __init__(self):
-        self.rows: list[list[tuple[str, int]]] = []
+        self.rows: list[list[tuple[str, int, int]]] = []
         self.caption = ""
 
-    def cell(self, text: str, span: int) -> None:
+    def cell(self, text: str, span: int, down: int) -> None:
+        """A cell that spans so many columns and rows; 0 rows for all that follow."""
         if not self.rows:
             self.rows.append([])
-        self.rows[-1].append((text, span))
+        self.rows[-1].append((text, span, down))
+
+    def _placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """Column, span and lines of the cells of each row; a cell from above keeps its columns."""
+        out, taken = [], []  # taken: (first column, end, rows left) from above, by column
+        for row in self.rows:
+            cells, at, k, still = [], 0, 0, []
+            for nth, (text, span, down) in enumerate(row):
+                while k < len(taken) and taken[k][0] < at + 1:
+                    at = max(at, taken[k][1])
+                    still.append(taken[k])
+                    k += 1
+                lines = text.split("\n")
+                if nth + 1 < len(row):
+                    lines = [x for line in lines for x in _folded(line)]
+                cells.append((at, span, lines))
+                if down != 1:
+                    still.append((at, at + span, down if down else len(self.rows)))
+                at += span
+            taken = sorted((a, b, n - 1) for a, b, n in still + taken[k:] if n > 1)
+            out.append(cells)
+        return out
 
     def lines(self) -> list[str]:
         """Rows with aligned columns; a row is as high as its highest cell."""
-        width: dict[int, int] = {}
-        for row in self.rows:
-            at = 0
-            for text, span in row:
+        placed = self._placed()
+        end = max((c[-1][0] + c[-1][1] for c in placed if c), default=0)
+        width = [0] * end
+        fitting = lambda lines: max((len(x) for x in lines if len(x) <= CELL), default=0)
+        for cells in placed:
+            for at, span, lines in cells:
                 if span == 1:
-                    width[at] = max(width.get(at, 0), min(MAX_PAD, max(map(len, text.split("\n")), default=0)))
-                at += span
+                    width[at] = max(width[at], fitting(lines))
+        # a cell over several columns widens the last of them where they are too narrow
+        start = [0]
+        for w in width:
+            start.append(start[-1] + w + 2 if w else start[-1])
+        more = [0] * (end + 1)
+        for cells in placed:
+            for at, span, lines in cells[:-1]:
+                if span > 1:
+                    more[at + span] = max(more[at + span], fitting(lines) + 2 - (start[at + span] - start[at]))
+        moved = 0
+        for at in range(end + 1):
+            moved += more[at]
+            start[at] += moved
         out = self.caption.split("\n") if self.caption else []
-        for row in self.rows:
-            cells = [text.split("\n") for text, _ in row]
-            for k in range(max(map(len, cells), default=0)):
-                parts, at = [], 0
-                for lines, (_, span) in zip(cells, row, strict=True):
-                    pad = sum(width.get(at + j, 0) for j in range(min(span, 100))) + 2 * (min(span, 100) - 1)
-                    parts.append((lines[k] if k < len(lines) else "").ljust(pad))
-                    at += span
-                out.append("  ".join(parts).rstrip(" "))
+        for cells in placed:
+            for k in range(max((len(lines) for _, _, lines in cells), default=0)):
+                line = ""
+                for at, _, lines in cells:
+                    if k < len(lines) and lines[k]:
+                        line = line.ljust(start[at]) if len(line) <= start[at] - 2 or not start[at] else line + "  "
+                        line += lines[k]
+                out.append(line.rstrip(" "))
         return out
 
 
@@ -410,15 +487,18 @@ def _shown(node: Node, visible: bool, rules) -> tuple[bool, bool]:
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return False, visible
     # the last in this order wins: important, kind of selector, place
-    found: dict[str, tuple[bool, int, int, str]] = {}
+    none = (False, (-1, 0, 0), -1, "")
+    found: dict[str, tuple[bool, tuple[int, int, int], int, str]] = {}
     if rules:
-        names = [(0, node.tag), *((1, "." + c) for c in a.get("class", "").lower().split()), (2, "#" + a.get("id", "").lower())]
-        for kind, name in names:
-            for what, (value, important, place) in rules.get(name, {}).items():
-                found[what] = max(found.get(what, (False, -1, -1, "")), (important, kind, place, value))
+        names = {"*", node.tag, *("." + c for c in a.get("class", "").lower().split()), "#" + a.get("id", "").lower()}
+        for name in names & rules.keys():
+            for (_, rank, parts), of in rules[name].items():
+                if names >= parts:
+                    for what, (value, important, place) in of.items():
+                        found[what] = max(found.get(what, none), (important, rank, place, value))
     if "style" in a:
         for what, (value, important) in _style(a["style"]).items():
-            found[what] = max(found.get(what, (False, -1, -1, "")), (important, 3, 0, value))
+            found[what] = max(found.get(what, none), (important, (1 << 30, 0, 0), 0, value))
     if "display" in found and found["display"][3] == "none":
         return False, visible
     if "visibility" in found and found["visibility"][3] in ("visible", "hidden", "collapse"):
@@ -451,7 +531,8 @@ def render(root: Node, sheets: list[str]) -> str:
                 if tag == "caption":
                     tables[-1].caption = text
                 else:
-                    tables[-1].cell(text, max(1, _number(node.attributes.get("colspan"), 1, 1000)))
+                    a = node.attributes
+                    tables[-1].cell(text, max(1, _number(a.get("colspan"), 1, 1000)), _number(a.get("rowspan"), 1, 65_534))
                 continue
             if tag == "table":
                 for line in tables.pop().lines():

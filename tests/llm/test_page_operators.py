@@ -298,3 +298,39 @@ def test_queries_on_a_centroid_find_enough(spark, monkeypatch):
         assert rows[100][:5] == [200, 300, 400, 500, 600]
         if ratio == float("inf"):
             assert all(rows[q] == [i for i, _ in want[q]] for q in rows)
+
+
+def test_far_small_groups(spark):
+    """Queries of groups smaller than k, far from all others, get their k nearest from other lists."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(16, 1, 8)) * 20 + rng.normal(size=(16, 120, 8)) * 0.1]).reshape(-1, 8)
+    x[100:104] = 500 + rng.normal(size=(4, 8))
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    got = ann.neighbours(df, df.where("vec_id % 100 = 0")).toPandas()
+    want = search(x, ids)
+    assert got.groupby("query_id").size().to_dict() == dict.fromkeys(want, 10)
+    recall = [len({i for i, _ in want[q]} & set(got[got["query_id"] == q]["vec_id"])) / 10 for q in want]
+    assert np.mean(recall) >= 0.9
+    rows = got[got["query_id"] == 100].sort_values("rank")
+    assert rows["vec_id"].tolist()[:3] == [i for i, _ in want[100]][:3]
+
+
+def test_more_lists_than_are_fitted_at_once(spark, monkeypatch):
+    """Two levels of centroids, a graph from near cells, all of it reached, and searches in parts."""
+    monkeypatch.setattr(ann, "MANY", 32)
+    monkeypatch.setattr(ann, "ROWS_PER_LIST", 16)
+    monkeypatch.setattr(ann, "HELD_DISTANCES", 4_000)
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(60, 1, 12)) * 2 + rng.normal(size=(60, 100, 12))).reshape(-1, 12).astype(np.float32).astype(float)
+    assert ann.lists_for(6000) == 109 and ann.lists_for(600) == 34 and ann.lists_for(10**10) > 1000 * ann.lists_for(10**4)
+    points, cell = ann.centroids(x, 109)
+    index = ann.linked(points, cell)
+    assert 100 <= len(points) <= 130 and len(np.unique(cell)) > 5
+    assert np.isfinite(ann.search(index, x[:20], np.inf, 1)).all()
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").repartition(4)
+    got = ann.neighbours(df, df.where("vec_id % 100 = 0")).toPandas()
+    want = search(x, ids)
+    hits = [len({i for i, _ in want[q]} & set(rows["vec_id"])) for q, rows in got.groupby("query_id")]
+    assert len(hits) == 60 and np.mean(hits) >= 9

@@ -1,7 +1,10 @@
 """Nearest neighbours by balanced posting lists with replicated boundary vectors.
 
-1. Centroids come from a bounded sample by k-means whose assignments pay for the size a
-   list already has, so lists end up balanced.
+1. Centroids come from a sample by k-means whose assignments pay for the size a list
+   already has, so lists end up balanced. There are as many lists as ``ROWS_PER_LIST``
+   asks for up to ``MANY``, and beyond, their number and their length grow alike, with the
+   root of the vectors. Many centroids are fitted in two levels. The sample has ``MIN_SAMPLE``
+   vectors, or ``PER_LIST`` for each list if that is more, and is what the driver holds.
 2. A navigable graph over the centroids is held in memory by every task: near neighbours
    kept only if no closer one leads there, links back, and a link between parts that
    would be apart. Best-first search on it finds the lists near a vector.
@@ -35,10 +38,15 @@ from pyspark.sql import types as T
 from wavesift.llm.shared import dropped, written
 from wavesift.llm.workers import mapped
 
-#: Vectors the centroids are fitted on at most: those with the least hash of the id.
-MAX_SAMPLE = 20_000
+#: Vectors the centroids are fitted on, those with the least hash of the id: so many, or so many for each list.
+MIN_SAMPLE, PER_LIST = 20_000, 4
 ROWS_PER_LIST = 128
-MAX_LISTS = 2_048
+#: Lists that are fitted, and linked, all at once; beyond, their number grows with the root of the vectors.
+MANY = 2_048
+#: Cells of the upper level whose centroids may become neighbours in the graph.
+NEAR_CELLS = 8
+#: Distances that a task holds while it searches.
+HELD_DISTANCES = 1 << 22
 DEGREE = 16
 REPLICAS = 4
 CLOSURE = 1.02
@@ -94,20 +102,58 @@ def balanced_centroids(x: np.ndarray, k: int, steps: int = 8, seed: int = 7) ->
     return np.unique(points, axis=0)
 
 
-def linked(points: np.ndarray, degree: int = DEGREE) -> Centroids:
+def lists_for(n: int) -> int:
+    """Lists for so many vectors."""
+    return max(1, int(min(n // ROWS_PER_LIST, max(MANY, (n * MANY / ROWS_PER_LIST) ** 0.5))))
+
+
+def _nearest_of(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return np.concatenate([_distances(x[lo : lo + 512], points).argmin(1) for lo in range(0, len(x), 512)])
+
+
+def centroids(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """k balanced centroids, and the cell of the upper level of each (all in one up to MANY)."""
+    if k <= MANY:
+        points = balanced_centroids(x, k)
+        return points, np.zeros(len(points), np.int64)
+    upper = balanced_centroids(x[:MIN_SAMPLE], int(k**0.5) + 1)
+    cell = _nearest_of(x, upper)
+    points = [balanced_centroids(x[cell == c], -(-k * int((cell == c).sum()) // len(x))) for c in range(len(upper)) if (cell == c).any()]
+    points = np.unique(np.concatenate(points), axis=0)
+    return points, _nearest_of(points, upper)
+
+
+def _candidates(points: np.ndarray, cell: np.ndarray, most: int):
+    """Each centroid with the nearest others, of its own cell and the cells near it."""
+    cells = np.unique(cell)
+    middle = np.stack([points[cell == c].mean(0) for c in cells])
+    for c in range(len(cells)):
+        close = np.argsort(_distances(middle[c : c + 1], middle)[0], kind="stable")[:NEAR_CELLS]
+        there = np.flatnonzero(np.isin(cell, cells[close]))
+        own = np.flatnonzero(cell == cells[c])
+        for lo in range(0, len(own), 512):
+            rows = own[lo : lo + 512]
+            away = _distances(points[rows], points[there])
+            for i, d in zip(rows.tolist(), away, strict=True):
+                order = there[np.argsort(d, kind="stable")]
+                yield i, order[order != i][:most]
+
+
+def linked(points: np.ndarray, cell: np.ndarray | None = None, degree: int = DEGREE) -> Centroids:
     """The graph over the centroids."""
     k = len(points)
     links: list[list[int]] = [[] for _ in range(k)]
-    between = np.sqrt(_distances(points, points))
-    for i in range(k):
-        order = np.argsort(between[i], kind="stable")
-        order = order[order != i][: 4 * degree]
-        for j in order.tolist():
-            if len(links[i]) >= degree:
+    for i, order in _candidates(points, np.zeros(k, np.int64) if cell is None else cell, 4 * degree) if k else ():
+        group = np.concatenate([[i], order])
+        between = np.sqrt(_distances(points[group], points[group]))
+        taken: list[int] = []
+        for j in range(1, len(group)):
+            if len(taken) >= degree:
                 break
-            if not links[i] or between[j, links[i]].min() > between[i, j]:
-                links[i].append(j)
-        links[i] += [j for j in order.tolist() if j not in links[i]][: degree - len(links[i])]
+            if not taken or between[j, taken].min() > between[0, j]:
+                taken.append(j)
+        taken += [j for j in range(1, len(group)) if j not in taken][: degree - len(taken)]
+        links[i] = group[taken].tolist()
     both = [set(x) for x in links]
     for i, near in enumerate(links):
         for j in near:
@@ -118,13 +164,12 @@ def linked(points: np.ndarray, degree: int = DEGREE) -> Centroids:
     todo = [0] if k else []
     while todo or not seen.all():
         if not todo:
-            far = np.flatnonzero(~seen)
+            far = int(np.flatnonzero(~seen)[0])
             near = np.flatnonzero(seen)
-            at = between[np.ix_(near, far)]
-            a, b = np.unravel_index(at.argmin(), at.shape)
-            both[near[a]].add(int(far[b]))
-            both[far[b]].add(int(near[a]))
-            todo = [int(far[b])]
+            close = int(near[_distances(points[far : far + 1], points[near])[0].argmin()])
+            both[close].add(far)
+            both[far].add(close)
+            todo = [far]
         i = todo.pop()
         if not seen[i]:
             seen[i] = True
@@ -175,6 +220,8 @@ def calibrated(index: Centroids, x: np.ndarray, closure: float, replicas: int, k
     x = np.unique(x, axis=0)
     if len(x) <= k:
         return np.inf
+    if len(x) > MIN_SAMPLE:
+        x = x[:: -(-len(x) // MIN_SAMPLE)]
     asked = np.linspace(0, len(x) - 1, min(ASKED, len(x))).astype(np.int64)
     row, at = [], []
     for lo in range(0, len(x), 256):
@@ -216,18 +263,19 @@ def _flat(column: pa.Array, length: int) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", closure: float = CLOSURE, replicas: int = REPLICAS) -> tuple[Centroids, int, float]:
-    """Centroids and their graph from at most MAX_SAMPLE vectors, the vectors' length, and the ratio."""
+    """Centroids and their graph from a sample, the vectors' length, and the ratio."""
     v = F.col(f"`{vector}`")
     sizes = vectors.where(v.isNotNull() & (F.size(v) > 0)).groupBy(F.size(v).alias("size")).count().orderBy(F.desc("count"), "size").first()
     if sizes is None:
         return Centroids(np.empty((0, 0)), np.empty((0, 1), np.int64)), 0, 1.0
     length, n = sizes["size"], sizes["count"]
     sample = valid(vectors.select(F.col(f"`{key}`").alias("key"), v.alias("vector")), "vector", length)
-    got = sample.orderBy(F.xxhash64("key", "vector"), "key").limit(MAX_SAMPLE).select("vector").toArrow()
+    lists = lists_for(n)
+    got = sample.orderBy(F.xxhash64("key", "vector"), "key").limit(max(MIN_SAMPLE, PER_LIST * lists)).select("vector").toArrow()
     if not got.num_rows:
         return Centroids(np.empty((0, length)), np.empty((0, 1), np.int64)), length, 1.0
     x = _flat(got.column("vector").combine_chunks(), length)
-    index = linked(balanced_centroids(x, int(min(MAX_LISTS, max(1, n // ROWS_PER_LIST)))))
+    index = linked(*centroids(x, lists))
     return index, length, calibrated(index, x, closure, replicas)
 
 
@@ -237,8 +285,9 @@ def _posted(rows: DataFrame, index, length: int, kind: str, lists_of) -> DataFra
     def run(batches):
         salt = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            at_once = max(8, min(256, HELD_DISTANCES // len(index.value.points)))
+            for lo in range(0, batch.num_rows, at_once):
+                part = batch.slice(lo, at_once)
                 x = _flat(part.column("vector"), length)
                 row, at = lists_of(index.value, x)
                 raw = np.ascontiguousarray(x.astype(kind))
@@ -327,7 +376,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
 
     def met(asked):
         """What the queries find in their lists."""
-        # one row a list, MAX_LISTS at most
+        # one row a list; the lists' centroids are with every task anyway
         blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         chunks = asked.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
         sizes = F.broadcast(blocks.join(chunks, "list"))

@@ -296,6 +296,75 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute(x)]
 
 
+def plain_score(model, text):
+    """Score, passages and best passage of a text, one token at a time."""
+    import math
+
+    folded = "".join(c.lower() if c.isascii() or "\u00c0" <= c <= "\u00de" and c != "\u00d7" else c for c in text)
+    found = re.findall(r"(?:[a-zA-Z]|[^\x00-\x7f])+", folded)
+    table = [dict(zip(k.tolist(), v.tolist(), strict=True)) for k, v in ((model.word_keys, model.word_scores), (model.stem_keys, model.stem_scores))]
+
+    def of(token):
+        raw = np.frombuffer(token.encode(), np.uint8)
+        word, stem, _ = toxicity._tokens(raw, np.array([0, len(raw)]))
+        return table[0].get(int(word[0]), table[1].get(int(stem[0]), model.unseen))
+
+    x = [float(np.float32(of(t))) for t in found]
+    n = len(x)
+
+    def best_first(lo, hi):
+        total, least, best, start = 0.0, 0.0, (0.0, 0, 0), lo
+        for i in range(lo, hi):
+            total += x[i]
+            if total - least > best[0] + 1e-12:
+                best = (total - least, start, i + 1)
+            if total <= least:
+                least, start = total, i + 1
+        if best[0] <= 1e-12:
+            return []
+        return [*best_first(lo, best[1]), best, *best_first(best[2], hi)]
+
+    segments = best_first(0, n)
+    if not segments:
+        x = -8.0
+        return 1 / (1 + math.exp(-(model.slope * x + model.offset))), 0, (0, 0)
+    size = math.log(n) + model.log_k
+    strong = [s for s in segments if s[0] >= (size - math.log(toxicity.SIGNIFICANT)) / model.lam]
+    value = model.lam * sum(s[0] for s in strong) - len(strong) * size if strong else model.lam * max(segments)[0] - size
+    ranked, begins = [], set()
+    for s in sorted(segments, key=lambda s: -s[0]):
+        if found[s[1]] not in begins:
+            begins.add(found[s[1]])
+            ranked.append(s[0])
+    surprise = 0.0
+    for r, s in enumerate([s for s in ranked if s >= model.floor], 1):
+        expected = math.exp(model.log_k + math.log(n) - model.lam * s)
+        if expected < r:
+            surprise = max(surprise, expected - r * math.log(max(expected, 1e-300)) + math.lgamma(r + 1) + math.log1p(-expected / (r + 1)))
+    value = min(max(max(value, surprise) if surprise > 0 else value, -8.0), 40.0)
+    top = max(segments, key=lambda s: (s[0], -s[1]))
+    return 1 / (1 + math.exp(-(model.slope * value + model.offset))), len(strong), top[1:]
+
+
+def test_toxicity_scores_against_plain_python(spark, docs):
+    rng = np.random.default_rng(9)
+    clean = ["table", "Ärger", "river", "straße", "window", "garden", "stone", "École", "paper", "cloud"]
+    bad = ["vile", "VILE", "rotten", "scum", "Ünrat"]
+    rows = [(i, " ".join([*rng.choice(clean, rng.integers(5, 60)), *rng.choice(bad, 6 * int(i % 5 == 0)), *rng.choice(clean, 5)]), int(i % 5 == 0)) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    given = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()] + [(1000 + i, t) for i, t, _ in rows[:80]] + [(2000 + i, " ".join(rng.choice(clean + bad, 120))) for i in range(40)]
+    got = {(r["doc_id"], r["text"]): r for r in toxicity.score(spark.createDataFrame(given, "doc_id long, text string"), model).collect()}
+    some = set()
+    for key in given:
+        score, n, span = plain_score(model, key[1] or "")
+        r = got[key]
+        assert r["score"] == pytest.approx(score, abs=1e-6) and r["n_passages"] == n and r["predicted"] == (r["score"] >= 0.3)
+        assert (r["passage_start"], r["passage_end"]) == span
+        some.add(n)
+    assert len(some) > 1
+
+
 def test_rank_surprise_bounds_the_poisson_tail():
     def tail(r, e):
         term, below = np.exp(-e), 0.0

@@ -80,9 +80,12 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_jaccard(spark, docs, empty, monkeypatch, block):
+@pytest.mark.parametrize("block, same_names", [(512, False), (2, False), (512, True)])
+def test_jaccard(spark, docs, empty, monkeypatch, block, same_names):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    if same_names:  # one in four classes has the name of another one
+        keys = jaccard._class_keys
+        monkeypatch.setattr(jaccard, "_class_keys", lambda *x: ((k := keys(*x))[0] & 3, k[1]))
     rng = np.random.default_rng(2)
     base = [f"v{i}" for i in rng.integers(0, 4000, 400)]
     more = [(100 + i, " ".join(w if rng.random() > 0.01 * (i % 5) else "z" for w in base[: 380 + i])) for i in range(20)]

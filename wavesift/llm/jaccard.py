@@ -3,7 +3,8 @@
 Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their sets of
 distinct five-word shingles. Steps:
 
-1. Rows with the same set are one class, told apart by 128 bits of hashes of the set.
+1. Rows with the same set are one class, told apart by 128 bits of hashes of the set. 64 of
+   them name a class, unless two have the same; then others do.
 2. A merged count-min sketch orders shingles, estimated rare ones first. By the size
    bound two linked sets share one of their first ``n - ceil(p n) + 1`` shingles in that
    order, so only those, and none estimated to be in a single class, are exchanged, with
@@ -87,10 +88,10 @@ def _class_keys(value: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def _first_seen(keys: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, seen: set) -> np.ndarray:
+def _first_seen(keys: np.ndarray, sizes: np.ndarray, seen: set) -> np.ndarray:
     """Documents with shingles whose class this task has not met before."""
-    fresh = np.zeros(len(sizes), bool)
-    for i, key in enumerate(zip(*(k.tolist() for k in keys), strict=True)):
+    fresh = np.zeros(len(keys), bool)
+    for i, key in enumerate(keys.tolist()):
         if sizes[i] and key not in seen:
             seen.add(key)
             fresh[i] = True
@@ -192,7 +193,7 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) with sets s and t that are linked."""
+    """Labels (u, v) of the pairs with sets s and t that are linked."""
 
     def run(batches):
         for batch in batches:
@@ -214,9 +215,9 @@ def _overlaps(pairs: DataFrame, percent: int) -> DataFrame:
                 value, pair = value[order], pair[order]
                 common = np.bincount(pair[1:][(value[1:] == value[:-1]) & (pair[1:] == pair[:-1])], minlength=part.num_rows)
                 linked = pa.array(100 * common >= percent * (each[0] + each[1] - common))
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(linked) for c in ("u", "v")], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(linked) for c in ("label_u", "label_v")], names=["u", "v"])
 
-    return mapped(pairs.select("u", "v", "s", "t"), run, "u long, v long")
+    return mapped(pairs.select("label_u", "label_v", "s", "t"), run, "u long, v long").distinct()
 
 
 def _apart(posts: DataFrame, percent: int) -> DataFrame:
@@ -232,7 +233,9 @@ def _apart(posts: DataFrame, percent: int) -> DataFrame:
     right = cut.withColumns({"row": F.explode(F.sequence(F.lit(0), F.col("block"))), "col": F.col("block")}).select(*cell, *[F.col(c).alias(f"{c}_v") for c in ("cls", "n", "label")])
     # within a block each pair once; between two blocks each pair is met once anyway
     wanted = F.expr(f"label_u <> label_v and 100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v) and (row < col or cls_u < cls_v)")
-    return left.join(right, ["gram", "row", "col"]).where(wanted).select(F.least("cls_u", "cls_v").alias("u"), F.greatest("cls_u", "cls_v").alias("v")).distinct()
+    met = left.join(right, ["gram", "row", "col"]).where(wanted)
+    order = F.when(F.col("cls_u") < F.col("cls_v"), F.struct(*[F.col(c) for c in ("cls_u", "cls_v", "label_u", "label_v")])).otherwise(F.struct(*[F.col(b).alias(a) for a, b in (("cls_u", "cls_v"), ("cls_v", "cls_u"), ("label_u", "label_v"), ("label_v", "label_u"))]))
+    return met.select(order.alias("pair")).select("pair.*").dropDuplicates(["cls_u", "cls_v"])
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -257,18 +260,24 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
         def compute(part):
             nonlocal row
             value, cut = _sets(part.column(text), shingle)
-            a, b = _class_keys(value, cut)
+            key, more = _class_keys(value, cut)
             n = np.diff(cut)
             row += len(n)
-            return [pa.array(n), pa.array(a, mask=n == 0), pa.array(b, mask=n == 0), pa.array(np.arange(row - len(n), row))]
+            return [pa.array(n), pa.array(key, mask=n == 0), pa.array(more, mask=n == 0), pa.array(np.arange(row - len(n), row))]
 
         return compute
 
-    fields = [("n_shingles", T.LongType()), ("__a", T.LongType()), ("__b", T.LongType()), ("__row", T.LongType())]
+    fields = [("n_shingles", T.LongType()), ("__cls", T.LongType()), ("__more", T.LongType()), ("__row", T.LongType())]
     rows = written(with_columns(docs, text, fields, make_sets, list(keep)), "jaccard-rows")
-    one = F.xxhash64(F.min("doc_id")).bitwiseXOR(F.col("a")).alias("one")
-    classes = rows.where("__a is not null").groupBy(F.col("__a").alias("a"), F.col("__b").alias("b")).agg(F.min("__row").alias("cls"), F.first("n_shingles").alias("n"), one)
-    classes = written(classes, "jaccard-classes")
+    # names that two classes have: the square of the classes by 2**65, so hardly any
+    both = rows.groupBy("__cls").agg(F.min("__more").alias("low"), F.max("__more").alias("high")).where("low < high").select("__cls").collect()
+    twice = np.array(sorted(r[0] for r in both), np.int64)
+    if len(twice):
+        rows = rows.withColumn("__cls", F.when(F.col("__cls").isin(twice.tolist()), F.col("__cls").bitwiseXOR(F.col("__more"))).otherwise(F.col("__cls")))
+
+    def names(value, cut):
+        key, more = _class_keys(value, cut)
+        return np.where(np.isin(key, twice), key ^ more, key) if len(twice) else key
 
     # 2. rare shingles first
     def make_counted():
@@ -276,7 +285,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
 
         def hashes(part):
             value, cut = _sets(part.column(text), shingle)
-            fresh = _first_seen(_class_keys(value, cut), np.diff(cut), seen)
+            fresh = _first_seen(names(value, cut), np.diff(cut), seen)
             return value[np.repeat(fresh, np.diff(cut))]
 
         return hashes
@@ -290,7 +299,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
             for part in slices(batch, text):
                 value, cut = _sets(part.column(text), shingle)
                 size = np.diff(cut)
-                key = _class_keys(value, cut)
+                key = names(value, cut)
                 fresh = _first_seen(key, size, seen)
                 doc = np.repeat(np.arange(len(size)), size)
                 often = counts.value.estimate(value)
@@ -311,18 +320,15 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
                 also = np.flatnonzero(reach[doc] > band[doc])
                 gram = np.concatenate([mix(value ^ band[doc]), mix(value[also] ^ reach[doc[also]])])
                 doc = np.concatenate([doc, doc[also]])
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *(pa.array(k[doc]) for k in key)], names=["gram", "a", "b"])
-
-    # what occurs in one class only goes before names of classes are looked up
-    grams = written(mapped(docs.select(text), prefixes, "gram long, a long, b long"), "jaccard-grams")
-    shared = grams.groupBy("gram").agg(*[f(c).alias(f"{c}{k}") for c in "ab" for k, f in enumerate((F.min, F.max))]).where("a0 < a1 or b0 < b1").select("gram")
-    posts = grams.join(shared, "gram").join(classes.select("a", "b", "cls", "n"), ["a", "b"]).select("gram", "cls", "n").distinct()
-    posts = written(posts, "jaccard-posts")
-    dropped(counts, grams)
-    low = posts.groupBy("gram").agg(F.min("cls").alias("low"))
-    groups = components(posts.join(low, "gram").select(F.col("cls").alias("u"), F.col("low").alias("v")))
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(key[doc])], names=["gram", "cls"])
+
+    grams = written(mapped(docs.select(text), prefixes, "gram long, cls long"), "jaccard-grams")
+    dropped(counts)
+    least = grams.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+    groups = components(grams.join(least, "gram").select(F.col("cls").alias("u"), F.col("low").alias("v")))
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
-    members = written(_blocks(members.join(classes, "cls")), "jaccard-groups")
+    sizes = rows.where("__cls is not null").groupBy(F.col("__cls").alias("cls")).agg(F.first("n_shingles").alias("n"), F.xxhash64(F.min("doc_id")).bitwiseXOR(F.first("__cls")).alias("one"))
+    members = written(_blocks(members.join(sizes, "cls")), "jaccard-groups")
     dropped(groups)
 
     # 3. sets of the candidates, from the row with the least doc_id of each class
@@ -334,14 +340,14 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
             for part in slices(batch, text):
                 value, cut = _sets(part.column(text), shingle)
                 size = np.diff(cut)
-                a, b = _class_keys(value, cut)
-                at = np.flatnonzero(wanted.value.holds((a ^ part.column("id_key").to_numpy()).view(np.uint64)))
-                at = at[_first_seen((a[at], b[at]), size[at], seen)]
+                key = names(value, cut)
+                at = np.flatnonzero(wanted.value.holds((key ^ part.column("id_key").to_numpy()).view(np.uint64)))
+                at = at[_first_seen(key[at], size[at], seen)]
                 raw = [value[cut[d] : cut[d + 1]].tobytes() for d in at]
-                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(raw, pa.binary())], names=["a", "b", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(raw, pa.binary())], names=["cls", "shingles"])
 
-    sets = mapped(docs.select(text, F.xxhash64("doc_id").alias("id_key")), emit_sets, "a long, b long, shingles binary")
-    held = sets.join(members, ["a", "b"]).groupBy("cls").agg(*(F.first(c).alias(c) for c in ("grp", "n", "blocks", "block", "shingles")))
+    sets = mapped(docs.select(text, F.xxhash64("doc_id").alias("id_key")), emit_sets, "cls long, shingles binary")
+    held = sets.join(members, "cls").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("grp", "n", "blocks", "block", "shingles")))
     held = written(held, "jaccard-sets")
     dropped(wanted, members)
 
@@ -365,32 +371,29 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
     merged = components(pairs)
 
     # 5. links between what blocks have left apart
-    split = held.where("blocks > 1").select("cls")
+    split = held.where("blocks > 1").select("cls", "n")
     if not split.isEmpty():
-        label = split.join(merged.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("label"))
-        near = written(_apart(posts.join(label, "cls"), percent), "jaccard-apart")
+        label = split.join(merged.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("label"))
+        near = written(_apart(grams.distinct().join(label, "cls"), percent), "jaccard-apart")
         side = lambda c, s: held.select(F.col("cls").alias(c), F.col("shingles").alias(s))
-        more = written(_overlaps(near.join(side("u", "s"), "u").join(side("v", "t"), "v"), percent), "jaccard-links")
+        more = written(_overlaps(near.join(side("cls_u", "s"), "cls_u").join(side("cls_v", "t"), "cls_v"), percent), "jaccard-links")
         dropped(near, merged)
         merged = components(pairs.unionByName(more))
         dropped(more)
-    dropped(posts, held, *every)
+    dropped(grams, held, *every)
 
     # back to rows: the least doc_id of each component, and the first row that has it
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
-    each = rows.where("__a is not null").groupBy("__a", "__b").agg(first).join(classes.select(F.col("a").alias("__a"), F.col("b").alias("__b"), "cls"), ["__a", "__b"])
-    root = each.join(merged.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    root = rows.where("__cls is not null").groupBy("__cls").agg(first).join(merged.withColumnRenamed("node", "__cls"), "__cls", "left").withColumn("root", F.coalesce("root", "__cls"))
     lowest = root.groupBy("root").agg(F.min("first").alias("first"))
-    by_class = root.select(F.col("__a").alias("__ca"), F.col("__b").alias("__cb"), "root").join(lowest, "root").select("__ca", "__cb", F.col("first.doc_id").alias("component_id"), F.col("first.__row").alias("__kept"))
-    by_class = written(by_class, "jaccard-classes")
-    dropped(classes, merged)
-    empty = F.col("__a").isNull()
+    by_class = root.select(F.col("__cls").alias("__of"), "root").join(lowest, "root").select("__of", F.col("first.doc_id").alias("component_id"), F.col("first.__row").alias("__kept"))
     new = ("n_shingles", "component_id", "is_representative")
+    empty = F.col("__more").isNull()
     # rows without words get keys of their own, so that they don't meet in one task
-    ready = rows.withColumn("__empty", empty).withColumn("__a", F.coalesce("__a", F.monotonically_increasing_id()))
+    ready = rows.withColumn("__cls", F.coalesce("__cls", F.monotonically_increasing_id()))
     return (
-        ready.join(by_class, (F.col("__a") == F.col("__ca")) & (F.col("__b") == F.col("__cb")), "left")
-        .withColumn("component_id", F.when(F.col("__empty"), F.col("doc_id")).otherwise(F.col("component_id")))
-        .withColumn("is_representative", F.col("__empty") | (F.col("__row") == F.col("__kept")))
+        ready.join(by_class, (F.col("__cls") == F.col("__of")) & ~empty, "left")
+        .withColumn("component_id", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")))
+        .withColumn("is_representative", empty | (F.col("__row") == F.col("__kept")))
         .select(*[f"`{c}`" for c in keep if c not in new], *new)
     )

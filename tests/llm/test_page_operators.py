@@ -334,3 +334,13 @@ def test_more_lists_than_are_fitted_at_once(spark, monkeypatch):
     want = search(x, ids)
     hits = [len({i for i, _ in want[q]} & set(rows["vec_id"])) for q, rows in got.groupby("query_id")]
     assert len(hits) == 60 and np.mean(hits) >= 9
+
+
+def test_columns_of_the_input_keep_their_values(spark):
+    names = ("score", "rank", "key", "vector", "list", "salt", "side", "query_id", "a.b", "n_chars", "n_lines", "text")
+    pages = spark.createDataFrame([(1, "<p>a"), (2, None)], "page_id long, html string").withColumns({c: F.lit("mine") for c in names})
+    out = layout.extract(pages)
+    assert sorted(out.columns) == sorted(pages.columns) and all(r[c] == "mine" for r in out.collect() for c in names if c not in ("text", "n_chars", "n_lines"))
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 3)))], "vec_id long, embedding array<double>").withColumns({c: F.lit("mine") for c in names})
+    assert ann.neighbours(df, df.where("vec_id = 0")).count() == 10

@@ -423,3 +423,18 @@ def test_extra_columns_with_clashing_names(spark, docs):
     assert out.columns == clash.columns and out.where("kept <> 'mine'").count() == 0
     cut = corpus_pipeline.suffix_stage(spark, clash, "")
     assert cut.columns == clash.columns and cut.where("n_chars <> char_length(text)").count() == 0
+
+
+def test_columns_of_the_input_keep_their_values(spark, docs):
+    """Names that operators add are replaced, all others stay, also those that operators use inside."""
+    clash = docs.withColumns({c: F.lit("mine") for c in ("kept", "ids", "n_words", "n_ids", "decoded", "__a", "__b", "__once", "__once_a", "text_a", "a.b", "Score", "part")})
+    mine = [c for c in clash.columns if c not in docs.columns]
+    for out, new in (
+        (substrings.dedup(clash, keep=clash.columns), {"n_words", "n_removed", "kept"}),
+        (suffixes.repeated(clash, keep=clash.columns), {"n_bytes", "n_removed", "n_spans", "kept"}),
+        (pieces.decode(pieces.encode(clash)), {"ids", "n_ids", "n_byte_ids", "decoded"}),
+        (quality.judge(clash, quality.LineModel(np.zeros(quality.N_FEATURES), np.zeros((2, 2)))), {n for n, _ in quality.FIELDS}),
+    ):
+        assert new <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+        rows = out.collect()
+        assert len(rows) == docs.count() and all(r[c] == "mine" for r in rows for c in mine if c not in new)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -30,18 +31,25 @@ def with_columns(
     """
     new = {name.lower() for name, _ in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    read = list(dict.fromkeys([*kept, column]))
-    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, t) for n, t in fields)])
-    names = [*kept, *(n for n, _ in fields)]
+    # Arrow maps can't take names with dots and the like, so such columns have others on the way
+    own = {c: c if c == column or re.fullmatch(r"\w+", c) else f"__c{i}" for i, c in enumerate(kept)}
+    schema = T.StructType([*(T.StructField(n, df.schema[c].dataType) for c, n in own.items()), *(T.StructField(n, t) for n, t in fields)])
 
     def run(batches):
         compute = make()
         for batch in batches:
             for part in slices(batch, column, slice_bytes):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *compute(part)], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in own.values()), *compute(part)], names=schema.names)
 
-    quoted = [f"`{c.replace('`', '``')}`" for c in read]
-    return mapped(df.select(*quoted), run, schema, keeps)
+    given = df.select(*[F.col(f"`{c.replace('`', '``')}`").alias(n) for c, n in ({column: column} | own).items()])
+    out = mapped(given, run, schema, keeps)
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()], *(n for n, _ in fields))
+
+
+def renamed(keep: Sequence[str], text: str, fields: Sequence[tuple[str, T.DataType]]) -> dict[str, str]:
+    """Names of their own for the columns to keep, but for those that ``fields`` replace; the text keeps its name."""
+    new = {name.lower() for name, _ in fields}
+    return {c: text if c == text else f"__in{i}" for i, c in enumerate(keep) if c.lower() not in new}
 
 
 def join_keys(keys: Sequence[Column]) -> list[Column]:

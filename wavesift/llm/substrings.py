@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavesift.llm import sketch
-from wavesift.llm.rows import join_keys, with_columns
+from wavesift.llm.rows import join_keys, renamed, with_columns
 from wavesift.llm.shared import written
 from wavesift.llm.textops import covered, in_doc, run_hash, slices, sliding_argmin, strings, utf8, word_hash, words
 from wavesift.llm.workers import mapped
@@ -96,9 +96,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "
     )
     once = written(once, "substrings")
 
-    kept = [c for c in keep]
+    fields = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())]
+    own = renamed(keep, text, fields)
     joined = (
-        docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])], *join_keys(names))
+        docs.select(*[F.col(f"`{c}`").alias(n) for c, n in ({text: text} | own).items()], *join_keys(names))
         .join(once, (F.col("__a") == F.col("__once_a")) & (F.col("__b") == F.col("__once_b")), "left")
         .drop("__a", "__b", "__once_a", "__once_b")
     )
@@ -121,9 +122,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "
 
         return compute
 
-    fields = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())]
-    out = with_columns(joined, text, fields, make, [*kept, "__once"])
-    return out.drop("__once")
+    out = with_columns(joined, text, fields, make, [*own.values(), "__once"])
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()], *(n for n, _ in fields))
 
 
 def _join_words(w, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavesift.llm import sketch
-from wavesift.llm.rows import join_keys, with_columns
+from wavesift.llm.rows import join_keys, renamed, with_columns
 from wavesift.llm.shared import dropped, written
 from wavesift.llm.textops import byte_codes, covered, in_doc, run_hash, slices, sliding_argmin, span_hash, utf8
 from wavesift.llm.workers import mapped
@@ -414,9 +414,10 @@ def repeated(docs: DataFrame, text: str = "text", keep=("doc_id",), as_text: boo
     once = written(once.withColumnsRenamed({"text_a": "__once_a", "text_b": "__once_b"}), "suffixes-once")
     dropped(found)
 
-    kept = list(keep)
+    fields = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.StringType() if as_text else T.BinaryType())]
+    own = renamed(keep, text, fields)
     joined = (
-        docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])], *join_keys(_text_keys(text)))
+        docs.select(*[F.col(f"`{c}`").alias(n) for c, n in ({text: text} | own).items()], *join_keys(_text_keys(text)))
         .join(once, (F.col("__a") == F.col("__once_a")) & (F.col("__b") == F.col("__once_b")), "left")
         .drop("__a", "__b", "__once_a", "__once_b")
     )
@@ -454,5 +455,5 @@ def repeated(docs: DataFrame, text: str = "text", keep=("doc_id",), as_text: boo
 
         return compute
 
-    fields = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.StringType() if as_text else T.BinaryType())]
-    return with_columns(joined, text, fields, make, [*kept, "__once"]).drop("__once")
+    out = with_columns(joined, text, fields, make, [*own.values(), "__once"])
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()], *(n for n, _ in fields))

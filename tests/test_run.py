@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from wavesift.config import Settings
 from wavesift.functions import order, signal
-from wavesift.operators import outliers, pca, reports, tune
+from wavesift.operators import clusters, outliers, pca, reports, tune
 from wavesift.plans import catalogue, run
 from wavesift.sources import csvs, wav
 
@@ -221,3 +221,22 @@ def test_lines_list_everything(spark):
     found = spark.createDataFrame([(i, f"f{i % 3}", i, float(i), 1.5, [1.0]) for i in range(30)], "index long, file string, start_frame long, start_sec double, distance double, scores array<double>")
     lines = [r[0] for r in reports.outlier_lines(found, found, "euclidean", 95.0, None).collect()]
     assert len(lines) == 11 + 3 + 3 + 30 and lines[11] == "f0\t10" and lines[-1].startswith("29\tf2\t29\t29.000")
+
+
+def test_clusters_against_numpy(spark):
+    """Each row is in the cluster of the nearest centre, centres are means, and the cost is theirs."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 4)) for c in (-3, 0, 4)])
+    rows = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)] + [("a", 500, None)], "file string, start_frame long, scores array<double>")
+    got, centres, cost = clusters.kmeans(rows, 3, 3)
+    label = {r["start_frame"]: r["cluster"] for r in got.collect()}
+    centres = np.array(centres)
+    away = ((x[:, None, :3] - centres) ** 2).sum(2)
+    assert len(label) == 120 and all(label[i] == k for i, k in enumerate(away.argmin(1)))
+    np.testing.assert_allclose(centres, [x[away.argmin(1) == k][:, :3].mean(0) for k in range(3)], atol=1e-9)
+    assert cost == pytest.approx(away.min(1).sum()) and sorted(np.bincount(list(label.values()))) == [40, 40, 40]
+    few, _, none = clusters.kmeans(rows.where("start_frame < 2"), 3, 3)
+    assert sorted(r["cluster"] for r in few.collect()) == [0, 1] and none == 0.0
+    marked = rows.withColumn("start_sec", F.col("start_frame").cast("double"))
+    swept = clusters.sweep(marked, (2, 3), 3, labels=marked.where("start_frame between 40 and 79").select("file", "start_sec"), tolerance=0.5).collect()
+    assert sum(r["n"] for r in swept if r["k"] == 3) == 120 and [r["n_validated"] for r in swept if r["k"] == 3 and r["n_validated"]] == [40]

@@ -1,4 +1,8 @@
-"""Labels against detections: same file and start less than a tolerance apart."""
+"""Labels against detections: same file and start less than a tolerance apart.
+
+Labels and detections with a null file or start match nothing, but are counted. Repeated
+labels are labels of their own; a detection just the tolerance away doesn't match.
+"""
 
 from __future__ import annotations
 

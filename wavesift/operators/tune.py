@@ -1,4 +1,8 @@
-"""Parameter grids and the best trial."""
+"""Parameter grids and the best trial.
+
+A trial without F1 comes after all others; of equal ones the first counts. An empty grid
+of a parameter gives no trial.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def grid(spark: SparkSession, parameters: Mapping[str, Sequence]) -> DataFrame:
     """run_num and one column for each parameter: all combinations, the last one fastest."""
     rows = [(i, *values) for i, values in enumerate(itertools.product(*parameters.values()), 1)]

@@ -1,4 +1,8 @@
-"""Tumbling and sliding windows over frames; only complete ones count."""
+"""Tumbling and sliding windows over frames; only complete ones count.
+
+Frames without a number belong to no window. Frames before the first don't exist, so a
+file's windows start at 0 whatever its least number is.
+"""
 
 from __future__ import annotations
 

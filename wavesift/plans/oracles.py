@@ -89,7 +89,7 @@ def oracle_sql() -> dict[str, str]:
         "pca_energy": f"WITH {_MEAN_STD}, z AS (SELECT file, start_frame, (value - avg(value) OVER (PARTITION BY dim)) / stddev_pop(value) OVER (PARTITION BY dim) AS z FROM f) SELECT file, start_frame, round(sum(z * z), 4) AS energy FROM z GROUP BY file, start_frame",
         "outlier_csv": f'WITH {_DIST}, i AS (SELECT *, row_number() OVER (ORDER BY file, start_frame) - 1 AS "index" FROM d JOIN pair USING (file, start_frame)), q AS (SELECT avg(m) AS mm, avg(s) AS ms, stddev_pop(m) AS sm, stddev_pop(s) AS ss, sign(corr(m, s)) AS r FROM pair) SELECT "index", file::VARCHAR AS file, start_frame, round(start_frame * 0.008::DOUBLE, 3) AS start_sec, round(distance, 5) AS distance, round(abs((m - mm) / sm + r * (s - ms) / ss) / sqrt(2), 5) AS pc1, round(abs((m - mm) / sm - r * (s - ms) / ss) / sqrt(2), 5) AS pc2 FROM i, q WHERE distance > (SELECT quantile_cont(distance, 0.95) FROM d)',
         "outlier_windows": f"WITH {_DIST} SELECT d.file, start_frame, frame, round(list_sum(bins), 6) AS total FROM d JOIN frames ON frames.file = d.file AND frame >= start_frame AND frame < start_frame + 8 WHERE distance > (SELECT quantile_cont(distance, 0.95) FROM d)",
-        "wav_samples": f"WITH {_SAMPLES} SELECT file, n - 100 AS n, trunc((amplitude / 512)::FLOAT * 32768::FLOAT) / 32768 AS amplitude FROM samples WHERE n >= 100",
+        "wav_samples": f"WITH {_SAMPLES} SELECT file, n - 100 AS n, (trunc((amplitude / 512)::FLOAT * 32768::FLOAT) / 32768)::DOUBLE AS amplitude FROM samples WHERE n >= 100",
         "npz_frames": f"WITH {_FRAMES} SELECT file::VARCHAR AS file, frame, len(bins)::INT AS n_bins, round(list_sum(bins), 6) AS total FROM frames",
         "missing_audio": f"WITH {_DIST} SELECT file, start_frame FROM d WHERE distance > (SELECT quantile_cont(distance, 0.8) FROM d) AND file NOT IN (SELECT file FROM frames WHERE frame >= 50)",
     }

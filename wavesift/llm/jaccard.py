@@ -374,7 +374,17 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
     split = held.where("blocks > 1").select("cls", "n")
     if not split.isEmpty():
         label = split.join(merged.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("label"))
-        near = written(_apart(grams.distinct().join(label, "cls"), percent), "jaccard-apart")
+        label = written(label, "jaccard-labels")
+        # bits of the classes in question, so that no other class's shingles are exchanged
+        asked = spark.sparkContext.broadcast(sketch.build_set(label, "cls"))
+
+        def in_question(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(asked.value.holds(batch.column("cls").to_numpy().view(np.uint64))))
+
+        posts = mapped(grams, in_question, "gram long, cls long").join(label, "cls").distinct()
+        near = written(_apart(posts, percent), "jaccard-apart")
+        dropped(asked, label)
         side = lambda c, s: held.select(F.col("cls").alias(c), F.col("shingles").alias(s))
         more = written(_overlaps(near.join(side("cls_u", "s"), "cls_u").join(side("cls_v", "t"), "cls_v"), percent), "jaccard-links")
         dropped(near, merged)

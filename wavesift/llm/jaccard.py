@@ -352,11 +352,11 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
     dropped(wanted, members)
 
     # 4. links inside blocks, until the blocks of a group find no more
-    found, every = [], []
+    found, rounds = [], []
     active, old = held, None
     for _ in range(20):
         links = written(_block_links(active, percent), "jaccard-links")
-        every.append(links)
+        rounds.append(links)
         found.append(links.where("cls <> root").select(F.col("cls").alias("u"), F.col("root").alias("v")))
         large = active.where("blocks > 1")
         roots = links.where("cls = root").select("cls")
@@ -387,10 +387,15 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
         dropped(asked, label)
         side = lambda c, s: held.select(F.col("cls").alias(c), F.col("shingles").alias(s))
         more = written(_overlaps(near.join(side("cls_u", "s"), "cls_u").join(side("cls_v", "t"), "cls_v"), percent), "jaccard-links")
-        dropped(near, merged)
-        merged = components(pairs.unionByName(more))
+        dropped(near)
+        if not more.isEmpty():
+            # labels are roots of what was merged before or single classes, so only they are merged
+            again = components(more).select(F.col("node").alias("label"), F.col("root").alias("top"))
+            every = merged.unionByName(again.select(F.col("label").alias("node"), F.col("label").alias("root")).join(merged.select("node"), "node", "left_anti"))
+            merged, old = written(every.join(again, F.col("root") == F.col("label"), "left").select("node", F.coalesce("top", "root").alias("root")).where("node <> root"), "components"), merged
+            dropped(old)
         dropped(more)
-    dropped(grams, held, *every)
+    dropped(grams, held, *rounds)
 
     # back to rows: the least doc_id of each component, and the first row that has it
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")

@@ -55,5 +55,33 @@ LEFT JOIN (SELECT k, min(c) AS c FROM reach GROUP BY k) USING (k)
 """
 
 
+def ball_tree(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of k-means over integer components, one after the other."""
+    parts = [
+        """WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS p FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, generate_subscripts(p, 1) AS d, unnest(p) AS x FROM kept)""",
+        f"c0 AS MATERIALIZED (SELECT n, generate_subscripts(p, 1) AS d, unnest(p) AS y FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), p) - 1 AS n, p FROM kept QUALIFY n < {k}))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"a{i} AS MATERIALIZED (SELECT r, arg_min(n, (s, n)) AS n, min(s) AS s FROM (SELECT r, n, sum((x - y) * (x - y))::BIGINT AS s FROM v JOIN c{i} USING (d) GROUP BY r, n) GROUP BY r)"
+        )
+        if i < rounds:
+            parts.append(
+                f"c{i + 1} AS MATERIALIZED (SELECT n, d, coalesce(m, y) AS y FROM c{i} LEFT JOIN (SELECT n, d, ((t - ((t % c) + c) % c) // c)::BIGINT AS m "
+                f"FROM (SELECT n, d, sum(x)::BIGINT AS t, count(*) AS c FROM a{i} JOIN v USING (r) GROUP BY n, d)) USING (n, d))"
+            )
+    last = f"a{rounds}"
+    return (
+        ",\n".join(parts)
+        + f""",
+h AS (SELECT n, sha256(string_agg(y::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY n)
+SELECT vec_id, n::INTEGER AS cluster, s AS distance, (sum(s) OVER (PARTITION BY n))::BIGINT AS cluster_inertia, (sum(s) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM kept JOIN {last} USING (r) JOIN h USING (n)
+"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_suffix_array": SUFFIX_ARRAY, "op7_substrings": SUBSTRINGS, "op9_jaccard": JACCARD}
+    return {"op6_suffix_array": SUFFIX_ARRAY, "op7_substrings": SUBSTRINGS, "op9_jaccard": JACCARD, "op11_ball_tree": ball_tree()}

@@ -96,6 +96,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id"]).withColumn("held_out", held_out)
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector, with the inertia and the centroid's digest."""
+    from wavesift.llm import balls
+
+    out = balls.clusters(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

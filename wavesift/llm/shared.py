@@ -27,13 +27,13 @@ def _place(spark: SparkSession, path: str):
     return where.getFileSystem(context._jsc.hadoopConfiguration()), where
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again; it goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     store, where = _place(spark, path)
     store.deleteOnExit(where)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

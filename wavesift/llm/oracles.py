@@ -54,6 +54,19 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS comp
 LEFT JOIN (SELECT k, min(c) AS c FROM reach GROUP BY k) USING (k)
 """
 
+#: Lines of each text, cut at two places drawn from the id.
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS MATERIALIZED (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS w FROM d),
+drawn AS (SELECT *, len(w)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM u),
+placed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+cut AS (SELECT doc_id, t, n, form, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM cut
+"""
+
 
 def ball_tree(k: int = 40, rounds: int = 5) -> str:
     """Rounds of k-means over integer components, one after the other."""
@@ -84,4 +97,4 @@ FROM kept JOIN {last} USING (r) JOIN h USING (n)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_suffix_array": SUFFIX_ARRAY, "op7_substrings": SUBSTRINGS, "op9_jaccard": JACCARD, "op11_ball_tree": ball_tree()}
+    return {"op6_suffix_array": SUFFIX_ARRAY, "op7_substrings": SUBSTRINGS, "op9_jaccard": JACCARD, "op11_ball_tree": ball_tree(), "op12_fill_in_middle": FILL_IN_MIDDLE}

@@ -104,6 +104,24 @@ def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every document, and the text rebuilt from it."""
+    from wavesift.llm import fim
+
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, those of the base patterns and those found random."""
+    from wavesift.llm import secret_scan
+
+    base = secret_scan.KINDS[:3]
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(secret_scan.of_kinds("spans", [kind])).cast("long").alias(f"n_{kind}") for kind in base]
+    return out.select("doc_id", *counts, F.sha2(secret_scan.as_text("spans", base), 256).alias("base_sha256"), secret_scan.as_text("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -11,8 +11,8 @@ for random symbols and for ordinary text. A run is a candidate if the battery do
 randomness; its evidence is the logarithm of the likelihood ratio. Candidates of all documents
 are counted by encoding, class of lengths and step of evidence. In each class expectation
 maximisation gives the share of random ones, hence the chance of each step to be a false
-discovery, and steps are taken from the surest one on while the mean chance stays below
-``FALSE_DISCOVERIES``. Short runs of a class with few secrets need more evidence so.
+discovery, and the class's steps are taken from the surest one on while their mean chance stays below
+``FALSE_DISCOVERIES``. So short runs, and those of a class with few secrets, need more evidence.
 
 Nothing of the size of the input passes through the driver: sums over pairs of 64 symbols and counts of steps.
 
@@ -252,10 +252,10 @@ def _classes(statistics: np.ndarray, null: Null) -> tuple[np.ndarray, np.ndarray
 
 
 def discoveries(counts: dict[tuple[int, int], int], limit: float = FALSE_DISCOVERIES) -> set[tuple[int, int]]:
-    """The (class, step) whose runs are taken for random."""
-    chances = []
+    """The (class, step) whose runs are taken for random; each class keeps the limit by itself."""
+    taken = set()
     for one in sorted({c for c, _ in counts}):
-        steps = sorted(s for c, s in counts if c == one)
+        steps = sorted((s for c, s in counts if c == one), reverse=True)
         weight = np.array([counts[one, s] for s in steps], float)
         ratio = np.exp(np.array(steps) * STEP)
         share = 0.01
@@ -263,13 +263,9 @@ def discoveries(counts: dict[tuple[int, int], int], limit: float = FALSE_DISCOVE
             random = share * ratio / (share * ratio + 1 - share)
             # one run in a hundred is random before any is seen
             share = ((weight * random).sum() + 1) / (weight.sum() + 100)
-        chances += [(1 - r, one, s, w) for r, s, w in zip(share * ratio / (share * ratio + 1 - share), steps, weight) if s > -STEPS]
-    taken, false, total = set(), 0.0, 0.0
-    for chance, one, step, w in sorted(chances):
-        false, total = false + chance * w, total + w
-        if false > limit * total:
-            break
-        taken.add((one, step))
+        chance = 1 - share * ratio / (share * ratio + 1 - share)
+        mean = np.cumsum(chance * weight) / np.cumsum(weight)
+        taken |= {(one, s) for s, m in zip(steps, mean) if m <= limit and s > -STEPS}
     return taken
 
 

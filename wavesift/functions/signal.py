@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -64,23 +65,54 @@ def resampled_length(n: int, rate: int, target: int) -> int:
     return max(1, -(-n * target // rate))
 
 
-def resampled(x: np.ndarray, rate: int, target: int, first: int = 0, last: int | None = None, width: int = 16) -> np.ndarray:
-    """Windowed-sinc resampling: samples ``first`` to ``last`` of the result for the whole of x.
+@lru_cache(16)
+def _phases(rate: int, target: int, width: int) -> tuple[int, int, int, np.ndarray]:
+    """Steps of the input and of the output in a period, the first tap's place, and the taps of each phase.
 
-    Any span is the same as when all is made at once, so a recording can be cut anywhere.
+    Both rates divided by their common divisor, sample m of the result lies phase / up behind
+    sample m * down // up of the signal; so there are ``up`` phases, and their weights are made once.
     """
-    if rate == target:
-        return x if first == 0 and last is None else x[first:last]
-    at = np.arange(first, resampled_length(len(x), rate, target) if last is None else last) * rate / target
+    common = math.gcd(rate, target)
+    down, up = rate // common, target // common
     cut = min(1.0, target / rate)
-    base = np.floor(at).astype(np.int64)
-    out = np.zeros(len(at))
-    for j in range(-int(width / cut), int(width / cut) + 2):
-        i = base + j
-        d = at - i
-        weight = cut * np.sinc(cut * d) * np.where(np.abs(d) * cut < width, np.cos(np.pi * d * cut / (2 * width)) ** 2, 0)
-        out += weight * np.where((i >= 0) & (i < len(x)), x[np.clip(i, 0, len(x) - 1)], 0)
-    return out.astype(np.float32)
+    first = -int(width / cut)
+    away = (np.arange(up) / up)[:, None] - np.arange(first, int(width / cut) + 2)
+    taps = cut * np.sinc(cut * away) * np.where(np.abs(away) * cut < width, np.cos(np.pi * away * cut / (2 * width)) ** 2, 0)
+    return down, up, first, taps
+
+
+def resampled_span(first: int, last: int, rate: int, target: int, width: int = 16) -> tuple[int, int]:
+    """Samples of a signal that samples ``first`` to ``last`` of its resampled form depend on."""
+    if rate == target:
+        return first, last
+    down, up, at, taps = _phases(rate, target, width)
+    return first * down // up + at, (last - 1) * down // up + at + taps.shape[1]
+
+
+def resampled(x: np.ndarray, rate: int, target: int, first: int = 0, last: int | None = None, width: int = 16, begin: int = 0, length: int | None = None) -> np.ndarray:
+    """Windowed-sinc resampling by a bank of phases: samples ``first`` to ``last`` of the result.
+
+    ``x`` is the signal, or its samples from ``begin`` on where the whole has ``length``. Any span is
+    the same as when all is made at once, so a recording can be cut anywhere.
+    """
+    length = len(x) if length is None else length
+    last = resampled_length(length, rate, target) if last is None else last
+    if rate == target:
+        return x if first == begin and last == begin + len(x) else x[first - begin : last - begin]
+    down, up, at, taps = _phases(rate, target, width)
+    lo, hi = resampled_span(first, last, rate, target, width)
+    # zeros around the signal, and x where the span has it
+    part = np.zeros(max(0, hi - lo))
+    inner = slice(max(lo, begin, 0), max(min(hi, begin + len(x), length), max(lo, begin, 0)))
+    part[inner.start - lo : inner.stop - lo] = x[inner.start - begin : inner.stop - begin]
+    out = np.zeros(max(0, last - first), np.float32)
+    for m in range(first, min(first + up, last)):
+        # samples m, m + up, ... are of one phase and step ``down`` samples of the signal
+        rows = -(-(last - m) // up)
+        begin_at = m * down // up + at - lo
+        seen = np.lib.stride_tricks.as_strided(part[begin_at:], (rows, taps.shape[1]), (down * part.itemsize, part.itemsize), writeable=False)
+        out[m - first :: up] = seen @ taps[m * down % up]
+    return out
 
 
 def spectrogram(chunks: DataFrame, n_fft: int = 1024, hop: int = 512, weights: np.ndarray | None = None, reference: float = 1e-6, window: str = "hann", errors: bool = False) -> DataFrame:

@@ -75,10 +75,11 @@ def table(rows: DataFrame, secs_per_frame: float, percent: float = 95.0) -> Data
     return found.select("index", "file", "start_frame", "start_sec", "distance", *more).orderBy("file", "start_sec")
 
 
-def as_written(found: DataFrame) -> DataFrame:
-    """The table of outliers with the columns of the CSV; a missing component counts as 0."""
+def as_written(found: DataFrame, *more: str) -> DataFrame:
+    """The table of outliers with the columns of the CSV, and more; a missing component counts as 0."""
     part = lambda i: F.coalesce(F.get("scores", F.lit(i)), F.lit(0.0))
     return found.select(
+        *more,
         F.col("index").alias("Index"), F.col("file").cast("string").alias("File"), F.col("start_frame").alias("Start Frame"), F.col("start_sec").alias("Start Time (s)"),
         F.col("distance").alias("Distance"), part(0).alias("PC1"), part(1).alias("PC2"),
     )

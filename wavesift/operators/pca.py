@@ -18,13 +18,11 @@ from pyspark.sql import functions as F
 
 from wavesift.functions.rows import matrix, moments, whole, with_matrix
 
-#: Dimensions up to which components come from the covariance matrix, and rows up to
-#: which wider ones come from the matrix of inner products; beyond both from iteration.
+#: Dimensions up to which components come from the covariance matrix; wider rows never make one.
 MAX_DIMENSIONS = 2_048
-MAX_ROWS = 4_096
 COLUMNS = 4_096
-#: Directions iterated beyond those wanted, rounds at most, and change of a value that ends them.
-EXTRA, ROUNDS, SETTLED = 10, 60, 1e-9
+#: Directions sought beyond those wanted, blocks kept before a restart, passes at most, and residual (by the largest value) that ends them.
+EXTRA, BLOCKS, PASSES, SETTLED = 10, 4, 100, 1e-9
 #: Least variance of a component by that of the first.
 RANK = 1e-10
 
@@ -96,86 +94,76 @@ def fit(features: DataFrame, k: int) -> Components:
         value, vector = _leading(*np.linalg.eigh(spread), k)
         return Components(scaler, _signed(vector.T), value / total if total > 0 else value)
     scaler = fit_scaler(features)
-    z = scaled(features, scaler)
-    if features.count() <= MAX_ROWS:
-        return Components(scaler, *_wide(z, k))
-    return Components(scaler, *_iterated(z, width, k))
-
-
-def _wide(z: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Components of few, very wide rows: inner products by blocks of columns."""
-    rows = z.where(F.col("features").isNotNull()).select("file", "start_frame", "features")
-    order = rows.select("file", "start_frame").orderBy("file", "start_frame").toPandas()
-    order["row"] = range(len(order))
-    n = len(order)
-    # MAX_ROWS rows at most
-    numbered = rows.join(F.broadcast(rows.sparkSession.createDataFrame(order)), ["file", "start_frame"])
-    blocks = F.sequence(F.lit(0), F.floor((F.size("features") - 1) / COLUMNS).cast("int"))
-    pieces = numbered.select("row", "features", F.explode(blocks).alias("block")).select("row", "block", F.slice("features", F.col("block") * COLUMNS + 1, F.lit(COLUMNS)).alias("x"))
-
-    def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((n, max(map(len, pdf["x"]))))
-        for i, v in zip(pdf["row"], pdf["x"], strict=True):
-            x[i] = v
-        return pd.DataFrame({"i": np.arange(n), "g": list(x @ x.T)})
-
-    sums = pieces.groupBy("block").applyInPandas(products, "i long, g array<double>")
-    total = sums.groupBy("i").agg(Summarizer.metrics("sum").summary(array_to_vector("g")).alias("s")).select("i", F.col("s.sum").alias("g")).collect()
-    gram = np.zeros((n, n))
-    for r in total:
-        gram[r["i"]] = r["g"].toArray()
-    trace = gram.trace()
-    value, vector = _leading(*np.linalg.eigh(gram), k)
-    weights = vector / np.sqrt(value)
-
-    def project(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((n, max(map(len, pdf["x"]))))
-        for i, v in zip(pdf["row"], pdf["x"], strict=True):
-            x[i] = v
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "c": [(weights.T @ x).ravel()]})
-
-    parts = pieces.groupBy("block").applyInPandas(project, "block int, c array<double>").orderBy("block").toPandas()
-    components = np.concatenate([np.asarray(c).reshape(weights.shape[1], -1) for c in parts["c"]], axis=1)
-    return _signed(components), value / trace
-
-
-def _iterated(z: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Components of many wide rows by subspace iteration.
-
-    Held on the driver and in each task: ``width`` times ``k + EXTRA`` numbers. A round
-    is one pass: each task multiplies its rows with the directions and sends the sums
-    back by blocks of columns.
+    return Components(scaler, *_krylov(scaled(features, scaler), width, k))
+
+
+def _applied(rows: DataFrame, q: np.ndarray) -> tuple[int, float, np.ndarray]:
+    """Number of rows, their sum of squares, and rows.T @ rows @ q, in one pass.
+
+    Each task multiplies its rows with the directions and sends the sums back by blocks of columns.
+    """
+    width = len(q)
+    shared = rows.sparkSession.sparkContext.broadcast(q)
+
+    def products(batches):
+        n, squares, total = 0, 0.0, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                x = matrix(batch.column("features").slice(at, 256))
+                total = x.T @ (x @ shared.value) + (0 if total is None else total)
+                n, squares = n + len(x), squares + float((x * x).sum())
+        for at in range(0, width if n else 0, COLUMNS):
+            part = total[at : at + COLUMNS]
+            yield pd.DataFrame({"block": np.array([at // COLUMNS], np.int32), "n": [n], "squares": [squares], "p": [part.ravel()]})
+
+    sums = rows.mapInArrow(lambda batches: map(_record, products(batches)), "block int, n long, squares double, p array<double>")
+    got = sums.groupBy("block").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"), Summarizer.metrics("sum").summary(array_to_vector("p")).alias("p")).orderBy("block").collect()
+    shared.destroy()
+    if not got:
+        return 0, 0.0, np.zeros_like(q)
+    return got[0]["n"], got[0]["squares"], np.concatenate([r["p"]["sum"].toArray().reshape(-1, q.shape[1]) for r in got])
+
+
+def _new(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Directions of a block that the basis doesn't hold; what is only rounding goes."""
+    size = np.linalg.norm(block, axis=0)
+    block = block[:, size > 0] / size[size > 0]
+    for _ in range(2):
+        block = block - basis @ (basis.T @ block)
+        u, s, _ = np.linalg.svd(block, full_matrices=False)
+        block = u[:, s > 1e-8]
+    return block
+
+
+def _krylov(z: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components of wide rows by a block Krylov space of their inner products, whatever the number of rows.
+
+    A pass multiplies the newest block of directions; the best ones inside all blocks so far are known from
+    products that are there already. It ends when they are eigenvectors, or when the rows hold no further
+    direction. After ``BLOCKS`` blocks the best of them start anew. Held on the driver: ``2 * BLOCKS``
+    times ``width`` times ``k + EXTRA`` numbers; a task holds one block. Rows are never joined or named.
     """
     given = z.where(F.col("features").isNotNull()).select("features")
-    spark = z.sparkSession
-    q = np.linalg.qr(np.random.default_rng(7).normal(size=(width, min(k + EXTRA, width))))[0]
-    before = None
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(q)
-
-        def products(batches):
-            n, squares, total = 0, 0.0, None
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    x = matrix(batch.column("features").slice(at, 256))
-                    total = x.T @ (x @ shared.value) + (0 if total is None else total)
-                    n, squares = n + len(x), squares + float((x * x).sum())
-            for at in range(0, width if n else 0, COLUMNS):
-                part = total[at : at + COLUMNS]
-                yield pd.DataFrame({"block": np.array([at // COLUMNS], np.int32), "n": [n], "squares": [squares], "p": [part.ravel()]})
-
-        sums = given.mapInArrow(lambda batches: map(_record, products(batches)), "block int, n long, squares double, p array<double>")
-        got = sums.groupBy("block").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"), Summarizer.metrics("sum").summary(array_to_vector("p")).alias("p")).orderBy("block").collect()
-        shared.destroy()
-        product = np.concatenate([r["p"]["sum"].toArray().reshape(-1, q.shape[1]) for r in got])
-        total = got[0]["squares"]
-        value, turn = _leading(*np.linalg.eigh(q.T @ product), q.shape[1])
-        components = (q @ turn)[:, :k].T
-        if before is not None and len(before) == len(value) and np.abs(value - before)[:k].max() <= SETTLED * value[0]:
+    size = min(k + EXTRA, width)
+    block = np.linalg.qr(np.random.default_rng(7).normal(size=(width, size)))[0]
+    basis, products = np.empty((width, 0)), np.empty((width, 0))
+    for _ in range(PASSES):
+        _, total, image = _applied(given, block)
+        basis, products = np.hstack([basis, block]), np.hstack([products, image])
+        inner = basis.T @ products
+        value, turn = np.linalg.eigh((inner + inner.T) / 2)
+        value, turn = value[::-1][:size], turn[:, ::-1][:, :size]
+        left = products @ turn - basis @ turn * value
+        if not total or (np.linalg.norm(left[:, :k], axis=0) <= SETTLED * max(value[0], 1e-300)).all():
+            break
+        if basis.shape[1] >= BLOCKS * size:
+            basis, products = basis @ turn, products @ turn
+        block = _new(left, basis)
+        if not block.shape[1]:
             break
-        before = value
-        q = np.linalg.qr(product @ turn)[0]
-    return _signed(components), value[:k] / total
+    components = (basis @ turn)[:, :k].T
+    good = value[:k] > RANK * max(value[0], 1e-300)
+    return _signed(components[good]), value[:k][good] / (total or 1.0)
 
 
 def _record(pdf: pd.DataFrame):

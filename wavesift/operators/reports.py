@@ -1,83 +1,61 @@
-"""Text reports: the whole as a table of lines, or the first rows as one text."""
+"""Text reports as tables of lines, which a text sink writes in order; every row is listed."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavesift.operators import outliers
 
 
-def _rest(rows: DataFrame, top: int, what: str) -> list[str]:
-    """A line that says how many rows beyond ``top`` are not listed, if any."""
-    n = rows.count() - top
-    return [f"{n} more {what} not listed"] if n > 0 else []
-
-
-def outlier_report(scored: DataFrame, found: DataFrame, settings, top: int = 1_000) -> str:
-    """Parameters, distances, outliers of each file and the first ``top`` rows, and how many are left out."""
-    s = outliers.summary(scored).first()
-    files = outliers.per_file(found)
-    lines = [
-        f"metric {settings.metric}, percentile {settings.percentile:g}",
-        f"windows {s['n']}: mean {s['mean']:.3f}, std {s['std']:.3f}, min {s['min']:.3f}, max {s['max']:.3f}",
-        *(f"{r['file']}: {r['n_outliers']}" for r in files.limit(top).collect()),
-        *_rest(files, top, "files"),
-        *(f"{r['file']}\t{r['start_sec']:.2f}\t{r['distance']:.3f}" for r in found.limit(top).collect()),
-        *_rest(found, top, "outliers"),
-    ]
-    return "\n".join(lines) + "\n"
-
-
-def score_report(score: DataFrame, missed: DataFrame, top: int = 1_000) -> str:
-    """Counts and shares, then the first ``top`` missed labels, and how many are left out."""
-    r = score.first()
-    lines = [
-        f"labels {r['n_labels']}, matched {r['n_matched']}, detections {r['n_detections']}",
-        f"recall {r['recall']:.1%}, precision {r['precision']:.1%}, F1 {r['f1']:.3f}",
-        *(f"missed {m['file']} {m['start_sec']:.2f}" for m in missed.orderBy("file", "start_sec").limit(top).collect()),
-        *_rest(missed, top, "missed labels"),
-    ]
-    return "\n".join(lines) + "\n"
-
-
-def _lines(spark, *parts) -> DataFrame:
-    """Lines of all parts in order; a part is a list of texts, or rows with the columns they are sorted by and line."""
+def _lines(spark, *parts: list[str] | tuple[DataFrame, Column, Sequence[Column]]) -> DataFrame:
+    """Lines of all parts in order; a part is a list of texts, or rows, the line of each, and the three columns they are sorted by."""
     tables = []
     for i, part in enumerate(parts):
         if isinstance(part, list):
-            rows = spark.createDataFrame([(i, float(k), None, None, x) for k, x in enumerate(part)], "part int, a double, b string, c double, line string")
+            tables.append(spark.createDataFrame([(i, float(k), None, None, x) for k, x in enumerate(part)], "part int, a double, b string, c double, line string"))
         else:
-            rows, (a, b, c) = part
-            rows = rows.select(F.lit(i).alias("part"), a.cast("double").alias("a"), b.cast("string").alias("b"), c.cast("double").alias("c"), "line")
-        tables.append(rows)
+            rows, line, (a, b, c) = part
+            tables.append(rows.select(F.lit(i).alias("part"), a.cast("double").alias("a"), b.cast("string").alias("b"), c.cast("double").alias("c"), line.alias("line")))
     return reduce(DataFrame.unionByName, tables).orderBy("part", "a", "b", "c").select("line")
 
 
+def _number(x: float | None) -> str:
+    return "none" if x is None else f"{x:.4f}"
+
+
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("?"))
+
+
 def outlier_lines(scored: DataFrame, found: DataFrame, metric: str, percent: float, threshold: float | None) -> DataFrame:
-    """Parameters, threshold and distances, then outliers by file and every outlier, one line each."""
+    """The segments found, their number in each file, and the distances and settings they come from."""
     s = outliers.summary(scored).first()
-    number = lambda x: "-" if x is None else f"{x:.3f}"
-    head = [
-        "OUTLIER DETECTION REPORT", "", f"Distance metric: {metric}", f"Threshold: {number(threshold)} (top {100 - percent:.1f}%, percentile {percent:g})",
-        f"Number of outliers: {found.count()} out of {s['n']} windows", "", f"{metric} distance stats:",
-        f"  Mean: {number(s['mean'])}, Std: {number(s['std'])}", f"  Min: {number(s['min'])}, Max: {number(s['max'])}", "", "OUTLIERS PER FILE",
-    ]
-    files = outliers.per_file(found).withColumn("line", F.format_string("%s\t%d", F.col("file").cast("string"), "n_outliers"))
     part = lambda i: F.coalesce(F.get("scores", F.lit(i)), F.lit(0.0))
-    rows = found.withColumn("line", F.format_string("%d\t%s\t%d\t%.3f\t%.6f\t%.6f\t%.6f", "index", F.col("file").cast("string"), "start_frame", "start_sec", "distance", part(0), part(1)))
-    columns = ["", "OUTLIER DETAILS", "\t".join(("Index", "File", "Start Frame", "Start Time (s)", "Distance", "PC1", "PC2"))]
-    return _lines(found.sparkSession, head, (files, (-F.col("n_outliers"), F.col("file"), F.lit(0))), columns, (rows, (F.lit(0), F.col("file"), F.col("start_sec"))))
+    segment = F.format_string("%s @ %.3f s: window %d, frame %d, distance %.5f, scores (%.5f, %.5f)", _text("file"), "start_sec", "index", "start_frame", "distance", part(0), part(1))
+    files = outliers.per_file(found)
+    tail = [
+        "", "[distances]", f"measure = {metric}", f"cut = {_number(threshold)}", f"cut_percentile = {percent:g}", f"windows = {s['n']}", f"windows_beyond = {found.count()}",
+        f"smallest = {_number(s['min'])}", f"largest = {_number(s['max'])}", f"average = {_number(s['mean'])}", f"spread = {_number(s['std'])}",
+    ]
+    return _lines(
+        found.sparkSession, ["[segments]"], (found, segment, (F.lit(0), F.col("file"), F.col("start_sec"))),
+        ["", "[files]"], (files, F.format_string("%d in %s", "n_outliers", _text("file")), (-F.col("n_outliers"), F.col("file"), F.lit(0))), tail,
+    )
 
 
-def score_lines(score: DataFrame, matched: DataFrame, missed: DataFrame) -> DataFrame:
-    """Counts and shares, then every matched and every missed label, one line each."""
+def score_lines(score: DataFrame, matched: DataFrame, missed: DataFrame, ambiguous: DataFrame | None = None) -> DataFrame:
+    """Shares and counts, every label that no segment is near, names that several files have, and the labels found."""
     r = score.first()
     head = [
-        "RESULTS FROM COMPARISON", f"n validation calls: {r['n_labels']}", f"n matched as outliers: {r['n_matched']}", f"n missed: {r['n_labels'] - r['n_matched']}",
-        f"Recall: {r['recall']:.1%}", f"Precision: {r['precision']:.1%}", f"F1 Score: {r['f1']:.1%}", "", "List of matched:",
+        "[agreement]", f"f1 = {r['f1']:.4f}", f"precision = {r['precision']:.4f}", f"recall = {r['recall']:.4f}", f"labels = {r['n_labels']}", f"found = {r['n_matched']}",
+        f"unseen = {r['n_labels'] - r['n_matched']}", f"segments = {r['n_detections']}", "", "[unseen]",
     ]
-    listed = lambda df: (df.withColumn("line", F.format_string("  file: %s, time: %ss", F.col("file").cast("string"), F.col("start_sec").cast("string"))), (F.lit(0), F.col("file"), F.col("start_sec")))
-    return _lines(score.sparkSession, head, listed(matched), ["", "List of missed:"], listed(missed))
+    listed = lambda df: (df, F.format_string("%s @ %s s", _text("file"), _text("start_sec")), (F.lit(0), F.col("file"), F.col("start_sec")))
+    parts = [head, listed(missed)]
+    if ambiguous is not None:
+        parts += [["", "[ambiguous names]"], (ambiguous, F.format_string("%s: %d files", _text("file"), "n_files"), (F.lit(0), F.col("file"), F.lit(0)))]
+    return _lines(score.sparkSession, *parts, ["", "[found]"], listed(matched))

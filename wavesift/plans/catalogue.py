@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavesift.functions import signal
-from wavesift.operators import audio, clusters, evaluate, features, outliers, pca, tune, windows
+from wavesift.functions.order import percentiles
+from wavesift.operators import audio, clusters, evaluate, features, outliers, pca, rasters, tune, windows
 from wavesift.sources import npz, tables, wav
+from wavesift.sources.stores import scratch
 
 SIZE, STRIDE = 8, 4
 RATE = 100
@@ -219,18 +221,29 @@ def prf1(spark, sf_dir):
     return got.select("n_labels", "n_matched", "n_detections", *shares)
 
 
-GRID = {"n_components": [2, 4, 8, 16, 32, 42, 52, 62], "percentile": [90.0, 95.0], "metric": ["euclidean", "mahalanobis"]}
+GRID = {"n_components": [1, 2], "percentile": [80.0, 90.0, 95.0], "metric": ["euclidean", "mahalanobis"]}
 
 
-def grid_product(spark, sf_dir):
-    return tune.grid(spark, GRID)
+def grid_trials(spark, sf_dir):
+    """All combinations of components, percentile and distance, scored against loud frames as labels, in one plan."""
+    built = _pair(spark, sf_dir)
+    scores = pca.transform(built, pca.fit(built, 2)).select("file", "start_frame", "scores").persist()
+    trials = [t | {"source": "pair"} for t in tune.combinations(GRID)]
+    found = tune.outliers({"pair": scores}, trials).withColumn("start_sec", windows.seconds(F.col("start_frame"), SECS_PER_FRAME))
+    loud = _frames(spark, sf_dir).where(F.get("bins", F.lit(1)) > 1.5)
+    labels = tune.of_each(loud.select("file", windows.seconds(F.col("frame"), SECS_PER_FRAME).alias("start_sec")), [t["run_num"] for t in trials])
+    got = evaluate.score(labels, found.select("run_num", "file", "start_sec"), 0.02, tune.grid(spark, GRID))
+    shares = [F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")]
+    return got.select("run_num", *GRID, F.col("n_detections").alias("n_outliers"), "n_matched", F.col("n_labels").alias("n_validation"), *shares)
 
 
 def best_trial(spark, sf_dir):
-    """The tolerance of three with the best F1."""
+    """The tolerance of three with the best F1; all are scored in one plan."""
     labels, found = _times(spark, sf_dir)
     trials = tune.grid(spark, {"tolerance": [3_600.0, 10_800.0, 21_600.0]})
-    got = tune.best(tune.run(trials, lambda p: evaluate.score(labels, found, p["tolerance"])))
+    each = F.explode(F.array(*[F.struct(F.lit(r["run_num"]).alias("run_num"), F.lit(r["tolerance"]).alias("tolerance")) for r in trials.collect()])).alias("t")
+    labels, found = (x.select("*", each).select("file", "start_sec", "t.run_num", "t.tolerance") for x in (labels, found))
+    got = tune.best(evaluate.score(labels, found, F.col("tolerance"), trials))
     return got.select("run_num", "tolerance", "n_matched", F.round("f1", 6).alias("f1"))
 
 
@@ -295,17 +308,16 @@ def outlier_windows(spark, sf_dir):
 
 
 def wav_samples(spark, sf_dir):
-    """Every series as a WAV file of 16 bits, decoded again without its first second."""
-    series = _samples(spark, sf_dir).where("amplitude is not null").withColumn("amplitude", F.col("amplitude") / 512)
-
-    def encoded(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("n")["amplitude"].to_numpy(np.float32)
-        return pd.DataFrame({"path": pdf["file"].iloc[:1], "content": [wav._encode(x, RATE)]})
-
-    # a file is one object, so one task writes it
-    files = series.groupBy("file").applyInPandas(encoded, "path string, content binary")
-    got = wav.chunks(files, 1.0, None, size=300).where("error is null")
-    return got.select("file", F.posexplode("samples").alias("i", "amplitude"), "first").select("file", (F.col("first") + F.col("i")).alias("n"), F.col("amplitude").cast("double").alias("amplitude"))
+    """Every series written as a WAV file of 16 bits, read again by ranges without its first second."""
+    series = _samples(spark, sf_dir).where("file is not null and n is not null and amplitude is not null")
+    # a file is one object, so its samples come together
+    row = F.sort_array(F.collect_list(F.struct("n", (F.col("amplitude") / 512).cast("float").alias("x"))))
+    files = series.groupBy("file").agg(F.transform(row, lambda r: r["x"]).alias("samples"))
+    folder = scratch(spark, "wav-samples")
+    wav.write(files.select(F.concat("file", F.lit(".wav")).alias("file"), F.lit(RATE).alias("sr"), "samples"), folder)
+    got = wav.read(spark, folder, 1.0, None, size=300).where("error is null")
+    name = F.substring_index("file", ".wav", 1).alias("file")
+    return got.select(name, F.posexplode("samples").alias("i", "amplitude"), "first").select("file", (F.col("first") + F.col("i")).alias("n"), F.col("amplitude").cast("double").alias("amplitude"))
 
 
 def npz_frames(spark, sf_dir):
@@ -323,12 +335,41 @@ def npz_frames(spark, sf_dir):
     return got.select("file", "frame", F.size("bins").alias("n_bins"), F.round(total, 6).alias("total"))
 
 
+def score_pixels(spark, sf_dir):
+    """Windows and outliers in each pixel of a picture of 32 by 24 of the pairs."""
+    scored = _scored(spark, sf_dir)
+    found = outliers.above(scored, 80.0).select("file", "start_frame", F.lit(1).alias("hit"))
+    x, y = F.get("features", F.lit(0)), F.get("features", F.lit(1))
+    box = rasters.bounds(scored, x, y) or (0.0, 0.0, 0.0, 0.0)
+    seen = rasters.pixels(scored.join(found, ["file", "start_frame"], "left"), x, y, box, 32, 24)
+    return seen.groupBy("px", "py").agg(F.count("*").alias("n"), F.count("hit").alias("n_outliers"))
+
+
+def window_tiles(spark, sf_dir):
+    """Greatest values of every sliding window by 4 rows and 4 columns."""
+    got = rasters.tiles(_frames(spark, sf_dir), SIZE, STRIDE, 4, 4)
+    return got.select("file", "start_frame", F.posexplode("tile").alias("cell", "value")).withColumn("value", F.round("value", 6))
+
+
+def sliding_mean_std(spark, sf_dir):
+    """Mean and deviation of windows that move on by one frame, from panes."""
+    return _long(features.build(_frames(spark, sf_dir), SIZE, 1, "mean_std"))
+
+
+def value_percentiles(spark, sf_dir):
+    """Five exact percentiles of the values of every event type, from one set of counts."""
+    percents = [1.0, 25.0, 50.0, 95.0, 99.9]
+    got = percentiles(_table(spark, sf_dir, "events").where("event_type is not null"), "value", percents, F.col("event_type"))
+    return spark.createDataFrame([(k, p, round(v, 6)) for k, values in got.items() for p, v in zip(percents, values)], "event_type string, percent double, value double")
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     frames_scan, trim_series, band_slice, window_starts, windows_per_file, point_window, tumbling_mean_std,
     aci_freq, aci_time, aci_both, full_window, zscore, euclidean_outliers, mahalanobis_outliers, pca_evr_2d,
     pca_scores, distance_stats, outliers_per_file, outlier_table, stft_db, mel_db, wave_stats, resize_fixed,
-    whole_file_mean_std, match_semi, match_anti, match_list, prf1, grid_product, best_trial, clip_slice,
+    whole_file_mean_std, match_semi, match_anti, match_list, prf1, grid_trials, best_trial, clip_slice,
     missing_audio, kmeans, kmeans_sweep, pca_energy, outlier_csv, outlier_windows, wav_samples, npz_frames,
+    score_pixels, window_tiles, sliding_mean_std, value_percentiles,
 )
 
 

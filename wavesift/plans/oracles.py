@@ -53,6 +53,23 @@ def _mel() -> str:
     return f"{_STFT}, bank(mel, k, weight) AS (VALUES {', '.join(rows)}), q AS (SELECT file, frame, mel, sum(p * weight::DOUBLE) AS p FROM p JOIN bank USING (k) GROUP BY ALL)"
 
 
+def _grid() -> str:
+    """Both components of a standardised pair have a closed form, so all trials do."""
+    return f"""WITH {_PAIR}, q AS (SELECT avg(m) AS mm, avg(s) AS ms, stddev_pop(m) AS sm, stddev_pop(s) AS ss, sign(corr(m, s)) AS r FROM pair),
+pcs AS (SELECT file, start_frame, ((m - mm) / sm + r * (s - ms) / ss) / sqrt(2) AS a, ((m - mm) / sm - r * (s - ms) / ss) / sqrt(2) AS b FROM pair, q),
+v AS (SELECT var_samp(a) AS va, var_samp(b) AS vb FROM pcs),
+dist AS (SELECT file, start_frame, k, metric, sqrt(a * a / CASE metric WHEN 'euclidean' THEN 1 ELSE va END + CASE k WHEN 1 THEN 0 ELSE b * b / CASE metric WHEN 'euclidean' THEN 1 ELSE vb END END) AS distance
+  FROM pcs, v, (SELECT unnest([1, 2]) AS k), (SELECT unnest(['euclidean', 'mahalanobis']) AS metric)),
+cuts AS (SELECT k, metric, quantile_cont(distance, [0.8, 0.9, 0.95]) AS cut FROM dist GROUP BY ALL),
+t AS (SELECT row_number() OVER (ORDER BY k, i, metric) AS run_num, k, [80.0, 90.0, 95.0][i]::DOUBLE AS percentile, metric, cut[i] AS cut FROM cuts, (SELECT unnest([1, 2, 3]) AS i)),
+d AS (SELECT run_num, file, round(start_frame * 0.008::DOUBLE, 3) AS start_sec FROM t JOIN dist USING (k, metric) WHERE distance > cut),
+l AS (SELECT file, round(frame * 0.008::DOUBLE, 3) AS start_sec FROM frames WHERE bins[2] > 1.5),
+n AS (SELECT run_num, (SELECT count(*) FROM d WHERE d.run_num = t.run_num) AS n_outliers, (SELECT count(*) FROM l) AS n_validation,
+  (SELECT count(*) FROM l WHERE EXISTS (SELECT 1 FROM d WHERE d.run_num = t.run_num AND d.file = l.file AND abs(d.start_sec - l.start_sec) < 0.02)) AS n_matched FROM t),
+s AS (SELECT *, CASE WHEN n_validation > 0 THEN n_matched / n_validation ELSE 0 END AS recall, CASE WHEN n_outliers > 0 THEN n_matched / n_outliers ELSE 0 END AS precision FROM n)
+SELECT run_num, k::BIGINT AS n_components, percentile, metric, n_outliers, n_matched, n_validation, round(recall, 6) AS recall, round(precision, 6) AS precision, round({_F1}, 6) AS f1 FROM s JOIN t USING (run_num)"""
+
+
 def oracle_sql() -> dict[str, str]:
     trials = " UNION ALL ".join(f"SELECT {i} AS run_num, {t} AS tolerance, * FROM ({_score(t)})" for i, t in enumerate((3600.0, 10800.0, 21600.0), 1))
     return {
@@ -83,7 +100,7 @@ def oracle_sql() -> dict[str, str]:
         "match_anti": f"WITH {_TIMES} SELECT * FROM l WHERE NOT {_near(21600)}",
         "match_list": f"WITH {_TIMES} SELECT label_id, l.file, count(d.start_sec) AS n, min(d.start_sec) AS first_sec, max(d.start_sec) AS last_sec FROM l LEFT JOIN d ON d.file = l.file AND abs(d.start_sec - l.start_sec) < 21600 GROUP BY ALL",
         "prf1": f"WITH {_TIMES} SELECT n_labels, n_matched, n_detections, round(recall, 6) AS recall, round(precision, 6) AS precision, round(precision_detections, 6) AS precision_detections, round({_F1}, 6) AS f1 FROM ({_score(21600)})",
-        "grid_product": "SELECT row_number() OVER (ORDER BY i, j, metric) AS run_num, c AS n_components, p AS percentile, metric FROM (SELECT unnest([2, 4, 8, 16, 32, 42, 52, 62])::BIGINT AS c, unnest(range(8)) AS i), (SELECT unnest([90.0, 95.0])::DOUBLE AS p, unnest(range(2)) AS j), (SELECT unnest(['euclidean', 'mahalanobis']) AS metric)",
+        "grid_trials": _grid(),
         "best_trial": f"WITH {_TIMES} SELECT run_num, tolerance::DOUBLE AS tolerance, n_matched, round({_F1}, 6) AS f1 FROM ({trials}) ORDER BY {_F1} DESC, run_num LIMIT 1",
         "clip_slice": f"WITH {_SAMPLES}, c AS (SELECT unnest([0.0, 1.5, 3.7])::DOUBLE AS start_sec) SELECT file, start_sec, min(n) AS first, count(*) AS n, round(sum(amplitude), 4) AS total FROM samples, c WHERE n >= trunc((start_sec + 5) * 100)::BIGINT AND n < trunc((start_sec + 7.5::DOUBLE) * 100)::BIGINT GROUP BY file, start_sec",
         "pca_energy": f"WITH {_MEAN_STD}, z AS (SELECT file, start_frame, (value - avg(value) OVER (PARTITION BY dim)) / stddev_pop(value) OVER (PARTITION BY dim) AS z FROM f) SELECT file, start_frame, round(sum(z * z), 4) AS energy FROM z GROUP BY file, start_frame",
@@ -91,5 +108,9 @@ def oracle_sql() -> dict[str, str]:
         "outlier_windows": f"WITH {_DIST} SELECT d.file, start_frame, frame, round(list_sum(bins), 6) AS total FROM d JOIN frames ON frames.file = d.file AND frame >= start_frame AND frame < start_frame + 8 WHERE distance > (SELECT quantile_cont(distance, 0.95) FROM d)",
         "wav_samples": f"WITH {_SAMPLES} SELECT file, n - 100 AS n, (trunc((amplitude / 512)::FLOAT * 32768::FLOAT) / 32768)::DOUBLE AS amplitude FROM samples WHERE n >= 100",
         "npz_frames": f"WITH {_FRAMES} SELECT file::VARCHAR AS file, frame, len(bins)::INT AS n_bins, round(list_sum(bins), 6) AS total FROM frames",
+        "score_pixels": f"WITH {_DIST}, x AS (SELECT * FROM d JOIN pair USING (file, start_frame)), e AS (SELECT min(m) AS a, max(m) AS b, min(s) AS c, max(s) AS d FROM x) SELECT least(floor((m - a) / (b - a) * 32), 31)::INT AS px, least(floor((s - c) / (d - c) * 24), 23)::INT AS py, count(*) AS n, count(*) FILTER (distance > (SELECT quantile_cont(distance, 0.8) FROM x)) AS n_outliers FROM x, e GROUP BY ALL",
+        "window_tiles": f"WITH {_windowed(8, 4)} SELECT file, start_frame, (bin // 16 * 4 + (frame - start_frame) // 2)::INT AS cell, round(max(v), 6) AS value FROM w GROUP BY ALL",
+        "sliding_mean_std": f"WITH {_windowed(8, 1)}, f AS (SELECT file, start_frame, bin AS dim, avg(v) AS value FROM w GROUP BY ALL UNION ALL SELECT file, start_frame, bin + 64, stddev_pop(v) FROM w GROUP BY file, start_frame, bin) SELECT file, start_frame, dim::INT AS dim, round(value, 6) AS value FROM f",
+        "value_percentiles": "SELECT event_type, p AS percent, round(v, 6) AS value FROM (SELECT event_type, unnest([1.0, 25.0, 50.0, 95.0, 99.9]::DOUBLE[]) AS p, unnest(quantile_cont(value, [0.01, 0.25, 0.5, 0.95, 0.999])) AS v FROM events GROUP BY event_type)",
         "missing_audio": f"WITH {_DIST} SELECT file, start_frame FROM d WHERE distance > (SELECT quantile_cont(distance, 0.8) FROM d) AND file NOT IN (SELECT file FROM frames WHERE frame >= 50)",
     }

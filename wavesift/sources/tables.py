@@ -5,21 +5,22 @@ Rows with a null series, order key or value keep their place and take no part la
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavesift.functions.order import placed
+
 
 def samples_of(events: DataFrame) -> DataFrame:
     """file, n (from 0) and amplitude: one series for each event type, in time order."""
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return events.select(F.col("event_type").alias("file"), (F.row_number().over(order) - 1).cast("long").alias("n"), F.col("value").alias("amplitude"))
+    got = placed(events, "event_type", ["ts", "event_id"], "n")
+    return got.select(F.col("event_type").alias("file"), "n", F.col("value").alias("amplitude"))
 
 
 def frames_of(embeddings: DataFrame) -> DataFrame:
     """file, frame (from 0) and bins: one spectrogram for each label, in id order."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    bins = F.transform("embedding", lambda x: x.cast("double"))
-    return embeddings.select(F.col("label").alias("file"), (F.row_number().over(order) - 1).cast("long").alias("frame"), bins.alias("bins"))
+    got = placed(embeddings, "label", ["vec_id"], "frame")
+    return got.select(F.col("label").alias("file"), "frame", F.transform("embedding", lambda x: x.cast("double")).alias("bins"))
 
 
 def trimmed(samples: DataFrame, sample_rate: int, start_secs: float, end_secs: float | None) -> DataFrame:

@@ -1,30 +1,46 @@
-"""Recordings: a tree of WAV files read, cut into overlapping chunks, and clips written.
+"""Recordings as a Spark data source: a tree of WAV files read by ranges of samples, and written.
 
-A file with null content is one that can't be decoded.
+Planning lists the tree and reads headers only. A partition is some ranges of samples, at most
+``PARTITION`` of them, so one long recording is dealt over many tasks and short ones share one. A reader
+seeks and fetches the bytes of its ranges; what is trimmed or filtered away is never read.
+Filters on file, first and start_sec are pushed into planning.
+
+A file that can't be read gives one row with ``error``, and the run goes on. A file that ends
+before its header says is read as far as it goes.
 """
 
 from __future__ import annotations
 
 import io
-import os
-import uuid
 import wave
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from wavesift.functions.signal import resampled, resampled_length
+from wavesift.functions.signal import resampled, resampled_length, resampled_span
+from wavesift.sources.staged import StagedWriter, save_files
+from wavesift.sources.stores import below, listed, opened
 
-#: Samples of a chunk, so that no row holds a whole recording.
+#: Samples of a chunk, so that no row holds a whole recording, and of a partition.
 CHUNK = 1 << 18
+PARTITION = 1 << 22
+#: Headers read at a time while planning.
+HEADERS = 32
 
+CHUNKS = "file string, sr int, length long, first long, samples array<float>, error string"
+COLUMNS = "file string, sr int, length long, first long, start_sec double, samples array<float>, error string"
 
-def _decode(content: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in [-1, 1) and the sample rate; of several channels the first."""
-    with wave.open(io.BytesIO(content)) as w:
-        raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
+
+def _amplitudes(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Samples in [-1, 1) of the first channel."""
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     elif width == 2:
@@ -37,7 +53,27 @@ def _decode(content: bytes) -> tuple[np.ndarray, int]:
         x = (np.frombuffer(raw, "<i4") / 2**31).astype(np.float32)
     else:
         raise ValueError(f"samples of {width} bytes")
-    return x[::channels], rate
+    return x[::channels]
+
+
+class Recording:
+    """An open WAV file: its rate, the samples it really has, and any range of them."""
+
+    def __init__(self, file, size: int | None = None):
+        self.wave = wave.open(file)
+        block = self.wave.getsampwidth() * self.wave.getnchannels()
+        there = self.wave.getnframes() if size is None else max(0, size - file.tell()) // block
+        self.rate, self.n = self.wave.getframerate(), min(self.wave.getnframes(), there)
+
+    def samples(self, first: int, last: int) -> np.ndarray:
+        self.wave.setpos(first)
+        return _amplitudes(self.wave.readframes(max(0, last - first)), self.wave.getsampwidth(), self.wave.getnchannels())
+
+
+def _decode(content: bytes) -> tuple[np.ndarray, int]:
+    """Mono samples in [-1, 1) and the sample rate; of several channels the first."""
+    r = Recording(io.BytesIO(content), len(content))
+    return r.samples(0, r.n), r.rate
 
 
 def _encode(samples: np.ndarray, rate: int) -> bytes:
@@ -50,95 +86,254 @@ def _encode(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+@dataclass(frozen=True)
+class Cutting:
+    """How a recording becomes chunks: trimmed, resampled, and cut with an overlap."""
+
+    start_secs: float = 5.0
+    end_secs: float | None = None
+    overlap: int = 0
+    size: int = CHUNK
+    rate: int | None = None
+
+    def kept(self, n: int, rate: int) -> tuple[int, int]:
+        """First sample and the one behind the last; they are equal if nothing is left."""
+        s = int(self.start_secs * rate)
+        e = n if self.end_secs is None else max(s, min(int(self.end_secs * rate), n))
+        return (s, e) if e > s else (s, s)
+
+    def length(self, n: int, rate: int) -> int:
+        """Samples of all chunks without overlaps; a recording of which nothing is left gives one zero."""
+        s, e = self.kept(n, rate)
+        return resampled_length(max(1, e - s), rate, self.rate or rate)
+
+    def count(self, n: int, rate: int) -> int:
+        """Chunks; the last one is the first that reaches the end."""
+        return max(1, -(-(self.length(n, rate) - self.overlap) // self.size))
+
+    def chunk(self, recording: Recording, k: int) -> np.ndarray:
+        """The samples of a chunk, from the bytes they need."""
+        rate, to = recording.rate, self.rate or recording.rate
+        s, e = self.kept(recording.n, rate)
+        first, last = k * self.size, min((k + 1) * self.size + self.overlap, self.length(recording.n, rate))
+        if s == e:
+            return np.zeros(last - first, np.float32)
+        lo, hi = resampled_span(first, last, rate, to)
+        lo, hi = max(lo, 0), min(hi, e - s)
+        return resampled(recording.samples(s + lo, s + hi), rate, to, first, last, begin=lo, length=e - s).astype(np.float32)
+
+
+class Range(NamedTuple):
+    """Chunks of a file, or why it has none."""
+
+    file: str
+    size: int
+    chunks: list[int]
+    error: str | None
+
+
+class Ranges(InputPartition):
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
+_COMPARED = {EqualTo: lambda a, b: a == b, In: lambda a, b: a in b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b}
+
+
+class WavReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.root = options["path"]
+        end, rate = options.get("end_secs"), options.get("rate")
+        self.cutting = Cutting(float(options.get("start_secs", 0)), None if end is None else float(end), int(options.get("overlap", 0)), int(options.get("size", CHUNK)), None if rate is None else int(rate))
+        self.limit = int(options["limit"]) if "limit" in options else None
+        self.file_name, self.partition = options.get("name"), int(options.get("partition", PARTITION))
+        self.filters: dict[str, list] = {"file": [], "first": [], "start_sec": []}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if type(f) in _COMPARED and column in self.filters:
+                self.filters[column].append((type(f), tuple(f.value) if isinstance(f, In) else f.value))
+            else:
+                yield f
+
+    def _passes(self, column: str, value) -> bool:
+        return all(value is not None and _COMPARED[kind](value, other) for kind, other in self.filters[column])
+
+    def _planned(self, item: tuple[str, int]) -> tuple[Range, int]:
+        """The chunks of a file that pass the filters, and samples of one."""
+        file, size = item
+        store, root = opened(self.root)
+        try:
+            with store.open_input_file(f"{root}/{file}") as f:
+                r = Recording(f, size)
+            rate = self.cutting.rate or r.rate
+            firsts = [k * self.cutting.size for k in range(self.cutting.count(r.n, r.rate))]
+        except Exception as e:  # a bad file must not stop the run
+            gone = self.filters["first"] or self.filters["start_sec"]
+            return Range(file, size, [], None if gone else f"{type(e).__name__}: {e}"), 1
+        chunks = [at // self.cutting.size for at in firsts if self._passes("first", at) and self._passes("start_sec", at / rate)]
+        return Range(file, size, chunks, None), min(self.cutting.size, self.cutting.length(r.n, r.rate)) + self.cutting.overlap
+
+    def partitions(self) -> Sequence[InputPartition]:
+        files = [x for x in listed(self.root, ".wav") if self._passes("file", x[0]) and (self.file_name is None or x[0].rpartition("/")[2] == self.file_name)][: self.limit]
+        with ThreadPoolExecutor(HEADERS) as pool:
+            planned = list(pool.map(self._planned, files))
+        parts, held, samples = [], [], 0
+        for r, each in planned:
+            step = max(1, self.partition // each)
+            for at in range(0, max(1, len(r.chunks)), step):
+                some = r._replace(chunks=r.chunks[at : at + step])
+                if not some.chunks and some.error is None:
+                    continue
+                if held and samples + len(some.chunks) * each > self.partition:
+                    parts.append(Ranges(held))
+                    held, samples = [], 0
+                held.append(some)
+                samples += len(some.chunks) * each
+        return [*parts, Ranges(held)]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        store, root = opened(self.root)
+        for r in partition.ranges:
+            if r.error is not None:
+                yield _row(r.file, error=r.error)
+                continue
+            with store.open_input_file(f"{root}/{r.file}") as f:
+                recording = Recording(f, r.size)
+                rate, length = self.cutting.rate or recording.rate, self.cutting.length(recording.n, recording.rate)
+                for k in r.chunks:
+                    first = k * self.cutting.size
+                    yield _row(r.file, rate, length, first, first / rate, self.cutting.chunk(recording, k))
+
+
+def _row(file, sr=None, length=None, first=None, start=None, samples=None, error=None) -> pa.RecordBatch:
+    kinds = {"file": pa.string(), "sr": pa.int32(), "length": pa.int64(), "first": pa.int64(), "start_sec": pa.float64()}
+    columns = [pa.array([v], t) for v, t in zip((file, sr, length, first, start), kinds.values())]
+    if samples is None:
+        x = pa.nulls(1, pa.list_(pa.float32()))
+    else:
+        x = pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples, pa.float32()))
+    return pa.RecordBatch.from_arrays([*columns, x, pa.array([error], pa.string())], names=[*kinds, "samples", "error"])
+
+
+class _Recordings(StagedWriter):
+    def files(self, batches):
+        for batch in batches:
+            samples = batch.column("samples")
+            for i in range(batch.num_rows):
+                yield batch.column("file")[i].as_py(), _encode(samples[i].values.to_numpy(zero_copy_only=False), batch.column("sr")[i].as_py())
+
+
+class Wav(DataSource):
+    """``spark.read.format("wav")`` of a folder; written, a row (file, sr, samples) is a file of 16 bits."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "wav"
+
+    def schema(self) -> str:
+        return COLUMNS
+
+    def reader(self, schema) -> WavReader:
+        return WavReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> StagedWriter:
+        return _Recordings(self.options, overwrite)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known, and let Spark hand it filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(Wav)
+
+
+def read(spark: SparkSession, root: str, start_secs: float = 5.0, end_secs: float | None = None, overlap: int = 0, size: int = CHUNK, rate: int | None = None, limit: int | None = None, name: str | None = None) -> DataFrame:
+    """file (path below root), sr, length, first, start_sec and samples of the chunks of all recordings, or error.
+
+    Each chunk holds ``size`` samples of its own and ``overlap`` of the next ones, of the recording trimmed
+    and resampled to ``rate``; first and start_sec count from its trimmed start. Only the first ``limit`` files by path, or
+    those of one name.
+    """
+    register(spark)
+    listed(root, ".wav")  # a missing folder is told here
+    options = {"start_secs": start_secs, "end_secs": end_secs, "overlap": overlap, "size": size, "rate": rate, "limit": limit, "name": name}
+    return spark.read.format("wav").options(**{k: v for k, v in options.items() if v is not None}).load(root)
+
+
+def write(rows: DataFrame, root: str) -> None:
+    """Each row (file, sr, samples) as a recording below root."""
+    register(rows.sparkSession)
+    rows.select("file", "sr", "samples").write.format("wav").mode("append").save(root)
+
+
 def scan(spark: SparkSession, root: str, limit: int | None = None, file: str | None = None) -> DataFrame:
-    """path, content of all ``*.wav`` below root, the first ``limit`` by path, or one by name."""
+    """path, length and content of all ``*.wav`` below root, the first ``limit`` by path, or one by name.
+
+    The first ones are chosen by path alone, before any content is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root).select("path", "length", "content")
     if file is not None:
         files = files.where(F.element_at(F.split("path", "/"), -1) == file)
-    return files if limit is None else files.orderBy("path").limit(limit)
+    return files if limit is None else files.join(files.select("path").orderBy("path").limit(limit), "path", "left_semi")
 
 
 def chunks(files: DataFrame, start_secs: float = 5.0, end_secs: float | None = None, overlap: int = 0, size: int = CHUNK, rate: int | None = None) -> DataFrame:
-    """file, sr, length, first and samples of the trimmed recordings, or an error.
-
-    Each chunk holds ``size`` samples of its own and ``overlap`` of the next ones; the last
-    one is the first that reaches the end. A
-    recording that ends before the start gives one zero sample. Files that can't be
-    decoded give one row with ``error``. With ``rate`` the trimmed recordings are resampled.
-    """
+    """The chunks of recordings that are in a table already (path, content); columns as of ``read`` but start_sec."""
+    cutting = Cutting(start_secs, end_secs, overlap, size, rate)
 
     def run(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    x, sr = _decode(content)
+                    r = Recording(io.BytesIO(content), len(content))
+                    for k in range(cutting.count(r.n, r.rate)):
+                        yield pd.DataFrame({"file": [path], "sr": [rate or r.rate], "length": [cutting.length(r.n, r.rate)], "first": [k * size], "samples": [cutting.chunk(r, k)], "error": [None]})
                 except Exception as e:  # a bad file must not stop the run
                     yield pd.DataFrame({"file": [path], "sr": [None], "length": [None], "first": [None], "samples": [None], "error": [f"{type(e).__name__}: {e}"]})
-                    continue
-                s = int(start_secs * sr)
-                e = len(x) if end_secs is None else max(s, min(int(end_secs * sr), len(x)))
-                x = x[s:e] if e > s and len(x) > s else np.zeros(1, np.float32)
-                to = sr if rate is None else rate
-                length = resampled_length(len(x), sr, to)
-                for at in range(0, length, size):
-                    part = resampled(x, sr, to, at, min(at + size + overlap, length))
-                    yield pd.DataFrame({"file": [path], "sr": [to], "length": [length], "first": [at], "samples": [part], "error": [None]})
-                    if at + size + overlap >= length:
-                        break
 
-    return files.mapInPandas(run, "file string, sr int, length long, first long, samples array<float>, error string")
+    return files.mapInPandas(run, CHUNKS)
 
 
-def write_clips(clips: DataFrame, sample_rate: int) -> DataFrame:
-    """Add content, a WAV file, to rows with name and samples; written by any binary sink."""
+def _clip_name(stem: str, start: float) -> str:
+    return f"{stem}/{stem.rpartition('/')[2]}_t{start:.2f}s.wav"
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"name": pdf["name"], "content": [_encode(np.asarray(x, np.float32), sample_rate) for x in pdf["samples"]]})
 
-    return clips.select("name", "samples").mapInPandas(run, "name string, content binary")
+def _clips(wanted: DataFrame) -> DataFrame:
+    return wanted.where(F.col("stem").isNotNull() & F.col("start_sec").isNotNull()).select("stem", "start_sec").distinct()
 
 
-def cut(files: DataFrame, wanted: DataFrame, window_secs: float, skipped_secs: float = 5.0) -> DataFrame:
-    """name, content and error of a clip for each wanted (stem, start_sec) of the files (stem, content).
+def cut(wanted: DataFrame, root: str, window_secs: float, skipped_secs: float = 5.0) -> DataFrame:
+    """name, content and error of a clip for each wanted (stem, start_sec) of the recordings below root.
 
-    Times count behind the skipped head; clips that reach past the end are cut. A file's
-    clips are made in the task that decodes it and get a folder named by its stem.
+    Times count behind the skipped head; clips that reach past the end are cut. A clip's bytes alone are
+    read, so a recording's clips may be made in many tasks; they get a folder named by its stem.
     """
-    times = wanted.where(F.col("stem").isNotNull() & F.col("start_sec").isNotNull()).groupBy("stem").agg(F.sort_array(F.collect_set("start_sec")).alias("times"))
-    both = files.join(times, "stem")
 
     def run(batches):
+        store, path = opened(root)
         for pdf in batches:
-            for stem, content, starts in zip(pdf["stem"], pdf["content"], pdf["times"], strict=True):
+            for stem, start in zip(pdf["stem"], pdf["start_sec"], strict=True):
                 try:
-                    x, rate = _decode(content)
+                    with store.open_input_file(f"{path}/{stem}.wav") as f:
+                        r = Recording(f, f.size())
+                        first, last = (min(max(int(t * r.rate), 0), r.n) for t in (start + skipped_secs, start + skipped_secs + window_secs))
+                        made = {"content": [_encode(r.samples(first, last), r.rate)], "error": [None]}
                 except Exception as e:
-                    yield pd.DataFrame({"name": [stem], "content": [None], "error": [f"{type(e).__name__}: {e}"]})
-                    continue
-                for start in starts:
-                    first, last = (min(max(int(t * rate), 0), len(x)) for t in (start + skipped_secs, start + skipped_secs + window_secs))
-                    yield pd.DataFrame({"name": [f"{stem}/{stem.rpartition('/')[2]}_t{start:.2f}s.wav"], "content": [_encode(x[first:last], rate)], "error": [None]})
+                    made = {"content": [None], "error": [f"{type(e).__name__}: {e}"]}
+                yield pd.DataFrame({"name": [_clip_name(stem, start)], **made})
 
-    return both.select("stem", "content", "times").mapInPandas(run, "name string, content binary, error string")
+    return _clips(wanted).mapInPandas(run, "name string, content binary, error string")
 
 
-def save_clips(clips: DataFrame, folder: str) -> DataFrame:
-    """Write each clip (name, content) to a folder that all executors mount; name and path of each.
+def save_clips(clips: DataFrame, folder: str) -> None:
+    """Write clips (name, content) below a folder, all or none."""
+    save_files(clips, folder)
 
-    A clip is written beside its place and moved there, so a task that runs again does no harm.
-    The files are written when the result is.
-    """
 
-    def run(batches):
-        for pdf in batches:
-            paths = [os.path.join(folder, name) for name in pdf["name"]]
-            for path, content in zip(paths, pdf["content"], strict=True):
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                part = f"{path}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, path)
-            yield pd.DataFrame({"name": pdf["name"], "path": paths})
-
-    return clips.where("content is not null").select("name", "content").mapInPandas(run, "name string, path string")
+def saved_clips(wanted: DataFrame, folder: str) -> DataFrame:
+    """name and path of the wanted clips that are there."""
+    names = _clips(wanted).mapInPandas(lambda pdfs: (pd.DataFrame({"name": [_clip_name(*x) for x in zip(pdf["stem"], pdf["start_sec"])]}) for pdf in pdfs), "name string")
+    files = wanted.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    there = files.select(below(F.col("path"), folder).alias("name"))
+    return names.join(there, "name", "left_semi").select("name", F.concat(F.lit(folder.rstrip("/") + "/"), F.col("name")).alias("path"))

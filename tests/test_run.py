@@ -157,7 +157,7 @@ def test_numbers_and_neighbours_across_cells(spark):
     got = {(r["file"], r["start_frame"]): r["index"] for r in order.numbered(df, "file", "start_frame", F.expr("start_frame div 7")).collect()}
     assert got == {k: i for i, k in enumerate(sorted(rows))}
     mixed = spark.createDataFrame([(None if f == "c" else f, n, n % 5) for f, n in rows] + [("d", None, 0)], "file string, t long, tie long").repartition(5)
-    place = {(r["file"], r["t"]): r["n"] for r in order.placed(mixed, "file", ["tie", "t"], "n").collect()}
+    place = {(r["file"], r["t"]): r["n"] for r in order.placed(mixed, "file", ["tie", "t"], F.expr("tie div 2"), "n").collect()}
     want = sorted(range(40), key=lambda n: (n % 5, n))
     assert place == {(f, n): want.index(n) for f in (None, "a", "b") for n in range(40)} | {("d", None): 0}
     near = order.with_previous(df.where("start_frame <> 13"), "file", "start_frame", "start_frame", "before", 8).collect()

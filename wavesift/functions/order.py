@@ -138,20 +138,20 @@ def numbered(rows: DataFrame, group: str, order: str, cell: Column, name: str =
     return joined.withColumn(name, F.col("__base") + F.col("__i")).drop("__i", "__base", "__group", "__at", "__cell")
 
 
-def placed(rows: DataFrame, group: str, orders: Sequence[str], name: str) -> DataFrame:
+def placed(rows: DataFrame, group: str, orders: Sequence[str], cell: Column, name: str) -> DataFrame:
     """Add the place of each row in its group, from 0, by ``orders``.
 
-    Rows are sorted in range partitions, so a group lies over as many tasks as it needs; each partition
-    tells how many rows of each of its groups it has, and those before are added.
+    ``cell`` is a coarser form of the first of them, so a group lies over as many tasks as it has cells. Rows are
+    exchanged once, by group and cell; the numbers of rows in the cells before are added.
     """
-    given = rows.repartitionByRange(group, *orders).sortWithinPartitions(group, *orders)
-    # kept, as the partitions must be the same in both uses
-    given = given.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).persist()
-    held = given.groupBy(F.col("__part").alias("__in"), F.col(group).alias("__group")).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    before = Window.partitionBy("__group").orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).drop("__n", "__first")
-    joined = given.join(held, (F.col("__part") == F.col("__in")) & F.col(group).eqNullSafe(F.col("__group")))
-    return joined.withColumn(name, F.col("__id") + F.col("__base")).drop("__id", "__part", "__in", "__group", "__base")
+    text = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    keyed = rows.withColumns({"__group": text(F.col(group)), "__cell": cell, "__at": text(cell)})
+    counts = keyed.groupBy("__group", "__cell", "__at").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__group").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__group", "__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__group", "__at").orderBy(*orders)) - 1
+    joined = keyed.withColumn("__i", inside).join(base, ["__group", "__at"])
+    return joined.withColumn(name, F.col("__base") + F.col("__i")).drop("__group", "__cell", "__at", "__i", "__base")
 
 
 def with_previous(rows: DataFrame, group: str, order: str, column: str, name: str, size: int) -> DataFrame:

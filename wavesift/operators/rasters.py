@@ -141,7 +141,7 @@ def grids(windows: DataFrame, size: int, secs_per_frame: float, across: int = 2,
     A file has as many pictures as pages: its stem, with the page's number behind it from the second on.
     """
     width = min(size, columns)
-    numbered = placed(windows.select("file", "start_frame", "tile"), "file", ["start_frame"], "__nth")
+    numbered = placed(windows.select("file", "start_frame", "tile"), "file", ["start_frame"], F.expr(f"start_frame div {features.CELL}"), "__nth")
     paged = numbered.withColumn("__page", F.floor(F.col("__nth") / page))
 
     def drawn(pdf: pd.DataFrame) -> pd.DataFrame:

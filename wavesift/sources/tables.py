@@ -13,13 +13,13 @@ from wavesift.functions.order import placed
 
 def samples_of(events: DataFrame) -> DataFrame:
     """file, n (from 0) and amplitude: one series for each event type, in time order."""
-    got = placed(events, "event_type", ["ts", "event_id"], "n")
+    got = placed(events, "event_type", ["ts", "event_id"], F.to_date("ts"), "n")
     return got.select(F.col("event_type").alias("file"), "n", F.col("value").alias("amplitude"))
 
 
 def frames_of(embeddings: DataFrame) -> DataFrame:
     """file, frame (from 0) and bins: one spectrogram for each label, in id order."""
-    got = placed(embeddings, "label", ["vec_id"], "frame")
+    got = placed(embeddings, "label", ["vec_id"], F.expr("vec_id div 4096"), "frame")
     return got.select(F.col("label").alias("file"), "frame", F.transform("embedding", lambda x: x.cast("double")).alias("bins"))
 
 

@@ -17,9 +17,12 @@ distinct five-word shingles. Steps:
 4. A group of several blocks sends one representative of each found component on to
    the next round, until it fits one block or the blocks find no more.
 5. For groups that had several blocks, classes of different components that share a
-   shingle of step 2 and may be linked by their sizes are compared, each pair once. So no
-   link between components is lost, while copies are never paired with each other again,
-   and the work follows the shared rare shingles, not the size of the group.
+   shingle of step 2 are candidates if what each has left from that shingle on, in the common order,
+   can still reach the pair's bound: the first shingle that linked sets share always passes. They stay
+   if they share as many shingles of step 2 as the bound leaves to them.
+   Two blocks that hold candidates are multiplied as in step 3, for those pairs only. So no
+   link between components is lost, copies are never paired with each other again,
+   and a set is exchanged once for each pair of blocks, not for each candidate.
 
 Nulls and texts without words: an empty set, linked with nothing. With fewer than five
 words the whole sequence is the one shingle. Rows with equal doc_id are separate rows; a
@@ -32,7 +35,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,8 +122,8 @@ class _Find:
         self.up[max(a, b)] = min(a, b)
 
 
-def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of linked sets.
+def linked_pairs(sets: list[np.ndarray], percent: int, asked: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i < j, of linked sets; of the asked pairs only, if there are any given.
 
     Incidence times transposed incidence, strip by strip of columns; a pair is dropped
     as soon as its count and all columns to come stay below its bound.
@@ -136,7 +138,13 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
     a, b = size[:, None], size[None, :]
     # 100 * o >= percent * (a + b - o)
     bound = -(-(percent * (a + b)) // (100 + percent))
-    possible = np.triu(np.minimum(a, b) >= bound, 1)
+    possible = np.minimum(a, b) >= bound
+    if asked is None:
+        possible = np.triu(possible, 1)
+    else:
+        wanted = np.zeros_like(possible)
+        wanted[np.minimum(*asked), np.maximum(*asked)] = True
+        possible &= wanted
     overlap = np.zeros(bound.shape, np.float32)
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
@@ -192,50 +200,59 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
     return mapped(keyed.repartition("grp", "block").sortWithinPartitions("grp", "block", "cls"), run, "grp long, cls long, root long")
 
 
-def _overlaps(pairs: DataFrame, percent: int) -> DataFrame:
-    """Labels (u, v) of the pairs with sets s and t that are linked."""
+def _between(near: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Labels (u, v) of the candidates that are linked, by products of the pairs of blocks that hold some."""
+    cell = ["grp", "low", "high"]
+    of = lambda side: held.select("grp", F.col("cls").alias(f"cls_{side}"), F.col("block").alias(f"block_{side}"))
+    pairs = near.join(of("u"), "cls_u").join(of("v").drop("grp"), "cls_v")
+    pairs = pairs.select("grp", F.least("block_u", "block_v").alias("low"), F.greatest("block_u", "block_v").alias("high"), "cls_u", "cls_v", "label_u", "label_v")
+    pairs = written(pairs, "jaccard-cells")
+    sides = pairs.select(*cell, F.explode(F.array("cls_u", "cls_v")).alias("cls")).distinct().join(held.select("cls", "shingles"), "cls")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = sides.select(*cell, F.col("cls").alias("a"), none("long").alias("b"), none("long").alias("label_a"), none("long").alias("label_b"), "shingles")
+    rows = rows.unionByName(pairs.select(*cell, F.col("cls_u").alias("a"), F.col("cls_v").alias("b"), F.col("label_u").alias("label_a"), F.col("label_v").alias("label_b"), none("binary").alias("shingles")))
 
     def run(batches):
-        for batch in batches:
-            size = pc.add(pc.binary_length(batch.column("s")), pc.binary_length(batch.column("t"))).to_numpy()
-            ends = np.cumsum(size)
-            row = 0
-            while row < batch.num_rows:
-                to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + (1 << 22), "right")))
-                part = batch.slice(row, to - row)
-                row = to
-                values, owner = [], []
-                for side in ("s", "t"):
-                    data, off = utf8(part.column(side))
-                    values.append(np.frombuffer(data.tobytes(), np.uint64))
-                    owner.append(np.repeat(np.arange(part.num_rows), np.diff(off) // 8))
-                each = [np.bincount(o, minlength=part.num_rows) for o in owner]
-                value, pair = np.concatenate(values), np.concatenate(owner)
-                order = np.lexsort((value, pair))
-                value, pair = value[order], pair[order]
-                common = np.bincount(pair[1:][(value[1:] == value[:-1]) & (pair[1:] == pair[:-1])], minlength=part.num_rows)
-                linked = pa.array(100 * common >= percent * (each[0] + each[1] - common))
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(linked) for c in ("label_u", "label_v")], names=["u", "v"])
-
-    return mapped(pairs.select("label_u", "label_v", "s", "t"), run, "u long, v long").distinct()
+        for _, (a, b, label_a, label_b, raw) in _stream(batches, cell, ["a", "b", "label_a", "label_b", "shingles"]):
+            sets = [i for i, x in enumerate(raw) if x is not None]
+            place = {a[i]: k for k, i in enumerate(sets)}
+            asked = {(min(p), max(p)): i for i in range(len(a)) if raw[i] is None for p in [(place[a[i]], place[b[i]])]}
+            u, v = np.array(list(asked), np.int64).reshape(-1, 2).T
+            linked = zip(*linked_pairs([np.frombuffer(raw[i], np.uint64) for i in sets], percent, (u, v)))
+            at = [asked[int(i), int(j)] for i, j in linked]
+            yield pa.RecordBatch.from_arrays([pa.array([label_a[i] for i in at], pa.int64()), pa.array([label_b[i] for i in at], pa.int64())], names=["u", "v"])
+
+    return mapped(rows.repartition(*cell).sortWithinPartitions(*cell), run, "u long, v long").distinct()
 
 
 def _apart(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes with a common gram, another label and sizes that allow a link.
+    """Pairs of classes with a common gram, another label, and enough left from that gram on for a link.
 
-    The classes of a gram are cut into blocks, and a pair of blocks is a key of the join,
-    so that no gram is the work of one task.
+    A post whose own rest can't do even with the smallest set of its gram goes first. The classes of a gram are
+    cut into blocks, and a pair of blocks is a key of the join, so that no gram is the work of one task.
     """
-    several = posts.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many")).where("low < high")
-    cut = posts.join(several.select("gram", F.ceil(F.col("many") / BLOCK_ROWS).cast("int").alias("blocks")), "gram").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    enough = lambda rest, sizes: (100 + percent) * rest >= percent * sizes
+    least = posts.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low < high")
+    left = posts.join(least.select("gram", "least"), "gram").where(enough(F.col("n") - F.col("pos"), F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))))
+    several = left.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many")).where("low < high")
+    cut = left.join(several.select("gram", F.ceil(F.col("many") / BLOCK_ROWS).cast("int").alias("blocks")), "gram").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     cell = [F.col("gram"), F.col("row"), F.col("col")]
-    left = cut.withColumns({"row": F.col("block"), "col": F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))}).select(*cell, *[F.col(c).alias(f"{c}_u") for c in ("cls", "n", "label")])
-    right = cut.withColumns({"row": F.explode(F.sequence(F.lit(0), F.col("block"))), "col": F.col("block")}).select(*cell, *[F.col(c).alias(f"{c}_v") for c in ("cls", "n", "label")])
+    kept = ("cls", "n", "pos", "label")
+    one = cut.withColumns({"row": F.col("block"), "col": F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))}).select(*cell, *[F.col(c).alias(f"{c}_u") for c in kept])
+    two = cut.withColumns({"row": F.explode(F.sequence(F.lit(0), F.col("block"))), "col": F.col("block")}).select(*cell, *[F.col(c).alias(f"{c}_v") for c in kept])
     # within a block each pair once; between two blocks each pair is met once anyway
-    wanted = F.expr(f"label_u <> label_v and 100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v) and (row < col or cls_u < cls_v)")
-    met = left.join(right, ["gram", "row", "col"]).where(wanted)
-    order = F.when(F.col("cls_u") < F.col("cls_v"), F.struct(*[F.col(c) for c in ("cls_u", "cls_v", "label_u", "label_v")])).otherwise(F.struct(*[F.col(b).alias(a) for a, b in (("cls_u", "cls_v"), ("cls_v", "cls_u"), ("label_u", "label_v"), ("label_v", "label_u"))]))
-    return met.select(order.alias("pair")).select("pair.*").dropDuplicates(["cls_u", "cls_v"])
+    wanted = F.expr("label_u <> label_v and (row < col or cls_u < cls_v)") & enough(F.expr("least(n_u - pos_u, n_v - pos_v)"), F.expr("n_u + n_v"))
+    met = one.join(two, ["gram", "row", "col"]).where(wanted)
+    names = [f"{c}_{side}" for c in ("cls", "label", "n") for side in "uv"]
+    turned = F.struct(*[F.col(c[:-1] + ("v" if c[-1] == "u" else "u")).alias(c) for c in names])
+    order = F.when(F.col("cls_u") < F.col("cls_v"), F.struct(*names)).otherwise(turned)
+    pairs = met.select(order.alias("pair")).select("pair.*").dropDuplicates(["cls_u", "cls_v"])
+    # what lies behind the prefix of the one that ends first can't give more than its need less one
+    mine = posts.groupBy("cls").agg(F.collect_set(F.when(F.col("own"), F.col("gram"))).alias("own"), F.collect_set(F.when(~F.col("own"), F.col("gram"))).alias("also"))
+    side = lambda x: mine.select(F.col("cls").alias(f"cls_{x}"), F.col("own").alias(f"own_{x}"), F.col("also").alias(f"also_{x}"))
+    shared = F.size(F.array_intersect(F.concat("own_u", "also_u"), "own_v")) + F.size(F.array_intersect("own_u", "also_v"))
+    bound = F.ceil((F.col("n_u") + F.col("n_v")) * percent / (100 + percent)) - F.ceil(F.greatest("n_u", "n_v") * percent / 100) + 1
+    return pairs.join(side("u"), "cls_u").join(side("v"), "cls_v").where(shared >= bound).select("cls_u", "cls_v", "label_u", "label_v")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -313,16 +330,17 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
                 value, doc = value[order], doc[order]
                 rank = np.arange(len(doc)) - np.searchsorted(doc, doc) + single[doc]
                 inside = rank < allowed[doc]
-                value, doc = value[inside], doc[inside]
+                value, doc, rank = value[inside], doc[inside], rank[inside]
                 # linked sets are of like size: apart from those whose larger partners fall into the next band, one band
                 band = np.floor(np.log2(np.maximum(size, 1))).astype(np.uint64)
                 reach = np.floor(np.log2(np.maximum(size * 100 // percent, 1))).astype(np.uint64)
                 also = np.flatnonzero(reach[doc] > band[doc])
                 gram = np.concatenate([mix(value ^ band[doc]), mix(value[also] ^ reach[doc[also]])])
-                doc = np.concatenate([doc, doc[also]])
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(key[doc])], names=["gram", "cls"])
+                doc, rank = np.concatenate([doc, doc[also]]), np.concatenate([rank, rank[also]])
+                own = pa.array(np.arange(len(doc)) < len(doc) - len(also))
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(key[doc]), pa.array(rank.astype(np.int32)), own], names=["gram", "cls", "pos", "own"])
 
-    grams = written(mapped(docs.select(text), prefixes, "gram long, cls long"), "jaccard-grams")
+    grams = written(mapped(docs.select(text), prefixes, "gram long, cls long, pos int, own boolean"), "jaccard-grams")
     dropped(counts)
     least = grams.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
     groups = components(grams.join(least, "gram").select(F.col("cls").alias("u"), F.col("low").alias("v")))
@@ -382,11 +400,10 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tex
             for batch in batches:
                 yield batch.filter(pa.array(asked.value.holds(batch.column("cls").to_numpy().view(np.uint64))))
 
-        posts = mapped(grams, in_question, "gram long, cls long").join(label, "cls").distinct()
+        posts = mapped(grams, in_question, "gram long, cls long, pos int, own boolean").join(label, "cls").distinct()
         near = written(_apart(posts, percent), "jaccard-apart")
         dropped(asked, label)
-        side = lambda c, s: held.select(F.col("cls").alias(c), F.col("shingles").alias(s))
-        more = written(_overlaps(near.join(side("cls_u", "s"), "cls_u").join(side("cls_v", "t"), "cls_v"), percent), "jaccard-links")
+        more = written(_between(near, held, percent), "jaccard-links")
         dropped(near)
         if not more.isEmpty():
             # labels are roots of what was merged before or single classes, so only they are merged

@@ -141,7 +141,7 @@ def test_layout_by_rules(css, html, want):
 
 @pytest.mark.parametrize("css, html, want", [
     ("p.x{display:none}", "<p class=x>n</p><div class=x>y</div>", "y"), (".x.z{display:none}", "<p class=x>y<p class='z q x'>n", "y"), ("p#i{display:none}", "<p id=i>n</p>y", "y"), ("*{visibility:hidden} b{visibility:visible}", "n<b>y</b>", "y"),
-    (".x.z{display:block} .x{display:none}", "<p class='x z'>y", "y"), ("div .x{display:none}", "<div><p class=x>y</div>", "y"),
+    (".x.z{display:block} .x{display:none}", "<p class='x z'>y", "y"), ("div .x{display:none}", "<div><p class=x>n</div><p class=x>y", "y"), ("ul > .x{display:none}", "<ul><li><b class=x>y</b></ul>", "- y"), ("a + .x, .x:hover, > .x{display:none}", "<a>y</a><b class=x>z</b>", "yz"),
 ])
 def test_layout_by_compound_selectors(css, html, want):
     assert layout.text_of(f"<style>{css}</style>{html}") == want
@@ -221,6 +221,126 @@ def test_layout_against_plain_recursion():
         assert layout.text_of("<style>.gone{display:none} #away{display:none}</style>" + as_html(nodes, rng)) == text
 
 
+def plain_grid(rows):
+    """First column of each cell, by marking every place of a grid."""
+    taken, out = set(), []
+    for r, row in enumerate(rows):
+        at, line = 0, []
+        for span, down in row:
+            while (r, at) in taken:
+                at += 1
+            line.append(at)
+            taken |= {(q, c) for q in range(r, r + (down or len(rows))) for c in range(at, at + span)}
+            at += span
+        out.append(line)
+    return out
+
+
+def test_layout_places_cells_like_a_grid():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        rows = [[(int(rng.choice([1, 1, 2, 5])), int(rng.choice([1, 1, 2, 3, 0]))) for _ in range(rng.integers(0, 6))] for _ in range(rng.integers(1, 9))]
+        table = layout.Table()
+        for row in rows:
+            table.rows.append([])
+            for span, down in row:
+                table.cell("x", span, down)
+        assert [[at for at, _, _ in cells] for cells in table._placed()] == plain_grid(rows)
+
+
+def plain_lines(rows):
+    """Lines of a table of one-line cells without spans."""
+    wide = lambda x: sum(2 if "\u3000" <= c <= "\u9fff" else 0 if c == "\u0301" else 1 for c in x)
+    n = max(map(len, rows))
+    width = [max((wide(r[i]) for r in rows if i < len(r)), default=0) for i in range(n)]
+    out = []
+    for r in rows:
+        line, left = "", 0
+        for i, x in enumerate(r):
+            if x:
+                line += " " * (left - wide(line)) + x
+            left += width[i] + 2 if width[i] else 0
+        out.append(line)
+    return out
+
+
+def test_layout_aligns_by_places_on_the_screen():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        rows = [["".join(rng.choice(["a", "漢", "e\u0301", "é", "カ"], rng.integers(0, 6))) for _ in range(rng.integers(1, 5))] for _ in range(rng.integers(1, 6))]
+        rows = [r if any(r) else ["z"] for r in rows]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in r) for r in rows) + "</table>"
+        assert layout.text_of(html).split("\n") == plain_lines(rows)
+
+
+def plain_rules(rules, chain):
+    """Declared display of the last element of a chain of (tag, id, classes), by trying every way to fit a selector."""
+
+    def fits(parts, element):
+        tag, one, classes = element
+        return all(p == "*" or p == tag or p == f"#{one}" or p[1:] in classes and p[0] == "." for p in parts)
+
+    def below(steps, at):
+        if not fits(steps[-1][1], chain[at]):
+            return False
+        if len(steps) == 1:
+            return True
+        return any(below(steps[:-1], k) for k in ([at - 1] if steps[-1][0] else range(at)) if k >= 0)
+
+    best = None
+    for place, (steps, value) in enumerate(rules):
+        if below(steps, len(chain) - 1):
+            every = [p for _, parts in steps for p in parts]
+            rank = (sum(p[0] == "#" for p in every), sum(p[0] == "." for p in every), sum(p != "*" for p in every), place)
+            best = max(best or (rank, value), (rank, value))
+    return best[1] if best else "block"
+
+
+def test_layout_cascade_against_all_ways():
+    rng = np.random.default_rng(6)
+    tags, ids, classes = ["div", "b", "i"], ["x", "y"], ["p", "q", "r"]
+    for _ in range(200):
+        rules, css = [], ""
+        for _ in range(rng.integers(1, 7)):
+            steps = []
+            for k in range(rng.integers(1, 4)):
+                parts = sorted({str(rng.choice(tags))} if rng.random() < 0.4 else set()) + [f".{c}" for c in classes if rng.random() < 0.3] + ([f"#{rng.choice(ids)}"] if rng.random() < 0.15 else [])
+                steps.append((bool(k and rng.random() < 0.4), parts or ["*"]))
+            value = str(rng.choice(["none", "block"]))
+            rules.append((steps, value))
+            css += "".join((" > " if child else " ") + "".join(parts) for child, parts in steps) + f"{{display:{value}}}\n"
+        chain = [(str(rng.choice(tags)), str(rng.choice(ids)), [c for c in classes if rng.random() < 0.4]) for _ in range(rng.integers(1, 5))]
+        page = f"<style>{css}</style>" + "".join(f'<{t} id="{i}" class="{" ".join(c)}">' for t, i, c in chain) + "seen"
+        root = ("html", "", [])
+        shown = all(plain_rules(rules, [root, *chain[: k + 1]]) != "none" for k in range(-1, len(chain)))
+        assert layout.text_of(page) == ("seen" if shown else ""), page
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<table><tr>" + "<td rowspan=0>a" * n + "<tr><td>b" * n,
+    lambda n: "<table>" + "".join(f"<tr><td rowspan={n - i}>a<td>b" for i in range(n)),
+    lambda n: "<table><tr>" + "".join(f"<td rowspan={i + 2}>a" for i in range(n)) + "<tr><td colspan=1000>b" * n,
+    lambda n: "<style>" + "".join(f".c.k{i}{{display:none}}" for i in range(n)) + "</style>" + '<b class="c">a</b>' * n,
+    lambda n: "<style>" + "".join(f"div .k{i}{{display:none}}" for i in range(n)) + "</style><div>" + '<b class="c">a</b>' * n,
+])
+def test_layout_of_spans_and_rules_takes_linear_time(make):
+    took = []
+    for n in (1_000, 4_000):
+        page = make(n)
+        began = time.perf_counter()
+        layout.text_of(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<ol start=-2><li>a<li>b<li>c<li>d</ol>", "-2. a\n-1. b\n0. c\n1. d"), ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+    ("<ol reversed start=10><li>a<li value=4>b<li>c</ol>", "10. a\n4. b\n3. c"), ("<ol start=1234567890><li>a<li>b</ol>", "1234567890. a\n1234567891. b"), ("<ol start=x><li value=' +7 '>a</ol>", "7. a"),
+])
+def test_layout_numbers_lists(html, want):
+    assert layout.text_of(html) == want
+
+
 def test_layout_of_tables_of_pages(spark):
     df = spark.createDataFrame([(1, "<p>a", "x"), (1, "<p>a", "x"), (2, None, "y"), (3, "<div>" * 20_000 + "deep", "z")], "page_id long, html string, text string")
     got = sorted((r["page_id"], r["text"], r["n_chars"], r["n_lines"]) for r in layout.extract(df).collect())

@@ -6,31 +6,33 @@ walks it without recursion and writes all text a reader would see:
 
 * blocks on their own lines, paragraphs and headings apart by an empty line;
 * white space folded, except in preformatted text;
-* list items with ``-`` or their number, nested ones indented;
-* table cells padded to their column's width, with their row and column spans. Cells with
-  others to the right are folded at ``CELL`` characters, between words; a longer word
+* list items with ``-`` or their number (``start``, ``reversed`` and ``value`` count), nested ones indented;
+* table cells padded to their column's width on a screen, where a wide character takes two places, with their row and
+  column spans. Cells with others to the right are folded at ``CELL`` characters, between words; a longer word
   sticks out of its column in its own line.
 
 Not shown: heads, scripts, styles, templates, embedded media; what is ``hidden``, or not
 displayed by its style attribute or a rule of a style sheet whose selector is a tag, an id,
-classes, or some of these together (``p.a#b``); rules that look at other elements don't count;
-closed details beyond their summary. ``visibility`` is inherited and can be turned on again.
+classes, or some of these together (``p.a#b``), also below others (``div p``, ``ul > li``); rules that look at
+siblings, attributes or states don't count; closed details beyond their summary. ``visibility`` is inherited and can be turned on again.
 Rules for other media than a screen ``WIDTH`` pixels wide don't count; where a condition isn't
 known, rules can show but not hide. ``display`` of any value counts: the style attribute
 wins over ids, they over more and fewer classes, they over tags, later rules over earlier
 ones, and ``!important`` over all others.
 
 Nulls: a null page has an empty text. A tag that never ends drops the rest. Repeated
-rows are rendered alike. Work is linear in the length of a page, whatever its tags are, but
-for rows beside cells that span them and elements that many rules name.
+rows are rendered alike. Work grows with the length of a page (with its logarithm for cells that span rows), whatever its
+tags are; an element looks at the rules whose rarest part it has.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from html import unescape
+from itertools import accumulate
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -285,43 +287,98 @@ def _applies(prelude: str) -> bool | None:
     return True if name == "layer" else None if name in ("container", "scope") else False
 
 
-def _parts(selector: str) -> tuple[str, tuple[str, tuple[int, int, int], frozenset[str]]]:
-    """The part of a selector that the fewest elements have (an id, a class or the tag); the selector, its rank and all its parts."""
-    parts = _PART.findall(selector)
-    rank = sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), len(parts)
-    return max(parts, key=lambda p: (p[0] == "#", p[0] == "."), default="*"), (selector, rank, frozenset(parts))
+class Rule:
+    """A selector: its steps (whether the one before must be the parent, and its parts), rank, and what it declares."""
 
+    __slots__ = ("steps", "rank", "declared")
 
-def _rules(sheets: list[str]) -> dict[str, dict[tuple, dict[str, tuple[str, bool, int]]]]:
-    """Value, whether important, and place of each property that counts, by a part of the selector and the selector."""
-    out: dict[str, dict[tuple, dict[str, tuple[str, bool, int]]]] = {}
+    def __init__(self, steps: list[tuple[bool, frozenset[str]]]):
+        every = [p for _, parts in steps for p in parts]
+        self.steps, self.declared = steps, {}
+        self.rank = sum(p[0] == "#" for p in every), sum(p[0] == "." for p in every), sum(p != "*" for p in every)
+
+
+def _steps(selector: str) -> list[tuple[bool, frozenset[str]]] | None:
+    """The steps of a selector from the outermost on; None if it looks at more than elements around."""
+    out, child = [], False
+    for piece in selector.lower().replace(">", " > ").split():
+        if piece == ">":
+            if child or not out:
+                return None
+            child = True
+        elif not _SIMPLE.match(piece):
+            return None
+        else:
+            out.append((child, frozenset(_PART.findall(piece)) or frozenset("*")))
+            child = False
+    return None if child else out
+
+
+class Cascade:
+    """Rules by the rarest part of each of their steps, and the steps that the open elements fulfil."""
+
+    def __init__(self, rules: list[Rule]):
+        often = Counter(p for r in rules for _, parts in r.steps for p in parts)
+        self.steps: dict[str, list[tuple[Rule, int]]] = defaultdict(list)
+        for r in rules:
+            for i, (_, parts) in enumerate(r.steps):
+                self.steps[min(parts, key=lambda p: (often[p], p))].append((r, i))
+        self.around: Counter[tuple[int, int]] = Counter()
+        self.path: list[set[tuple[int, int]]] = [set()]
+
+    def met(self, node: Node) -> tuple[set[tuple[int, int]], list[Rule]]:
+        """Steps that an element fulfils inside the open ones, and the rules whose last step is one."""
+        if not self.steps:
+            return set(), []
+        a = node.attributes
+        names = {"*", node.tag, *("." + c for c in a.get("class", "").lower().split()), "#" + a.get("id", "").lower()}
+        found, whole = set(), []
+        for name in names & self.steps.keys():
+            for rule, i in self.steps[name]:
+                child, parts = rule.steps[i]
+                before = (id(rule), i - 1)
+                if parts <= names and (i == 0 or (before in self.path[-1] if child else self.around[before] > 0)):
+                    found.add((id(rule), i))
+                    if i + 1 == len(rule.steps):
+                        whole.append(rule)
+        return found, whole
+
+    def enter(self, steps: set[tuple[int, int]]) -> None:
+        self.path.append(steps)
+        self.around.update(steps)
+
+    def leave(self) -> None:
+        self.around.subtract(self.path.pop())
+
+
+def _rules(sheets: list[str]) -> list[Rule]:
+    """Rules with value, whether important, and place of each property that counts."""
+    out: dict[tuple, Rule] = {}
     place = 0
     for sheet in sheets:
-        # for each open block its simple selectors, whether it applies with all around it, and whether it is in a rule
-        blocks: list[tuple[list[str], bool | None, bool]] = []
+        # for each open block its rules, whether it applies with all around it, and whether it is in a rule
+        blocks: list[tuple[list[Rule], bool | None, bool]] = []
         for m in _PIECE.finditer(_COMMENT.sub(lambda c: c[1] or " ", sheet)):
             text, end = _SPACES.sub(" ", m[1]).strip(), m[2]
-            names, applies, inside = blocks[-1] if blocks else ([], True, False)
-            if end != "{" and text and names and applies is not False:
+            rules, applies, inside = blocks[-1] if blocks else ([], True, False)
+            if end != "{" and text and rules and applies is not False:
                 for name, (value, important) in _style(text).items():
                     if applies is None and value in HIDING:
                         continue
-                    for s in names:
-                        part, whole = _parts(s)
-                        of = out.setdefault(part, {}).setdefault(whole, {})
-                        if name not in of or important >= of[name][1]:
-                            of[name] = (value, important, place)
+                    for r in rules:
+                        if name not in r.declared or important >= r.declared[name][1]:
+                            r.declared[name] = (value, important, place)
                 place += 1
             if end == "{" and text.startswith("@"):
                 fits = _applies(text)
                 blocks.append(([], False if False in (fits, applies) else None if None in (fits, applies) else True, inside))
             elif end == "{":
-                # a rule inside another one is not simple
-                found = [] if inside else [s.strip() for s in text.split(",")]
-                blocks.append(([s for s in found if _SIMPLE.match(s)], applies, True))
+                # a rule inside another one looks at more than elements around
+                found = [] if inside else [steps for x in text.split(",") if (steps := _steps(x))]
+                blocks.append(([out.setdefault(tuple(steps), Rule(steps)) for steps in found], applies, True))
             elif end == "}" and blocks:
                 blocks.pop()
-    return out
+    return [r for r in out.values() if r.declared]
 
 
 def _style(text: str) -> dict[str, tuple[str, bool]]:
@@ -410,6 +467,57 @@ def _folded(line: str) -> list[str]:
     return [*out, line[at:]]
 
 
+def _wide(line: str) -> int:
+    """Places of a line on a screen."""
+    return len(line) if line.isascii() else sum(2 if east_asian_width(c) in "WF" else not combining(c) for c in line)
+
+
+class Taken:
+    """Last row, by column, that cells from above take; halves of halves of the columns, made where they are needed."""
+
+    SIZE = 1 << 40
+
+    def __init__(self):
+        self.least: dict[int, int] = {}
+        self.whole: set[int] = set()
+
+    def take(self, first: int, end: int, row: int) -> None:
+        """Columns are taken up to a row, those that are taken for longer as long as they are."""
+        stack, above = [(1, 0, self.SIZE)], []
+        while stack:
+            node, lo, hi = stack.pop()
+            if end <= lo or hi <= first:
+                continue
+            plain = node in self.whole or node not in self.least
+            if plain and first <= lo and hi <= end:
+                self.least[node] = max(self.least.get(node, -1), row)
+                self.whole.add(node)
+                continue
+            if node in self.whole:
+                self.whole.discard(node)
+                for half in (2 * node, 2 * node + 1):
+                    self.least[half] = self.least[node]
+                    self.whole.add(half)
+            above.append(node)
+            middle = (lo + hi) // 2
+            stack += [(2 * node, lo, middle), (2 * node + 1, middle, hi)]
+        for node in reversed(above):
+            self.least[node] = min(self.least.get(2 * node, -1), self.least.get(2 * node + 1, -1))
+
+    def free(self, first: int, row: int) -> int:
+        """The first column from ``first`` on that no cell from above takes in a row."""
+        stack = [(1, 0, self.SIZE)]
+        while stack:
+            node, lo, hi = stack.pop()
+            if hi <= first or self.least.get(node, -1) >= row:
+                continue
+            if node in self.whole or node not in self.least:
+                return max(lo, first)
+            middle = (lo + hi) // 2
+            stack += [(2 * node + 1, middle, hi), (2 * node, lo, middle)]
+        raise ValueError("no column is free")
+
+
 class Table:
     def __init__(self):
         self.rows: list[list[tuple[str, int, int]]] = []
@@ -423,79 +531,74 @@ class Table:
 
     def _placed(self) -> list[list[tuple[int, int, list[str]]]]:
         """Column, span and lines of the cells of each row; a cell from above keeps its columns."""
-        out, taken = [], []  # taken: (first column, end, rows left) from above, by column
-        for row in self.rows:
-            cells, at, k, still = [], 0, 0, []
-            for nth, (text, span, down) in enumerate(row):
-                while k < len(taken) and taken[k][0] < at + 1:
-                    at = max(at, taken[k][1])
-                    still.append(taken[k])
-                    k += 1
+        out, taken = [], Taken()
+        for nth, row in enumerate(self.rows):
+            cells, at = [], 0
+            for k, (text, span, down) in enumerate(row):
+                at = taken.free(at, nth) if taken.least else at
                 lines = text.split("\n")
-                if nth + 1 < len(row):
+                if k + 1 < len(row):
                     lines = [x for line in lines for x in _folded(line)]
                 cells.append((at, span, lines))
                 if down != 1:
-                    still.append((at, at + span, down if down else len(self.rows)))
+                    taken.take(at, at + span, nth + down - 1 if down else len(self.rows))
                 at += span
-            taken = sorted((a, b, n - 1) for a, b, n in still + taken[k:] if n > 1)
             out.append(cells)
         return out
 
     def lines(self) -> list[str]:
         """Rows with aligned columns; a row is as high as its highest cell."""
         placed = self._placed()
-        end = max((c[-1][0] + c[-1][1] for c in placed if c), default=0)
-        width = [0] * end
-        fitting = lambda lines: max((len(x) for x in lines if len(x) <= CELL), default=0)
+        width: dict[int, int] = defaultdict(int)
+        fitting = lambda lines: max((w for x in lines if (w := _wide(x)) <= CELL), default=0)
         for cells in placed:
             for at, span, lines in cells:
                 if span == 1:
                     width[at] = max(width[at], fitting(lines))
+        # only columns with a width move those behind them
+        some = sorted(c for c, w in width.items() if w)
+        upto = [0, *accumulate(width[c] + 2 for c in some)]
+        begin = lambda column: upto[bisect_left(some, column)]
         # a cell over several columns widens the last of them where they are too narrow
-        start = [0]
-        for w in width:
-            start.append(start[-1] + w + 2 if w else start[-1])
-        more = [0] * (end + 1)
+        more: dict[int, int] = defaultdict(int)
         for cells in placed:
             for at, span, lines in cells[:-1]:
                 if span > 1:
-                    more[at + span] = max(more[at + span], fitting(lines) + 2 - (start[at + span] - start[at]))
-        moved = 0
-        for at in range(end + 1):
-            moved += more[at]
-            start[at] += moved
+                    more[at + span] = max(more[at + span], fitting(lines) + 2 - (begin(at + span) - begin(at)))
+        wider = sorted(c for c, n in more.items() if n)
+        moved = [0, *accumulate(more[c] for c in wider)]
+        start = lambda column: begin(column) + moved[bisect_right(wider, column)]
         out = self.caption.split("\n") if self.caption else []
         for cells in placed:
+            begins = [start(at) for at, _, _ in cells]
             for k in range(max((len(lines) for _, _, lines in cells), default=0)):
-                line = ""
-                for at, _, lines in cells:
+                line, size = [], 0
+                for left, (_, _, lines) in zip(begins, cells):
                     if k < len(lines) and lines[k]:
-                        line = line.ljust(start[at]) if len(line) <= start[at] - 2 or not start[at] else line + "  "
-                        line += lines[k]
-                out.append(line.rstrip(" "))
+                        gap = left - size if size <= left - 2 or not left else 2
+                        line += [" " * gap, lines[k]]
+                        size += gap + _wide(lines[k])
+                out.append("".join(line).rstrip(" "))
         return out
 
 
 def _number(text: str | None, default: int, most: int) -> int:
-    return min(int(text), most) if text and text.isdecimal() and len(text) < 9 else default
+    """A whole number as attributes have it, between -most and most."""
+    m = re.match(r"[ \t\n\f\r]*([+-]?[0-9]+)", text or "")
+    if m is None:
+        return default
+    return max(-most, min(int(m[1][:20]), most))
 
 
-def _shown(node: Node, visible: bool, rules) -> tuple[bool, bool]:
+def _shown(node: Node, visible: bool, rules: list[Rule]) -> tuple[bool, bool]:
     """Whether a node is displayed at all, and whether its text is visible."""
     a = node.attributes
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
-        return False, visible
     # the last in this order wins: important, kind of selector, place
     none = (False, (-1, 0, 0), -1, "")
     found: dict[str, tuple[bool, tuple[int, int, int], int, str]] = {}
-    if rules:
-        names = {"*", node.tag, *("." + c for c in a.get("class", "").lower().split()), "#" + a.get("id", "").lower()}
-        for name in names & rules.keys():
-            for (_, rank, parts), of in rules[name].items():
-                if names >= parts:
-                    for what, (value, important, place) in of.items():
-                        found[what] = max(found.get(what, none), (important, rank, place, value))
+    for rule in rules:
+        for what, (value, important, place) in rule.declared.items():
+            found[what] = max(found.get(what, none), (important, rule.rank, place, value))
     if "style" in a:
         for what, (value, important) in _style(a["style"]).items():
             found[what] = max(found.get(what, none), (important, (1 << 30, 0, 0), 0, value))
@@ -508,10 +611,10 @@ def _shown(node: Node, visible: bool, rules) -> tuple[bool, bool]:
 
 def render(root: Node, sheets: list[str]) -> str:
     """The visible text of a tree."""
-    rules = _rules(sheets)
+    cascade = Cascade(_rules(sheets))
     writers: list[Writer] = [Writer()]
     tables: list[Table] = []
-    lists: list[list] = []  # ordered, next number
+    lists: list[list] = []  # ordered, next number, step
     pre = 0
     stack: list = [(root, True, False)]  # node, visible, leaving
     while stack:
@@ -526,13 +629,15 @@ def render(root: Node, sheets: list[str]) -> str:
         tag = node.tag
         gap = 2 if tag in PARAGRAPHS and not (tag in ("ul", "ol", "menu") and lists) else 1
         if leaving:
+            cascade.leave()
             if tag in ("td", "th", "caption") and tables:
                 text = writers.pop().result()
                 if tag == "caption":
                     tables[-1].caption = text
                 else:
                     a = node.attributes
-                    tables[-1].cell(text, max(1, _number(a.get("colspan"), 1, 1000)), _number(a.get("rowspan"), 1, 65_534))
+                    span, down = _number(a.get("colspan"), 1, 1000), _number(a.get("rowspan"), 1, 65_534)
+                    tables[-1].cell(text, span if span > 0 else 1, down if down >= 0 else 1)
                 continue
             if tag == "table":
                 for line in tables.pop().lines():
@@ -550,7 +655,10 @@ def render(root: Node, sheets: list[str]) -> str:
                 w.block(gap)
             continue
 
-        displayed, visible = _shown(node, visible, rules)
+        if tag in UNSEEN or "hidden" in node.attributes or (tag == "dialog" and "open" not in node.attributes):
+            continue
+        steps, fitting = cascade.met(node)
+        displayed, visible = _shown(node, visible, fitting)
         if not displayed:
             continue
         if tag == "br":
@@ -567,14 +675,17 @@ def render(root: Node, sheets: list[str]) -> str:
         elif tag == "li":
             w.marker = "- "
             if lists and lists[-1][0]:
-                number = _number(node.attributes.get("value"), lists[-1][1], 10**8)
+                number = _number(node.attributes.get("value"), lists[-1][1], 10**18)
                 w.marker = f"{number}. "
-                lists[-1][1] = number + 1
+                lists[-1][1] = number + lists[-1][2]
             w.indent += 2
         elif tag in ("ul", "ol", "menu"):
-            lists.append([tag == "ol", _number(node.attributes.get("start"), 1, 10**8)])
+            back = "reversed" in node.attributes
+            first = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if back else 1
+            lists.append([tag == "ol", _number(node.attributes.get("start"), first, 10**18), -1 if back else 1])
         elif tag == "pre":
             pre += 1
+        cascade.enter(steps)
         stack.append((node, visible, True))
         children = node.children
         if tag == "pre" and children and isinstance(children[0], str) and children[0][:1] == "\n":

@@ -43,15 +43,30 @@ def test_url_models_find_unseen_hosts(spark):
     assert ((got["verdict"] == "block") == (got["page_id"] % 5 == 0)).mean() > 0.98
 
 
-def test_url_models_without_a_difference_block_nothing(spark):
+def test_url_models_without_a_difference_block_few_and_say_so(spark):
     rng = np.random.default_rng(2)
     rows = [(i, f"https://h{rng.integers(0, 400)}x.example.com/p", POOR if i % 3 == 0 else FINE) for i in range(900)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     model = urls.fit(df)
-    assert urls.judge(df, model).where("verdict = 'block'").count() <= 9
+    assert model.held[0] <= urls.FALSE and 0 <= model.held[1] < 0.1
+    out = urls.judge(df, model).toPandas()
+    assert (out["verdict"] == "block").mean() < 0.03 and set(zip(out["held_accepted"], out["held_rejected"])) == {model.held}
+    # no rule fits and no page is looked at: nothing to learn from
     assert urls.judge(df, urls.fit(df, html=None)).where("verdict = 'block'").count() == 0
 
 
+def test_rules_alone_teach(spark):
+    """Hosts that rules reject have names of their own; without pages others of such names are blocked too."""
+    rng = np.random.default_rng(3)
+    name = lambda bad, i: f"{rng.choice(['zlotto', 'quickcash', 'xxwin'] if bad else ['garden', 'music', 'river'])}{i}"
+    rows = [(i, f"https://{name(True, i)}.net/p" if i % 2 else f"https://{name(False, i)}.org/fr/p") for i in range(1200)]
+    model = urls.fit(spark.createDataFrame(rows, "page_id long, url string"), html=None)
+    assert model.held[0] <= urls.FALSE and model.held[1] > 0.9
+    new = [(i, f"https://{name(i % 2 == 1, i)}./q") for i in range(3000, 3200)]
+    got = urls.judge(spark.createDataFrame(new, "page_id long, url string"), model).toPandas()
+    assert ((got["verdict"] == "block") == (got["page_id"] % 2 == 1)).mean() > 0.95
+
+
 def test_marks_come_from_rules_and_pages(spark):
     rows = [
         ("http://a1.b.net/x/2", FINE, "a0.b.x/0", True), ("http://w.example.net/en/p", POOR, "w.p", False), ("http://q.example.com/de/1", None, "q.0", True), ("http://q.org/fr/z", POOR, "q.z", False),
@@ -73,7 +88,7 @@ def test_clashing_columns_long_urls_and_ties_of_rules(spark):
     df = spark.createDataFrame([("u", long, "mine", 1.5, "m"), ("u", "http://net/", "mine", 1.5, "m")], "`a.b` string, url string, host string, score double, __chars string")
     got = urls.judge(df, urls.fit(df, html=None), keep=["a.b", "url", "__chars"]).collect()
     assert {(r["a.b"], r["__chars"], r["host"]) for r in got} == {("u", "m", "x.com"), ("u", "m", "net")} and {r["url"] for r in got} == {long, "http://net/"}
-    assert urls.judge(df, urls.fit(df, html=None)).columns == ["a.b", "url", "__chars", "host", "path", "rule", "score", "verdict"]
+    assert urls.judge(df, urls.fit(df, html=None)).columns == ["a.b", "url", "__chars", "host", "path", "rule", "score", "verdict", "held_accepted", "held_rejected"]
     tied = (("block", "com/"), ("allow", "com/"))
     assert urls.judge(df, urls.fit(df, html=None, rules=tied), tied).where("rule = 'com/'").first()["verdict"] == "allow"
 

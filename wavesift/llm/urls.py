@@ -5,9 +5,10 @@ decides. For all other URLs two variable-order Markov models give the probabilit
 the characters, one of accepted and one of rejected URLs. Each order's estimate is
 smoothed towards the next lower one; the counts of all URLs go in. The score is the
 difference of the log-likelihoods by length, and a URL is blocked above a cut that a
-quarter of the hosts set, whose URLs gave no counts: at most ``FALSE`` of their accepted
-URLs are beyond it, of those without a rule, as the models judge no others. If there the rejected ones aren't at least ``GAIN`` times as
-frequent, the models tell nothing and block nothing.
+quarter of the hosts set, whose URLs gave no counts, between the two kinds where they lie apart: at most ``FALSE`` of their accepted
+URLs are beyond it, of those without a rule, as the models judge no others (without pages, of all). The share of these
+hosts' accepted and of their rejected URLs beyond the cut is measured and goes with every verdict, so that one sees what
+the models tell. Without accepted or rejected URLs to learn from they block nothing.
 
 Marks to learn from are no list of words. A URL under a rule has the rule's verdict, and
 what the rule names (its host, its path prefix) isn't learnt, only the rest. Another URL
@@ -44,8 +45,8 @@ from wavesift.llm.workers import mapped
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Pages with fewer words, or more symbols a word, mark their URL as rejected.
 MIN_WORDS, SYMBOLS = 20, 0.1
-#: Share of accepted URLs beyond the cut at most, and how many times more frequent rejected ones are there at least.
-FALSE, GAIN = 0.01, 3.0
+#: Share of accepted URLs beyond the cut at most.
+FALSE = 0.01
 #: Orders of the models; six characters of 9 bits and the order fit a key.
 ORDERS = 6
 #: Rows of a chunk, as a power of two, and distinct runs that a task counts before it hands them on.
@@ -183,7 +184,10 @@ def fit(pages: DataFrame, url: str = "url", html: str | None = "html", rules=RUL
     sums = counts.where(f"gram < {1 << 9}").agg(*[F.sum(c) for c in both], *[F.sum(F.when(ends, F.col(c))) for c in both]).first()
     total = [int(x or 0) for x in sums]
     model = UrlModel(counts, (total[0], total[1]), (total[2], total[3]))
-    held, chunked = _scored(rows.where("__held and not __ruled").select("__chars", "__rejected"), model)
+    if not all(model.texts):
+        return model
+    judged = rows.where("__held") if html is None else rows.where("__held and not __ruled")
+    held, chunked = _scored(judged.select("__chars", "__rejected"), model)
     bins = held.groupBy("__rejected", F.floor(F.col("score") * BINS).alias("bin")).count().collect()
     dropped(chunked)
     cut, shares = _cut([(r["__rejected"], r["bin"], r["count"]) for r in bins])
@@ -191,16 +195,19 @@ def fit(pages: DataFrame, url: str = "url", html: str | None = "html", rules=RUL
 
 
 def _cut(bins: list[tuple[bool, int, int]]) -> tuple[float, tuple[float | None, float | None]]:
-    """The least cut with at most FALSE of the accepted beyond it, and the shares of both beyond it."""
+    """A cut with at most FALSE of the accepted beyond it, and the shares of both beyond it.
+
+    It is the least one, or lies halfway to the greatest that leaves at most FALSE of the rejected out, if that is farther.
+    """
     total = [sum(n for rejected, _, n in bins if rejected is x) for x in (False, True)]
-    if not all(total):
-        return float("inf"), (0.0 if total[0] else None, 0.0 if total[1] else None)
-    beyond = lambda at: [sum(n for rejected, b, n in bins if rejected is x and b >= at) / total[x] for x in (False, True)]
-    for at in sorted({b + 1 for _, b, _ in bins}):
-        good, bad = beyond(at)
-        if good <= FALSE:
-            break
-    return (at / BINS, (good, bad)) if bad > 0 and bad >= GAIN * good else (float("inf"), (0.0, 0.0))
+    beyond = lambda at: [sum(n for rejected, b, n in bins if rejected is x and b >= at) / total[x] if total[x] else None for x in (False, True)]
+    if not total[0]:
+        return float("inf"), (None, 0.0 if total[1] else None)
+    at = next(b for b in sorted({b + 1 for _, b, _ in bins}) if beyond(b)[0] <= FALSE)
+    if total[1]:
+        far = max(b for b in {b for _, b, _ in bins} | {at} if b == at or beyond(b)[1] >= 1 - FALSE)
+        at = max(at, (at + far) // 2)
+    return at / BINS, tuple(beyond(at))
 
 
 def log_ratio(keys: np.ndarray, counts: np.ndarray, symbols, texts, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -290,8 +297,8 @@ def _scored(rows: DataFrame, model: UrlModel) -> tuple[DataFrame, DataFrame]:
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", keep: list[str] | None = None) -> DataFrame:
-    """Add host, path, rule, score and verdict to every row."""
-    new = ("host", "path", "rule", "score", "verdict")
+    """Add host, path, rule, score, verdict, and the held-out shares of the model's cut (accepted and rejected URLs beyond it) to every row."""
+    new = ("host", "path", "rule", "score", "verdict", "held_accepted", "held_rejected")
     kept = [c for c in (pages.columns if keep is None else keep) if c.lower() not in new]
     # columns of the input have names of their own meanwhile
     own = {c: f"__in{i}" for i, c in enumerate(kept)}
@@ -301,5 +308,6 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", keep
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     some = (F.col("host") != "") | (F.col("path") != "")
     method = F.when(some & (F.col("score") > model.cut), F.lit("block")).otherwise(F.lit("allow"))
-    judged = out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)})
+    shares = {name: F.lit(share).cast("double") for name, share in zip(new[-2:], model.held)}
+    judged = out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)} | shares)
     return judged.select(*[F.col(n).alias(c) for c, n in own.items()], *new)

@@ -113,6 +113,67 @@ def test_command_line(spark, tree, done, tmp_path):
     assert run.main(["outliers", "--pca-root", f"{tmp_path}/pca", "--out", f"{tmp_path}/o", *args]) == 0
 
 
+def test_pictures_archives_and_clusters(spark, tree, done, tmp_path):
+    args = ["--sample-rate", "1000", "--n-fft", "64", "--hop", "32", "--start-secs", "1", "--window-secs", "0.32", "--band-start", "2", "--n-components", "4", "--tolerance", "0.4", "--percentile", "90"]
+    shots = tmp_path / "shots"
+    assert run.main(["pca", "--frames-root", f"{done}/spectrograms", "--out", f"{tmp_path}/pca", "--pictures", str(shots), *args]) == 0
+    assert run.main(["outliers", "--pca-root", f"{tmp_path}/pca", "--out", f"{tmp_path}/o", "--frames-root", f"{done}/spectrograms", "--pictures", str(shots), *args]) == 0
+    assert run.main(["plots", "--frames-root", f"{done}/spectrograms", "--out", f"{tmp_path}/grids", "--cols", "3", "--file", "sub/r.4.npz", *args]) == 0
+    files = sorted(os.path.relpath(os.path.join(d, f), tmp_path) for d, _, names in os.walk(tmp_path) for f in names if f.endswith(".png"))
+    found = csvs.read(spark, f"{tmp_path}/o/outliers.csv", csvs.OUTLIERS)
+    with_outliers = {r["File"].removesuffix(".npz") for r in found.select("File").distinct().collect()}
+    assert files == sorted(["grids/sub/r.4.png", "shots/outliers.png", "shots/pca.png", *(f"shots/windows/{n}.png" for n in with_outliers)])
+    assert run.main(["extract", "--audio-root", tree, "--out", f"{tmp_path}/again", "--archives-out", f"{tmp_path}/z", *args]) == 0
+    assert sorted(os.path.relpath(os.path.join(d, f), tmp_path / "z") for d, _, names in os.walk(tmp_path / "z") for f in names) == ["r.0.npz", "r.1.npz", "r.2.npz", "r.3.npz", "sub/r.4.npz"]
+    index = csvs.read(spark, f"{tmp_path}/again/features_index", csvs.INDEX).first()
+    assert os.path.exists(index["feature_path"])
+    same = {n: run.frames_at(spark, p, archives=a).where("error is null").selectExpr("file", "frame", "bround(bins[5], 3) as b").orderBy("file", "frame").collect() for n, p, a in (("z", f"{tmp_path}/z", True), ("f", f"{done}/spectrograms", False))}
+    assert [(r["file"], r["frame"]) for r in same["z"]] == [(r["file"], r["frame"]) for r in same["f"]]
+    np.testing.assert_allclose([r["b"] for r in same["z"]], [r["b"] for r in same["f"]], atol=2e-3)
+    labels = tmp_path / "labels.csv"
+    labels.write_text("start_sec,file,end_sec\n" + "".join(f"{(2000 + 640 * i) / 1000:.2f},r.{i}.npz,\n" for i in range(5)))
+    assert run.main(["clusters", "--outliers-root", f"{tmp_path}/o", "--out", f"{tmp_path}/c", "--labels-csv", str(labels), "--k", "2", "--k-min", "2", "--k-max", "4", "--dimensions", "3", *args]) == 0
+    n = found.count()
+    grouped = spark.read.parquet(f"{tmp_path}/c/clusters")
+    assert grouped.count() == n and {r["cluster"] for r in grouped.collect()} <= {0, 1} and spark.read.parquet(f"{tmp_path}/c/centres").count() == 2
+    swept = spark.read.option("header", True).csv(f"{tmp_path}/c/sweep").groupBy("k").agg(F.sum("n").alias("n"), F.sum("n_validated").alias("v")).collect()
+    assert {(r["k"], r["n"]) for r in swept} == {(str(k), n) for k in (2, 3, 4)} and all(r["v"] >= 5 for r in swept)
+
+
+def test_labels_by_bare_name_and_by_path(spark):
+    files = spark.createDataFrame([("a/x.npz",), ("b/x.npz",), ("c/y.npz",), ("z.npz",), ("d/z.npz",)], "file string")
+    labels = spark.createDataFrame([("x.npz", 1.0), ("b/x.npz", 2.0), ("y.npz", 3.0), ("z.npz", 4.0), ("none.npz", 5.0), (None, 6.0)], "file string, start_sec double")
+    got, ambiguous = run._aligned(labels, files)
+    assert {r["start_sec"]: r["file"] for r in got.collect()} == {1.0: "x.npz", 2.0: "b/x.npz", 3.0: "c/y.npz", 4.0: "z.npz", 5.0: "none.npz", 6.0: None}
+    assert [tuple(r) for r in ambiguous.collect()] == [("x.npz", 2)]
+
+
+def test_shared_seeding_is_as_good_as_separate_fits(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(c, 0.5, (60, 3)) for c in rng.uniform(-8, 8, (9, 3))])
+    rows = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "file string, start_frame long, scores array<double>").repartition(4)
+    centres, cost = clusters.fits(rows, (2, 5, 9), 3)
+    for k in (2, 5, 9):
+        away = ((x[:, None] - centres[k]) ** 2).sum(2)
+        assert cost[k] == pytest.approx(away.min(1).sum(), rel=1e-4)
+        alone = min(clusters.kmeans(rows, k, 3, seed)[2] for seed in range(3))
+        assert cost[k] <= 1.01 * alone
+    assert clusters.fits(rows.limit(0), (2,), 3) == ({}, {})
+    same = spark.createDataFrame([("a", i, [1.0, 2.0]) for i in range(5)], "file string, start_frame long, scores array<double>")
+    assert [len(c) for c in clusters.fits(same, (3,), 2)[0].values()] == [1]
+
+
+def test_trials_that_cannot_run_say_why(spark, tree, done, tmp_path):
+    labels = tmp_path / "labels.csv"
+    labels.write_text("start_sec,file,end_sec\n2.0,r.0.npz,\n")
+    grid = dict(run.GRID) | {"n_components": [2], "n_mels": [None], "window_secs": [0.32, 100.0], "threshold_percentile": [90.0]}
+    os.makedirs(f"{tmp_path}/t")
+    os.symlink(f"{done}/spectrograms", f"{tmp_path}/t/spectrograms-None")
+    got = {r["window_secs"]: r for r in run.search(spark, SMALL, tree, str(labels), f"{tmp_path}/t", grid, skip_extraction=True).collect()}
+    assert got[0.32]["n_outliers"] > 0 and got[0.32]["note"] is None
+    assert got[100.0]["f1"] in (0.0, None) and "no complete window" in got[100.0]["note"]
+
+
 def test_resampled_chunks_have_no_edges(spark):
     x = np.sin(np.arange(5000) / 7).astype(np.float32) * 0.9
     files = spark.createDataFrame([("a", bytearray(wav._encode(x, 1000)))], "path string, content binary")

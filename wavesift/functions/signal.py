@@ -1,4 +1,4 @@
-"""Spectrograms: a relational transform for short frames, an FFT over chunks for long ones."""
+"""Spectrograms of samples in tables and of recordings in chunks, filters, and resampling."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 FLOOR = 1e-10
+#: Samples of a series that are put in order together.
+CELL = 1 << 16
 
 #: Window functions by name: weights of the n samples of a frame, periodic.
 WINDOWS = {
@@ -29,18 +34,43 @@ def decibels(power: Column, reference: float = 1e-6) -> Column:
 def stft_power(samples: DataFrame, n_fft: int = 16, hop: int = 8) -> DataFrame:
     """file, frame and power of the bins: Hann window, not centred, complete frames only.
 
-    One aggregation by frame; every sample goes to the n_fft / hop frames that hold it.
+    A series is cut into cells of about ``CELL`` samples; a cell also gets the samples that its last frames
+    reach into, so hardly any sample is copied, and no series is the work of one task. Samples without a place or an
+    amplitude take no part, and a frame needs each of its places once.
     """
     if n_fft % hop:
         raise ValueError("n_fft must be a multiple of hop")
-    spread = samples.withColumn("frame", F.explode(F.sequence(F.expr(f"n div {hop}") - (n_fft // hop - 1), F.expr(f"n div {hop}"))))
-    spread = spread.where("frame >= 0").withColumn("i", F.col("n") - F.col("frame") * hop)
-    x = F.col("amplitude") * (0.5 - 0.5 * F.cos(2 * math.pi * F.col("i") / n_fft))
-    turns = lambda k: 2 * math.pi * k * F.col("i") / n_fft
-    sums = [f(x * g(turns(k))).alias(f"{p}{k}") for k in range(n_fft // 2 + 1) for p, f, g in (("re", F.sum, F.cos), ("im", F.sum, F.sin))]
-    whole = spread.groupBy("file", "frame").agg(F.count("*").alias("__n"), *sums).where(F.col("__n") == n_fft)
-    power = F.array(*[F.col(f"re{k}") ** 2 + F.col(f"im{k}") ** 2 for k in range(n_fft // 2 + 1)])
-    return whole.select("file", "frame", power.alias("power"))
+    width = max(CELL // hop, 1) * hop
+    cells = F.sequence(F.greatest(F.lit(0).cast("long"), F.expr(f"(n - {n_fft - 1}) div {width}")), F.expr(f"n div {width}"))
+    given = samples.where(F.col("n").isNotNull() & (F.col("n") >= 0) & F.col("amplitude").isNotNull())
+    spread = given.select("file", "n", F.col("amplitude").cast("double").alias("amplitude"), F.explode(cells).alias("cell"))
+    shape = WINDOWS["hann"](n_fft)
+    kind = to_arrow_type(samples.schema["file"].dataType)
+    made = pa.schema([("file", kind), ("frame", pa.int64()), ("power", pa.list_(pa.float64()))])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("n")
+        n, x = rows.column("n").to_numpy(), rows.column("amplitude").to_numpy()
+        alone = np.append(n[1:] != n[:-1], True) & np.insert(n[1:] != n[:-1], 0, True)
+        n, x = n[alone], x[alone]
+        cell = key[1].as_py()
+        cut = np.flatnonzero(np.diff(n) != 1) + 1
+        batches = []
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(n)]):
+            if hi - lo < n_fft:
+                continue
+            # the cell's own frames begin below its end; the next cell makes the others
+            first = max(-(-int(n[lo]) // hop), cell * width // hop)
+            last = min((int(n[hi - 1]) + 1 - n_fft) // hop, ((cell + 1) * width - 1) // hop)
+            for at in range(first, last + 1, 1024):
+                frame = np.arange(at, min(at + 1024, last + 1))
+                power = np.abs(np.fft.rfft(x[(frame * hop - n[lo])[:, None] + np.arange(n_fft)] * shape, axis=1)) ** 2
+                ends = np.arange(len(frame) + 1, dtype=np.int32) * power.shape[1]
+                batches.append(pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(frame), kind), pa.array(frame), pa.ListArray.from_arrays(pa.array(ends), pa.array(power.ravel()))], schema=made))
+        return pa.Table.from_batches(batches, made)
+
+    schema = T.StructType([T.StructField("file", samples.schema["file"].dataType), T.StructField("frame", T.LongType()), T.StructField("power", T.ArrayType(T.DoubleType()))])
+    return spread.groupBy("file", "cell").applyInArrow(run, schema)
 
 
 def mel_weights(n_freqs: int, n_mels: int, sample_rate: float, f_min: float = 0.0, f_max: float | None = None) -> np.ndarray:

@@ -43,8 +43,10 @@ def distances(scores: DataFrame, wanted: Sequence[tuple[str, int]]) -> DataFrame
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric}; one of {', '.join(METRICS)}")
     given = scores.where(whole("scores"))
-    row = given.select(Summarizer.metrics("mean", "variance").summary(array_to_vector("scores")).alias("s")).first()
-    mean, variance = (row["s"]["mean"].toArray(), row["s"]["variance"].toArray()) if row["s"] is not None and not given.isEmpty() else (np.empty(0), np.empty(0))
+    mean = variance = np.empty(0)
+    if not given.isEmpty():
+        row = given.select(Summarizer.metrics("mean", "variance").summary(array_to_vector("scores")).alias("s")).first()["s"]
+        mean, variance = row["mean"].toArray(), row["variance"].toArray()
     if any(m == "mahalanobis" and (variance[:k] <= SINGULAR * variance.max(initial=0)).any() for m, k in wanted):
         raise ValueError("a direction has no variance: use fewer components")
 

@@ -393,6 +393,26 @@ def test_neighbours(spark, monkeypatch, block):
     assert got[got["query_id"] == 600].sort_values("rank")["vec_id"].tolist() == list(range(500, 510))
 
 
+def test_few_lists_are_read_where_vectors_have_structure():
+    """Groups of vectors: under a fifth of all are read, and 95 % and more of the neighbours found."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(150, 64))[rng.integers(0, 150, 12_000)] + 0.15 * rng.normal(size=(12_000, 64))
+    index = ann.linked(*ann.centroids(x, ann.lists_for(len(x))))
+    ratio = ann.calibrated(index, x, ann.CLOSURE, ann.REPLICAS)
+    row, of = ann._closure(index, x, ann.CLOSURE, ann.REPLICAS)
+    asked = np.arange(0, len(x), 100)
+    dist = ann.search(index, x[asked], ratio, ann.WIDTH)
+    read = np.isfinite(dist) & (dist <= ratio * dist.min(1, keepdims=True))
+    held = np.zeros((len(index.points), len(x)), bool)
+    held[of, row] = True
+    away = ((x[asked][:, None] - x) ** 2).sum(2)
+    away[np.arange(len(asked)), asked] = np.inf
+    near = np.argsort(away, axis=1)[:, :10]
+    found = np.array([[held[np.flatnonzero(r), n].any() for n in ns] for r, ns in zip(read, near)])
+    seen = (read @ np.bincount(of, minlength=len(index.points))).mean() / len(x)
+    assert found.mean() >= 0.95 and seen < 0.2, (found.mean(), seen)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 2.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.neighbours(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, round(2**0.5, 6))]

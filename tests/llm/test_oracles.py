@@ -10,7 +10,8 @@ SQL = queries.oracle_sql()
 
 def check(spark, folder, name, files):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet{files}'")
     want = con.sql(SQL[name])
     columns = sorted(want.columns)
     got = queries.queries()[name](spark, str(folder))
@@ -22,10 +23,13 @@ def check(spark, folder, name, files):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_supplied_table(spark, name):
     folder = "/root/testdata/sf0.001"
-    check(spark, folder, name, f"{folder}/documents.parquet")
+    check(spark, folder, name, "")
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_awkward_rows(spark, docs, tmp_path, name):
     docs.where("doc_id is not null").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    check(spark, tmp_path, name, f"{tmp_path}/documents.parquet/*.parquet")
+    vectors = [[float((i * 37 + j * 11) % 29) / 7 - 2 for j in range(64)] for i in range(70)]
+    vectors += [None, [], [1.0] * 63, [None, *[1.0] * 63], [float("nan")] * 64, [float("-inf"), *[0.0] * 63], [0.0] * 64, vectors[3], vectors[3]]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    check(spark, tmp_path, name, "/*.parquet")

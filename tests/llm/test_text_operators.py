@@ -1,6 +1,5 @@
 """Operators over documents against plain Python versions, on awkward rows."""
 
-import hashlib
 import re
 from collections import Counter
 

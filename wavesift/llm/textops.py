@@ -194,15 +194,6 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def text_digest(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit key of each whole text, as two signed columns."""
-    codes = _BYTE_CODE[data]
-    size = np.diff(offsets).astype(np.uint64)
-    a = mix(span_hash(codes, offsets[:-1], offsets[1:], 0) + size)
-    b = mix(span_hash(codes, offsets[:-1], offsets[1:], 1) ^ size)
-    return a.view(np.int64), b.view(np.int64)
-
-
 def strings(data: np.ndarray, offsets: np.ndarray, valid: bool = True) -> pa.Array:
     """A string column from bytes and offsets, without a copy through Python."""
     offsets = np.ascontiguousarray(offsets, np.int64)

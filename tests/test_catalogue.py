@@ -29,6 +29,16 @@ def test_same_rows(spark, db, name):
         assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).all(), c
 
 
+def test_series_beyond_full_scale_and_short_ones(spark, tmp_path):
+    db = duckdb.connect()
+    db.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, if(i < 420, 'long', 'short') AS event_type, (i * 2 - 300)::DOUBLE AS value
+        FROM range(500) r(i)) TO '{tmp_path}/events.parquet'""")
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = {tuple(r) for r in catalogue.wav_samples(spark, str(tmp_path)).select("file", "n", "amplitude").collect()}
+    want = set(db.sql(f"SELECT file, n, amplitude FROM ({SQL['wav_samples']})").fetchall())
+    assert got == want and len(got) == 320 and max(a for _, _, a in got) > 1
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(SQL)))
 def test_without_sql(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0

@@ -100,6 +100,21 @@ def test_written_recordings_come_back(spark, tmp_path):
     assert got == {"p/a.wav": (100, x[0]), "b.wav": (200, x[1])}
 
 
+def test_samples_beyond_full_scale_come_back(spark, tmp_path):
+    """They are kept in floats, in the steps of the files of 16 bits, and read by ranges as those are."""
+    x = [0.5, -2.25, 1.0, 1.09417, 0.30001, float("nan")]
+    wav.write(spark.createDataFrame([("a.wav", 2, x), ("b.wav", 2, [-1.0, 1 - 2**-15])], "file string, sr int, samples array<float>"), str(tmp_path / "w"))
+    want = np.trunc(np.float32(x) * 2**15) / 2**15
+    got = {(r["file"], r["first"]): (r["length"], r["samples"]) for r in wav.read(spark, str(tmp_path / "w"), 0.5, size=3).collect()}
+    assert got["a.wav", 0] == (5, want[1:4].tolist()) and got["b.wav", 0] == (1, [1 - 2**-15])
+    np.testing.assert_array_equal(got["a.wav", 3][1], want[4:])
+    raw = (tmp_path / "w/a.wav").read_bytes()
+    assert len(raw) == struct.unpack_from("<I", raw, 4)[0] + 8 and len((tmp_path / "w/b.wav").read_bytes()) == 44 + 2 * 2
+    double = raw[:20] + struct.pack("<HHIIHH", 3, 2, 2, 32, 16, 64) + struct.pack("<4sI4d", b"data", 32, 1.5, 9.0, -3.0, 9.0)
+    long = raw[:16] + struct.pack("<IHHIIHHHHIH14s", 40, 0xFFFE, 1, 2, 4, 2, 16, 22, 16, 4, 1, b"") + struct.pack("<4sI2h", b"data", 4, 16384, -8192)
+    assert wav._decode(double[:16] + struct.pack("<I", 16) + double[20:])[0].tolist() == [1.5, -3.0] and wav._decode(long)[0].tolist() == [0.5, -0.25]
+
+
 def test_a_failing_task_leaves_nothing(spark, tmp_path):
     root = str(tmp_path / "out")
     staged.save_files(spark.createDataFrame([("old", bytearray(b"1"))], "name string, content binary"), root)

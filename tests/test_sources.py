@@ -5,6 +5,7 @@ import os
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,19 @@ def test_a_failing_task_leaves_nothing(spark, tmp_path):
     assert sorted(os.listdir(root)) == ["d", "old"] and len(os.listdir(f"{root}/d")) == 39
 
 
+def test_a_task_that_goes_on_after_the_end_brings_nothing_back(tmp_path):
+    writer = staged.Files({"path": str(tmp_path / "out")}).writer(None, False)
+
+    def batches():
+        for name in ("d/a", "d/b"):
+            yield pa.RecordBatch.from_pydict({"name": [name], "content": [b"x"]})
+            writer.abort([])
+
+    with pytest.raises(OSError):
+        writer.write(batches())
+    assert os.listdir(tmp_path / "out") == []
+
+
 def test_archives_mirror_the_tree(spark, tmp_path):
     frames = [(f, t, [float(t + b) for b in range(3)], 64_000, f"/a/{f}") for f in ("x/a.npz", "b.npz") for t in range(5)]
     df = spark.createDataFrame(frames, "file string, frame long, bins array<double>, sr int, source_path string").repartition(4)

@@ -1,7 +1,8 @@
 """Sinks of single files: tasks stage them, the driver moves them to their places or drops them all.
 
 A task writes below a hidden folder of its own and reports the names. When all tasks are done, the
-driver moves the files; if one fails for good, the staging folder goes and the tree is as it was. A
+driver moves the files; if one fails for good, the staging folder goes and the tree is as it was. Only
+the driver makes that folder, so a task that is still at work when it goes can't bring it back. A
 task that runs again stages anew, and what its lost attempt left goes with the folder. Files of the
 same name are replaced, others stay, so the mode is always append. A name that two rows or tasks give is an error.
 """
@@ -9,6 +10,7 @@ same name are replaced, others stay, so the mode is always append. A name that t
 from __future__ import annotations
 
 import io
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -22,8 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from wavesift.sources.stores import opened
 
-#: Files that the driver moves at a time.
-MOVES = 32
+#: Files that the driver moves at a time, and times that it takes away a folder in which tasks still write.
+MOVES, DROPS = 32, 20
 
 
 @dataclass
@@ -48,6 +50,8 @@ class StagedWriter(DataSourceArrowWriter):
             raise ValueError("files of the same name are replaced and others stay: use mode append")
         self.root = options["path"]
         self.staging = f".staged-{uuid.uuid4().hex}"
+        store, root = opened(self.root)
+        store.create_dir(f"{root}/{self.staging}", recursive=True)
 
     def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
         raise NotImplementedError
@@ -56,8 +60,10 @@ class StagedWriter(DataSourceArrowWriter):
         store, root = opened(self.root)
         folder, names = f"{self.staging}/{uuid.uuid4().hex}", []
         for name, content in self.files(iterator):
-            path = f"{root}/{folder}/{_inside(name)}"
-            store.create_dir(path.rpartition("/")[0], recursive=True)
+            path = f"{root}/{folder}"
+            for part in _inside(name).split("/"):
+                store.create_dir(path, recursive=False)
+                path = f"{path}/{part}"
             with store.open_output_stream(path) as out:
                 out.write(content)
             names.append(name)
@@ -65,8 +71,15 @@ class StagedWriter(DataSourceArrowWriter):
 
     def _drop(self) -> None:
         store, root = opened(self.root)
-        if store.get_file_info(f"{root}/{self.staging}").type == fs.FileType.Directory:
-            store.delete_dir(f"{root}/{self.staging}")
+        for left in reversed(range(DROPS)):
+            if store.get_file_info(f"{root}/{self.staging}").type != fs.FileType.Directory:
+                return
+            try:
+                store.delete_dir(f"{root}/{self.staging}")
+            except OSError:  # a task wrote another file meanwhile
+                if not left:
+                    raise
+                time.sleep(0.05)
 
     def commit(self, messages: list[Staged | None]) -> None:
         store, root = opened(self.root)
